@@ -220,7 +220,16 @@ def status_mix(projects: DataFrame) -> DataFrame:
     )
 
 
-def province_friction(projects: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def risk_weight_col(weights: dict[str, float] | None = None) -> Column:
+    return risk_weight(F.col("status"), weights)
+
+
+def risk_exposure_col() -> Column:
+    return risk_exposure(F.col("committed_usd").cast("double"))
+
+
+def province_friction(projects: DataFrame, weights: dict[str, float] | None = None,
+                      rounded: bool = True) -> DataFrame:
     """One ``groupBy(province)`` computing exposure, mean realization and the
     risk index together (replaces three scans and two joins).
 
@@ -229,6 +238,7 @@ def province_friction(projects: DataFrame, weights: dict[str, float] | None = No
     """
     component, exposure = _risk_parts(projects, weights)
     year_ok = resolved_year(projects).isNotNull()
+    rnd = _ratio if rounded else (lambda c: c)
     return (
         projects.where(F.col("province").isNotNull())
         .groupBy(F.col("province").cast("string").alias("province"))
@@ -243,8 +253,8 @@ def province_friction(projects: DataFrame, weights: dict[str, float] | None = No
         .select(
             "province",
             "total_exposure",
-            _ratio(F.col("_avg_rr")).alias("avg_realization_rate"),
-            _ratio(F.when(F.col("_exp") > 0, F.lit(100.0) * F.col("_rc") / F.col("_exp"))).alias(
+            rnd(F.col("_avg_rr")).alias("avg_realization_rate"),
+            rnd(F.when(F.col("_exp") > 0, F.lit(100.0) * F.col("_rc") / F.col("_exp"))).alias(
                 "status_risk_index"
             ),
         )
