@@ -37,3 +37,13 @@ def clean_year(col: Column | str) -> Column:
     """Numeric clean, then integral values to INT; a fractional year is null."""
     value = clean_numeric(col)
     return F.when(value == F.floor(value), value.try_cast("int"))
+
+
+def exact_pct(num: str, den: str, digits: int) -> Column:
+    """100 * num / den rounded half-up to ``digits`` decimals, computed in
+    exact integer arithmetic (so every engine agrees, ties included); null
+    when ``den`` is 0.  ``num`` and ``den`` are count column names."""
+    scale = 10 ** digits
+    n = f"CAST(`{num}` AS BIGINT)"
+    d = f"CAST(`{den}` AS BIGINT)"
+    return F.expr(f"CASE WHEN {d} > 0 THEN (({n} * {200 * scale} + {d}) div ({d} * 2)) / CAST({scale} AS DOUBLE) END")

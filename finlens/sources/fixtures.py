@@ -27,7 +27,29 @@ PRIORITY_STATUS = [
 ]
 
 
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def memo_plan(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """Reuse a built (lazy, uncomputed) plan for the same session and key.
+
+    Only the logical plan object is kept — no data is cached — so several
+    reports over one base skip rebuilding and re-analysing it.
+    """
+    k = (id(spark), spark, *key)
+    plan = _PLANS.get(k)
+    if plan is None:
+        plan = build()
+        _PLANS[k] = plan
+    return plan
+
+
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical ``projects`` table for the driver tables under ``sf_dir``."""
+    return memo_plan(spark, ("projects", sf_dir), lambda: _projects(spark, sf_dir))
+
+
+def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(
         spark, sf_dir, "lineitem",
         ["l_orderkey", "l_shipdate", "l_linestatus", "l_extendedprice", "l_discount"],
