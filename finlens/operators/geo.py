@@ -218,3 +218,20 @@ def assign_zones(rows: DataFrame, zones: DataFrame | None = None) -> DataFrame:
         F.col("zone_lon").alias("longitude"),
         F.lit(True).alias("is_synthetic"),
     )
+
+
+def report_top_provinces(report: DataFrame, top: int = 3) -> DataFrame:
+    """The first ``top`` report provinces by project value and by
+    per-capita value (a missing per-capita value sorts as 0).  Two bounded
+    TakeOrdered selections, unioned."""
+    from pyspark.sql.window import Window
+
+    def head(score: Column, label: str) -> DataFrame:
+        ranked = (report.select("province_name", score.alias("score"))
+                  .orderBy(F.col("score").desc(), F.col("province_name")).limit(top))
+        w = Window.orderBy(F.col("score").desc(), F.col("province_name"))
+        return ranked.select(F.lit(label).alias("ranking"), F.row_number().over(w).cast("int").alias("position"),
+                             "province_name", "score")
+
+    return head(F.col("project_value_b"), "value").unionByName(
+        head(F.coalesce(F.col("per_capita_usd"), F.lit(0.0)), "per_capita"))

@@ -43,7 +43,7 @@ SELECT projects, committed_usd, disbursed_usd, df_projects, fdi_projects,
 FROM t CROSS JOIN s3"""
 
 
-@register("home_kpis", ["E35", "B13", "C5"], with_projects(BROWSER_BASE + _home_kpis_sql("d")))
+@register("home_kpis", ["E35", "B13", "C5", "G8"], with_projects(BROWSER_BASE + _home_kpis_sql("d")))
 def home_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Browser home KPIs over the default year range."""
     return B.home_kpis(B.browser_filter(projects(spark, sf_dir)))
@@ -122,7 +122,7 @@ def deals_and_value_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.deals_and_value_by_year(B.browser_filter(projects(spark, sf_dir), finance_type="FDI"))
 
 
-@register("largest_deals", ["E41"], with_projects(BROWSER_BASE + f""",
+@register("largest_deals", ["E41", "G9"], with_projects(BROWSER_BASE + f""",
 f AS (SELECT * FROM d WHERE finance_type = 'FDI'),
 h AS (SELECT project_id, project_name, year, sector, committed_usd, coalesce(committed_usd, 0.0) AS v
       FROM f ORDER BY v DESC, project_id LIMIT 3),

@@ -163,7 +163,7 @@ def conform_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform_source(raw, DF_SOURCE).select(*CANONICAL_FIELDS, "row_ord")
 
 
-@register("enriched_projects", ["D2", "D3", "E51", "H1", "B7c", "B7d"],
+@register("enriched_projects", ["D2", "D3", "E51", "H1", "B7b", "B7c", "B7d", "B7e", "A10"],
           _wrap(ENRICH_SQL, f"SELECT {CANON}, source_name, row_ord, enriched FROM p2"))
 def enriched_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All primary sources unioned, then gaps filled from the enrichment
@@ -186,21 +186,85 @@ def enrichment_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.enriched.agg(F.count_if(F.col("enriched")).alias("rows_touched"), F.count(F.lit(1)).alias("rows_total"))
 
 
-@register("quality_warnings", ["E50", "C11", "C2"], None)
+def _pct(num: str, den: str) -> str:
+    return f"CASE WHEN {den} > 0 THEN ({num} * 20000 + {den}) // (2 * {den}) / 100.0 END"
+
+
+WARNINGS_SQL = _wrap(ENRICH_SQL + ", allsrc AS (SELECT * FROM prim UNION ALL SELECT * FROM en1)", f"""
+SELECT 'investment_tracker' AS source_name, 'missing_country_filter_columns' AS warning_type,
+       '{Q.WARNING_MESSAGES["missing_country_filter_columns"]}' AS message
+UNION ALL
+SELECT source_name, 'invalid_finance_type', '{Q.WARNING_MESSAGES["invalid_finance_type"]}'
+FROM allsrc GROUP BY source_name HAVING count(*) FILTER (WHERE finance_type IS NULL) > 0
+UNION ALL
+SELECT 'canonical_dataset', 'missing_finance_type', '{Q.WARNING_MESSAGES["missing_finance_type"]}'
+FROM p2 HAVING count(*) FILTER (WHERE finance_type IS NULL) > 0""")
+
+
+@register("quality_warnings", ["E50", "C11", "C2"], WARNINGS_SQL)
 def quality_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Warning rows of the run (missing country columns, missing primaries,
     invalid / missing finance types)."""
     return etl(spark, sf_dir).warnings
 
 
-@register("load_audit", ["E29", "A10"], None)
+def _load_audit_sql() -> str:
+    df_mask = f"{_country_hit('c2', False)} OR {_country_hit('c3', True)}"
+    ct_mask = _country_hit("c2", False)
+    return _wrap(ENRICH_SQL + f""",
+raw_tr AS ({raw_source_sql('raw_tracker_source')}),
+raw_wd AS ({raw_source_sql('wide_yearly_source')}),
+counts AS (
+  SELECT 'development_finance' AS source_name, 'primary' AS role, count(*) AS rows_in,
+         count(*) FILTER (WHERE NOT ({df_mask})) AS excl FROM raw_df
+  UNION ALL SELECT 'investment_tracker', 'primary', count(*), count(*) FROM raw_tr
+  UNION ALL SELECT 'country_investments', 'primary', count(*), count(*) FILTER (WHERE NOT ({ct_mask})) FROM raw_ct
+  UNION ALL SELECT 'project_details', 'enrichment', count(*), count(*) FILTER (WHERE NOT ({ct_mask})) FROM raw_en
+  UNION ALL SELECT 'wide_yearly', 'excluded', count(*), NULL FROM raw_wd),
+allsrc AS (SELECT * FROM prim UNION ALL SELECT * FROM en1),
+stats AS (SELECT source_name, count(*) AS loaded,
+                 count(*) FILTER (WHERE province IS NULL) AS no_prov,
+                 count(*) FILTER (WHERE latitude IS NULL OR longitude IS NULL) AS no_coord
+          FROM allsrc GROUP BY source_name),
+touched AS (SELECT count(*) FILTER (WHERE enriched) AS n FROM p2)""", f"""
+SELECT c.source_name, c.role, 'dataframe' AS parser_used, c.rows_in AS rows_in_source,
+       CASE WHEN c.role = 'primary' THEN coalesce(s.loaded, 0) ELSE 0 END AS rows_loaded,
+       CASE WHEN c.role = 'primary' THEN greatest(coalesce(c.excl, 0), c.rows_in - coalesce(s.loaded, 0))
+            ELSE c.rows_in END AS rows_excluded,
+       CASE WHEN c.role = 'enrichment' THEN t.n ELSE 0 END AS rows_used_for_enrichment,
+       CASE WHEN c.role <> 'excluded' THEN {_pct('s.no_prov', 's.loaded')} END AS province_missing_pct,
+       CASE WHEN c.role <> 'excluded' THEN {_pct('s.no_coord', 's.loaded')} END AS coordinate_missing_pct,
+       CASE c.role WHEN 'enrichment' THEN 'optional_enrichment_only' WHEN 'excluded' THEN 'excluded_from_project_level'
+            ELSE '' END AS note
+FROM counts c LEFT JOIN stats s ON s.source_name = c.source_name CROSS JOIN touched t""")
+
+
+@register("load_audit", ["E29", "A10", "C2"], _load_audit_sql())
 def load_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source: rows in, loaded, excluded, used for enrichment, and
     province / coordinate missingness."""
     return etl(spark, sf_dir).loads
 
 
-@register("mapping_audit", ["E28"], None)
+def _mapping_audit_sql() -> str:
+    from finlens.operators.conform import mapping_rows
+
+    declared = ", ".join(
+        "(" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in (spec.name, *row)) + ")"
+        for spec in ALL_SOURCES if spec.role in ("primary", "enrichment") for row in mapping_rows(spec))
+    rates = " UNION ALL ".join(
+        f"SELECT source_name, '{c}' AS canonical_column, "
+        f"{_pct('(count(*) - count(' + c + '))', 'count(*)')} AS rate FROM allsrc GROUP BY source_name"
+        for c in CANONICAL_FIELDS)
+    return _wrap(ENRICH_SQL + f""",
+allsrc AS (SELECT * FROM prim UNION ALL SELECT * FROM en1),
+declared AS (SELECT * FROM (VALUES {declared}) v(source_name, source_column, canonical_column, transform)),
+rates AS ({rates})""", """
+SELECT d.source_name, d.source_column, d.canonical_column, d.transform, coalesce(r.rate, 100.0) AS null_rate_pct
+FROM declared d LEFT JOIN rates r ON r.source_name = d.source_name AND r.canonical_column = d.canonical_column""")
+
+
+@register("mapping_audit", ["E28"], _mapping_audit_sql())
 def mapping_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source mapping: source column, canonical column, transform and
     the canonical column's null rate."""

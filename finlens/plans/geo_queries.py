@@ -28,7 +28,7 @@ def _dims_cte(*names: str) -> str:
     return ",\n".join(f"{n} AS ({dimension_sql(n)})" for n in names)
 
 
-@register("province_coordinates", ["D4", "E30"], with_projects(f"""
+@register("province_coordinates", ["D4", "E30", "A11"], with_projects(f"""
 WITH {_dims_cte('province_report', 'aliases', 'province_fallback', 'region_fallback')},
 c AS ({CENTROID_SQL}),
 k AS (SELECT r.*, coalesce(a.alias_key, lower(trim(r.province_name))) AS lookup
@@ -53,7 +53,7 @@ def province_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("region_rollup", ["E31"], with_projects(f"""
+@register("region_rollup", ["E31", "A11"], with_projects(f"""
 WITH {_dims_cte('province_report')}
 SELECT region, round(sum(project_value_b), 9) AS project_value_b, CAST(sum(project_count) AS BIGINT) AS project_count
 FROM province_report GROUP BY region"""))
@@ -126,3 +126,18 @@ FROM s JOIN z ON z.zone_sector = s.zone_sector AND z.slot = s.slot"""))
 def zone_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round-robin zone coordinates for FDI projects per sector label."""
     return G.assign_zones(B.browser_filter(projects(spark, sf_dir), finance_type="FDI"))
+
+
+@register("report_top_provinces", ["G10", "A11"], with_projects(f"""
+WITH {_dims_cte('province_report')},
+v AS (SELECT 'value' AS ranking, province_name, project_value_b AS score,
+             row_number() OVER (ORDER BY project_value_b DESC, province_name) AS position FROM province_report),
+c AS (SELECT 'per_capita' AS ranking, province_name, coalesce(per_capita_usd, 0.0) AS score,
+             row_number() OVER (ORDER BY coalesce(per_capita_usd, 0.0) DESC, province_name) AS position
+      FROM province_report)
+SELECT ranking, CAST(position AS INTEGER) AS position, province_name, score FROM v WHERE position <= 3
+UNION ALL
+SELECT ranking, CAST(position AS INTEGER), province_name, score FROM c WHERE position <= 3"""))
+def report_top_provinces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First three report provinces by value and by per-capita value."""
+    return G.report_top_provinces(dimension(spark, sf_dir, "province_report"), 3)

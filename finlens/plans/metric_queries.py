@@ -43,7 +43,7 @@ def overall_realization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.overall_realization(projects(spark, sf_dir))
 
 
-@register("province_year_exposure", ["E2"], with_projects(f"""
+@register("province_year_exposure", ["E2", "C7", "G1"], with_projects(f"""
 SELECT province, year, sum(exposure) AS province_year_exposure FROM (
   SELECT province, CAST(coalesce(year, year(approval_date)) AS INTEGER) AS year,
          CASE WHEN {ACTIVE_SQL} THEN coalesce(disbursed_usd, 0.0) ELSE 0.0 END AS exposure
@@ -55,7 +55,7 @@ def province_year_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.province_year_exposure(projects(spark, sf_dir))
 
 
-@register("sector_concentration", ["E3", "D10"], with_projects("""
+@register("sector_concentration", ["E3", "D10", "C7", "G2"], with_projects("""
 WITH g AS (SELECT sector, sum(committed_usd) AS value FROM projects WHERE sector IS NOT NULL GROUP BY sector),
      t AS (SELECT sum(value) AS total FROM g)
 SELECT sector, value, round(value / nullif(total, 0), 6) AS share FROM g CROSS JOIN t"""))
@@ -72,7 +72,7 @@ def risk_index_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.risk_index_global(projects(spark, sf_dir))
 
 
-@register("risk_index_by_province", ["E5", "D6"], with_projects(f"""
+@register("risk_index_by_province", ["E5", "D6", "C7"], with_projects(f"""
 SELECT province,
        round(CASE WHEN sum({RISK_X_SQL}) > 0 THEN 100.0 * sum({RISK_W_SQL} * {RISK_X_SQL}) / sum({RISK_X_SQL}) END, 6)
          AS status_risk_index
@@ -93,7 +93,7 @@ def lifecycle_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.lifecycle_funnel(projects(spark, sf_dir))
 
 
-@register("approval_cohorts", ["E7"], with_projects("""
+@register("approval_cohorts", ["E7", "G1"], with_projects("""
 SELECT CAST(year(approval_date) AS INTEGER) AS approval_year,
        count(*) AS projects,
        coalesce(sum(committed_usd), 0.0) AS committed_usd,
@@ -133,7 +133,7 @@ SELECT e.province, e.total_exposure, round(r.avg_rr, 6) AS avg_realization_rate,
 FROM e LEFT JOIN r ON e.province = r.province CROSS JOIN m"""
 
 
-@register("exposure_vs_friction", ["E10", "D1", "E2", "E5", "B17"], with_projects(EXPOSURE_FRICTION_SQL))
+@register("exposure_vs_friction", ["E10", "D1", "E2", "E5", "B17", "G3"], with_projects(EXPOSURE_FRICTION_SQL))
 def exposure_vs_friction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which provinces combine high exposure with delivery friction."""
     return M.exposure_vs_friction(projects(spark, sf_dir))
