@@ -1,34 +1,46 @@
-"""Date parsing: a fixed, ordered format list plus spreadsheet serial days."""
+"""Date parsing: a fixed, ordered list of layouts plus spreadsheet serial days.
+
+Built as SQL text (one ``F.expr`` per field keeps plan construction cheap).
+Each layout is tried only when the text already has its shape: a failed
+format parse is an exception inside the engine, and doing that for every row
+and layout is what makes naive multi-format parsing slow at scale.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed calendar formats tried in order (row-local, independent of row order)
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy"]
-# spreadsheet serial day 0
+# fixed layouts, tried in this order (row-local, independent of row order):
+#   yyyy-MM-dd, yyyy-MM-dd HH:mm:ss, M/d/yyyy, bare yyyy (Jan 1), serial days
 EXCEL_EPOCH = "1899-12-30"
+ISO_SHAPE = "^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}( [0-9]{1,2}:[0-9]{2}:[0-9]{2})?$"
+MDY_SHAPE = "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"
+YEAR_SHAPE = "^[0-9]{4}$"
+SERIAL_SHAPE = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"
+
 
+def quote(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-def parse_date_any(col: Column | str) -> Column:
-    """String (or date/timestamp) -> DATE.
 
-    Tries the calendar formats, then a bare four-digit year (Jan 1), then a
-    spreadsheet serial day count from 1899-12-30.  Never casts free text to
-    TIMESTAMP directly ('43831' would become year 43831).
+def parse_date_sql(x: str) -> str:
+    """SQL for text expression ``x`` -> DATE (null when no layout fits).
+
+    Never casts free text straight to a date/timestamp ('43831' would
+    become year 43831); the serial-day branch handles plain numbers.
     """
-    c = F.col(col) if isinstance(col, str) else col
-    text = F.nullif(F.trim(c.cast("string")), F.lit(""))
-    candidates = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in DATE_FORMATS]
-    bare_year = F.when(
-        text.rlike(r"^[0-9]{4}$"), F.make_date(text.try_cast("int"), F.lit(1), F.lit(1))
-    )
-    serial = F.when(
-        text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), text.try_cast("double")
+    t = f"nullif(trim(CAST({x} AS STRING)), '')"
+    return (
+        "coalesce("
+        f"CASE WHEN {t} RLIKE '{ISO_SHAPE}' THEN try_cast(substring_index({t}, ' ', 1) AS DATE) END, "
+        f"CASE WHEN {t} RLIKE '{MDY_SHAPE}' THEN CAST(try_to_timestamp({t}, 'M/d/yyyy') AS DATE) END, "
+        f"CASE WHEN {t} RLIKE '{YEAR_SHAPE}' THEN try_cast(concat({t}, '-01-01') AS DATE) END, "
+        f"CASE WHEN {t} RLIKE '{SERIAL_SHAPE}' AND try_cast({t} AS DOUBLE) BETWEEN -693593 AND 2958465 "
+        f"THEN date_add(DATE'{EXCEL_EPOCH}', CAST(floor(try_cast({t} AS DOUBLE)) AS INT)) END)"
     )
-    serial_date = F.when(
-        serial.between(-693593, 2958465),
-        F.date_add(F.lit(EXCEL_EPOCH).cast("date"), F.floor(serial).cast("int")),
-    )
-    return F.coalesce(*[x.cast("date") for x in candidates], bare_year, serial_date)
+
+
+def parse_date_any(col: str) -> Column:
+    """Column ``col`` (text, date or timestamp) -> DATE."""
+    return F.expr(parse_date_sql(quote(col)))

@@ -26,3 +26,11 @@ def deterministic_id(source: Column | str, name: Column, year: Column, country:
         F.coalesce(country.cast("string"), F.lit("")),
     )
     return F.concat(F.lit(ID_PREFIX), F.substring(F.sha1(payload.cast("binary")), 1, ID_HEX_CHARS))
+
+
+def deterministic_id_sql(source: str, name: str, year: str, country: str) -> str:
+    """SQL form of :func:`deterministic_id` over SQL expressions."""
+    src = "'" + source.replace("'", "''") + "'"
+    payload = (f"concat({src}, '|', coalesce(CAST({name} AS STRING), ''), '|', "
+               f"coalesce(CAST({year} AS STRING), ''), '|', coalesce(CAST({country} AS STRING), ''))")
+    return f"concat('{ID_PREFIX}', substring(sha1(CAST({payload} AS BINARY)), 1, {ID_HEX_CHARS}))"

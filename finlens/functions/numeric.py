@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # A cleaned numeric literal: optional sign, digits with optional fraction or a
 # bare fraction, optional exponent.  Guarding with it keeps Spark from
 # accepting strings such as '1d' that a strict numeric parser rejects.
-NUMERIC_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+NUMERIC_PATTERN = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def nan_to_null(col: Column | str) -> Column:
@@ -16,24 +16,22 @@ def nan_to_null(col: Column | str) -> Column:
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
 
 
-def clean_numeric(col: Column | str, multiplier: float = 1.0) -> Column:
-    """Drop ',' '$' ')' , turn '(' into '-', trim, parse as double, scale.
+def clean_numeric_sql(x: str, multiplier: float = 1.0) -> str:
+    """SQL for text expression ``x``: drop ',' '$' ')', turn '(' into '-',
+    trim, parse as double, scale.  Unparsable text and NaN become null."""
+    t = f"trim(replace(translate(CAST({x} AS STRING), ',$)', ''), '(', '-'))"
+    v = f"CASE WHEN {t} RLIKE '{NUMERIC_PATTERN}' THEN try_cast({t} AS DOUBLE) END"
+    return v if multiplier == 1.0 else f"({v}) * CAST({float(multiplier)!r} AS DOUBLE)"
 
-    Unparsable text becomes null.  Numeric input columns pass straight
-    through the same path (cast to string first), NaN becomes null.
-    """
-    c = F.col(col) if isinstance(col, str) else col
-    text = F.trim(
-        F.replace(F.translate(c.cast("string"), ",$)", ""), F.lit("("), F.lit("-"))
-    )
-    parsed = F.when(text.rlike(NUMERIC_PATTERN), text.try_cast("double"))
-    value = nan_to_null(parsed)
-    if multiplier != 1.0:
-        value = value * F.lit(float(multiplier))
-    return value
+
+def clean_numeric(col: str, multiplier: float = 1.0) -> Column:
+    """Column ``col`` (text or number) cleaned and parsed as DOUBLE."""
+    from finlens.functions.dates import quote
+
+    return F.expr(clean_numeric_sql(quote(col), multiplier))
 
 
-def clean_year(col: Column | str) -> Column:
+def clean_year(col: str) -> Column:
     """Numeric clean, then integral values to INT; a fractional year is null."""
     value = clean_numeric(col)
     return F.when(value == F.floor(value), value.try_cast("int"))
