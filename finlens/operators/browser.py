@@ -59,7 +59,7 @@ def browser_filter(
 
     A null year fails the range test (as in the browser), so it is dropped.
     Unset year bounds default to the data's own range, taken from a one-row
-    aggregate joined in as a broadcast — no driver round trip.
+    aggregate attached as a scalar subquery — no driver round trip.
     """
     df = normalize_sectors(projects)
     if finance_type != "all":
@@ -69,11 +69,10 @@ def browser_filter(
     if status != "all":
         df = df.where(F.col("status") == F.lit(status))
     if year_min is None or year_max is None:
-        bounds = year_bounds(normalize_sectors(projects))
-        df = df.crossJoin(F.broadcast(bounds))
-        lo = F.lit(year_min) if year_min is not None else F.col("_year_min")
-        hi = F.lit(year_max) if year_max is not None else F.col("_year_max")
-        df = df.where(F.col("year").between(lo, hi)).drop("_year_min", "_year_max")
+        bounds = year_bounds(projects).select(F.struct("_year_min", "_year_max")).scalar()
+        lo = F.lit(year_min) if year_min is not None else bounds["_year_min"]
+        hi = F.lit(year_max) if year_max is not None else bounds["_year_max"]
+        df = df.where(F.col("year").between(lo, hi))
     else:
         df = df.where(F.col("year").between(year_min, year_max))
     if drop_zero_value:
@@ -109,9 +108,10 @@ def home_kpis(d: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "sector"))), lambda s: s["sector"]), ", ")
         .alias("top3_sectors"),
         F.sum("value").alias("_top3_value"),
-    )
+    ).select(F.struct("top3_sectors", "_top3_value")).scalar()
     c = F.col("committed_usd")
-    return totals.crossJoin(F.broadcast(top3)).select(
+    return totals.withColumn("top3_sectors", top3["top3_sectors"]).withColumn(
+        "_top3_value", top3["_top3_value"]).select(
         "projects",
         "committed_usd",
         "disbursed_usd",
@@ -135,11 +135,14 @@ def peak_year(d: DataFrame) -> DataFrame:
     yearly = d.groupBy(group_key("year").alias("year_key"), F.col("year")).agg(
         zsum("committed_usd").alias("value")
     )
-    best = yearly.where(F.col("value") > 0).orderBy(F.col("value").desc(), F.col("year").asc_nulls_last()).limit(1)
-    seed = d.sparkSession.range(1).select(F.lit(0).alias("_z"))
-    return seed.join(best, F.lit(True), "left").select(
-        F.coalesce(F.col("year").cast("int"), F.lit(0)).alias("peak_year"),
-        F.coalesce(F.col("value"), F.lit(0.0)).alias("peak_committed_usd"),
+    # largest value first, then the earliest year, an unknown year last
+    best = yearly.where(F.col("value") > 0).agg(
+        F.min_by(F.struct("year", "value"),
+                 F.struct(-F.col("value"), F.col("year").isNull(), F.col("year"))).alias("_best")
+    )
+    return best.select(
+        F.coalesce(F.col("_best.year").cast("int"), F.lit(0)).alias("peak_year"),
+        F.coalesce(F.col("_best.value"), F.lit(0.0)).alias("peak_committed_usd"),
     )
 
 
@@ -150,8 +153,10 @@ def completion_and_mean_deal(df_rows: DataFrame, fdi_rows: DataFrame) -> DataFra
         F.count(F.lit(1)).alias("df_projects"),
         F.count_if(F.col("status") == "Completion").alias("completed"),
     )
-    deals = fdi_rows.agg(F.count(F.lit(1)).alias("fdi_deals"), zsum("committed_usd").alias("fdi_committed_usd"))
-    return done.crossJoin(deals).select(
+    deals = fdi_rows.agg(F.struct(F.count(F.lit(1)).alias("fdi_deals"),
+                                  zsum("committed_usd").alias("fdi_committed_usd"))).scalar()
+    done = done.withColumn("fdi_deals", deals["fdi_deals"]).withColumn("fdi_committed_usd", deals["fdi_committed_usd"])
+    return done.select(
         "df_projects",
         "completed",
         F.round(F.when(F.col("df_projects") > 0, F.col("completed") / F.col("df_projects")), RATIO_DIGITS).alias(
@@ -190,8 +195,10 @@ def sector_by_year(d: DataFrame, top: int = 6) -> DataFrame:
     0-filled over every (year, top sector).  Matching is on the sector value
     itself, so the 'Unknown' bucket only sums rows literally named so."""
     head = top_sectors(d, top).select(F.col("rank").cast("int").alias("sector_rank"), "sector")
+    # the (at most ``top``) leading sectors as one array, expanded per year
+    leaders = head.agg(F.collect_list(F.struct("sector_rank", "sector"))).scalar()
     years = d.where(F.col("year").isNotNull()).select(F.col("year").cast("int").alias("year")).distinct()
-    grid = years.crossJoin(F.broadcast(head))
+    grid = years.select("year", F.explode(leaders).alias("_s")).select("year", "_s.sector_rank", "_s.sector")
     sums = (
         d.join(F.broadcast(head.select("sector")), "sector", "left_semi")
         .groupBy(F.col("year").cast("int").alias("year"), "sector")
@@ -221,16 +228,12 @@ def largest_deals(d: DataFrame, top: int = 3) -> DataFrame:
         .limit(top)
     )
     head = head.withColumn("deal_rank", F.row_number().over(Window.orderBy(F.col("_v").desc(), F.col("project_id"))))
-    total = d.agg(zsum("committed_usd").alias("_total"))
-    head_sum = head.agg(F.sum("_v").alias("_top"))
-    share = total.crossJoin(head_sum).select(
-        F.round(
-            F.coalesce(F.col("_top"), F.lit(0.0))
-            / F.when(F.col("_total") != 0, F.col("_total")).otherwise(F.lit(1.0)),
-            RATIO_DIGITS,
-        ).alias("top_share")
+    total = d.agg(zsum("committed_usd")).scalar()
+    head_sum = head.agg(F.sum("_v")).scalar()
+    share = F.round(
+        F.coalesce(head_sum, F.lit(0.0)) / F.when(total != 0, total).otherwise(F.lit(1.0)), RATIO_DIGITS
     )
-    return head.crossJoin(F.broadcast(share)).select(
+    return head.select(
         F.col("deal_rank").cast("int").alias("deal_rank"),
-        "project_id", "project_name", "year", "sector", "committed_usd", "top_share",
+        "project_id", "project_name", "year", "sector", "committed_usd", share.alias("top_share"),
     )

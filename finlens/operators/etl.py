@@ -125,12 +125,12 @@ def run_etl(
 
     # --- source loads (E29 + E27) -------------------------------------------
     stats = Q.source_missingness(per_source)
-    touched = enriched.agg(F.count_if(F.col("enriched")).alias("_touched"))
+    touched = enriched.agg(F.count_if(F.col("enriched"))).scalar()
     loads = None
     for cf in count_frames:
         loads = cf if loads is None else loads.unionByName(cf, allowMissingColumns=True)
     if loads is not None:
-        loads = loads.join(stats, "source_name", "left").crossJoin(F.broadcast(touched))
+        loads = loads.join(stats, "source_name", "left").withColumn("_touched", touched)
         role = F.col("role")
         loaded = F.when(role == "primary", F.coalesce(F.col("rows_loaded"), F.lit(0))).otherwise(F.lit(0))
         excluded_by_mask = F.coalesce(F.col("rows_excluded"), F.lit(0))

@@ -83,6 +83,10 @@ def selection_flags(projects: DataFrame, selections: dict[str, list]) -> DataFra
     iff no option lies outside the selection and every selected value is an
     option.
     """
+    return projects.agg(*_flag_aggs(projects, selections))
+
+
+def _flag_aggs(projects: DataFrame, selections: dict[str, list]) -> list[Column]:
     aggs: list[Column] = [F.count(F.lit(1)).alias("_rows")]
     for facet in FACETS:
         sel = _selection(facet, selections.get(facet) or [])
@@ -93,7 +97,7 @@ def selection_flags(projects: DataFrame, selections: dict[str, list]) -> DataFra
         matched = F.count_distinct(F.when(opt.isin(sel), opt))
         aggs.append(((outside == 0) & (matched == F.lit(len(sel)))).alias(f"_all_{facet}"))
         aggs.append(F.count_distinct(opt).alias(f"_opts_{facet}"))
-    return projects.agg(*aggs)
+    return aggs
 
 
 def apply_facets(projects: DataFrame, selections: dict[str, list]) -> DataFrame:
@@ -104,17 +108,18 @@ def apply_facets(projects: DataFrame, selections: dict[str, list]) -> DataFrame:
     if not active:
         return projects
     flags = selection_flags(projects, selections)
-    df = projects.crossJoin(F.broadcast(flags))
+    f = flags.select(F.struct(*flags.columns)).scalar()  # one row, a scalar subquery
+    df = projects
     for facet in active:
         sel = _selection(facet, selections[facet])
         if facet == "finance_type":
             # an all-blank finance column falls back to the DF/FDI options
-            all_sel = F.when(F.col("_opts_finance_type") == 0,
-                             F.lit(set(sel) == set(PREFERRED_FINANCE))).otherwise(F.col("_all_finance_type"))
+            all_sel = F.when(f["_opts_finance_type"] == 0,
+                             F.lit(set(sel) == set(PREFERRED_FINANCE))).otherwise(f["_all_finance_type"])
         else:
-            all_sel = F.col(f"_all_{facet}")
+            all_sel = f[f"_all_{facet}"]
         df = df.where(all_sel | F.coalesce(_row_value(facet).isin(sel), F.lit(False)))
-    return df.drop(*[c for c in df.columns if c.startswith("_all_") or c.startswith("_opts_") or c == "_rows"])
+    return df
 
 
 def facet_values(projects: DataFrame) -> DataFrame:
@@ -148,9 +153,8 @@ def facet_narrowing(projects: DataFrame, selections: dict[str, list]) -> DataFra
     options non-empty, selection != options), how many rows its predicate
     alone keeps, and how many rows the whole dashboard filter keeps — in a
     single aggregate pass."""
-    flags = selection_flags(projects, selections)
     per_facet = []
-    aggs = [F.count(F.lit(1)).alias("_rows")]
+    aggs = _flag_aggs(projects, selections)
     for facet in FACETS:
         sel = _selection(facet, selections.get(facet) or [])
         if not sel or facet not in projects.columns:
@@ -162,9 +166,8 @@ def facet_narrowing(projects: DataFrame, selections: dict[str, list]) -> DataFra
             [], "facet string, label string, selected string, narrowing boolean, rows_matching bigint, "
                 "rows_after_filter bigint"
         )
-    hits = projects.agg(*aggs)
-    kept = apply_facets(projects, selections).agg(F.count(F.lit(1)).alias("rows_after_filter"))
-    row = hits.crossJoin(flags.drop("_rows")).crossJoin(kept)
+    row = projects.agg(*aggs).withColumn(
+        "rows_after_filter", apply_facets(projects, selections).agg(F.count(F.lit(1))).scalar())
     stacked = F.explode(
         F.array(
             *[

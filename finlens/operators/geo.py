@@ -136,8 +136,8 @@ def region_shares(capex: DataFrame, include_unspecified: bool = False) -> DataFr
     and share, and the top specified region with its share of specified.
 
     The totals are one aggregate and the top region a one-row TakeOrdered
-    (ties go to the alphabetically first region), both joined back as
-    one-row broadcasts.
+    (ties go to the alphabetically first region), both attached as scalar
+    subqueries.
     """
     is_ns = F.col("region") == F.lit(NOT_SPECIFIED)
     china = F.col("china_capex_b")
@@ -147,18 +147,9 @@ def region_shares(capex: DataFrame, include_unspecified: bool = False) -> DataFr
         F.round(F.sum(F.when(is_ns, china)), BILLIONS_DIGITS).alias("not_specified_capex_b"),
         F.sum(spec_value).alias("_spec_total"),
     )
-    ranked = capex.where(~is_ns & china.isNotNull()).orderBy(china.desc(), F.col("region")).limit(1).select(
-        F.col("region").alias("top_region"), china.alias("_top_value"))
-    summary = totals.join(F.broadcast(ranked), F.lit(True), "left").select(
-        "total_china_capex_b",
-        "not_specified_capex_b",
-        F.round(F.coalesce(F.lit(100.0) * F.col("not_specified_capex_b")
-                           / F.nullif(F.col("total_china_capex_b"), F.lit(0.0)), F.lit(0.0)),
-                RATIO_DIGITS).alias("not_specified_share_pct"),
-        "top_region",
-        F.round(F.coalesce(F.lit(100.0) * F.col("_top_value") / F.nullif(F.col("_spec_total"), F.lit(0.0)),
-                           F.lit(0.0)), RATIO_DIGITS).alias("top_region_share_pct"),
-    )
+    top = (capex.where(~is_ns & china.isNotNull()).orderBy(china.desc(), F.col("region")).limit(1)
+           .select(F.struct("region", "china_capex_b")).scalar())
+    t = totals.select(F.struct(*totals.columns)).scalar()
     rows = capex if include_unspecified else capex.where(~is_ns)
     return rows.select(
         "region",
@@ -166,7 +157,15 @@ def region_shares(capex: DataFrame, include_unspecified: bool = False) -> DataFr
         "all_source_capex_b",
         F.round(china / F.nullif(F.col("all_source_capex_b"), F.lit(0.0)), RATIO_DIGITS).alias(
             "china_share_of_all_sources"),
-    ).crossJoin(F.broadcast(summary))
+        t["total_china_capex_b"].alias("total_china_capex_b"),
+        t["not_specified_capex_b"].alias("not_specified_capex_b"),
+        F.round(F.coalesce(F.lit(100.0) * t["not_specified_capex_b"]
+                           / F.nullif(t["total_china_capex_b"], F.lit(0.0)), F.lit(0.0)),
+                RATIO_DIGITS).alias("not_specified_share_pct"),
+        top["region"].alias("top_region"),
+        F.round(F.coalesce(F.lit(100.0) * top["china_capex_b"] / F.nullif(t["_spec_total"], F.lit(0.0)),
+                           F.lit(0.0)), RATIO_DIGITS).alias("top_region_share_pct"),
+    )
 
 
 def region_points(capex: DataFrame, region_coords: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from finlens.functions.measures import (
     active_exposure,
@@ -121,9 +122,11 @@ def sector_concentration(projects: DataFrame, value_column: str = "committed_usd
         .groupBy("sector")
         .agg(F.sum(F.col(value_column).cast("double")).alias("value"))
     )
-    total = grouped.agg(F.sum("value").alias("_total"))
+    # the total is a window over the per-sector aggregate (one row per
+    # sector), so the fact rows are scanned and shuffled once
+    total = grouped.withColumn("_total", F.sum("value").over(Window.partitionBy()))
     return (
-        grouped.crossJoin(F.broadcast(total))
+        total
         .select(
             "sector",
             "value",
@@ -261,13 +264,18 @@ def province_friction(projects: DataFrame, weights: dict[str, float] | None = No
     )
 
 
+def with_exposure_median(per_province: DataFrame) -> DataFrame:
+    """The median province exposure attached to every province row.  The
+    window runs over the per-province aggregate (one row per province), not
+    over fact rows, so the facts are scanned once."""
+    return per_province.withColumn("_median", F.median("total_exposure").over(Window.partitionBy()))
+
+
 def exposure_vs_friction(projects: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Province exposure, realization, risk and a High/Low exposure band
     split at the median province exposure (>= median is High)."""
-    per_province = province_friction(projects, weights)
-    threshold = per_province.agg(F.median("total_exposure").alias("_median"))
     return (
-        per_province.crossJoin(F.broadcast(threshold))
+        with_exposure_median(province_friction(projects, weights))
         .withColumn(
             "exposure_band",
             F.when(F.col("total_exposure") >= F.col("_median"), F.lit("High Exposure")).otherwise(

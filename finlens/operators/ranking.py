@@ -108,7 +108,7 @@ def exact_median(df: DataFrame, value_col: str, group_cols: list[str], out_col:
             cond = eq if cond is None else cond & eq
         located = cum.join(tot, cond).drop(*[f"_t_{g}" for g in group_cols])
     else:
-        located = cum.crossJoin(F.broadcast(totals))
+        located = cum.withColumn("_n", totals.select("_n").scalar())
     k_lo = F.floor((F.col("_n") + 1) / 2)
     k_hi = F.ceil((F.col("_n") + 1) / 2)
     start = F.col("_cum") - F.col("_cnt")

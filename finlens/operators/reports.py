@@ -34,9 +34,7 @@ def analysis_frame(projects: DataFrame) -> DataFrame:
 def exposure_band_summary(projects: DataFrame) -> DataFrame:
     """E11 + R2: per exposure band: provinces, mean exposure, then the mean
     risk index and mean realization unpivoted to (metric, value) rows."""
-    per_province = M.province_friction(projects, rounded=False)
-    threshold = per_province.agg(F.median("total_exposure").alias("_median"))
-    banded = per_province.crossJoin(F.broadcast(threshold)).withColumn(
+    banded = M.with_exposure_median(M.province_friction(projects, rounded=False)).withColumn(
         "exposure_band",
         F.when(F.col("total_exposure") >= F.col("_median"), F.lit("High Exposure")).otherwise(
             F.lit("Low Exposure")
@@ -72,28 +70,24 @@ def province_table(projects: DataFrame, top: int = 10) -> DataFrame:
     )
 
 
-def trend_year(projects: DataFrame) -> DataFrame:
-    """E13's table-level fallback: when no row has a year, every row uses its
-    approval year.  Decided by a one-row aggregate, not per row."""
-    flag = projects.agg(F.count("year").alias("_rows_with_year"))
-    return projects.crossJoin(F.broadcast(flag)).withColumn(
-        "trend_year",
-        F.when(F.col("_rows_with_year") > 0, F.col("year").cast("int")).otherwise(
-            F.year("approval_date")
-        ),
-    ).drop("_rows_with_year")
-
-
 def yearly_trend(projects: DataFrame) -> DataFrame:
-    """Committed and disbursed sums (null when all null) per trend year."""
+    """Committed and disbursed sums (null when all null) per trend year.
+
+    Trend year is the source year, except that when *no* row has a year every
+    row uses its approval year (a table-level, not row-level, fallback).
+    One pass over the facts: aggregate by (year, approval year) pairs, decide
+    the fallback with a window over that small aggregate, re-aggregate.
+    """
+    pairs = projects.groupBy(
+        F.col("year").cast("int").alias("_y"), F.year("approval_date").alias("_ay")
+    ).agg(F.sum("committed_usd").alias("_c"), F.sum("disbursed_usd").alias("_d"))
+    flagged = pairs.withColumn("_any_year", F.max(F.col("_y").isNotNull()).over(Window.partitionBy()))
+    chosen = flagged.select(
+        F.when(F.col("_any_year"), F.col("_y")).otherwise(F.col("_ay")).alias("year"), "_c", "_d")
     return (
-        trend_year(projects)
-        .where(F.col("trend_year").isNotNull())
-        .groupBy(F.col("trend_year").alias("year"))
-        .agg(
-            F.sum("committed_usd").alias("committed_usd"),
-            F.sum("disbursed_usd").alias("disbursed_usd"),
-        )
+        chosen.where(F.col("year").isNotNull())
+        .groupBy("year")
+        .agg(F.sum("_c").alias("committed_usd"), F.sum("_d").alias("disbursed_usd"))
     )
 
 
@@ -202,12 +196,13 @@ def sector_share_with_other(sector_values: DataFrame, top: int = 6,
         F.lit(top + 1).alias("position"), F.lit(OTHER_SECTORS).alias("sector"), "committed_usd"
     )
     rows = head.select("position", "sector", "committed_usd").unionByName(other)
-    total = rows.agg(F.sum("committed_usd").alias("_total"))
-    return rows.crossJoin(F.broadcast(total)).select(
+    # at most ``top + 1`` rows: the total is a window over them
+    total = F.sum("committed_usd").over(Window.partitionBy())
+    return rows.select(
         F.col("position").cast("int").alias("position"),
         "sector",
         "committed_usd",
-        F.round(F.lit(100.0) * F.col("committed_usd") / F.nullif(F.col("_total"), F.lit(0.0)), RATIO_DIGITS).alias(
+        F.round(F.lit(100.0) * F.col("committed_usd") / F.nullif(total, F.lit(0.0)), RATIO_DIGITS).alias(
             "share_pct"
         ),
     )
@@ -261,13 +256,12 @@ def investment_kpis(projects: DataFrame) -> DataFrame:
         F.min("year").alias("min_year"),
         F.max("year").alias("max_year"),
     )
-    median = exact_median(a.select("committed_usd"), "committed_usd", [], "median_committed_usd")
-    top_sector = sectors_by_committed(projects, 1).select(
-        F.col("sector_clean").alias("top_sector"), F.col("committed_usd").alias("_top_value")
-    )
+    median = exact_median(a.select("committed_usd"), "committed_usd", [], "m").select("m").scalar()
+    top = sectors_by_committed(projects, 1).select(F.struct("sector_clean", "committed_usd")).scalar()
     return (
-        totals.join(F.broadcast(median), F.lit(True), "left")
-        .join(F.broadcast(top_sector), F.lit(True), "left")
+        totals.withColumn("median_committed_usd", median)
+        .withColumn("top_sector", top["sector_clean"])
+        .withColumn("_top_value", top["committed_usd"])
         .select(
             "projects",
             "committed_usd",
@@ -293,16 +287,17 @@ def status_counts_gated(projects: DataFrame, min_coverage_pct: float = 40.0) ->
     """E23 + C13: status counts ('Unknown' for null / blank), produced only
     when at least ``min_coverage_pct`` % of rows (rounded to 1 decimal) have a
     status.  The gate is a one-row aggregate joined into the plan."""
-    gate = projects.agg(
-        F.round(F.lit(100.0) * F.avg(blank_to_null("status").isNotNull().cast("double")), 1).alias("_pct")
-    )
     counts = projects.groupBy(unknown_if_blank("status").alias("status")).agg(
-        F.count(F.lit(1)).alias("projects")
+        F.count(F.lit(1)).alias("projects"),
+        F.count(blank_to_null("status")).alias("_with_status"),
     )
+    # coverage from the per-status aggregate (one row per status value)
+    everything = Window.partitionBy()
+    pct = F.round(F.lit(100.0) * F.sum("_with_status").over(everything) / F.sum("projects").over(everything), 1)
     return (
-        counts.crossJoin(F.broadcast(gate))
+        counts.withColumn("_pct", pct)
         .where(F.col("_pct") >= F.lit(min_coverage_pct))
-        .drop("_pct")
+        .drop("_pct", "_with_status")
         .orderBy(F.col("projects").desc(), F.col("status"))
     )
 
@@ -312,15 +307,18 @@ def histogram(values: DataFrame, value_col: str, bins: int = HISTOGRAM_BINS) ->
 
     bin = least(floor((v - min) * bins / (max - min)) + 1, bins); when
     min = max everything is bin 1.  All ``bins`` bins are returned, empty
-    ones with 0 rows.  The min/max come from a one-row aggregate.
+    ones with 0 rows.  The min/max come from a one-row aggregate used as a
+    scalar subquery.
     """
     v = values.select(F.col(value_col).cast("double").alias("v")).where(F.col("v").isNotNull())
     bounds = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    width = F.col("hi") - F.col("lo")
-    binned = v.crossJoin(F.broadcast(bounds)).select(
+    b = bounds.select(F.struct("lo", "hi")).scalar()
+    lo, hi = b["lo"], b["hi"]
+    width = hi - lo
+    binned = v.select(
         F.when(
             width > 0,
-            F.least(F.floor((F.col("v") - F.col("lo")) * F.lit(bins) / width).cast("int") + 1, F.lit(bins)),
+            F.least(F.floor((F.col("v") - lo) * F.lit(bins) / width).cast("int") + 1, F.lit(bins)),
         ).otherwise(F.lit(1)).alias("bin")
     )
     counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("projects"))
@@ -346,15 +344,10 @@ def top_deals_share(projects: DataFrame, top: int = 20) -> DataFrame:
         "project_id", "project_name", "year", "sector", "province", "status", "committed_usd"
     )
     head = deals.orderBy(F.col("committed_usd").desc(), F.col("project_id")).limit(top)
-    total = projects.agg(F.sum("committed_usd").alias("_all"))
-    head_total = head.agg(F.sum("committed_usd").alias("_top"))
-    share = total.crossJoin(head_total).select(
-        F.round(
-            F.coalesce(F.lit(100.0) * F.col("_top") / F.nullif(F.col("_all"), F.lit(0.0)), F.lit(0.0)),
-            RATIO_DIGITS,
-        ).alias("top_share_pct")
-    )
-    return head.crossJoin(F.broadcast(share))
+    total = projects.agg(F.sum("committed_usd")).scalar()
+    head_total = head.agg(F.sum("committed_usd")).scalar()
+    share = F.round(F.coalesce(F.lit(100.0) * head_total / F.nullif(total, F.lit(0.0)), F.lit(0.0)), RATIO_DIGITS)
+    return head.withColumn("top_share_pct", share)
 
 
 def longest_implementation(projects: DataFrame, top: int = 20) -> DataFrame:

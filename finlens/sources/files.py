@@ -100,20 +100,19 @@ def quality_report(projects: DataFrame, warnings: DataFrame, loads: DataFrame, r
     """The nested one-row quality document: counts, warning and load rows,
     and missing % per canonical column.  The arrays hold one entry per
     (source, rule) and per source — bounded by the registry, not the data."""
-    w = warnings.agg(F.collect_list(F.struct(*[F.col(f.name) for f in WARNING_STRUCT.fields])).alias("warnings"))
-    ld = loads.agg(F.collect_list(F.struct(*[F.col(f.name).cast(f.dataType) for f in LOAD_STRUCT.fields]))
-                   .alias("source_loads"))
+    w = warnings.agg(F.collect_list(F.struct(*[F.col(f.name) for f in WARNING_STRUCT.fields]))).scalar()
+    ld = loads.agg(F.collect_list(F.struct(*[F.col(f.name).cast(f.dataType) for f in LOAD_STRUCT.fields]))).scalar()
     mp = Q.missing_pct(projects).agg(
-        F.map_from_entries(F.collect_list(F.struct("column_name", "missing_pct"))).alias("missing_pct"))
+        F.map_from_entries(F.collect_list(F.struct("column_name", "missing_pct")))).scalar()
     rows = projects.agg(F.count(F.lit(1)).alias("row_count"))
-    return rows.crossJoin(w).crossJoin(ld).crossJoin(mp).select(
+    return rows.select(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("generated_at_utc"),
         F.lit(raw_file_count).cast("bigint").alias("raw_file_count"),
         "row_count",
-        F.size("warnings").cast("bigint").alias("warning_count"),
-        "warnings",
-        "source_loads",
-        "missing_pct",
+        F.size(w).cast("bigint").alias("warning_count"),
+        w.alias("warnings"),
+        ld.alias("source_loads"),
+        mp.alias("missing_pct"),
     )
 
 
