@@ -4,7 +4,9 @@ D8, E30-E33, E42).
 
 Dimension tables (report rows, aliases, fallback coordinates, region
 totals) are inputs; the ones below are the fixed lists the browser app
-carries.  Lookups against small dimension tables are broadcast joins; the
+carries.  Only those fixed lists are broadcast explicitly (their size is
+known); dimension inputs are equi-joined and left to AQE's runtime size
+check.  The
 per-sector numbering of D7 uses the skew-safe ranking, not a window over a
 whole sector.
 """
@@ -91,7 +93,8 @@ def resolve_report_coordinates(report: DataFrame, centroids: DataFrame, aliases:
 
     ``report``: region, province_name, ...; ``aliases``: name_key, alias_key;
     ``province_fallback``: province_name, lat, lon; ``region_fallback``:
-    region, lat, lon.  All lookups are left joins to small dimension tables.
+    region, lat, lon.  All lookups are left equi-joins; AQE broadcasts a
+    dimension side when its runtime size is under the threshold.
     """
     key = F.lower(F.trim(F.col("province_name")))
     r = report.withColumn("_name_key", key)
@@ -103,11 +106,11 @@ def resolve_report_coordinates(report: DataFrame, centroids: DataFrame, aliases:
     rf = region_fallback.select(F.col("region").alias("_rf_region"), F.col("lat").alias("_r_lat"),
                                 F.col("lon").alias("_r_lon"))
     out = (
-        r.join(F.broadcast(a), "_name_key", "left")
+        r.join(a, "_name_key", "left")
         .withColumn("_lookup", F.coalesce(F.col("_alias"), F.col("_name_key")))
         .join(c, "_lookup", "left")
-        .join(F.broadcast(pf), F.col("province_name") == F.col("_pf_name"), "left")
-        .join(F.broadcast(rf), F.col("region") == F.col("_rf_region"), "left")
+        .join(pf, F.col("province_name") == F.col("_pf_name"), "left")
+        .join(rf, F.col("region") == F.col("_rf_region"), "left")
     )
     source = (F.when(F.col("_c_lat").isNotNull(), F.lit("centroid"))
               .when(F.col("_p_lat").isNotNull(), F.lit("province_fallback"))
@@ -170,7 +173,7 @@ def region_shares(capex: DataFrame, include_unspecified: bool = False) -> DataFr
 
 def region_points(capex: DataFrame, region_coords: DataFrame) -> DataFrame:
     """Regions with a known coordinate (inner join; unmatched dropped)."""
-    return capex.join(F.broadcast(region_coords.select("region", "lat", "lon")), "region", "inner")
+    return capex.join(region_coords.select("region", "lat", "lon"), "region", "inner")
 
 
 def box_regions(rows: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 Every function is a lazy plan.  Aggregates are hash aggregates with map-side
 partial combine, so a hot group key (one province holding a third of the rows)
-is pre-reduced in every task before the shuffle.  Shares and thresholds use a
-one-row aggregate joined back as a broadcast (a single row has a proven size).
+is pre-reduced in every task before the shuffle.  Shares and thresholds are
+windows over the already-aggregated rows (one row per group), so the fact
+rows are scanned and shuffled once; no window or cross join runs over fact
+rows.
 """
 
 from __future__ import annotations

@@ -2,8 +2,9 @@
 
 Top-k results use ``orderBy(...).limit(k)`` (TakeOrderedAndProject: each task
 keeps k rows, no full sort) with a unique final sort key so ties are
-deterministic.  Portfolio-level scalars are one-row aggregates joined back as
-broadcasts.  No window runs over un-aggregated fact rows.
+deterministic.  Portfolio-level scalars are one-row aggregates attached as
+scalar subqueries; totals over a handful of aggregated rows are windows over
+those rows.  No window or cross join runs over un-aggregated fact rows.
 """
 
 from __future__ import annotations

@@ -54,3 +54,14 @@ def test_query_matches_oracle(spark, con, name):
     rel = con.execute(entry.oracle_sql()[name])
     want = _canon([d[0] for d in rel.description], rel.fetchall())
     assert got == want
+
+
+def test_no_cartesian_nested_loop_or_python_eval(spark):
+    sys_path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools")
+    import sys
+
+    sys.path.insert(0, sys_path)
+    from plan_audit import FORBIDDEN, audit
+
+    bad = {q: {k: c[k] for k in FORBIDDEN if c[k]} for q, c in audit(spark, SMALL).items()}
+    assert not {q: v for q, v in bad.items() if v}
