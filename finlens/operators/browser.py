@@ -3,7 +3,9 @@
 Differences from the dashboard regime, kept on purpose:
   * group keys that are null, '' or 0 become 'Unknown';
   * sums treat null as 0 ("zsum");
-  * sector labels are title-cased first (B13);
+  * sector labels are title-cased (B13) — applied after a first aggregation
+    by the raw value wherever only label groups are needed, so the regex
+    work runs once per distinct sector, not once per row;
   * the year-range filter drops rows without a year;
   * ties in top-k are broken by the group key / project id (deterministic,
     where the browser keeps first-seen order).
@@ -28,7 +30,10 @@ def normalize_sectors(projects: DataFrame) -> DataFrame:
 
 def group_key(col: str) -> Column:
     """Browser grouping key: null / '' / 0 -> 'Unknown', else the value as text."""
-    c = F.col(col)
+    return group_key_expr(F.col(col))
+
+
+def group_key_expr(c: Column) -> Column:
     text = c.cast("string")
     falsy = c.isNull() | (text == "") | (text == "0")
     return F.when(falsy, F.lit(UNKNOWN)).otherwise(text)
@@ -61,11 +66,11 @@ def browser_filter(
     Unset year bounds default to the data's own range, taken from a one-row
     aggregate attached as a scalar subquery — no driver round trip.
     """
-    df = normalize_sectors(projects)
+    df = projects
     if finance_type != "all":
         df = df.where(F.col("finance_type") == F.lit(finance_type))
     if sector != "all":
-        df = df.where(F.col("sector") == F.lit(sector))
+        df = df.where(title_case_words("sector") == F.lit(sector))
     if status != "all":
         df = df.where(F.col("status") == F.lit(status))
     if year_min is None or year_max is None:
@@ -84,13 +89,21 @@ def top_sectors(d: DataFrame, n: int) -> DataFrame:
     """topN over sector groups by zsum(committed): (rank, sector, value)."""
     from pyspark.sql.window import Window
 
-    grouped = d.groupBy(group_key("sector").alias("sector")).agg(zsum("committed_usd").alias("value"))
+    grouped = sector_groups(d).groupBy("sector").agg(F.sum("_value").alias("value"))
     head = grouped.orderBy(F.col("value").desc(), F.col("sector")).limit(n)
     return head.withColumn(
         "rank", F.row_number().over(Window.orderBy(F.col("value").desc(), F.col("sector")))
     )
 
 
+def sector_groups(d: DataFrame, *keys: str) -> DataFrame:
+    """Committed zsum and rows per (keys, raw sector), then the browser group
+    label of the sector: the per-row work is a partial aggregate, the
+    title-casing runs on distinct (keys, raw sector) rows only."""
+    raw = d.groupBy(*keys, "sector").agg(zsum("committed_usd").alias("_value"), F.count(F.lit(1)).alias("_rows"))
+    return raw.withColumn("sector", group_key_expr(title_case_words("sector")))
+
+
 def home_kpis(d: DataFrame) -> DataFrame:
     """Totals, type counts, realization (0 when committed <= 0), distinct
     years and sector groups, and the top-3 sectors' share of committed."""
@@ -102,8 +115,8 @@ def home_kpis(d: DataFrame) -> DataFrame:
         F.count_if(F.col("finance_type") == "FDI").alias("fdi_projects"),
         F.count_distinct(F.col("year")).alias("_years_nonnull"),
         F.max(F.col("year").isNull().cast("int")).alias("_has_null_year"),
-        F.count_distinct(group_key("sector")).alias("sectors"),
     )
+    sectors = sector_groups(d).agg(F.count_distinct("sector")).scalar()
     top3 = top_sectors(d, 3).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "sector"))), lambda s: s["sector"]), ", ")
         .alias("top3_sectors"),
@@ -121,7 +134,7 @@ def home_kpis(d: DataFrame) -> DataFrame:
             "realization_rate"
         ),
         (F.col("_years_nonnull") + F.coalesce(F.col("_has_null_year"), F.lit(0))).cast("bigint").alias("years"),
-        F.col("sectors").cast("bigint").alias("sectors"),
+        sectors.cast("bigint").alias("sectors"),
         "top3_sectors",
         F.round(
             F.coalesce(F.col("_top3_value"), F.lit(0.0)) / F.when(c != 0, c).otherwise(F.lit(1.0)), RATIO_DIGITS
@@ -199,10 +212,17 @@ def sector_by_year(d: DataFrame, top: int = 6) -> DataFrame:
     leaders = head.agg(F.collect_list(F.struct("sector_rank", "sector"))).scalar()
     years = d.where(F.col("year").isNotNull()).select(F.col("year").cast("int").alias("year")).distinct()
     grid = years.select("year", F.explode(leaders).alias("_s")).select("year", "_s.sector_rank", "_s.sector")
+    # rows are matched on the sector label itself ('Unknown' only matches a
+    # sector literally named so); labels come from the (year, raw sector)
+    # pre-aggregate
+    pre = (d.where(F.col("year").isNotNull())
+           .groupBy(F.col("year").cast("int").alias("year"), "sector")
+           .agg(zsum("committed_usd").alias("_value"))
+           .withColumn("sector", title_case_words("sector")))
     sums = (
-        d.join(F.broadcast(head.select("sector")), "sector", "left_semi")
-        .groupBy(F.col("year").cast("int").alias("year"), "sector")
-        .agg(zsum("committed_usd").alias("committed_usd"))
+        pre.join(F.broadcast(head.select("sector")), "sector", "left_semi")
+        .groupBy("year", "sector")
+        .agg(F.sum("_value").alias("committed_usd"))
     )
     return grid.join(sums, ["year", "sector"], "left").select(
         "year", "sector_rank", "sector", F.coalesce(F.col("committed_usd"), F.lit(0.0)).alias("committed_usd")
@@ -235,5 +255,6 @@ def largest_deals(d: DataFrame, top: int = 3) -> DataFrame:
     )
     return head.select(
         F.col("deal_rank").cast("int").alias("deal_rank"),
-        "project_id", "project_name", "year", "sector", "committed_usd", share.alias("top_share"),
+        "project_id", "project_name", "year", title_case_words("sector").alias("sector"), "committed_usd",
+        share.alias("top_share"),
     )

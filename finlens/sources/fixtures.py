@@ -44,9 +44,29 @@ def memo_plan(spark: SparkSession, key: tuple, build) -> DataFrame:
     return plan
 
 
+def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Write a derived input once as Parquet under the cluster's shared
+    checkpoint directory and return a scan of it (so readers get column
+    pruning, filter pushdown and partition pruning, and lineage is cut)."""
+    import uuid
+
+    from finlens.session import ensure_checkpoint_dir
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/finlens-inputs/{name}-{uuid.uuid4().hex}"
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical ``projects`` table for the driver tables under ``sf_dir``."""
-    return memo_plan(spark, ("projects", sf_dir), lambda: _projects(spark, sf_dir))
+    """The canonical ``projects`` table for the driver tables under ``sf_dir``:
+    derived once per session, written partitioned by finance type (as the
+    conform run's sink writes it), then scanned."""
+    return memo_plan(spark, ("projects", sf_dir),
+                     lambda: materialize(spark, _projects(spark, sf_dir), "projects", "finance_type"))
 
 
 def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finlens.sources.fixtures import memo_plan, projects
+from finlens.sources.fixtures import materialize, memo_plan, projects
 
 SPARK, DUCKDB = "spark", "duckdb"
 
@@ -188,8 +188,14 @@ def raw_source(spark: SparkSession, sf_dir: str, name: str, base: DataFrame | No
     builder, header = _BUILDERS[name]
     if base is not None:
         return spark.sql(builder(SPARK), projects=base).toDF(*header)
-    return memo_plan(spark, ("raw", sf_dir, name),
-                     lambda: spark.sql(builder(SPARK), projects=projects(spark, sf_dir)).toDF(*header))
+
+    def build() -> DataFrame:
+        # stored like a raw file on shared storage: text cells under positional
+        # names; the header (blanks, repeats and all) is applied on read
+        text = spark.sql(builder(SPARK), projects=projects(spark, sf_dir))
+        return materialize(spark, text, name).toDF(*header)
+
+    return memo_plan(spark, ("raw", sf_dir, name), build)
 
 
 def raw_source_sql(name: str) -> str:
