@@ -93,10 +93,16 @@ def _flag_aggs(projects: DataFrame, selections: dict[str, list]) -> list[Column]
         opt = _option_value(projects, facet)
         if not sel or opt is None:
             continue
+        # selection == options: no option outside the selection, and each
+        # selected value occurs (one boolean max per selected value — no
+        # distinct-count expansion of the rows)
         outside = F.count_if(opt.isNotNull() & ~opt.isin(sel))
-        matched = F.count_distinct(F.when(opt.isin(sel), opt))
-        aggs.append(((outside == 0) & (matched == F.lit(len(sel)))).alias(f"_all_{facet}"))
-        aggs.append(F.count_distinct(opt).alias(f"_opts_{facet}"))
+        present = [F.max(F.coalesce(opt == F.lit(v), F.lit(False))) for v in sel]
+        every = present[0]
+        for p in present[1:]:
+            every = every & p
+        aggs.append(((outside == 0) & every).alias(f"_all_{facet}"))
+        aggs.append(F.count(opt).alias(f"_opts_{facet}"))
     return aggs
 
 
