@@ -31,12 +31,16 @@ def parse_date_sql(x: str) -> str:
     become year 43831); the serial-day branch handles plain numbers.
     """
     t = f"nullif(trim(CAST({x} AS STRING)), '')"
+    # each shape regex runs only after a cheap LIKE / length pre-check passes
     return (
         "coalesce("
-        f"CASE WHEN {t} RLIKE '{ISO_SHAPE}' THEN try_cast(substring_index({t}, ' ', 1) AS DATE) END, "
-        f"CASE WHEN {t} RLIKE '{MDY_SHAPE}' THEN CAST(try_to_timestamp({t}, 'M/d/yyyy') AS DATE) END, "
-        f"CASE WHEN {t} RLIKE '{YEAR_SHAPE}' THEN try_cast(concat({t}, '-01-01') AS DATE) END, "
-        f"CASE WHEN {t} RLIKE '{SERIAL_SHAPE}' AND try_cast({t} AS DOUBLE) BETWEEN -693593 AND 2958465 "
+        f"CASE WHEN {t} LIKE '____-%' AND {t} RLIKE '{ISO_SHAPE}' "
+        f"THEN try_cast(substring_index({t}, ' ', 1) AS DATE) END, "
+        f"CASE WHEN {t} LIKE '%/%/%' AND {t} RLIKE '{MDY_SHAPE}' "
+        f"THEN CAST(try_to_timestamp({t}, 'M/d/yyyy') AS DATE) END, "
+        f"CASE WHEN length({t}) = 4 AND {t} RLIKE '{YEAR_SHAPE}' THEN try_cast(concat({t}, '-01-01') AS DATE) END, "
+        f"CASE WHEN translate({t}, '0123456789.+-', '') = '' AND {t} RLIKE '{SERIAL_SHAPE}' "
+        f"AND try_cast({t} AS DOUBLE) BETWEEN -693593 AND 2958465 "
         f"THEN date_add(DATE'{EXCEL_EPOCH}', CAST(floor(try_cast({t} AS DOUBLE)) AS INT)) END)"
     )
 

@@ -20,7 +20,10 @@ def clean_numeric_sql(x: str, multiplier: float = 1.0) -> str:
     """SQL for text expression ``x``: drop ',' '$' ')', turn '(' into '-',
     trim, parse as double, scale.  Unparsable text and NaN become null."""
     t = f"trim(replace(translate(CAST({x} AS STRING), ',$)', ''), '(', '-'))"
-    v = f"CASE WHEN {t} RLIKE '{NUMERIC_PATTERN}' THEN try_cast({t} AS DOUBLE) END"
+    # strict literal check without a regex: only digits, sign, point and
+    # exponent characters may appear, and the parse must succeed (this
+    # rejects '1d', 'NaN', 'Infinity' and blanks exactly as NUMERIC_PATTERN)
+    v = f"CASE WHEN {t} <> '' AND translate({t}, '0123456789+-.eE', '') = '' THEN try_cast({t} AS DOUBLE) END"
     return v if multiplier == 1.0 else f"({v}) * CAST({float(multiplier)!r} AS DOUBLE)"
 
 
