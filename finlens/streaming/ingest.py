@@ -4,8 +4,8 @@ as they land and appended to the canonical Parquet table.
 The reference runs its conform as a batch command; this is the same conform
 plan driven by a file stream, for sources that keep receiving exports.
 Each micro-batch runs the batch operators (``conform_source`` then
-keep-first); keep-first across batches is an anti join against the keys
-already in the table, so the stream itself keeps no unbounded state and a
+keep-first); keep-first across batches is an anti join against the keys of
+the batch already in the table, so the stream itself keeps no unbounded state and a
 restarted query resumes from its checkpoint (the checkpoint location must be
 on shared storage).
 """
@@ -43,8 +43,13 @@ def append_batch(batch: DataFrame, batch_id: int, spec: SourceSpec, table_path:
     # order, so the per-task increasing id follows the file
     ordered = batch.withColumn("row_ord", F.monotonically_increasing_id())
     conformed = conform_source(ordered, spec)
-    first = keep_first(conformed, ["project_id", "finance_type"], ["source_rank", "row_ord"])
-    fresh = first.join(_existing_keys(spark, table_path), ["project_id", "finance_type"], "left_anti")
+    keys = ["project_id", "finance_type"]
+    first = keep_first(conformed, keys, ["source_rank", "row_ord"])
+    # only the table keys that occur in this batch matter: a semi join against
+    # the batch's (micro-batch bounded) key set, then an anti join against
+    # that small result — the table's whole key set is never shuffled
+    seen = _existing_keys(spark, table_path).join(first.select(*keys).distinct(), keys, "left_semi")
+    fresh = first.join(seen, keys, "left_anti")
     fresh.select(*CANONICAL_FIELDS).write.mode("append").partitionBy("finance_type").parquet(table_path)
 
 
