@@ -78,10 +78,19 @@ def test_quality_report_roundtrip_and_fallbacks(spark, tmp_path, small_dir):
 def test_streaming_ingest_matches_batch(spark, tmp_path):
     raw = tmp_path / "incoming"
     raw.mkdir()
-    _write_csv(raw / "a.csv", HEADER, LINES[:2], bom=False)
-    _write_csv(raw / "b.csv", HEADER, LINES[2:], bom=False)
+    _write_csv(raw / "a.csv", HEADER, LINES[:3], bom=False)
     table = str(tmp_path / "table")
     q = start_incremental_conform(spark, str(raw), HEADER, COUNTRY_SOURCE, table, str(tmp_path / "chk"))
     q.awaitTermination(120)
     got = spark.read.parquet(table)
     assert sorted(r["project_name"] for r in got.collect()) == ["Alpha Corp", "Gamma"]
+    # a later file: a key already loaded (kept first) and a new project; the
+    # restarted query resumes from its checkpoint and only reads the new file
+    _write_csv(raw / "c.csv", HEADER, [LINES[3], ["Delta", "Energy", "Indonesia", "Bali", "", "2", "", "2022"]],
+               bom=False)
+    q = start_incremental_conform(spark, str(raw), HEADER, COUNTRY_SOURCE, table, str(tmp_path / "chk"))
+    q.awaitTermination(120)
+    got = spark.read.parquet(table).collect()
+    assert sorted(r["project_name"] for r in got) == ["Alpha Corp", "Delta", "Gamma"]
+    alpha = [r for r in got if r["project_name"] == "Alpha Corp"][0]
+    assert alpha["status"] == "Completion" and alpha["committed_usd"] == 1_500_000.0
