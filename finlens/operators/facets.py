@@ -146,6 +146,14 @@ def facet_values(projects: DataFrame) -> DataFrame:
             key = opt
         parts.append(F.struct(F.lit(facet).alias("facet"), opt.alias("value"), key.alias("sort_key")))
     stacked = projects.select(F.explode(F.array(*parts)).alias("f")).select("f.*").where(F.col("value").isNotNull())
+    ft = _option_value(projects, "finance_type")
+    if ft is not None:
+        # a non-empty table whose finance types are all blank still offers DF, FDI
+        n = projects.agg(F.struct(F.count(F.lit(1)).alias("rows"), F.count(ft).alias("typed"))).scalar()
+        fallback = projects.sparkSession.createDataFrame(
+            [("finance_type", v, str(i)) for i, v in enumerate(PREFERRED_FINANCE)], "facet string, value string, sort_key string"
+        ).where((n["rows"] > 0) & (n["typed"] == 0))
+        stacked = stacked.unionByName(fallback)
     distinct = stacked.distinct()
     from pyspark.sql.window import Window
 

@@ -118,3 +118,14 @@ def test_histogram_constant_values_fall_in_bin_one(spark):
     df = spark.createDataFrame([(5.0,), (5.0,)], "v double")
     out = R.histogram(df, "v").collect()
     assert len(out) == 30 and out[0]["projects"] == 2 and sum(r["projects"] for r in out) == 2
+
+
+def test_e47_finance_fallback_and_order(spark):
+    df = spark.createDataFrame([("1", " ", "S", 2020), ("2", None, "S", 2019)],
+                               "project_id string, finance_type string, sector string, year int")
+    got = [(r["facet"], r["position"], r["value"]) for r in FC.facet_values(df).collect()]
+    assert ("finance_type", 1, "DF") in got and ("finance_type", 2, "FDI") in got
+    assert ("year", 1, "2019") in got and ("year", 2, "2020") in got
+    typed = spark.createDataFrame([("1", "fdi"), ("2", "DF"), ("3", "OTHER")], "project_id string, finance_type string")
+    got = sorted((r["position"], r["value"]) for r in FC.facet_values(typed).collect())
+    assert got == [(1, "DF"), (2, "FDI"), (3, "OTHER")]
