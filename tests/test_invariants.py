@@ -62,3 +62,19 @@ def test_catalog_table_read_coerces(spark):
     out = FS.read_projects_table(spark, "projects_raw_view").first()
     assert out["committed_usd"] == 12.0 and str(out["approval_date"]) == "2020-01-02" and out["year"] == 2019
     assert out["district"] is None and coerce_schema(df).columns[0] == "project_id"
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_facet_filters_and_type_lock_reach_the_scan(spark, small_dir):
+    from finlens.operators import facets as FC
+
+    p = projects(spark, small_dir)
+    strict = FC.apply_facets_strict(p, {"status": ["Completion", "Delayed"]}).select("project_id")
+    plan = _plan(strict)
+    assert "PushedFilters: [In(status, [Completion,Delayed])]" in plan
+    assert "ReadSchema: struct<project_id:string,status:string>" in plan
+    locked = R.lock_finance_type(p, "fdi").select("committed_usd")
+    assert "PartitionFilters: [" in _plan(locked) and "finance_type" in _plan(locked).split("PartitionFilters: [")[1].split("]")[0]
