@@ -56,7 +56,7 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: str
     path = f"{base}/finlens-inputs/{name}-{uuid.uuid4().hex}"
     # at least one file per core, so scans of small inputs are not packed
     # into one or two splits (large inputs already have many partitions)
-    slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slots = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < slots:
         df = df.repartition(slots)
     writer = df.write.mode("overwrite")
