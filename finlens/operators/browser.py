@@ -106,39 +106,54 @@ def sector_groups(d: DataFrame, *keys: str) -> DataFrame:
 
 def home_kpis(d: DataFrame) -> DataFrame:
     """Totals, type counts, realization (0 when committed <= 0), distinct
-    years and sector groups, and the top-3 sectors' share of committed."""
-    totals = d.agg(
-        F.count(F.lit(1)).alias("projects"),
-        zsum("committed_usd").alias("committed_usd"),
-        zsum("disbursed_usd").alias("disbursed_usd"),
-        F.count_if(F.col("finance_type") == "DF").alias("df_projects"),
-        F.count_if(F.col("finance_type") == "FDI").alias("fdi_projects"),
-        F.count_distinct(F.col("year")).alias("_years_nonnull"),
+    years and sector groups, and the top-3 sectors' share of committed.
+
+    One pass over the rows: a partial aggregate by (raw sector, year); the
+    sector labels, the label ranking and the totals then come from windows
+    over that small aggregate and a single final aggregate.
+    """
+    from pyspark.sql.window import Window
+
+    pre = d.groupBy("sector", "year").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        zsum("committed_usd").alias("_c"),
+        zsum("disbursed_usd").alias("_d"),
+        F.count_if(F.col("finance_type") == "DF").alias("_df"),
+        F.count_if(F.col("finance_type") == "FDI").alias("_fdi"),
+    )
+    lab = pre.withColumn("_label", group_key_expr(title_case_words("sector")))
+    lab = lab.withColumn("_label_value", F.sum("_c").over(Window.partitionBy("_label")))
+    lab = lab.withColumn(
+        "_label_rank", F.dense_rank().over(Window.orderBy(F.col("_label_value").desc(), F.col("_label")))
+    )
+    top = F.collect_set(F.when(F.col("_label_rank") <= 3,
+                               F.struct(F.col("_label_rank"), F.col("_label"), F.col("_label_value"))))
+    agg = lab.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("projects"),
+        F.coalesce(F.sum("_c"), F.lit(0.0)).alias("committed_usd"),
+        F.coalesce(F.sum("_d"), F.lit(0.0)).alias("disbursed_usd"),
+        F.coalesce(F.sum("_df"), F.lit(0)).alias("df_projects"),
+        F.coalesce(F.sum("_fdi"), F.lit(0)).alias("fdi_projects"),
+        F.count_distinct("year").alias("_years_nonnull"),
         F.max(F.col("year").isNull().cast("int")).alias("_has_null_year"),
+        F.count_distinct("_label").alias("sectors"),
+        F.sort_array(top).alias("_top"),
     )
-    sectors = sector_groups(d).agg(F.count_distinct("sector")).scalar()
-    top3 = top_sectors(d, 3).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "sector"))), lambda s: s["sector"]), ", ")
-        .alias("top3_sectors"),
-        F.sum("value").alias("_top3_value"),
-    ).select(F.struct("top3_sectors", "_top3_value")).scalar()
     c = F.col("committed_usd")
-    return totals.withColumn("top3_sectors", top3["top3_sectors"]).withColumn(
-        "_top3_value", top3["_top3_value"]).select(
-        "projects",
+    top3_value = F.aggregate(F.col("_top"), F.lit(0.0), lambda acc, x: acc + x["_label_value"])
+    return agg.select(
+        F.col("projects").cast("bigint").alias("projects"),
         "committed_usd",
         "disbursed_usd",
-        "df_projects",
-        "fdi_projects",
+        F.col("df_projects").cast("bigint").alias("df_projects"),
+        F.col("fdi_projects").cast("bigint").alias("fdi_projects"),
         F.round(F.when(c > 0, F.col("disbursed_usd") / c).otherwise(F.lit(0.0)), RATIO_DIGITS).alias(
             "realization_rate"
         ),
         (F.col("_years_nonnull") + F.coalesce(F.col("_has_null_year"), F.lit(0))).cast("bigint").alias("years"),
-        sectors.cast("bigint").alias("sectors"),
-        "top3_sectors",
-        F.round(
-            F.coalesce(F.col("_top3_value"), F.lit(0.0)) / F.when(c != 0, c).otherwise(F.lit(1.0)), RATIO_DIGITS
-        ).alias("top3_share"),
+        F.col("sectors").cast("bigint").alias("sectors"),
+        F.array_join(F.transform(F.col("_top"), lambda x: x["_label"]), ", ").alias("top3_sectors"),
+        F.round(top3_value / F.when(c != 0, c).otherwise(F.lit(1.0)), RATIO_DIGITS).alias("top3_share"),
     )
 
 
