@@ -23,14 +23,6 @@ def _order_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column | None:
-    cond = None
-    for c in cols:
-        eq = left[c].eqNullSafe(right[c])
-        cond = eq if cond is None else cond & eq
-    return cond
-
-
 def cumulative_within(
     df: DataFrame,
     group_cols: list[str],

@@ -129,3 +129,16 @@ def test_e47_finance_fallback_and_order(spark):
     typed = spark.createDataFrame([("1", "fdi"), ("2", "DF"), ("3", "OTHER")], "project_id string, finance_type string")
     got = sorted((r["position"], r["value"]) for r in FC.facet_values(typed).collect())
     assert got == [(1, "DF"), (2, "FDI"), (3, "OTHER")]
+
+
+def test_b11_blank_rows_dropped_before_counting(spark):
+    from finlens.operators.conform import conform_source, source_counts
+    from finlens.sources.registry import COUNTRY_SOURCE
+
+    raw = spark.createDataFrame(
+        [("Alpha", "Energy", "Indonesia", "2020", 0), (" ", None, "", None, 1), (None, None, None, None, 2)],
+        "a string, b string, c string, d string, row_ord long",
+    ).toDF("Investor or Builder", "Sector", "Country", "Year", "row_ord")
+    assert conform_source(raw, COUNTRY_SOURCE).count() == 1
+    counts = source_counts(raw, COUNTRY_SOURCE).first()
+    assert counts["rows_in_source"] == 1 and counts["rows_excluded"] == 0
