@@ -98,7 +98,11 @@ def run_etl(
                 primaries.append(conformed)
             else:
                 enrichment, enrich_spec = conformed, spec
-        raw_rows = df.agg(F.count(F.lit(1)).alias("rows_in_source"))
+        from finlens.operators.conform import non_empty_sql
+
+        data = clean_column_names(df)
+        data_cols = [c for c in data.columns if c != "row_ord"]
+        raw_rows = data.agg(F.expr(f"count_if({non_empty_sql(data_cols)})").alias("rows_in_source"))
         if spec.role in ("primary", "enrichment"):
             from finlens.operators.conform import source_counts
 
