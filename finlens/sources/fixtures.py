@@ -53,17 +53,23 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: str
     from finlens.session import ensure_checkpoint_dir
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/finlens-inputs/{name}-{uuid.uuid4().hex}"
-    # at least one file per core, so scans of small inputs are not packed
-    # into one or two splits (large inputs already have many partitions)
+    stem = f"{base}/finlens-inputs/{name}-{uuid.uuid4().hex}"
+
+    def write(frame: DataFrame, path: str) -> DataFrame:
+        writer = frame.write.mode("overwrite")
+        if partition_by:
+            writer = writer.partitionBy(partition_by)
+        writer.parquet(path)
+        return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+    out = write(df, f"{stem}/a")
+    # a small input coalesced by AQE lands in one or two files, and a scan
+    # packs small files into one split: rewrite such a copy (it is small) as
+    # at least one file per core.  Large inputs already have many files.
     slots = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        df = df.repartition(slots)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    if len(out.inputFiles()) < slots:
+        out = write(out.repartition(slots), f"{stem}/b")
+    return out
 
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
