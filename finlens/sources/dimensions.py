@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finlens.sources.fixtures import memo_plan, projects
+from finlens.sources.fixtures import materialize, memo_plan, projects
 from finlens.sources.tables import read_table
 
 SPARK, DUCKDB = "spark", "duckdb"
@@ -97,7 +97,7 @@ _DIMS = {
 
 
 def dimension(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One dimension input as a (memoised, lazy) Spark plan."""
+    """One dimension input: derived once per session, then a Parquet scan."""
     def build() -> DataFrame:
         text = _DIMS[name](SPARK)
         kwargs = {}
@@ -107,7 +107,8 @@ def dimension(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             kwargs["region"] = read_table(spark, sf_dir, "region")
         if "{projects}" in text:
             kwargs["projects"] = projects(spark, sf_dir)
-        return spark.sql(text, **kwargs)
+        # an input like the others: derived once, written to shared storage
+        return materialize(spark, spark.sql(text, **kwargs), f"dim_{name}")
 
     return memo_plan(spark, ("dim", sf_dir, name), build)
 
