@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from finlens.operators import browser as B
 from finlens.operators import geo as G
-from finlens.plans.browser_queries import BROWSER_BASE, TITLE_SQL
+from finlens.plans.browser_queries import BROWSER_BASE
 from finlens.plans.registry import register
 from finlens.sources.dimensions import dimension, dimension_sql
 from finlens.sources.fixtures import projects, with_projects
