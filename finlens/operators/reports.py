@@ -441,3 +441,23 @@ def yoy_change(projects: DataFrame) -> DataFrame:
             RATIO_DIGITS,
         ).alias("change_pct"),
     )
+
+
+def fallback_top_projects(projects: DataFrame, top: int = 20, max_coverage_pct: float = 40.0) -> DataFrame:
+    """C13 + G4: the fallback "top projects" view, produced only when the
+    share of rows with both coordinates is below ``max_coverage_pct`` (the
+    map cannot be drawn).  Top ``top`` by committed value (nulls last), with
+    'Unnamed Project' / 'Unknown' for missing names and statuses.  The gate
+    is a one-row aggregate attached as a scalar subquery."""
+    both = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    coverage = projects.agg(F.lit(100.0) * F.avg(both.cast("double"))).scalar()
+    rows = projects.select(
+        "project_id",
+        F.coalesce(F.col("project_name"), F.lit("Unnamed Project")).alias("project_name"),
+        "finance_type",
+        "year",
+        "committed_usd",
+        F.coalesce(F.col("status"), F.lit("Unknown")).alias("status"),
+    )
+    head = rows.orderBy(F.col("committed_usd").desc_nulls_last(), F.col("project_id")).limit(top)
+    return head.where(coverage < F.lit(max_coverage_pct))

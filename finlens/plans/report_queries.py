@@ -283,3 +283,16 @@ FROM projects"""))
 def coordinate_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coordinate coverage under the dashboard and browser rules."""
     return R.coordinate_validity(projects(spark, sf_dir))
+
+
+@register("fallback_top_projects", ["C13", "G4"], with_projects("""
+WITH g AS (SELECT 100.0 * avg(CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN 1.0 ELSE 0.0 END) AS pct
+           FROM projects),
+h AS (SELECT project_id, coalesce(project_name, 'Unnamed Project') AS project_name, finance_type, year,
+             committed_usd, coalesce(status, 'Unknown') AS status
+      FROM projects ORDER BY committed_usd DESC NULLS LAST, project_id LIMIT 20)
+SELECT h.* FROM h CROSS JOIN g WHERE g.pct < 40"""))
+def fallback_top_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-20 projects view, shown only when coordinate coverage is too low
+    for the map."""
+    return R.fallback_top_projects(projects(spark, sf_dir))

@@ -142,3 +142,16 @@ def test_b11_blank_rows_dropped_before_counting(spark):
     assert conform_source(raw, COUNTRY_SOURCE).count() == 1
     counts = source_counts(raw, COUNTRY_SOURCE).first()
     assert counts["rows_in_source"] == 1 and counts["rows_excluded"] == 0
+
+
+def test_c13_fallback_view_only_when_coordinates_are_sparse(spark):
+    rows = [(str(i), None if i % 2 else f"P{i}", float(i), None if i else "Done", None, None) for i in range(25)]
+    df = spark.createDataFrame(rows, "project_id string, project_name string, committed_usd double, status string, "
+                                     "latitude double, longitude double").withColumn("finance_type", F.lit("DF")) \
+        .withColumn("year", F.lit(2020))
+    out = R.fallback_top_projects(df).collect()
+    assert len(out) == 20 and out[0]["committed_usd"] == 24.0 and out[0]["project_name"] == "P24"
+    assert out[1]["project_name"] == "Unnamed Project" and out[1]["status"] == "Unknown"
+    assert out[-1]["committed_usd"] == 5.0
+    covered = df.withColumn("latitude", F.lit(1.0)).withColumn("longitude", F.lit(2.0))
+    assert R.fallback_top_projects(covered).count() == 0
