@@ -57,7 +57,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
-        # local runs only: a cluster always names a shared directory
+        if not sc.master.startswith("local"):
+            # never fall back to a machine-local folder on a cluster
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        # local runs (tests) only
         configured = tempfile.mkdtemp(prefix="finlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
