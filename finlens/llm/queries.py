@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finlens.llm import quality_ledger, url_filter
+from finlens.llm import language_id, quality_ledger, token_counts, url_filter
+from finlens.llm.store import crc_bucket
 from finlens.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +125,23 @@ def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality_ledger.passes(quality_ledger.POLICIES[-1]).alias("kept"),
         "fail_mask", "n_lines", "n_upper", "n_letters", "n_shout_words",
     )
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the rows not held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = crc_bucket(F.col("doc_id"), 4) == 2
+    content = language_id.learn(docs.where(~held_out))
+    found = language_id.identify(docs, content)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Tokens of every document under the public 49k word vocabulary."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), path)
