@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finlens.llm import language_id, quality_ledger, substring_dedup, token_counts, url_filter
+from finlens.llm import language_id, mixing, quality_ledger, substring_dedup, token_counts, url_filter
 from finlens.llm.store import crc_bucket
 from finlens.sources.tables import read_table
 
@@ -173,3 +173,10 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that repeat an earlier 20-word window."""
     return substring_dedup.dedup_digest(read_table(spark, sf_dir, "documents"))
+
+
+@query("op9_source_mix")
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document, by source weights 1, 2, 3."""
+    mix = mixing.plan_mix(read_table(spark, sf_dir, "documents"))
+    return mixing.taken(mix).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
