@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finlens.llm import language_id, mixing, quality_ledger, substring_dedup, token_counts, url_filter
+from finlens.llm import language_id, mixing, near_dedup, quality_ledger, substring_dedup, token_counts, url_filter
 from finlens.llm.store import crc_bucket
 from finlens.sources.tables import read_table
 
@@ -180,3 +180,30 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document, by source weights 1, 2, 3."""
     mix = mixing.plan_mix(read_table(spark, sf_dir, "documents"))
     return mixing.taken(mix).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+
+
+NEAR_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s
+  FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS n, count(*) AS x
+  FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p WHERE 100 * x >= 80 * (n - x)),
+l2 AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, c) AS (
+  SELECT doc_id, doc_id FROM s
+  UNION
+  SELECT l2.b, r.c FROM r JOIN l2 ON l2.a = r.doc_id)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM s JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = s.doc_id
+"""
+
+
+@query("op2_minhash_near_dedup", NEAR_SQL)
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents on 2-word shingles."""
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), n=2)
