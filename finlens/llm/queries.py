@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finlens.llm import language_id, mixing, near_dedup, quality_ledger, substring_dedup, token_counts, url_filter
+from finlens.llm import decontaminate, language_id, mixing, near_dedup, quality_ledger, substring_dedup, token_counts, url_filter
 from finlens.llm.store import crc_bucket
 from finlens.sources.tables import read_table
 
@@ -207,3 +207,10 @@ FROM s JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) c ON
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on 2-word shingles."""
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), n=2)
+
+
+@query("op7_decontaminate")
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item: one row per (doc_id, item_id)."""
+    docs, items = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontaminate.contaminated_pairs(docs, items)
