@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finlens.llm import decontaminate, language_id, mixing, near_dedup, quality_ledger, substring_dedup, token_counts, url_filter
+from finlens.llm import decontaminate, hmm_score, language_id, mixing, near_dedup, quality_ledger, substring_dedup, token_counts, url_filter
 from finlens.llm.store import crc_bucket
 from finlens.sources.tables import read_table
 
@@ -214,3 +214,9 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item: one row per (doc_id, item_id)."""
     docs, items = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     return decontaminate.contaminated_pairs(docs, items)
+
+
+@query("op4_hmm_score")
+def op4_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and hidden Markov scores of every document."""
+    return hmm_score.scores(read_table(spark, sf_dir, "documents"), crc_bucket(F.col("id"), 10) != 0)
