@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finlens.llm import decontaminate, hmm_score, language_id, mixing, near_dedup, quality_ledger, substring_dedup, token_counts, url_filter
+from finlens.llm import decontaminate, hmm_score, html_text, language_id, mixing, near_dedup, quality_ledger, substring_dedup, token_counts, url_filter
 from finlens.llm.store import crc_bucket
 from finlens.sources.tables import read_table
 
@@ -220,3 +220,9 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and hidden Markov scores of every document."""
     return hmm_score.scores(read_table(spark, sf_dir, "documents"), crc_bucket(F.col("id"), 10) != 0)
+
+
+@query("op1_html_main_text")
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.main_text(read_table(spark, sf_dir, "pages"))
