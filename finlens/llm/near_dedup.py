@@ -100,7 +100,8 @@ def band_hashes(grams: np.ndarray, off: np.ndarray, bands: int, size: int) -> np
 
 
 def signatures(df: DataFrame, n: int, bands: int = BANDS, size: int = BAND_SIZE) -> DataFrame:
-    """id, n_shingles, node (digest of the set, null if empty), u, v."""
+    """id, th (hash of the text), n (size of the set), node (its digest, null
+    if empty), u, v of rows (id, t)."""
     fields = [pa.field("n", pa.int64()), pa.field("node", pa.binary()),
               pa.field("u", pa.list_(pa.int32())), pa.field("v", pa.list_(pa.int32()))]
 
@@ -120,7 +121,7 @@ def signatures(df: DataFrame, n: int, bands: int = BANDS, size: int = BAND_SIZE)
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(fields))
 
     signed = F.arrow_udf(sign, "struct<n:bigint,node:binary,u:array<int>,v:array<int>>")
-    return pick(df, id="id", t="t").select("id", signed("t").alias("s")).select("id", "s.*")
+    return df.select("id", F.xxhash64("t").alias("th"), signed("t").alias("s")).select("id", "th", "s.*")
 
 
 def _set_column(n: int):
@@ -213,11 +214,10 @@ def _family_links(star: DataFrame, labels: DataFrame, sets: DataFrame, similarit
     return to_hub.unionByName(verified(pairs, sets, similarity))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2,
-                    similarity: tuple[int, int] = SIMILARITY, bands: int = BANDS, size: int = BAND_SIZE,
-                    agree: int = AGREE) -> DataFrame:
-    """id, n_shingles, component_id, kept; one row per input row."""
-    docs = pick(df, id=id_col, t=text_col)
+def grouped(docs: DataFrame, n: int, similarity: tuple[int, int] = SIMILARITY, bands: int = BANDS,
+            size: int = BAND_SIZE, agree: int = AGREE) -> DataFrame:
+    """Per row (id, t) of ``docs``: id, th, n, node, and the component's
+    smallest node (label) and smallest id; empty sets have null label."""
     signed = save(signatures(docs, n, bands, size), "signatures")
     reps = save(signed.where("n > 0").groupBy("node").agg(
         F.min("id").alias("id"), F.first("u").alias("u"), F.first("v").alias("v")), "nodes")
@@ -233,11 +233,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = _family_links(star, components(links), sets, similarity)
     labels = components(links.unionByName(more))
 
-    named = reps.join(labels, "node", "left").select(
-        "node", "id", F.coalesce("label", "node").alias("label"))
+    named = reps.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    member = named.select("node", "label").join(least, "label").select("node", "component_id")
-    rows = signed.select("id", "n", "node").join(member, "node", "left")
+    member = named.select("node", "label").join(least, "label")
+    return signed.select("id", "th", "n", "node").join(member, "node", "left")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, **options) -> DataFrame:
+    """id, n_shingles, component_id, kept; one row per input row."""
+    rows = grouped(pick(df, id=id_col, t=text_col), n, **options)
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                        F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, **options) -> DataFrame:
+    """``df`` with one row of each group of near-duplicates: the smallest id
+    (of equal ids the smaller text hash, of equal rows any one); rows without
+    words all stay."""
+    rows = grouped(pick(df, id=id_col, t=text_col), n, **options)
+    first = rows.where("n > 0").groupBy("label").agg(F.min(F.struct("id", "th")).alias("k")).select(
+        F.col("k.id").alias("_id"), F.col("k.th").alias("_th"))
+    keyed = df.withColumn("_h", F.xxhash64(text_col))
+    wordless = F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    kept = keyed.where(~wordless).join(
+        first.distinct(), keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")))
+    same = Window.partitionBy(id_col, "_h").orderBy(F.lit(0))
+    kept = kept.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*df.columns)
+    return kept.unionByName(df.where(wordless))
