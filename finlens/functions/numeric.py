@@ -34,10 +34,11 @@ def clean_numeric(col: str, multiplier: float = 1.0) -> Column:
     return F.expr(clean_numeric_sql(quote(col), multiplier))
 
 
-def clean_year(col: str) -> Column:
-    """Numeric clean, then integral values to INT; a fractional year is null."""
-    value = clean_numeric(col)
-    return F.when(value == F.floor(value), value.try_cast("int"))
+def strict_numeric_sql(x: str) -> str:
+    """SQL for text expression ``x``: a plain numeric literal as double, all
+    else (currency signs, separators, parentheses) null."""
+    t = f"trim(CAST({x} AS STRING))"
+    return f"CASE WHEN {t} RLIKE '{NUMERIC_PATTERN}' THEN try_cast({t} AS DOUBLE) END"
 
 
 def exact_pct(num: str, den: str, digits: int) -> Column:

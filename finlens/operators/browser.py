@@ -23,11 +23,6 @@ RATIO_DIGITS = 6
 UNKNOWN = "Unknown"
 
 
-def normalize_sectors(projects: DataFrame) -> DataFrame:
-    """B13 applied to the whole table, as the browser does on load."""
-    return projects.withColumn("sector", title_case_words("sector"))
-
-
 def group_key(col: str) -> Column:
     """Browser grouping key: null / '' / 0 -> 'Unknown', else the value as text."""
     return group_key_expr(F.col(col))
@@ -43,14 +38,6 @@ def zsum(col: str) -> Column:
     return F.coalesce(F.sum(F.coalesce(F.col(col).cast("double"), F.lit(0.0))), F.lit(0.0))
 
 
-def year_bounds(projects: DataFrame) -> DataFrame:
-    """Default year range: min / max of the non-null, non-zero years (1 row)."""
-    y = F.col("year")
-    return projects.agg(
-        F.min(F.when(y != 0, y)).alias("_year_min"), F.max(F.when(y != 0, y)).alias("_year_max")
-    )
-
-
 def browser_filter(
     projects: DataFrame,
     finance_type: str = "all",
@@ -63,8 +50,9 @@ def browser_filter(
     """C5 (+ C9): single-select equality facets and an inclusive year range.
 
     A null year fails the range test (as in the browser), so it is dropped.
-    Unset year bounds default to the data's own range, taken from a one-row
-    aggregate attached as a scalar subquery — no driver round trip.
+    An unset bound defaults to the smallest or largest non-zero year of the
+    data, which every row with such a year meets: no scan for bounds, and the
+    predicates reach the Parquet scan.
     """
     df = projects
     if finance_type != "all":
@@ -73,13 +61,13 @@ def browser_filter(
         df = df.where(title_case_words("sector") == F.lit(sector))
     if status != "all":
         df = df.where(F.col("status") == F.lit(status))
+    df = df.where(F.col("year").isNotNull())
     if year_min is None or year_max is None:
-        bounds = year_bounds(projects).select(F.struct("_year_min", "_year_max")).scalar()
-        lo = F.lit(year_min) if year_min is not None else bounds["_year_min"]
-        hi = F.lit(year_max) if year_max is not None else bounds["_year_max"]
-        df = df.where(F.col("year").between(lo, hi))
-    else:
-        df = df.where(F.col("year").between(year_min, year_max))
+        df = df.where(F.col("year") != 0)
+    if year_min is not None:
+        df = df.where(F.col("year") >= year_min)
+    if year_max is not None:
+        df = df.where(F.col("year") <= year_max)
     if drop_zero_value:
         df = df.where(F.col("committed_usd") > 0)
     return df
@@ -108,12 +96,10 @@ def home_kpis(d: DataFrame) -> DataFrame:
     """Totals, type counts, realization (0 when committed <= 0), distinct
     years and sector groups, and the top-3 sectors' share of committed.
 
-    One pass over the rows: a partial aggregate by (raw sector, year); the
-    sector labels, the label ranking and the totals then come from windows
-    over that small aggregate and a single final aggregate.
+    The rows are aggregated by (raw sector, year); totals come from one final
+    aggregate of that, the top three labels from a bounded top-k over the
+    label sums.
     """
-    from pyspark.sql.window import Window
-
     pre = d.groupBy("sector", "year").agg(
         F.count(F.lit(1)).alias("_rows"),
         zsum("committed_usd").alias("_c"),
@@ -122,12 +108,9 @@ def home_kpis(d: DataFrame) -> DataFrame:
         F.count_if(F.col("finance_type") == "FDI").alias("_fdi"),
     )
     lab = pre.withColumn("_label", group_key_expr(title_case_words("sector")))
-    lab = lab.withColumn("_label_value", F.sum("_c").over(Window.partitionBy("_label")))
-    lab = lab.withColumn(
-        "_label_rank", F.dense_rank().over(Window.orderBy(F.col("_label_value").desc(), F.col("_label")))
-    )
-    top = F.collect_set(F.when(F.col("_label_rank") <= 3,
-                               F.struct(F.col("_label_rank"), F.col("_label"), F.col("_label_value"))))
+    head = lab.groupBy("_label").agg(F.sum("_c").alias("_label_value")).orderBy(
+        F.col("_label_value").desc(), F.col("_label")).limit(3)
+    first = F.sort_array(F.collect_list(F.struct((-F.col("_label_value")).alias("_minus"), "_label", "_label_value")))
     agg = lab.agg(
         F.coalesce(F.sum("_rows"), F.lit(0)).alias("projects"),
         F.coalesce(F.sum("_c"), F.lit(0.0)).alias("committed_usd"),
@@ -137,8 +120,7 @@ def home_kpis(d: DataFrame) -> DataFrame:
         F.count_distinct("year").alias("_years_nonnull"),
         F.max(F.col("year").isNull().cast("int")).alias("_has_null_year"),
         F.count_distinct("_label").alias("sectors"),
-        F.sort_array(top).alias("_top"),
-    )
+    ).withColumn("_top", head.agg(first).scalar())
     c = F.col("committed_usd")
     top3_value = F.aggregate(F.col("_top"), F.lit(0.0), lambda acc, x: acc + x["_label_value"])
     return agg.select(
@@ -264,7 +246,7 @@ def largest_deals(d: DataFrame, top: int = 3) -> DataFrame:
     )
     head = head.withColumn("deal_rank", F.row_number().over(Window.orderBy(F.col("_v").desc(), F.col("project_id"))))
     total = d.agg(zsum("committed_usd")).scalar()
-    head_sum = head.agg(F.sum("_v")).scalar()
+    head_sum = F.sum("_v").over(Window.partitionBy())  # over the ``top`` rows
     share = F.round(
         F.coalesce(head_sum, F.lit(0.0)) / F.when(total != 0, total).otherwise(F.lit(1.0)), RATIO_DIGITS
     )

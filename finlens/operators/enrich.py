@@ -1,10 +1,9 @@
 """Keep-first dedup and gap filling from an enrichment source (D2, D3, W1,
 H1, H2, E51).
 
-Keep-first is a grouped ``min`` over a struct that leads with the ordering
-keys — a hash aggregate with map-side partial combine, so a key holding a
-third of all rows is reduced inside every task before the shuffle (a
-``row_number`` window would put that whole key into one task).
+Keep-first is ``row_number() = 1``: the planner's group limit sorts each
+task's rows once and drops all but the first of every key before the shuffle,
+so a key holding a third of all rows sends one row per task.
 
 Enrichment joins salt null keys: a null never matches, and left in place
 all null keys would hash to one task.
@@ -14,17 +13,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from finlens.functions.text import name_key
-from finlens.schema import CANONICAL_FIELDS, ENRICH_FILL_FIELDS
+from finlens.schema import ENRICH_FILL_FIELDS
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per ``keys`` value: the first by ``order`` (unique within a
     key).  Null key values form one group, as in a file-order dedup."""
-    payload = [c for c in df.columns if c not in keys and c not in order]
-    best = df.groupBy(*keys).agg(F.min(F.struct(*order, *payload)).alias("_first"))
-    return best.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in order + payload]).select(*df.columns)
+    first = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
 def union_sources(frames: list[DataFrame]) -> DataFrame:
@@ -66,14 +65,14 @@ def _fill(left: DataFrame, right: DataFrame, on: str, fields: list[str], flag: s
 def enrich(primary: DataFrame, enrichment: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """Fill null fields of ``primary`` from ``enrichment`` in two passes.
 
-    Pass 1 matches on project_id (enrichment deduped keep-first by row
-    order).  Pass 2 matches on ``name_key(project_name) | year`` using the
+    Pass 1 matches on project_id (enrichment deduped keep-first by source rank and
+    row order).  Pass 2 matches on ``name_key(project_name) | year`` using the
     year *after* pass 1, against every enrichment row (keep-first per key).
     The enrichment never sets finance_type.  Adds a boolean ``enriched``
     column (true when either pass filled something; counted once).
     """
     fill = fields or ENRICH_FILL_FIELDS
-    ord_cols = ["row_ord"]
+    ord_cols = ["source_rank", "row_ord"]
     e = enrichment.select("project_id", "project_name", *fill, *ord_cols)
     by_id = keep_first(e.where(F.col("project_id").isNotNull()), ["project_id"], ord_cols)
     step1 = _fill(primary.withColumn("_key1", F.col("project_id")), by_id.withColumnRenamed("project_id", "_key1"),
@@ -90,7 +89,3 @@ def finalize_and_dedup(enriched: DataFrame) -> DataFrame:
     per (project_id, finance_type) by (source_rank, row_ord)."""
     valid = enriched.where(F.col("finance_type").isNotNull())
     return keep_first(valid, ["project_id", "finance_type"], ["source_rank", "row_ord"])
-
-
-def canonical(df: DataFrame) -> DataFrame:
-    return df.select(*CANONICAL_FIELDS)

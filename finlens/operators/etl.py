@@ -4,8 +4,8 @@ Everything stays lazy: the result object holds DataFrames; nothing is
 collected.  Plan: each present source is scanned, country-filtered and
 conformed in one narrow stage; the primaries are unioned; enrichment is two
 left joins (null keys split off); the single required shuffle on the full
-data is the keep-first dedup on (project_id, finance_type), done as a
-partially aggregated ``min(struct)``.
+data is the keep-first dedup on (project_id, finance_type).  What the load
+audit and the warnings need of a source comes from one pass over it.
 """
 
 from __future__ import annotations
@@ -15,16 +15,19 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finlens.functions.ids import ID_PREFIX
+from finlens.functions.numeric import exact_pct
 from finlens.operators import quality as Q
 from finlens.operators.conform import (
     SourceSpec,
+    clean_column_names,
     conform_source,
     country_columns,
-    clean_column_names,
     mapping_rows,
+    source_profile,
 )
 from finlens.operators.enrich import enrich, finalize_and_dedup, union_sources
-from finlens.schema import CANONICAL_FIELDS, DEFAULT_COUNTRY, DEFAULT_COUNTRY_ISO
+from finlens.schema import CANONICAL_FIELDS, DEFAULT_COUNTRY, DEFAULT_COUNTRY_ISO, DEFAULT_RISK_WEIGHTS
 from finlens.sources.registry import ALL_SOURCES
 
 LOAD_SCHEMA = (
@@ -66,104 +69,118 @@ def run_etl(
     parser: str = "dataframe",
 ) -> EtlResult:
     """``raw`` maps a registered source name to its raw DataFrame (None or
-    absent = file missing)."""
+    absent = file missing).  Several enrichment sources fill in the order of
+    their rank; a name no spec knows gives a warning."""
     specs = specs or ALL_SOURCES
-    static_warnings: list[tuple[str, str, str]] = []
-    static_loads: list[tuple] = []
+    static: list[tuple[str, str, str]] = []
+    missing: list[tuple] = []
     if not any(df is not None for df in raw.values()):
-        static_warnings.append(("raw", "no_raw_files", Q.WARNING_MESSAGES["no_raw_files"]))
+        static.append(("raw", "no_raw_files", Q.WARNING_MESSAGES["no_raw_files"]))
+    for name in sorted(set(raw) - {s.name for s in specs}):
+        static.append((name, "unregistered_source", Q.WARNING_MESSAGES["unregistered_source"]))
 
     primaries: list[DataFrame] = []
-    count_frames: list[DataFrame] = []
-    enrichment = None
-    enrich_spec = None
+    enrichments: list[DataFrame] = []
+    profiles: list[DataFrame] = []
     audit_rows: list[tuple] = []
     for spec in specs:
         df = raw.get(spec.name)
         if df is None:
             if spec.role == "primary":
-                static_warnings.append((spec.name, "missing_primary_source",
-                                        Q.WARNING_MESSAGES["missing_primary_source"]))
-                static_loads.append((spec.name, "primary", "missing", 0, 0, 0, 0, None, None,
-                                     "required_primary_source_missing"))
+                static.append((spec.name, "missing_primary_source", Q.WARNING_MESSAGES["missing_primary_source"]))
+                missing.append((spec.name, "primary", "missing", 0, 0, 0, 0, None, None,
+                                "required_primary_source_missing"))
             continue
-        if spec.role in ("primary", "enrichment"):
-            cols = [c for c in clean_column_names(df).columns if c != "row_ord"]
-            if not country_columns(cols):
-                static_warnings.append((spec.name, "missing_country_filter_columns",
-                                        Q.WARNING_MESSAGES["missing_country_filter_columns"]))
-            conformed = conform_source(df, spec, country, iso)
-            audit_rows += [(spec.name, *r) for r in mapping_rows(spec)]
-            if spec.role == "primary":
-                primaries.append(conformed)
-            else:
-                enrichment, enrich_spec = conformed, spec
-        from finlens.operators.conform import non_empty_sql
-
-        data = clean_column_names(df)
-        data_cols = [c for c in data.columns if c != "row_ord"]
-        raw_rows = data.agg(F.expr(f"count_if({non_empty_sql(data_cols)})").alias("rows_in_source"))
-        if spec.role in ("primary", "enrichment"):
-            from finlens.operators.conform import source_counts
-
-            raw_rows = source_counts(df, spec, country, iso).select("rows_in_source", "rows_excluded")
-        count_frames.append(raw_rows.select(
-            F.lit(spec.name).alias("source_name"), F.lit(spec.role).alias("role"), "rows_in_source",
-            *(["rows_excluded"] if "rows_excluded" in raw_rows.columns else [])))
-
-    conformed_all = union_sources(primaries) if primaries else _empty_conformed(spark)
+        profiles.append(source_profile(df, spec, country, iso))
+        if spec.role == "excluded":
+            continue
+        if not country_columns([c for c in clean_column_names(df).columns if c != "row_ord"]):
+            static.append((spec.name, "missing_country_filter_columns",
+                           Q.WARNING_MESSAGES["missing_country_filter_columns"]))
+        audit_rows += [(spec.name, *r) for r in mapping_rows(spec)]
+        (primaries if spec.role == "primary" else enrichments).append(conform_source(df, spec, country, iso))
+
+    conformed = union_sources(primaries) if primaries else _empty_conformed(spark)
+    enrichment = union_sources(enrichments) if enrichments else None
     if enrichment is not None:
-        enriched = enrich(conformed_all, enrichment)
+        enriched = enrich(conformed, enrichment)
     else:
-        enriched = conformed_all.withColumn("enriched", F.lit(False))
+        enriched = conformed.withColumn("enriched", F.lit(False))
     final = finalize_and_dedup(enriched).select(*CANONICAL_FIELDS)
+    per_source = conformed if enrichment is None else conformed.unionByName(enrichment)
+    profile = union_sources(profiles) if profiles else None
+
+    return EtlResult(
+        conformed, enrichment, enriched, final,
+        _warnings(spark, static, per_source, enriched, final, profile),
+        _loads(spark, missing, profile, enriched, parser),
+        _mapping_audit(spark, audit_rows, per_source),
+    )
 
-    # --- warnings (E50) ---------------------------------------------------
-    warnings = spark.createDataFrame(static_warnings, Q.WARNING_SCHEMA)
-    per_source = conformed_all if enrichment is None else conformed_all.unionByName(enrichment)
-    warnings = warnings.unionByName(Q.count_rule_warnings(
-        per_source, "source_name", "invalid_finance_type", F.col("finance_type").isNull()))
-    warnings = warnings.unionByName(Q.count_rule_warnings(
-        enriched.withColumn("_scope", F.lit("canonical_dataset")), "_scope", "missing_finance_type",
-        F.col("finance_type").isNull()))
-
-    # --- source loads (E29 + E27) -------------------------------------------
-    stats = Q.source_missingness(per_source)
+
+def _warnings(spark: SparkSession, static: list[tuple], per_source: DataFrame, enriched: DataFrame, final: DataFrame,
+              profile: DataFrame | None) -> DataFrame:
+    """Every rule that fires, one row per (source, rule)."""
+    out = spark.createDataFrame(static, Q.WARNING_SCHEMA)
+    no_type = F.col("finance_type").isNull()
+    whole = enriched.withColumn("_scope", F.lit("canonical_dataset"))
+    out = out.unionByName(Q.count_rule_warnings(per_source, "source_name", "invalid_finance_type", no_type))
+    for rule in ("invalid_finance_type", "missing_finance_type"):
+        out = out.unionByName(Q.count_rule_warnings(whole, "_scope", rule, no_type))
+    if profile is not None:
+        # fractional years, unparsed dates, coordinates out of range: one row per count above 0
+        counts = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(c).alias("n"))
+                           for rule, c in Q.PROFILE_RULES.items()])
+        out = out.unionByName(profile.select("source_name", F.inline(counts)).where("n > 0").select(
+            "source_name", F.col("rule").alias("warning_type"), Q.counted_message("rule", "n")))
+    # Distinct conformed rows that share a generated id
+    generated = enriched.where(F.col("project_id").startswith(ID_PREFIX)).groupBy("project_id", "finance_type").agg(
+        (F.count(F.lit(1)) - 1).alias("again"))
+    out = out.unionByName(generated.agg(F.coalesce(F.sum("again"), F.lit(0)).alias("n")).where("n > 0").select(
+        F.lit("canonical_dataset").alias("source_name"), F.lit("generated_id_collision").alias("warning_type"),
+        Q.counted_message("warning_type", "n")))
+    # Statuses the risk index gives no weight
+    status = F.lower(F.trim("status"))
+    unweighted = final.where(status.isNotNull() & ~status.isin(list(DEFAULT_RISK_WEIGHTS))).agg(F.count(F.lit(1)).alias("n"))
+    return out.unionByName(unweighted.where("n > 0").select(
+        F.lit("canonical_dataset").alias("source_name"), F.lit("status_without_risk_weight").alias("warning_type"),
+        Q.counted_message("warning_type", "n")))
+
+
+def _loads(spark: SparkSession, missing: list[tuple], profile: DataFrame | None, enriched: DataFrame,
+           parser: str) -> DataFrame:
+    """E29 + E27: one row per source, from the one-pass source profiles."""
+    absent = spark.createDataFrame(missing, LOAD_SCHEMA)
+    if profile is None:
+        return absent
     touched = enriched.agg(F.count_if(F.col("enriched"))).scalar()
-    loads = None
-    for cf in count_frames:
-        loads = cf if loads is None else loads.unionByName(cf, allowMissingColumns=True)
-    if loads is not None:
-        loads = loads.join(stats, "source_name", "left").withColumn("_touched", touched)
-        role = F.col("role")
-        loaded = F.when(role == "primary", F.coalesce(F.col("rows_loaded"), F.lit(0))).otherwise(F.lit(0))
-        excluded_by_mask = F.coalesce(F.col("rows_excluded"), F.lit(0))
-        loads = loads.select(
-            "source_name",
-            "role",
-            F.lit(parser).alias("parser_used"),
-            F.col("rows_in_source").cast("bigint").alias("rows_in_source"),
-            loaded.cast("bigint").alias("rows_loaded"),
-            F.when(role == "primary", F.greatest(excluded_by_mask, F.col("rows_in_source") - loaded))
-            .otherwise(F.col("rows_in_source")).cast("bigint").alias("rows_excluded"),
-            F.when(role == "enrichment", F.col("_touched")).otherwise(F.lit(0)).cast("bigint")
-            .alias("rows_used_for_enrichment"),
-            F.when(role != "excluded", F.col("province_missing_pct")).alias("province_missing_pct"),
-            F.when(role != "excluded", F.col("coordinate_missing_pct")).alias("coordinate_missing_pct"),
-            F.when(role == "enrichment", F.lit("optional_enrichment_only"))
-            .when(role == "excluded", F.lit("excluded_from_project_level")).otherwise(F.lit(""))
-            .alias("note"),
-        )
-        loads = loads.unionByName(spark.createDataFrame(static_loads, LOAD_SCHEMA))
-    else:
-        loads = spark.createDataFrame(static_loads, LOAD_SCHEMA)
+    role = F.col("role")
+    loaded = F.when(role == "primary", F.col("rows_loaded")).otherwise(F.lit(0))
+    rows = profile.withColumn("_touched", touched).select(
+        "source_name",
+        "role",
+        F.lit(parser).alias("parser_used"),
+        "rows_in_source",
+        loaded.cast("bigint").alias("rows_loaded"),
+        F.when(role == "primary", F.greatest(F.col("rows_excluded"), F.col("rows_in_source") - loaded))
+        .otherwise(F.col("rows_in_source")).cast("bigint").alias("rows_excluded"),
+        F.when(role == "enrichment", F.col("_touched")).otherwise(F.lit(0)).cast("bigint")
+        .alias("rows_used_for_enrichment"),
+        F.when(role != "excluded", exact_pct("no_province", "rows_loaded", 2)).alias("province_missing_pct"),
+        F.when(role != "excluded", exact_pct("no_coordinates", "rows_loaded", 2)).alias("coordinate_missing_pct"),
+        F.when(role == "enrichment", F.lit("optional_enrichment_only"))
+        .when(role == "excluded", F.lit("excluded_from_project_level")).otherwise(F.lit(""))
+        .alias("note"),
+    )
+    return rows.unionByName(absent)
+
 
-    # --- mapping audit (E28) ------------------------------------------------
+def _mapping_audit(spark: SparkSession, audit_rows: list[tuple], per_source: DataFrame) -> DataFrame:
+    """Null rate of each mapped canonical column per source."""
     audit = spark.createDataFrame(audit_rows, AUDIT_SCHEMA)
     rates = Q.missing_pct(per_source, CANONICAL_FIELDS, by="source_name").withColumnRenamed(
         "column_name", "canonical_column")
-    mapping_audit = audit.join(rates, ["source_name", "canonical_column"], "left").select(
+    return audit.join(rates, ["source_name", "canonical_column"], "left").select(
         "source_name", "source_column", "canonical_column", "transform",
         F.coalesce(F.col("missing_pct"), F.lit(100.0)).alias("null_rate_pct"),
     )
-    return EtlResult(conformed_all, enrichment, enriched, final, warnings, loads, mapping_audit)

@@ -2,12 +2,13 @@
 
 A facet is one of year, finance_type, sector, province, status (plus the
 optional sponsor_type, which the canonical table does not carry).  Filters
-are conjunctions of ``isin`` predicates, pushed down to the Parquet scan when
-the input is a scan.
+are conjunctions of ``isin`` predicates; those on plain columns are pushed
+down when the input is a scan (finance_type is compared upper-cased and
+prunes partitions instead).
 
 The dashboard filter (C4) skips a facet whose selection equals *all* its
-options, so rows with a null value survive.  Whether the selection is "all"
-is decided inside the plan by a one-row aggregate (no collect to the driver).
+options, so rows with a null value survive.  Given the option lists, that is
+settled while planning; else a one-row aggregate decides inside the plan.
 """
 
 from __future__ import annotations
@@ -106,13 +107,37 @@ def _flag_aggs(projects: DataFrame, selections: dict[str, list]) -> list[Column]
     return aggs
 
 
-def apply_facets(projects: DataFrame, selections: dict[str, list]) -> DataFrame:
+def option_lists(projects: DataFrame, facets: list[str]) -> dict[str, list[str]]:
+    """The option lists of some facets, as a dashboard holds them (one job
+    over distinct values)."""
+    rows = facet_values(projects).where(F.col("facet").isin(facets)).collect()
+    return {f: [r["value"] for r in rows if r["facet"] == f] for f in facets}
+
+
+def apply_facets(projects: DataFrame, selections: dict[str, list], options: dict[str, list] | None = None) -> DataFrame:
     """C4: the dashboard filter.  A facet is applied only when its selection
     is non-empty and differs from the full option list; finance_type matches
-    case-insensitively and year as an integer."""
+    case-insensitively and year as an integer.
+
+    With ``options`` (facet -> option list) the comparison is settled while
+    planning and what remains are plain predicates that reach the scan.
+    Without, it is a one-row aggregate inside the plan."""
     active = [f for f in FACETS if _selection(f, selections.get(f) or []) and f in projects.columns]
     if not active:
         return projects
+    if options is not None:
+        df = projects
+        for facet in active:
+            sel = _selection(facet, selections[facet])
+            if set(sel) == set(_selection(facet, options.get(facet) or [])):
+                continue
+            if facet == "year":
+                df = df.where(F.col("year").isin([int(v) for v in sel]))
+            elif facet == "finance_type":
+                df = df.where(F.upper("finance_type").isin(sel))
+            else:
+                df = df.where(F.col(facet).isin(sel))
+        return df
     flags = selection_flags(projects, selections)
     f = flags.select(F.struct(*flags.columns)).scalar()  # one row, a scalar subquery
     df = projects
@@ -188,7 +213,7 @@ def facet_narrowing(projects: DataFrame, selections: dict[str, list]) -> DataFra
                 F.struct(
                     F.lit(facet).alias("facet"),
                     F.lit(FACET_LABELS[facet]).alias("label"),
-                    F.lit(", ".join(sel[:4])).alias("selected"),
+                    F.lit(", ".join(sel)).alias("selected"),
                     ((F.col(f"_opts_{facet}") > 0) & ~F.col(f"_all_{facet}")).alias("narrowing"),
                     F.col(f"_hit_{facet}").cast("bigint").alias("rows_matching"),
                     F.col("rows_after_filter").cast("bigint").alias("rows_after_filter"),

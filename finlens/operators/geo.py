@@ -190,7 +190,7 @@ def box_regions(rows: DataFrame) -> DataFrame:
     )
 
 
-def assign_zones(rows: DataFrame, zones: DataFrame | None = None) -> DataFrame:
+def assign_zones(rows: DataFrame, zones: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """D7 + W2: the k-th project (by project_id) of each sector label goes to
     zone ``k mod n`` of that sector's zone list ('Other' zones when the
     sector has none).  Coordinates are synthetic (``is_synthetic``); the
@@ -199,18 +199,21 @@ def assign_zones(rows: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     Numbering within a sector is the skew-safe ``row_number_within`` (one
     sector may hold a third of all rows)."""
     spark = rows.sparkSession
-    z = zones if zones is not None else zones_frame(spark)
-    label = F.coalesce(F.nullif(title_case_words("sector"), F.lit("")), F.lit(OTHER_ZONE))
+    # our own list has a fixed size; a caller's list is left to the planner
+    z = zones if zones is not None else F.broadcast(zones_frame(spark))
     counts = z.groupBy("zone_sector").agg(F.count(F.lit(1)).alias("n_zones"))
-    labelled = rows.select("project_id", "sector", label.alias("sector_label"))
-    with_set = labelled.join(F.broadcast(counts.select(F.col("zone_sector").alias("sector_label"), "n_zones")),
+    if zones is None:
+        counts = F.broadcast(counts)
+    label = F.coalesce(F.nullif(title_case_words("sector"), F.lit("")), F.lit(OTHER_ZONE))
+    labelled = rows.select("project_id", "sector", label.alias("sector_label"), *keep)
+    with_set = labelled.join(counts.select(F.col("zone_sector").alias("sector_label"), "n_zones"),
                              "sector_label", "left")
     with_set = with_set.withColumn("zone_sector", F.when(F.col("n_zones").isNotNull(), F.col("sector_label"))
                                    .otherwise(F.lit(OTHER_ZONE)))
     numbered = row_number_within(with_set.drop("n_zones"), ["sector_label"], ["project_id"], "sector_rank")
-    sized = numbered.join(F.broadcast(counts), "zone_sector")
+    sized = numbered.join(counts, "zone_sector")
     slotted = sized.withColumn("slot", F.pmod(F.col("sector_rank") - 1, F.col("n_zones")).cast("int"))
-    return slotted.join(F.broadcast(z), ["zone_sector", "slot"]).select(
+    return slotted.join(z, ["zone_sector", "slot"]).select(
         "project_id",
         "sector_label",
         F.col("sector_rank").cast("bigint").alias("sector_rank"),
@@ -219,6 +222,7 @@ def assign_zones(rows: DataFrame, zones: DataFrame | None = None) -> DataFrame:
         F.col("zone_lat").alias("latitude"),
         F.col("zone_lon").alias("longitude"),
         F.lit(True).alias("is_synthetic"),
+        *keep,
     )
 
 

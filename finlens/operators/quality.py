@@ -13,6 +13,7 @@ from finlens.functions.numeric import exact_pct
 from finlens.functions.text import blank_to_null
 from finlens.schema import CANONICAL_FIELDS, STRING_FIELDS
 
+# --- fixed values: key fields of the coverage report
 COVERAGE_FIELDS = [
     "project_id",
     "project_name",
@@ -28,11 +29,6 @@ COVERAGE_FIELDS = [
 ]
 
 
-def _stack(df: DataFrame, names: list[str], value_prefix: str, key: str, value: str) -> DataFrame:
-    body = ", ".join(f"'{n}', `{value_prefix}{n}`" for n in names)
-    return df.selectExpr(f"stack({len(names)}, {body}) AS ({key}, {value})")
-
-
 def field_coverage(projects: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """Per key field, non-null count / pct and missing count / pct
     (pcts to 1 decimal).  Text fields must be non-blank.  Missing fields
@@ -95,15 +91,33 @@ def source_missingness(conformed: DataFrame, by: str = "source_name") -> DataFra
 
 
 WARNING_SCHEMA = "source_name string, warning_type string, message string"
+# our own wording; the types are what programs test
 WARNING_MESSAGES = {
-    "no_raw_files": "No raw files found. ETL produced an empty project-level dataset.",
-    "missing_primary_source": "Required primary source file is missing.",
-    "missing_country_filter_columns": "No country/recipient/host column found; all rows excluded by the country rule.",
-    "invalid_finance_type": "Rows with invalid finance_type were set to null before fallback handling.",
-    "missing_finance_type": "Some rows had missing finance_type after source mapping and were dropped.",
+    "no_raw_files": "The raw folder holds no source files; the project table is empty.",
+    "unregistered_source": "No source mapping goes by this name; its rows were not read.",
+    "missing_primary_source": "A primary source was not found; its projects are absent.",
+    "missing_country_filter_columns": "The source names no country; none of its rows can pass the country filter.",
+    "invalid_finance_type": "Finance types other than DF and FDI were blanked.",
+    "missing_finance_type": "Rows without a finance type were left out of the table.",
+    "fractional_year": "years with a fraction were blanked.",
+    "unparsed_date": "rows hold a date in no known layout; it was blanked.",
+    "coordinate_out_of_range": "rows hold a coordinate out of range; it was blanked.",
+    "generated_id_collision": "rows share a generated id with an earlier row and were dropped as repeats.",
+    "status_without_risk_weight": "rows have a status without a risk weight; they count as no risk.",
+}
+PROFILE_RULES = {
+    "fractional_year": "fractional_years",
+    "unparsed_date": "unparsed_dates",
+    "coordinate_out_of_range": "bad_coordinates",
 }
 
 
+def counted_message(rule: str, n: str) -> Column:
+    """'<n> <message>' of the rule named in column ``rule``."""
+    text = F.create_map(*[F.lit(x) for kv in WARNING_MESSAGES.items() for x in kv])
+    return F.concat_ws(" ", F.col(n).cast("string"), text[F.col(rule)]).alias("message")
+
+
 def count_rule_warnings(frame: DataFrame, by: str, rule: str, bad: Column) -> DataFrame:
     """E50 for a count-based rule: one warning row per group with any
     violation (a single aggregate, filtered to groups with count > 0)."""

@@ -38,12 +38,12 @@ def cumulative_within(
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     weight = F.col(weight_col) if weight_col else F.lit(1)
     keys = [F.col(g) for g in group_cols] + [_order_col(o) for o in order_cols]
     ranged = (
+        # without a number AQE sizes the slices to the data
         df.withColumn("_w", weight.cast("bigint"))
-        .repartitionByRange(n, *keys)
+        .repartitionByRange(*([num_partitions] if num_partitions else []), *keys)
         .withColumn("_pid", F.spark_partition_id())
         .checkpoint(eager=True)
     )

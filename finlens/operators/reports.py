@@ -179,24 +179,18 @@ def sector_share_with_other(sector_values: DataFrame, top: int = 6,
     """The ``top`` sectors by value plus one 'Other sectors' row holding
     the rest (added only when that rest is > 0), each with its share %.
 
-    ``sector_values`` is the per-sector input (its scope is the caller's
-    choice).  The top rows come from a TakeOrdered of ``top`` rows; the rest
-    is an anti join against that bounded set — no global window.
+    ``sector_values`` holds one row per sector (its scope is the caller's
+    choice); it is computed once, ranked, and its tail folded into one row.
+    The ranking sees per-sector rows only, never fact rows.
     """
     base = sector_values.select(
         F.col(sector_col).alias("sector"), F.col(value_col).cast("double").alias("committed_usd")
     ).where(F.col("committed_usd").isNotNull())
-    head = base.orderBy(F.col("committed_usd").desc(), F.col("sector")).limit(top)
-    head = head.withColumn(
-        "position", F.row_number().over(Window.orderBy(F.col("committed_usd").desc(), F.col("sector")))
-    )
-    rest = base.join(F.broadcast(head.select("sector")), "sector", "left_anti").agg(
-        F.sum("committed_usd").alias("committed_usd")
-    )
-    other = rest.where(F.col("committed_usd") > 0).select(
-        F.lit(top + 1).alias("position"), F.lit(OTHER_SECTORS).alias("sector"), "committed_usd"
-    )
-    rows = head.select("position", "sector", "committed_usd").unionByName(other)
+    place = F.row_number().over(Window.orderBy(F.col("committed_usd").desc(), F.col("sector")))
+    ranked = base.withColumn("position", F.least(place, F.lit(top + 1)))
+    label = F.when(F.col("position") > top, F.lit(OTHER_SECTORS)).otherwise(F.col("sector"))
+    rows = ranked.groupBy("position", label.alias("sector")).agg(F.sum("committed_usd").alias("committed_usd")).where(
+        (F.col("position") <= top) | (F.col("committed_usd") > 0))
     # at most ``top + 1`` rows: the total is a window over them
     total = F.sum("committed_usd").over(Window.partitionBy())
     return rows.select(
@@ -346,7 +340,7 @@ def top_deals_share(projects: DataFrame, top: int = 20) -> DataFrame:
     )
     head = deals.orderBy(F.col("committed_usd").desc(), F.col("project_id")).limit(top)
     total = projects.agg(F.sum("committed_usd")).scalar()
-    head_total = head.agg(F.sum("committed_usd")).scalar()
+    head_total = F.sum("committed_usd").over(Window.partitionBy())  # over the ``top`` rows
     share = F.round(F.coalesce(F.lit(100.0) * head_total / F.nullif(total, F.lit(0.0)), F.lit(0.0)), RATIO_DIGITS)
     return head.withColumn("top_share_pct", share)
 

@@ -10,17 +10,19 @@ resolves to are written out by hand).
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finlens.operators import quality as Q
-from finlens.operators.conform import conform_source
+from finlens.operators.conform import conform_source, text
 from finlens.operators.etl import EtlResult, run_etl
 from finlens.plans.registry import register
 from finlens.schema import CANONICAL_FIELDS
 from finlens.sources.fixtures import projects, with_projects
 from finlens.sources.raw_fixtures import raw_source, raw_source_sql
-from finlens.sources.registry import ALL_SOURCES, DF_SOURCE, FIXTURE_OF
+from finlens.sources.registry import ALL_SOURCES, COUNTRY_SOURCE, DF_SOURCE, FIXTURE_OF
 
 
 _RUNS: dict[tuple, EtlResult] = {}
@@ -59,7 +61,8 @@ def _date(x: str) -> str:
     t = f"nullif(trim({x}), '')"
     return (
         f"coalesce(CAST(try_strptime({t}, '%Y-%m-%d') AS DATE), CAST(try_strptime({t}, '%Y-%m-%d %H:%M:%S') AS DATE), "
-        f"CAST(try_strptime({t}, '%m/%d/%Y') AS DATE), "
+        f"CAST(try_strptime({t}, '%Y-%m-%dT%H:%M:%S') AS DATE), CAST(try_strptime({t}, '%Y/%m/%d') AS DATE), "
+        f"CAST(try_strptime({t}, '%m/%d/%Y') AS DATE), CAST(try_strptime({t}, '%m/%d/%Y %I:%M:%S %p') AS DATE), "
         f"CASE WHEN regexp_matches({t}, '^[0-9]{{4}}$') THEN make_date(CAST({t} AS INTEGER), 1, 1) END, "
         f"CASE WHEN regexp_matches({t}, '^[+-]?(\\d+\\.?\\d*|\\.\\d+)$') AND TRY_CAST({t} AS DOUBLE) BETWEEN -693593 AND 2958465 "
         f"THEN DATE '1899-12-30' + CAST(floor(TRY_CAST({t} AS DOUBLE)) AS INTEGER) END)"
@@ -75,6 +78,10 @@ def _year(x: str) -> str:
     return f"CASE WHEN ({v}) = floor({v}) THEN TRY_CAST({v} AS INTEGER) END"
 
 
+def _coord(x: str, limit: int) -> str:
+    return f"CASE WHEN ({_num(x)}) BETWEEN -{limit} AND {limit} THEN {_num(x)} END"
+
+
 def _country_hit(x: str, iso: bool) -> str:
     t = f"trim({x})"
     if iso:
@@ -94,6 +101,7 @@ CANON_IDS = ", ".join(c if c != "project_id" else "{gid} AS project_id" for c in
 
 CONFORM_SQL = f"""
 raw_df AS ({raw_source_sql('raw_df_source')}),
+raw_tr AS ({raw_source_sql('raw_tracker_source')}),
 raw_ct AS ({raw_source_sql('raw_country_source')}),
 raw_en AS ({raw_source_sql('enrichment_source')}),
 df0 AS (
@@ -107,6 +115,17 @@ df0 AS (
   FROM raw_df WHERE {_country_hit('c2', False)} OR {_country_hit('c3', True)}),
 df1 AS (SELECT {CANON_IDS.format(gid=_gen_id('development_finance'))}, 'development_finance' AS source_name,
                0 AS source_rank, row_ord FROM df0),
+tr0 AS (
+  SELECT CAST(NULL AS VARCHAR) AS project_id, {_txt('coalesce(c0, c1)')} AS project_name, 'FDI' AS finance_type,
+         {_txt('c2')} AS sector, {_txt('c3')} AS province, CAST(NULL AS VARCHAR) AS district,
+         CAST(NULL AS DOUBLE) AS latitude, CAST(NULL AS DOUBLE) AS longitude, CAST(NULL AS VARCHAR) AS status,
+         CAST(NULL AS DATE) AS approval_date, CAST(NULL AS DATE) AS construction_start_date,
+         CAST(NULL AS DATE) AS financial_close_date, CAST(NULL AS DATE) AS operation_date,
+         {_num('c4', 1000000.0)} AS committed_usd, CAST(NULL AS DOUBLE) AS disbursed_usd,
+         {_year('c5')} AS year, trim(c6) AS country, CAST(row_ord AS BIGINT) AS row_ord
+  FROM raw_tr WHERE {_country_hit('c6', False)}),
+tr1 AS (SELECT {CANON_IDS.format(gid=_gen_id('investment_tracker'))}, 'investment_tracker' AS source_name,
+               1 AS source_rank, row_ord FROM tr0),
 ct0 AS (
   SELECT CAST(NULL AS VARCHAR) AS project_id, {_txt('c0')} AS project_name, 'FDI' AS finance_type,
          {_txt('c1')} AS sector, {_txt('c3')} AS province, CAST(NULL AS VARCHAR) AS district,
@@ -120,8 +139,8 @@ ct1 AS (SELECT {CANON_IDS.format(gid=_gen_id('country_investments'))}, 'country_
                2 AS source_rank, row_ord FROM ct0),
 en0 AS (
   SELECT {_txt('c0')} AS project_id, {_txt('c1')} AS project_name, 'DF' AS finance_type, {_txt('c3')} AS sector,
-         CAST(NULL AS VARCHAR) AS province, CAST(NULL AS VARCHAR) AS district, {_num('c7')} AS latitude,
-         {_num('c8')} AS longitude, {_txt('c4')} AS status, CAST(NULL AS DATE) AS approval_date,
+         CAST(NULL AS VARCHAR) AS province, CAST(NULL AS VARCHAR) AS district, {_coord('c7', 90)} AS latitude,
+         {_coord('c8', 180)} AS longitude, {_txt('c4')} AS status, CAST(NULL AS DATE) AS approval_date,
          {_date('c5')} AS construction_start_date, {_date('c6')} AS financial_close_date,
          CAST(NULL AS DATE) AS operation_date, CAST(NULL AS DOUBLE) AS committed_usd,
          CAST(NULL AS DOUBLE) AS disbursed_usd, {_year('c9')} AS year, trim(c2) AS country,
@@ -129,7 +148,7 @@ en0 AS (
   FROM raw_en WHERE {_country_hit('c2', False)}),
 en1 AS (SELECT {CANON_IDS.format(gid=_gen_id('project_details'))}, 'project_details' AS source_name,
                9 AS source_rank, row_ord FROM en0),
-prim AS (SELECT * FROM df1 UNION ALL SELECT * FROM ct1)"""
+prim AS (SELECT * FROM df1 UNION ALL SELECT * FROM tr1 UNION ALL SELECT * FROM ct1)"""
 
 FILL = ["sector", "province", "district", "latitude", "longitude", "status", "approval_date",
         "construction_start_date", "financial_close_date", "operation_date", "committed_usd", "disbursed_usd", "year"]
@@ -198,35 +217,90 @@ def _pct(num: str, den: str) -> str:
     return f"CASE WHEN {den} > 0 THEN ({num} * 20000 + {den}) // (2 * {den}) / 100.0 END"
 
 
-WARNINGS_SQL = _wrap(ENRICH_SQL + ", allsrc AS (SELECT * FROM prim UNION ALL SELECT * FROM en1)", f"""
-SELECT 'investment_tracker' AS source_name, 'missing_country_filter_columns' AS warning_type,
-       '{Q.WARNING_MESSAGES["missing_country_filter_columns"]}' AS message
+# expected warnings and audit labels are written out by hand
+WARNINGS_SQL = _wrap(ENRICH_SQL, f"""
+SELECT 'development_finance' AS source_name, 'fractional_year' AS warning_type,
+       CAST(count(*) AS VARCHAR) || ' years with a fraction were blanked.' AS message
+FROM raw_df WHERE ({_country_hit('c2', False)} OR {_country_hit('c3', True)}) AND ({_num('c15')}) <> floor({_num('c15')})
+HAVING count(*) > 0
 UNION ALL
-SELECT source_name, 'invalid_finance_type', '{Q.WARNING_MESSAGES["invalid_finance_type"]}'
-FROM allsrc GROUP BY source_name HAVING count(*) FILTER (WHERE finance_type IS NULL) > 0
+SELECT 'development_finance', 'unparsed_date',
+       CAST(count(*) AS VARCHAR) || ' rows hold a date in no known layout; it was blanked.'
+FROM raw_df WHERE ({_country_hit('c2', False)} OR {_country_hit('c3', True)}) AND c7 = 'not a date'
+HAVING count(*) > 0
 UNION ALL
-SELECT 'canonical_dataset', 'missing_finance_type', '{Q.WARNING_MESSAGES["missing_finance_type"]}'
-FROM p2 HAVING count(*) FILTER (WHERE finance_type IS NULL) > 0""")
+SELECT 'project_details', 'coordinate_out_of_range',
+       CAST(count(*) AS VARCHAR) || ' rows hold a coordinate out of range; it was blanked.'
+FROM raw_en WHERE {_country_hit('c2', False)} AND c7 = '500' HAVING count(*) > 0
+UNION ALL
+SELECT 'canonical_dataset', 'generated_id_collision', CAST(CAST(sum(n - 1) AS BIGINT) AS VARCHAR)
+       || ' rows share a generated id with an earlier row and were dropped as repeats.'
+FROM (SELECT project_id, finance_type, count(*) AS n FROM p2 WHERE project_id LIKE 'gen\\_%' ESCAPE '\\' GROUP BY ALL)
+HAVING sum(n - 1) > 0
+UNION ALL
+SELECT 'canonical_dataset', 'status_without_risk_weight',
+       CAST(count(*) AS VARCHAR) || ' rows have a status without a risk weight; they count as no risk.'
+FROM final WHERE lower(trim(status)) NOT IN ('cancelled', 'stalled', 'delayed') HAVING count(*) > 0""")
 
 
 @register("quality_warnings", ["E50", "C11", "C2"], WARNINGS_SQL)
 def quality_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Warning rows of the run (missing country columns, missing primaries,
-    invalid / missing finance types)."""
+    """Warning rows of the run: fractional years, unparsed dates, coordinates
+    out of range, colliding generated ids, statuses without a weight."""
     return fresh(etl(spark, sf_dir).warnings)
 
 
+# the country source read with a finance-type column of its own
+TYPED_SOURCE = replace(COUNTRY_SOURCE, finance_type=None,
+                       fields={**COUNTRY_SOURCE.fields, "finance_type": text(["Finance Class"])})
+TYPED_SQL = CONFORM_SQL.replace("'FDI' AS finance_type,\n         {0} AS sector".format(_txt("c1")),
+                                "CASE WHEN trim(c8) IN ('DF', 'FDI') THEN trim(c8) END AS finance_type,\n         {0} AS sector".format(_txt("c1")))
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> EtlResult:
+    return run_etl(spark, {TYPED_SOURCE.name: raw_source(spark, sf_dir, FIXTURE_OF[TYPED_SOURCE.name])}, [TYPED_SOURCE])
+
+
+@register("typed_projects", ["C11", "B8"], _wrap(TYPED_SQL, f"""
+SELECT {CANON} FROM ct1 WHERE finance_type IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY project_id, finance_type ORDER BY row_ord) = 1"""))
+def typed_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run whose finance types come from the file: rows of other types are
+    blanked and left out."""
+    return _typed(spark, sf_dir).projects
+
+
+@register("typed_warnings", ["E50", "C11"], _wrap(TYPED_SQL, """
+SELECT 'country_investments' AS source_name, 'invalid_finance_type' AS warning_type,
+       'Finance types other than DF and FDI were blanked.' AS message
+UNION ALL SELECT 'canonical_dataset', 'invalid_finance_type', 'Finance types other than DF and FDI were blanked.'
+UNION ALL SELECT 'canonical_dataset', 'missing_finance_type', 'Rows without a finance type were left out of the table.'
+UNION ALL
+SELECT 'canonical_dataset', 'generated_id_collision', CAST(CAST(sum(n - 1) AS BIGINT) AS VARCHAR)
+       || ' rows share a generated id with an earlier row and were dropped as repeats.'
+FROM (SELECT project_id, finance_type, count(*) AS n FROM ct1 GROUP BY ALL) HAVING sum(n - 1) > 0
+UNION ALL
+SELECT 'canonical_dataset', 'status_without_risk_weight',
+       CAST(count(*) AS VARCHAR) || ' rows have a status without a risk weight; they count as no risk.'
+FROM (SELECT * FROM ct1 WHERE finance_type IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY project_id, finance_type ORDER BY row_ord) = 1)
+WHERE lower(trim(status)) NOT IN ('cancelled', 'stalled', 'delayed') HAVING count(*) > 0"""))
+def typed_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings of that run."""
+    return _typed(spark, sf_dir).warnings
+
+
 def _load_audit_sql() -> str:
     df_mask = f"{_country_hit('c2', False)} OR {_country_hit('c3', True)}"
-    ct_mask = _country_hit("c2", False)
+    ct_mask, tr_mask = _country_hit("c2", False), _country_hit("c6", False)
     return _wrap(ENRICH_SQL + f""",
-raw_tr AS ({raw_source_sql('raw_tracker_source')}),
 raw_wd AS ({raw_source_sql('wide_yearly_source')}),
 counts AS (
   SELECT 'development_finance' AS source_name, 'primary' AS role, count(*) AS rows_in,
          count(*) FILTER (WHERE NOT ({df_mask})) AS excl FROM raw_df
-  UNION ALL SELECT 'investment_tracker', 'primary', count(*), count(*) FROM raw_tr
+  UNION ALL SELECT 'investment_tracker', 'primary', count(*), count(*) FILTER (WHERE NOT ({tr_mask})) FROM raw_tr
   UNION ALL SELECT 'country_investments', 'primary', count(*), count(*) FILTER (WHERE NOT ({ct_mask})) FROM raw_ct
+            WHERE row_ord > 0
   UNION ALL SELECT 'project_details', 'enrichment', count(*), count(*) FILTER (WHERE NOT ({ct_mask})) FROM raw_en
   UNION ALL SELECT 'wide_yearly', 'excluded', count(*), NULL FROM raw_wd),
 allsrc AS (SELECT * FROM prim UNION ALL SELECT * FROM en1),
@@ -254,12 +328,74 @@ def load_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh(etl(spark, sf_dir).loads)
 
 
-def _mapping_audit_sql() -> str:
-    from finlens.operators.conform import mapping_rows
+# --- fixed values: expected mapping audit (source, source column, canonical column, transform)
+MAPPING = {
+    "development_finance": """
+AidData Record ID / project_id / direct
+Title / project_name / direct
+Sector Name / sector / direct
+Available ADM1 Level / province / direct
+Available ADM2 Level / district / direct
+Latitude | Project Latitude | Available Latitude | Lat / latitude / numeric
+Longitude | Project Longitude | Available Longitude | Lon | Lng / longitude / numeric
+Status / status / direct
+Commitment Date (nearest match) / approval_date / parse_date_any
+Actual Implementation Start Date -> Planned Start Date / construction_start_date / parse_date_any_with_fallback
+Financial Close Date | Loan Signing Date / financial_close_date / parse_date_any
+Actual Completion Date -> Planned Completion Date / operation_date / parse_date_any_with_fallback
+Adjusted Amount (Nominal USD) | Amount (Nominal USD) / committed_usd / coalesce_numeric(adjusted, amount)
+Disbursed Amount (Nominal USD) | Disbursement Amount (Nominal USD) / disbursed_usd / coalesce_numeric
+Commitment Year / year / numeric
+(constant) / finance_type / constant('DF')
+source_file + project_name + year + country / project_id / deterministic_hash_if_missing""",
+    "investment_tracker": """
+Transaction Party | Investor/Contractor | Investor | Investor or Builder / project_name / coalesce_string
+Sector / sector / direct
+keyword location candidates / province / keyword_resolve
+keyword location candidates / district / keyword_resolve
+keyword location candidates / latitude / keyword_resolve_numeric
+keyword location candidates / longitude / keyword_resolve_numeric
+Quantity in Millions / committed_usd / numeric * 1_000_000
+Year / year / numeric
+(constant) / finance_type / constant('FDI')
+(generated) / project_id / deterministic_hash_if_missing""",
+    "country_investments": """
+Investor or Builder | Investor / project_name / coalesce_string
+Sector / sector / direct
+keyword location candidates / province / keyword_resolve
+keyword location candidates / district / keyword_resolve
+keyword location candidates / latitude / keyword_resolve_numeric
+keyword location candidates / longitude / keyword_resolve_numeric
+Status / status / direct_if_present
+Amount_musd | Amount / committed_usd / coalesce_numeric_with_scaling
+Year / year / numeric
+(constant) / finance_type / constant('FDI')
+(generated) / project_id / deterministic_hash_if_missing""",
+    "project_details": """
+AidData Record ID / project_id / direct_or_hash
+Title | Project Name / project_name / coalesce_string
+Sector Name | Sector / sector / coalesce_string
+Available ADM1 Level | Province / province / coalesce_string
+Available ADM2 Level | District / district / coalesce_string
+Latitude / latitude / numeric
+Longitude / longitude / numeric
+Status / status / direct
+Commitment Date / approval_date / parse_mmddyyyy_or_excel_serial
+Implementation Start Date / construction_start_date / parse_mmddyyyy_or_excel_serial
+Financial Close Date / financial_close_date / parse_mmddyyyy_or_excel_serial
+Actual Completion Date / operation_date / parse_mmddyyyy_or_excel_serial
+Adjusted Amount (Nominal USD) | Amount (Nominal USD) / committed_usd / coalesce_numeric(adjusted, amount)
+Disbursed Amount (Nominal USD) / disbursed_usd / numeric
+Commitment Year | Year / year / coalesce_numeric
+(constant) / finance_type / constant('DF')""",
+}
+# -----------------------------------------------------------------------------
 
+
+def _mapping_audit_sql() -> str:
     declared = ", ".join(
-        "(" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in (spec.name, *row)) + ")"
-        for spec in ALL_SOURCES if spec.role in ("primary", "enrichment") for row in mapping_rows(spec))
+        "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in (source, *line.split(" / "))) + ")"
+        for source, lines in MAPPING.items() for line in lines.strip().splitlines())
     rates = " UNION ALL ".join(
         f"SELECT source_name, '{c}' AS canonical_column, "
         f"{_pct('(count(*) - count(' + c + '))', 'count(*)')} AS rate FROM allsrc GROUP BY source_name"

@@ -22,7 +22,8 @@ NARROWING_SELECTION = {
     "finance_type": ["fdi"],
     "sector": ["BUILDING", "MACHINERY", "AUTOMOBILE", "FURNITURE", "HOUSEHOLD"],
     "province": ["NATION_1", "NATION_2"],
-    "status": ["Completion", "Delayed", "Stalled", "Cancelled"],
+    "status": ["Cancelled", "Completion", "Delayed", "Implementation", "Pipeline: Commitment", "Pipeline: Pledge",
+               "Stalled", "Suspended"],
 }
 
 KPI_SELECT = f"""
@@ -43,7 +44,8 @@ WITH f AS (SELECT * FROM projects
 def facet_filtered_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Portfolio KPIs after the dashboard facet filter (all finance types
     selected, so that facet is skipped)."""
-    return R.portfolio_kpis(FC.apply_facets(projects(spark, sf_dir), DASHBOARD_SELECTION))
+    p = projects(spark, sf_dir)
+    return R.portfolio_kpis(FC.apply_facets(p, DASHBOARD_SELECTION, FC.option_lists(p, list(DASHBOARD_SELECTION))))
 
 
 @register("facet_filtered_kpis_strict", ["C3", "E21"], with_projects("""
@@ -80,26 +82,26 @@ WITH o AS (SELECT count(*) FILTER (WHERE finance_type IS NOT NULL AND upper(fina
                   count(*) FILTER (WHERE province IS NOT NULL AND province NOT IN ('NATION_1', 'NATION_2')) AS pr_out,
                   count(DISTINCT CASE WHEN province IN ('NATION_1', 'NATION_2') THEN province END) AS pr_in,
                   count(DISTINCT nullif(trim(province), '')) AS pr_opts,
-                  count(*) FILTER (WHERE status IS NOT NULL AND status NOT IN ('Cancelled', 'Completion', 'Delayed', 'Stalled')) AS st_out,
-                  count(DISTINCT CASE WHEN status IN ('Cancelled', 'Completion', 'Delayed', 'Stalled') THEN status END) AS st_in,
+                  count(*) FILTER (WHERE status IS NOT NULL AND status NOT IN ('Cancelled', 'Completion', 'Delayed', 'Implementation', 'Pipeline: Commitment', 'Pipeline: Pledge', 'Stalled', 'Suspended')) AS st_out,
+                  count(DISTINCT CASE WHEN status IN ('Cancelled', 'Completion', 'Delayed', 'Implementation', 'Pipeline: Commitment', 'Pipeline: Pledge', 'Stalled', 'Suspended') THEN status END) AS st_in,
                   count(DISTINCT nullif(trim(status), '')) AS st_opts,
                   count(*) FILTER (WHERE upper(finance_type) IN ('FDI')) AS ft_hit,
                   count(*) FILTER (WHERE sector IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY')) AS se_hit,
                   count(*) FILTER (WHERE province IN ('NATION_1', 'NATION_2')) AS pr_hit,
-                  count(*) FILTER (WHERE status IN ('Cancelled', 'Completion', 'Delayed', 'Stalled')) AS st_hit
+                  count(*) FILTER (WHERE status IN ('Cancelled', 'Completion', 'Delayed', 'Implementation', 'Pipeline: Commitment', 'Pipeline: Pledge', 'Stalled', 'Suspended')) AS st_hit
            FROM projects),
 a AS (SELECT *, ft_out = 0 AND ft_in = 1 AS ft_all, se_out = 0 AND se_in = 5 AS se_all,
-             pr_out = 0 AND pr_in = 2 AS pr_all, st_out = 0 AND st_in = 4 AS st_all FROM o),
+             pr_out = 0 AND pr_in = 2 AS pr_all, st_out = 0 AND st_in = 8 AS st_all FROM o),
 k AS (SELECT count(*) AS rows_after_filter FROM projects, a
       WHERE (ft_all OR coalesce(upper(finance_type) IN ('FDI'), false))
         AND (se_all OR coalesce(sector IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'), false))
         AND (pr_all OR coalesce(province IN ('NATION_1', 'NATION_2'), false))
-        AND (st_all OR coalesce(status IN ('Cancelled', 'Completion', 'Delayed', 'Stalled'), false)))
+        AND (st_all OR coalesce(status IN ('Cancelled', 'Completion', 'Delayed', 'Implementation', 'Pipeline: Commitment', 'Pipeline: Pledge', 'Stalled', 'Suspended'), false)))
 SELECT 'finance_type' AS facet, 'Finance Type' AS label, 'FDI' AS selected, ft_opts > 0 AND NOT ft_all AS narrowing,
        ft_hit AS rows_matching, rows_after_filter FROM a, k
-UNION ALL SELECT 'sector', 'Sector', 'AUTOMOBILE, BUILDING, FURNITURE, HOUSEHOLD', se_opts > 0 AND NOT se_all, se_hit, rows_after_filter FROM a, k
+UNION ALL SELECT 'sector', 'Sector', 'AUTOMOBILE, BUILDING, FURNITURE, HOUSEHOLD, MACHINERY', se_opts > 0 AND NOT se_all, se_hit, rows_after_filter FROM a, k
 UNION ALL SELECT 'province', 'Province', 'NATION_1, NATION_2', pr_opts > 0 AND NOT pr_all, pr_hit, rows_after_filter FROM a, k
-UNION ALL SELECT 'status', 'Status', 'Cancelled, Completion, Delayed, Stalled', st_opts > 0 AND NOT st_all, st_hit, rows_after_filter FROM a, k"""))
+UNION ALL SELECT 'status', 'Status', 'Cancelled, Completion, Delayed, Implementation, Pipeline: Commitment, Pipeline: Pledge, Stalled, Suspended', st_opts > 0 AND NOT st_all, st_hit, rows_after_filter FROM a, k"""))
 def facet_narrowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which facets of a selection narrow the result, with per-facet hits."""
     return FC.facet_narrowing(projects(spark, sf_dir), NARROWING_SELECTION)

@@ -100,26 +100,21 @@ CASE WHEN latitude > -7 AND latitude < 7 AND coalesce(longitude, 0) < 108 THEN '
      WHEN coalesce(longitude, 0) >= 136 THEN 'Papua' ELSE 'Other' END"""
 
 
-@register("region_boxes", ["D8", "E42"], with_projects(BROWSER_BASE + f"""
-SELECT {BOX_SQL} AS region, count(*) AS deals, coalesce(sum(coalesce(committed_usd, 0.0)), 0.0) AS committed_usd
-FROM d WHERE latitude IS NOT NULL AND latitude BETWEEN -90 AND 90 GROUP BY 1"""))
-def region_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deals and value per bounding-box region (browser rules)."""
-    return G.box_regions(B.browser_filter(projects(spark, sf_dir)))
-
-
 def _zones_values() -> str:
     return ", ".join(f"('{s}', {slot}, CAST({lat!r} AS DOUBLE), CAST({lon!r} AS DOUBLE))" for s, slot, lat, lon in G.ZONES)
 
 
-@register("zone_assignment", ["D7", "W2", "B13"], with_projects(BROWSER_BASE + f""",
+ZONES_SQL = BROWSER_BASE + f""",
 z AS (SELECT * FROM (VALUES {_zones_values()}) v(zone_sector, slot, zone_lat, zone_lon)),
 n AS (SELECT zone_sector, count(*) AS n_zones FROM z GROUP BY 1),
 f AS (SELECT project_id, coalesce(nullif(sector, ''), 'Other') AS sector_label FROM d WHERE finance_type = 'FDI'),
 l AS (SELECT f.*, CASE WHEN n.zone_sector IS NULL THEN 'Other' ELSE f.sector_label END AS zone_sector,
              row_number() OVER (PARTITION BY f.sector_label ORDER BY f.project_id) AS sector_rank
       FROM f LEFT JOIN n ON n.zone_sector = f.sector_label),
-s AS (SELECT l.*, CAST((sector_rank - 1) % n.n_zones AS INTEGER) AS slot FROM l JOIN n ON n.zone_sector = l.zone_sector)
+s AS (SELECT l.*, CAST((sector_rank - 1) % n.n_zones AS INTEGER) AS slot FROM l JOIN n ON n.zone_sector = l.zone_sector)"""
+
+
+@register("zone_assignment", ["D7", "W2", "B13"], with_projects(ZONES_SQL + """
 SELECT s.project_id, s.sector_label, CAST(s.sector_rank AS BIGINT) AS sector_rank, s.zone_sector, s.slot,
        z.zone_lat AS latitude, z.zone_lon AS longitude, true AS is_synthetic
 FROM s JOIN z ON z.zone_sector = s.zone_sector AND z.slot = s.slot"""))
@@ -128,6 +123,19 @@ def zone_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.assign_zones(B.browser_filter(projects(spark, sf_dir), finance_type="FDI"))
 
 
+@register("region_boxes", ["D8", "E42", "D7"], with_projects(ZONES_SQL + f""",
+a AS (SELECT z.zone_lat AS latitude, z.zone_lon AS longitude, d.committed_usd
+      FROM s JOIN z ON z.zone_sector = s.zone_sector AND z.slot = s.slot
+      JOIN d ON d.project_id = s.project_id AND d.finance_type = 'FDI')
+SELECT {BOX_SQL} AS region, count(*) AS deals, coalesce(sum(coalesce(committed_usd, 0.0)), 0.0) AS committed_usd
+FROM a WHERE latitude IS NOT NULL AND latitude BETWEEN -90 AND 90 GROUP BY 1"""))
+def region_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deals and value per bounding-box region: FDI rows placed by the
+    round-robin zones, then classified (browser rules)."""
+    deals = B.browser_filter(projects(spark, sf_dir), finance_type="FDI")
+    return G.box_regions(G.assign_zones(deals, keep=("committed_usd",)))
+
+
 @register("report_top_provinces", ["G10", "A11"], with_projects(f"""
 WITH {_dims_cte('province_report')},
 v AS (SELECT 'value' AS ranking, province_name, project_value_b AS score,

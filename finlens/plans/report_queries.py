@@ -8,7 +8,14 @@ from finlens.operators import metrics as M
 from finlens.operators import reports as R
 from finlens.plans.metric_queries import ACTIVE_SQL, EXPOSURE_FRICTION_SQL, RISK_W_SQL, RISK_X_SQL
 from finlens.plans.registry import register
-from finlens.sources.fixtures import projects, with_projects
+from finlens.sources.fixtures import (
+    COORDINATE_POOR_SQL,
+    YEARLESS_SQL,
+    coordinate_poor,
+    projects,
+    with_projects,
+    yearless,
+)
 
 # the trends / sector pages are locked to development finance, the
 # investment pages to foreign direct investment
@@ -285,14 +292,28 @@ def coordinate_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.coordinate_validity(projects(spark, sf_dir))
 
 
-@register("fallback_top_projects", ["C13", "G4"], with_projects("""
-WITH g AS (SELECT 100.0 * avg(CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN 1.0 ELSE 0.0 END) AS pct
-           FROM projects),
+FALLBACK_SQL = """
+g AS (SELECT 100.0 * avg(CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN 1.0 ELSE 0.0 END) AS pct
+      FROM p),
 h AS (SELECT project_id, coalesce(project_name, 'Unnamed Project') AS project_name, finance_type, year,
              committed_usd, coalesce(status, 'Unknown') AS status
-      FROM projects ORDER BY committed_usd DESC NULLS LAST, project_id LIMIT 20)
-SELECT h.* FROM h CROSS JOIN g WHERE g.pct < 40"""))
+      FROM p ORDER BY committed_usd DESC NULLS LAST, project_id LIMIT 20)
+SELECT h.* FROM h CROSS JOIN g WHERE g.pct < 40"""
+
+
+@register("fallback_top_projects", ["C13", "G4"], with_projects(f"WITH p AS ({COORDINATE_POOR_SQL})," + FALLBACK_SQL))
 def fallback_top_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top-20 projects view, shown only when coordinate coverage is too low
-    for the map."""
-    return R.fallback_top_projects(projects(spark, sf_dir))
+    """Top-20 projects view, shown as this slice has too few coordinates for
+    the map."""
+    return R.fallback_top_projects(coordinate_poor(projects(spark, sf_dir)))
+
+
+@register("yearly_trend_by_approval", ["E13", "R1"], with_projects(f"""
+WITH p AS ({YEARLESS_SQL}),
+y AS (SELECT year(approval_date) AS year, sum(committed_usd) AS committed_usd, sum(disbursed_usd) AS disbursed_usd
+      FROM p WHERE approval_date IS NOT NULL GROUP BY 1)
+SELECT CAST(year AS INTEGER) AS year, 'committed_usd' AS metric, committed_usd AS usd FROM y
+UNION ALL SELECT CAST(year AS INTEGER), 'disbursed_usd', disbursed_usd FROM y"""))
+def yearly_trend_by_approval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The yearly trend of a slice without years: approval years stand in."""
+    return R.yearly_trend_long(yearless(projects(spark, sf_dir)))

@@ -18,13 +18,23 @@ from pyspark.sql import functions as F
 from finlens.schema import CANONICAL_FIELDS
 from finlens.sources.tables import read_table
 
-# order priority -> project status (fixed mapping of the fixture)
-PRIORITY_STATUS = [
-    ("1-URGENT", "Completion"),
-    ("2-HIGH", "Delayed"),
-    ("3-MEDIUM", "Stalled"),
-    ("4-NOT SPECIFIED", "Cancelled"),
+# sector and status of a stand-in project, as SQL both engines read: labels in
+# several spellings and of several words, some of them zone sectors, and the
+# statuses of both apps
+_SECTOR_LABELS = [
+    "energy", "METALS", "real  estate", "Oil & gas", "Transport", "agriculture/forestry", "TECHNOLOGY", "health care",
+    "Water supply", "chemicals", "e-commerce", "Finance", "logistics",
 ]
+SECTOR_SQL = ("CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE CASE o_orderkey % 20 "
+              + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(_SECTOR_LABELS)) + " ELSE c_mktsegment END END")
+_STATUSES = [
+    ("1-URGENT", "Completion", "Implementation"),
+    ("2-HIGH", "Delayed", "Pipeline: Pledge"),
+    ("3-MEDIUM", "Stalled", "Suspended"),
+    ("4-NOT SPECIFIED", "Cancelled", "Pipeline: Commitment"),
+]
+STATUS_SQL = "CASE o_orderpriority " + " ".join(
+    f"WHEN '{p}' THEN CASE WHEN o_orderkey % 5 < 3 THEN '{a}' ELSE '{b}' END" for p, a, b in _STATUSES) + " END"
 
 
 _PLANS: dict[tuple, DataFrame] = {}
@@ -33,8 +43,9 @@ _PLANS: dict[tuple, DataFrame] = {}
 def memo_plan(spark: SparkSession, key: tuple, build) -> DataFrame:
     """Reuse a built (lazy, uncomputed) plan for the same session and key.
 
-    Only the logical plan object is kept — no data is cached — so several
-    reports over one base skip rebuilding and re-analysing it.
+    The plan object is kept for the session.  Where it is a scan of a
+    ``materialize`` copy, that copy is read again too, as a deployment reads
+    the canonical table its conform run wrote.
     """
     k = (id(spark), spark, *key)
     plan = _PLANS.get(k)
@@ -55,21 +66,11 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: str
     base = ensure_checkpoint_dir(spark).rstrip("/")
     stem = f"{base}/finlens-inputs/{name}-{uuid.uuid4().hex}"
 
-    def write(frame: DataFrame, path: str) -> DataFrame:
-        writer = frame.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(partition_by)
-        writer.parquet(path)
-        return spark.read.schema(df.schema).parquet(path).select(*df.columns)
-
-    out = write(df, f"{stem}/a")
-    # a small input coalesced by AQE lands in one or two files, and a scan
-    # packs small files into one split: rewrite such a copy (it is small) as
-    # at least one file per core.  Large inputs already have many files.
-    slots = spark.sparkContext.defaultParallelism
-    if len(out.inputFiles()) < slots:
-        out = write(out.repartition(slots), f"{stem}/b")
-    return out
+    writer = df.write
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(stem)
+    return spark.read.schema(df.schema).parquet(stem).select(*df.columns)
 
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,9 +103,6 @@ def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
 
     k = F.col("o_orderkey")
-    status = F.when(F.lit(False), F.lit(None))
-    for priority, label in PRIORITY_STATUS:
-        status = status.when(F.col("o_orderpriority") == priority, F.lit(label))
     odate = F.col("o_orderdate").cast("date")
 
     joined = (
@@ -116,14 +114,14 @@ def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.cast("string").alias("project_id"),
         F.concat(F.col("c_name"), F.lit(" / "), (k % 97).cast("string")).alias("project_name"),
         F.when(k % 3 == 0, F.lit("FDI")).otherwise(F.lit("DF")).alias("finance_type"),
-        F.when(k % 29 == 0, F.lit(None).cast("string")).otherwise(F.col("c_mktsegment")).alias("sector"),
+        F.expr(SECTOR_SQL).alias("sector"),
         F.when(k % 23 == 0, F.lit(None).cast("string")).otherwise(F.col("n_name")).alias("province"),
         F.lit(None).cast("string").alias("district"),
         F.when(k % 11 == 0, F.lit(None).cast("double"))
         .otherwise(F.col("n_nationkey") * 3 / 4 - 11).alias("latitude"),
         F.when(k % 11 == 0, F.lit(None).cast("double"))
         .otherwise((F.lit(95) + k % 47).cast("double")).alias("longitude"),
-        status.alias("status"),
+        F.expr(STATUS_SQL).alias("status"),
         F.when(k % 17 == 0, F.lit(None).cast("date")).otherwise(odate).alias("approval_date"),
         F.col("first_ship").alias("construction_start_date"),
         F.when(k % 7 == 0, odate).alias("financial_close_date"),
@@ -139,7 +137,7 @@ def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Same derivation as SQL text; runs unchanged in DuckDB (oracle side).
-PROJECTS_SQL = """
+PROJECTS_SQL = f"""
 WITH line AS (
   SELECT l_orderkey,
          MIN(CAST(l_shipdate AS DATE)) AS first_ship,
@@ -149,13 +147,12 @@ WITH line AS (
 SELECT CAST(o.o_orderkey AS STRING) AS project_id,
        CONCAT(c.c_name, ' / ', CAST(o.o_orderkey % 97 AS STRING)) AS project_name,
        CASE WHEN o.o_orderkey % 3 = 0 THEN 'FDI' ELSE 'DF' END AS finance_type,
-       CASE WHEN o.o_orderkey % 29 = 0 THEN NULL ELSE c.c_mktsegment END AS sector,
+       {SECTOR_SQL} AS sector,
        CASE WHEN o.o_orderkey % 23 = 0 THEN NULL ELSE n.n_name END AS province,
        CAST(NULL AS STRING) AS district,
        CASE WHEN o.o_orderkey % 11 = 0 THEN NULL ELSE n.n_nationkey * 3 / 4 - 11 END AS latitude,
        CASE WHEN o.o_orderkey % 11 = 0 THEN NULL ELSE CAST(95 + o.o_orderkey % 47 AS DOUBLE) END AS longitude,
-       CASE o.o_orderpriority WHEN '1-URGENT' THEN 'Completion' WHEN '2-HIGH' THEN 'Delayed'
-            WHEN '3-MEDIUM' THEN 'Stalled' WHEN '4-NOT SPECIFIED' THEN 'Cancelled' END AS status,
+       {STATUS_SQL} AS status,
        CASE WHEN o.o_orderkey % 17 = 0 THEN NULL ELSE CAST(o.o_orderdate AS DATE) END AS approval_date,
        line.first_ship AS construction_start_date,
        CASE WHEN o.o_orderkey % 7 = 0 THEN CAST(o.o_orderdate AS DATE) END AS financial_close_date,
@@ -177,3 +174,21 @@ def with_projects(sql: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH projects AS ({PROJECTS_SQL}),\n{body[5:]}"
     return f"WITH projects AS ({PROJECTS_SQL})\n{body}"
+
+
+def coordinate_poor(rows: DataFrame) -> DataFrame:
+    """A slice whose coordinates are mostly unknown."""
+    keep = F.col("project_id").cast("bigint") % 4 == 0
+    return rows.withColumns({c: F.when(keep, F.col(c)) for c in ("latitude", "longitude")})
+
+
+COORDINATE_POOR_SQL = ("SELECT * REPLACE (CASE WHEN CAST(project_id AS BIGINT) % 4 = 0 THEN latitude END AS latitude, "
+                       "CASE WHEN CAST(project_id AS BIGINT) % 4 = 0 THEN longitude END AS longitude) FROM projects")
+
+
+def yearless(rows: DataFrame) -> DataFrame:
+    """A slice without commitment years."""
+    return rows.withColumn("year", F.lit(None).cast("int"))
+
+
+YEARLESS_SQL = "SELECT * REPLACE (CAST(NULL AS INTEGER) AS year) FROM projects"

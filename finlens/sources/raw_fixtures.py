@@ -75,9 +75,12 @@ SELECT
   province AS c5,
   CASE WHEN copy = 2 THEN 'Suspended' ELSE status END AS c6,
   CASE WHEN {k} % 37 = 0 THEN 'not a date'
-       WHEN {k} % 4 = 0 THEN {iso_date}
-       WHEN {k} % 4 = 1 THEN {_mdy('approval_date')}
-       WHEN {k} % 4 = 2 THEN {_serial('approval_date', dialect)}
+       WHEN {k} % 8 = 0 THEN {iso_date}
+       WHEN {k} % 8 = 1 THEN {_mdy('approval_date')}
+       WHEN {k} % 8 = 2 THEN {_serial('approval_date', dialect)}
+       WHEN {k} % 8 = 3 THEN ({iso_date} || 'T00:00:00')
+       WHEN {k} % 8 = 4 THEN replace({iso_date}, '-', '/')
+       WHEN {k} % 8 = 5 THEN ({_mdy('approval_date')} || ' 12:00:00 AM')
        ELSE ({iso_date} || ' 00:00:00') END AS c7,
   CASE WHEN {k} % 2 = 0 THEN CAST(construction_start_date AS STRING) END AS c8,
   CASE WHEN {k} % 2 = 0 THEN CAST(construction_start_date + 30 AS STRING)
@@ -104,7 +107,7 @@ FROM (SELECT *, 1 AS copy FROM {_src(dialect)} WHERE finance_type = 'DF'
 
 
 TRACKER_HEADER = ["Transaction Party", "Investor/Contractor", "Sector", "Region", "Quantity in Millions", "Year",
-                  "row_ord"]
+                  "Country", "row_ord"]
 
 
 def raw_tracker_sql(dialect: str) -> str:
@@ -115,12 +118,14 @@ SELECT CASE WHEN {k} % 4 = 0 THEN '' ELSE project_name END AS c0,
        sector AS c2, province AS c3,
        {_millions('committed_usd')} AS c4,
        CAST(year AS STRING) AS c5,
+       CASE {k} % 8 WHEN 0 THEN 'Indonesia' WHEN 2 THEN 'indonesia ' WHEN 4 THEN 'Republic of Indonesia'
+                    ELSE 'Malaysia' END AS c6,
        {k} AS row_ord
 FROM {_src(dialect)} WHERE finance_type = 'FDI' AND CAST(project_id AS BIGINT) % 2 = 0"""
 
 
 COUNTRY_HEADER = ["Investor or Builder", "Sector", "Country", "Province", "Status", "Amount_musd", "Amount", "Year",
-                  "row_ord"]
+                  "Finance Class", "row_ord"]
 
 
 def raw_country_sql(dialect: str) -> str:
@@ -133,8 +138,12 @@ SELECT project_name AS c0, sector AS c1,
        CASE WHEN {k} % 4 = 1 THEN {_millions('committed_usd')} END AS c5,
        CASE WHEN {k} % 3 = 0 THEN ('$' || {_thousands('committed_usd', dialect)}) ELSE {_int('committed_usd')} END AS c6,
        CAST(year AS STRING) AS c7,
+       CASE {k} % 7 WHEN 0 THEN 'Grant' WHEN 1 THEN '' ELSE ' FDI ' END AS c8,
        {k} AS row_ord
-FROM {_src(dialect)} WHERE finance_type = 'FDI' AND CAST(project_id AS BIGINT) % 2 = 1"""
+FROM {_src(dialect)} WHERE finance_type = 'FDI' AND CAST(project_id AS BIGINT) % 2 = 1
+UNION ALL
+SELECT '', ' ', NULL, '', NULL, '', NULL, '  ', '', -{k}
+FROM {_src(dialect)} WHERE finance_type = 'FDI' AND CAST(project_id AS BIGINT) % 59 = 0"""
 
 
 ENRICH_HEADER = ["AidData Record ID", "Title", "Recipient", "Sector Name", "Status", "Implementation Start Date",
@@ -145,19 +154,21 @@ def raw_enrichment_sql(dialect: str) -> str:
     k = "CAST(project_id AS BIGINT)"
     return f"""
 SELECT CASE WHEN {k} % 4 = 2 THEN '' ELSE project_id END AS c0,
-       project_name AS c1, 'Indonesia' AS c2, sector AS c3, status AS c4,
+       project_name AS c1,
+       CASE {k} % 5 WHEN 0 THEN 'Indonesia' WHEN 1 THEN 'indonesia' WHEN 2 THEN NULL WHEN 3 THEN 'Viet Nam'
+                    ELSE 'IDN' END AS c2,
+       sector AS c3, status AS c4,
        CAST(construction_start_date AS STRING) AS c5,
        CASE WHEN financial_close_date IS NOT NULL THEN {_mdy('financial_close_date')}
             ELSE CAST(approval_date + 90 AS STRING) END AS c6,
-       CAST(latitude + (copy - 1) AS STRING) AS c7,
+       CASE WHEN {k} % 47 = 0 THEN '500' ELSE CAST(latitude + (copy - 1) AS STRING) END AS c7,
        CAST(longitude AS STRING) AS c8,
        CAST(year AS STRING) AS c9,
        {k} * 2 + copy - 1 AS row_ord
-FROM (SELECT *, 1 AS copy FROM {_src(dialect)}
-      WHERE finance_type = 'DF' AND CAST(project_id AS BIGINT) % 5 IN (0, 1, 4) AND CAST(project_id AS BIGINT) % 2 = 0
+FROM (SELECT *, 1 AS copy FROM {_src(dialect)} WHERE finance_type = 'DF'
       UNION ALL
       SELECT *, 2 AS copy FROM {_src(dialect)}
-      WHERE finance_type = 'DF' AND CAST(project_id AS BIGINT) % 5 IN (0, 1, 4) AND CAST(project_id AS BIGINT) % 8 = 0) t"""
+      WHERE finance_type = 'DF' AND CAST(project_id AS BIGINT) % 8 = 0) t"""
 
 
 WIDE_HEADER_PREFIX = ["﻿Country", "Indicator", "Unit"]

@@ -87,8 +87,9 @@ ENRICHMENT_SOURCE = SourceSpec(
     finance_type="DF",
     rank=9,
     fields={
-        "project_id": text(["AidData Record ID", "project_id"], transform="direct_or_hash"),
-        "project_name": text(["Title", "Project Name", "project_name"], transform="coalesce_string"),
+        "project_id": text(["AidData Record ID", "project_id"], label="AidData Record ID", transform="direct_or_hash"),
+        "project_name": text(["Title", "Project Name", "project_name"], label="Title | Project Name",
+                             transform="coalesce_string"),
         "sector": text(["Sector Name", "Sector"], transform="coalesce_string"),
         "province": text(["Available ADM1 Level", "Province"], transform="coalesce_string"),
         "district": text(["Available ADM2 Level", "District"], transform="coalesce_string"),

@@ -12,6 +12,7 @@ on shared storage).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +31,10 @@ def raw_text_schema(header: list[str]) -> T.StructType:
 def _existing_keys(spark: SparkSession, table_path: str) -> DataFrame:
     try:
         return spark.read.schema(CANONICAL_SCHEMA).parquet(table_path).select("project_id", "finance_type")
-    except Exception:  # noqa: BLE001 - no table yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # no table yet
         return spark.createDataFrame([], "project_id string, finance_type string")
 
 

@@ -132,7 +132,7 @@ def test_e47_finance_fallback_and_order(spark):
 
 
 def test_b11_blank_rows_dropped_before_counting(spark):
-    from finlens.operators.conform import conform_source, source_counts
+    from finlens.operators.conform import conform_source, source_profile
     from finlens.sources.registry import COUNTRY_SOURCE
 
     raw = spark.createDataFrame(
@@ -140,7 +140,7 @@ def test_b11_blank_rows_dropped_before_counting(spark):
         "a string, b string, c string, d string, row_ord long",
     ).toDF("Investor or Builder", "Sector", "Country", "Year", "row_ord")
     assert conform_source(raw, COUNTRY_SOURCE).count() == 1
-    counts = source_counts(raw, COUNTRY_SOURCE).first()
+    counts = source_profile(raw, COUNTRY_SOURCE).first()
     assert counts["rows_in_source"] == 1 and counts["rows_excluded"] == 0
 
 

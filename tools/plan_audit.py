@@ -21,11 +21,11 @@ FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "
 
 
 def audit(spark, sf_dir: str) -> dict[str, dict[str, int]]:
-    import __spark_entry__ as entry
+    from finlens.plans import all_queries
 
     out = {}
-    for name, fn in sorted(entry.queries().items()):
-        plan = fn(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    for name, q in sorted(all_queries().items()):
+        plan = q.build(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         out[name] = {p: len(re.findall(p, plan)) for p in WATCH}
     return out
 
