@@ -10,6 +10,7 @@ resolves to are written out by hand).
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,9 @@ from finlens.operators.conform import conform_source, text
 from finlens.operators.etl import EtlResult, run_etl
 from finlens.plans.registry import register
 from finlens.schema import CANONICAL_FIELDS
+from finlens.session import ensure_checkpoint_dir
 from finlens.sources.fixtures import projects, with_projects
+from finlens.sources.files import run_from_folder
 from finlens.sources.raw_fixtures import raw_source, raw_source_sql
 from finlens.sources.registry import ALL_SOURCES, COUNTRY_SOURCE, DF_SOURCE, FIXTURE_OF
 
@@ -116,7 +119,7 @@ df0 AS (
 df1 AS (SELECT {CANON_IDS.format(gid=_gen_id('development_finance'))}, 'development_finance' AS source_name,
                0 AS source_rank, row_ord FROM df0),
 tr0 AS (
-  SELECT CAST(NULL AS VARCHAR) AS project_id, {_txt('coalesce(c0, c1)')} AS project_name, 'FDI' AS finance_type,
+  SELECT CAST(NULL AS VARCHAR) AS project_id, {_txt("coalesce(nullif(c0, ''), c1)")} AS project_name, 'FDI' AS finance_type,
          {_txt('c2')} AS sector, {_txt('c3')} AS province, CAST(NULL AS VARCHAR) AS district,
          CAST(NULL AS DOUBLE) AS latitude, CAST(NULL AS DOUBLE) AS longitude, CAST(NULL AS VARCHAR) AS status,
          CAST(NULL AS DATE) AS approval_date, CAST(NULL AS DATE) AS construction_start_date,
@@ -213,6 +216,42 @@ def enrichment_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.enriched.agg(F.count_if(F.col("enriched")).alias("rows_touched"), F.count(F.lit(1)).alias("rows_total"))
 
 
+ROWS_PER_FILE = 4000
+
+
+def _raw_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The raw stand-ins as a folder of CSV files, several per source with
+    shared keys, in the order of their rows; written whole."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/finlens-raw-{uuid.uuid4().hex}"
+    for spec in ALL_SOURCES:
+        rows = raw_source(spark, sf_dir, FIXTURE_OF[spec.name])
+        header = [h for h in rows.columns if h != "row_ord"]
+        cells = rows.toDF(*[f"c{i}" if h != "row_ord" else h for i, h in enumerate(rows.columns)])
+        if "row_ord" not in cells.columns:
+            cells = cells.withColumn("row_ord", F.lit(0).cast("bigint"))
+        names = [c for c in cells.columns if c != "row_ord"]
+        line = cells.select(
+            F.lpad(F.floor(F.greatest("row_ord", F.lit(0)) / ROWS_PER_FILE).cast("string"), 9, "0").alias("part"),
+            F.col("row_ord").cast("bigint").alias("at"), F.to_csv(F.struct(*names)).alias("value"))
+        title = ",".join('"' + h + '"' if h else "" for h in header)
+        titles = line.select("part").distinct().select("part", F.lit(-(1 << 62)).alias("at"), F.lit(title).alias("value"))
+        lines = line.unionByName(titles).repartition("part").sortWithinPartitions("part", "at")
+        # the lines are CSV already: written as they are, under a .csv name
+        lines.select("part", "value").write.partitionBy("part").options(
+            sep="\u0001", quote="\u0002", escapeQuotes="false", ignoreLeadingWhiteSpace="false",
+            ignoreTrailingWhiteSpace="false").csv(f"{base}/raw/{spec.name}")
+    return base
+
+
+@register("file_conform_run", ["A1", "A2", "A3", "A7", "A8", "A10", "H1", "H2", "W1"],
+          _wrap(ENRICH_SQL, "SELECT * FROM final"))
+def file_conform_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run from a folder of CSV files: discover, route by file name, read
+    in file order, conform, enrich, keep first, write, read back."""
+    base = _raw_folder(spark, sf_dir)
+    return run_from_folder(spark, f"{base}/raw", f"{base}/out").projects
+
+
 def _pct(num: str, den: str) -> str:
     return f"CASE WHEN {den} > 0 THEN ({num} * 20000 + {den}) // (2 * {den}) / 100.0 END"
 

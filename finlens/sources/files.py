@@ -6,14 +6,19 @@ filesystem directly, so the same code runs against shared cluster storage.
 
 from __future__ import annotations
 
+import re
+from dataclasses import replace
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from finlens.operators import quality as Q
-from finlens.operators.conform import coerce_schema
+from finlens.operators.conform import SourceSpec, coerce_schema
+from finlens.operators.etl import EtlResult, run_etl
 from finlens.schema import CANONICAL_FIELDS, CANONICAL_SCHEMA
+from finlens.sources.registry import ALL_SOURCES
 
 RAW_EXTENSIONS = "*.{csv,xlsx,xls}"
 
@@ -21,32 +26,49 @@ RAW_EXTENSIONS = "*.{csv,xlsx,xls}"
 def discover_raw_files(spark: SparkSession, raw_dir: str, pattern: str = RAW_EXTENSIONS) -> DataFrame:
     """A1: recursive listing of raw files by extension, sorted by path.
     Only file metadata is read (the content column is pruned)."""
-    listing = (
+    listing = _listing(spark, raw_dir, pattern).select("path", "length", "modificationTime")
+    return listing.withColumn("file_name", F.element_at(F.split("path", "/"), -1)).orderBy("path")
+
+
+def _listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
-        .load(raw_dir)
-        .select("path", "length", "modificationTime")
+        .load(path)
     )
-    return listing.withColumn("file_name", F.element_at(F.split("path", "/"), -1)).orderBy("path")
 
 
-def read_csv_source(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """A2: a raw CSV as all-text columns (header row 0, no type inference).
-
-    Adds ``row_ord``, the row's position in file order: with ``multiLine``
-    a file is read by one task in order, so the per-task increasing id
-    follows the file.  Header cleanup (BOM, blanks, repeats) happens in
-    conform.
-    """
-    df = (
-        spark.read.option("header", "true")
-        .option("inferSchema", "false")
+def _csv(spark: SparkSession, multi_line: bool):
+    return (
+        spark.read.option("inferSchema", "false")
         .option("multiLine", str(multi_line).lower())
         .option("mode", "PERMISSIVE")
-        .csv(path)
+        .option("recursiveFileLookup", "true")
+    )
+
+
+def read_csv_source(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A2: a raw CSV (a file, a folder of files, or a glob of either) as
+    all-text columns, header row 0, no type inference.
+
+    The header is taken from the first file as it stands (blanks and repeats
+    included; conform cleans it); all files of a source share it.  Large
+    files are split, unless cells may hold line breaks (``multi_line``).
+
+    Adds ``row_ord``, a (file, block, position) struct that orders rows as
+    the files do: by path, then by where the split starts, then by the row's
+    place in its split (a split is read by one task, in order).
+    """
+    first = _listing(spark, path).agg(F.min("path")).first()[0]
+    header = list(_csv(spark, multi_line).csv(first).first())
+    rows = _csv(spark, multi_line).option("header", "true").csv(path)
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("position"),
     )
-    return df.withColumn("row_ord", F.monotonically_increasing_id())
+    return rows.select("*", place.alias("row_ord")).toDF(*["" if h is None else h for h in header], "row_ord")
 
 
 def read_projects_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -101,7 +123,7 @@ def quality_report(projects: DataFrame, warnings: DataFrame, loads: DataFrame, r
     and missing % per canonical column.  The arrays hold one entry per
     (source, rule) and per source — bounded by the registry, not the data."""
     w = warnings.agg(F.collect_list(F.struct(*[F.col(f.name) for f in WARNING_STRUCT.fields]))).scalar()
-    ld = loads.agg(F.collect_list(F.struct(*[F.col(f.name).cast(f.dataType) for f in LOAD_STRUCT.fields]))).scalar()
+    ld = loads.agg(F.collect_list(F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LOAD_STRUCT.fields]))).scalar()
     mp = Q.missing_pct(projects).agg(
         F.map_from_entries(F.collect_list(F.struct("column_name", "missing_pct")))).scalar()
     rows = projects.agg(F.count(F.lit(1)).alias("row_count"))
@@ -121,37 +143,80 @@ def write_quality_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
+def _stub(spark: SparkSession, path: str, warning: str, message: str, projects: DataFrame | None) -> DataFrame:
+    """The document shown for a report that cannot be read: one warning, and
+    missing % from ``projects`` (100 for an empty or unknown table)."""
+    if projects is None:
+        projects = spark.createDataFrame([], CANONICAL_SCHEMA)
+    warnings = spark.createDataFrame([(path, warning, message)], WARNING_STRUCT)
+    return quality_report(projects, warnings, spark.createDataFrame([], LOAD_STRUCT), 0).withColumn(
+        "generated_at_utc", F.lit(None).cast("string"))
+
+
 def read_quality_report(spark: SparkSession, path: str, projects: DataFrame | None = None) -> DataFrame:
-    """Read the report back with its schema.
+    """Read the report back, always as one row.
 
-    Unparsable content -> a stub with one 'unreadable_quality_report'
-    warning; absent report -> missing % recomputed from ``projects`` (E26)
-    with empty warning and load lists.
+    The document may be indented.  Unparsable: a stub with one
+    'invalid_quality_json' warning, no rows counted, 100 % missing per column.
+    Absent: one 'quality_file_missing' warning, rows and missing % recomputed
+    from ``projects``.
     """
+    corrupt = T.StructField("_corrupt_record", T.StringType())
     try:
         raw = (
-            spark.read.schema(T.StructType(REPORT_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())]))
+            spark.read.schema(T.StructType([*REPORT_SCHEMA.fields, corrupt]))
+            .option("multiLine", "true")
             .option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_corrupt_record")
             .json(path)
         )
-    except AnalysisException:
-        if projects is None:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return quality_report(projects, spark.createDataFrame([], WARNING_STRUCT),
-                              spark.createDataFrame([], LOAD_STRUCT), 0).withColumn(
-            "generated_at_utc", F.lit(None).cast("string"))
-    bad = F.col("_corrupt_record").isNotNull()
-    stub_warning = F.array(F.struct(
-        F.lit(path).alias("source_name"), F.lit("unreadable_quality_report").alias("warning_type"),
-        F.lit("Quality report could not be parsed.").alias("message")))
-    return raw.select(
-        F.when(bad, F.lit(None).cast("string")).otherwise(F.col("generated_at_utc")).alias("generated_at_utc"),
-        F.when(bad, F.lit(0).cast("bigint")).otherwise(F.col("raw_file_count")).alias("raw_file_count"),
-        F.when(bad, F.lit(0).cast("bigint")).otherwise(F.col("row_count")).alias("row_count"),
-        F.when(bad, F.lit(1).cast("bigint")).otherwise(F.col("warning_count")).alias("warning_count"),
-        F.when(bad, stub_warning).otherwise(F.col("warnings")).alias("warnings"),
-        F.when(bad, F.array().cast(T.ArrayType(LOAD_STRUCT))).otherwise(F.col("source_loads")).alias("source_loads"),
-        F.when(bad, F.create_map().cast(T.MapType(T.StringType(), T.DoubleType())))
-        .otherwise(F.col("missing_pct")).alias("missing_pct"),
-    )
+        return _stub(spark, path, "quality_file_missing", "There is no quality report yet.", projects)
+    names = [f.name for f in REPORT_SCHEMA.fields]
+    document = raw.agg(F.first(F.struct(*names, "_corrupt_record")).alias("d")).select("d.*")
+    good = F.col("_corrupt_record").isNull() & F.col("row_count").isNotNull()
+    bad = _stub(spark, path, "invalid_quality_json", "The quality report is not valid JSON.", None)
+    # exactly one of the two one-row documents remains
+    broken = document.agg(F.count_if(good)).scalar() == 0
+    return document.where(good).select(*names).unionByName(bad.select(*names).where(broken))
+
+
+# where the registered sources lie under the raw folder: files, or folders of
+# files, of that name
+ROUTES = {spec.name: f"{spec.name}*" for spec in ALL_SOURCES}
+
+
+def run_from_folder(spark: SparkSession, raw_dir: str, out_dir: str, routes: dict[str, str] | None = None,
+                    specs: list[SourceSpec] | None = None, multi_line: bool = False) -> EtlResult:
+    """The whole conform run from files (A1, A2, A7, A8, A10): discover, route
+    by name, read, conform, enrich, dedup, and write under ``out_dir`` the
+    canonical table (``projects``), the quality report (``quality_report``)
+    and the lineage (``source_loads``, ``mapping_audit``).
+
+    ``routes`` maps a source to a glob of files or folders in ``raw_dir``; a
+    source that matches none counts as missing.  Only file counts reach the
+    driver; the outputs are written from one lazy run.
+    """
+    routes = routes or ROUTES
+    specs = specs or ALL_SOURCES
+    base, out = raw_dir.rstrip("/"), out_dir.rstrip("/")
+    files = discover_raw_files(spark, base)
+    entry = F.element_at(F.split(F.substring_index("path", base + "/", -1), "/"), 1)
+
+    def fits(glob: str):
+        return entry.rlike("^" + "[^/]*".join(map(re.escape, glob.split("*"))) + "$")
+
+    wanted = [s for s in specs if s.name in routes]
+    found = files.agg(F.count(F.lit(1)).alias("_files"),
+                      *[F.count_if(fits(routes[s.name])).alias(s.name) for s in wanted]).first()
+    raw = {s.name: read_csv_source(spark, f"{base}/{routes[s.name]}", multi_line) for s in wanted if found[s.name]}
+    result = run_etl(spark, raw, specs, parser="csv")
+    write_projects(result.projects, f"{out}/projects")
+    projects = read_projects_parquet(spark, f"{out}/projects")
+    result.loads.write.mode("overwrite").parquet(f"{out}/source_loads")
+    result.mapping_audit.write.mode("overwrite").parquet(f"{out}/mapping_audit")
+    loads = spark.read.parquet(f"{out}/source_loads")
+    write_quality_report(quality_report(projects, result.warnings, loads, found["_files"]), f"{out}/quality_report")
+    return replace(result, projects=projects, loads=loads)
