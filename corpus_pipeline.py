@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finlens.llm import decontaminate, language_id, mixing, near_dedup, substring_dedup
-from finlens.llm.store import crc_bucket, save
+from finlens.llm.store import crc_bucket, save, spare_name
 from finlens.sources.tables import read_table
 
 WORD = r"[^\x20\x09-\x0D]"
@@ -21,8 +21,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told apart clearly; others go (no text, no
     letter, or nearly equal sizes under two languages)."""
     content = language_id.learn(docs.where(crc_bucket(F.col("doc_id"), 4) != 2))
-    found = docs.withColumn("_p", language_id.predict(content, F.col("text")))
-    return found.where(F.col("_p.score") >= language_id.MIN_MARGIN).select(*docs.columns)
+    found = spare_name(docs, "_found")
+    rows = docs.withColumn(found, language_id.predict(content, F.col("text")))
+    return rows.where(F.col(found)["score"] >= language_id.MIN_MARGIN).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +40,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    hits = decontaminate.contamination(read_table(spark, sf_dir, "benchmark"), F.col("text"))
-    return docs.withColumn("_hits", hits).where(F.size("_hits") == 0).select(*docs.columns)
+    hits = spare_name(docs, "_hits")
+    items = read_table(spark, sf_dir, "benchmark")
+    rows = docs.withColumn(hits, decontaminate.contamination(items, F.col("text")))
+    return rows.where(F.size(hits) == 0).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -394,7 +394,8 @@ def scores(df: DataFrame, training, id_col: str = "doc_id", text_col: str = "tex
     """id, held_out (not ``training``), n_tokens, n_known, train_tokens,
     base_score, score for every row; ``training`` is a condition on ``id``."""
     sc = df.sparkSession.sparkContext
-    docs = pick(df, id=id_col, t=text_col).select("id", "t", (~training).alias("held_out"))
+    docs = pick(df, id=id_col, t=text_col).select(F.col("id").cast("bigint").alias("id"), "t")
+    docs = docs.withColumn("held_out", ~F.coalesce(training, F.lit(False)))
     counts = save(word_counts(docs.where(~F.col("held_out"))), "word-counts")
     vocab, mass = vocabulary(counts, vocabulary_size, tail)
     p = np.concatenate([vocab.counts + SMOOTH, mass, [vocab.ends + SMOOTH]])

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from finlens.llm.components import components
-from finlens.llm.store import partitions, pick, save
+from finlens.llm.store import partitions, pick, save, spare_name
 from finlens.llm.textops import U64, Words, mix, ngram_hashes, slices
 
 BANDS, BAND_SIZE, AGREE = 15, 3, 3
@@ -252,12 +252,12 @@ def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (of equal ids the smaller text hash, of equal rows any one); rows without
     words all stay."""
     rows = grouped(pick(df, id=id_col, t=text_col), n, **options)
+    fid, fth, h, place = (spare_name(df, n) for n in ("_fid", "_fth", "_h", "_place"))
     first = rows.where("n > 0").groupBy("label").agg(F.min(F.struct("id", "th")).alias("k")).select(
-        F.col("k.id").alias("_id"), F.col("k.th").alias("_th"))
-    keyed = df.withColumn("_h", F.xxhash64(text_col))
+        F.col("k.id").alias(fid), F.col("k.th").alias(fth)).distinct()
+    keyed = df.withColumn(h, F.xxhash64(text_col))
     wordless = F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    kept = keyed.where(~wordless).join(
-        first.distinct(), keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")))
-    same = Window.partitionBy(id_col, "_h").orderBy(F.lit(0))
-    kept = kept.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*df.columns)
+    kept = keyed.where(~wordless).join(first, keyed[id_col].eqNullSafe(F.col(fid)) & (F.col(h) == F.col(fth)))
+    same = Window.partitionBy(id_col, h).orderBy(F.lit(0))
+    kept = kept.withColumn(place, F.row_number().over(same)).where(F.col(place) == 1).select(*df.columns)
     return kept.unionByName(df.where(wordless))

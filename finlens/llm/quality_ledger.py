@@ -51,7 +51,7 @@ RULES = (
     Rule(0, "few_words", "n_words < 10"),
     Rule(1, "repeated_windows", "100 * n_repeat_words > 20 * n_words"),
     Rule(2, "symbols", "10 * n_symbols > n_words"),
-    Rule(3, "duplicate_lines", "n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines"),
+    Rule(3, "duplicate_lines", "n_lines >= 4 and 2 * n_dup_lines > n_lines"),
     Rule(4, "word_length", "n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words)"),
     Rule(5, "shouting", "n_letters > 0 and 2 * n_upper > n_letters"),
     Rule(6, "exclamations", "5 * n_shout_words > n_words"),

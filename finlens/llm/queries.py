@@ -103,7 +103,7 @@ b AS (
   SELECT *, CAST(CASE WHEN n_words < 10 THEN 1 ELSE 0 END
        + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
        + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END
-       + CASE WHEN n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
+       + CASE WHEN n_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
        + CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) THEN 16 ELSE 0 END
        + CASE WHEN n_letters > 0 AND 2 * n_upper > n_letters THEN 32 ELSE 0 END
        + CASE WHEN 5 * n_shout_words > n_words THEN 64 ELSE 0 END AS BIGINT) AS fail_mask FROM f)

@@ -41,3 +41,11 @@ def crc_bucket(doc_id, modulus: int):
     """crc32 of the decimal text of ``doc_id`` modulo ``modulus`` (null id: the
     crc of the empty string, 0)."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
+
+
+def spare_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, for a column that goes again."""
+    have = {c.lower() for c in df.columns}
+    while stem in have:
+        stem += "_"
+    return stem

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from finlens.llm.store import partitions, pick
+from finlens.llm.store import partitions, pick, spare_name
 from finlens.llm.textops import U64, Words, mix, ngram_hashes, slices
 
 WINDOW, GRAM = 20, 8
@@ -345,22 +345,24 @@ def _kept_text(window: int):
     return F.arrow_udf(keep, "string")
 
 
-def _with_repeats(df: DataFrame, id_col: str, text_col: str, window: int, **options) -> DataFrame:
-    """``df`` plus ``_starts`` and ``_runs``."""
+def _with_repeats(df: DataFrame, id_col: str, text_col: str, window: int, **options) -> tuple[DataFrame, str, str]:
+    """``df`` plus two columns, named as returned: the starts and runs of the
+    later windows of each text."""
     late = repeated_windows(df, id_col, text_col, window, **options)
-    late = late.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("starts").alias("_starts"),
-                       F.col("runs").alias("_runs"))
+    kid, kth, lid, lth, starts, runs = (spare_name(df, n) for n in ("_kid", "_kth", "_lid", "_lth", "_starts", "_runs"))
+    late = late.withColumnsRenamed({"id": lid, "th": lth, "starts": starts, "runs": runs})
     keyed = df.withColumns({
-        "_kid": F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))), "_kth": F.xxhash64(text_col)})
-    return keyed.join(late, (F.col("_kid") == F.col("_id")) & (F.col("_kth") == F.col("_th")), "left").drop(
-        "_kid", "_kth", "_id", "_th")
+        kid: F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))), kth: F.xxhash64(text_col)})
+    rows = keyed.join(late, (F.col(kid) == F.col(lid)) & (F.col(kth) == F.col(lth)), "left")
+    return rows.drop(kid, kth, lid, lth), starts, runs
 
 
 def dedup_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
                  **options) -> DataFrame:
     """id, n_words, n_removed, kept_sha256 (kept words joined by one space)."""
-    rows = _with_repeats(pick(df, **{id_col: id_col, text_col: text_col}), id_col, text_col, window, **options)
-    rows = rows.select(id_col, _digest(window)(text_col, "_starts", "_runs").alias("_d"))
+    rows, starts, runs = _with_repeats(
+        pick(df, **{id_col: id_col, text_col: text_col}), id_col, text_col, window, **options)
+    rows = rows.select(id_col, _digest(window)(text_col, starts, runs).alias("_d"))
     return rows.select(id_col, "_d.n_words", "_d.n_removed", "_d.kept_sha256")
 
 
@@ -368,6 +370,6 @@ def dedup_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                **options) -> DataFrame:
     """``df`` with ``text_col`` replaced: removed words go, each with the white
     space after it; all other columns and texts stay as they are."""
-    rows = _with_repeats(df, id_col, text_col, window, **options)
-    kept: Column = _kept_text(window)(text_col, "_starts", "_runs")
+    rows, starts, runs = _with_repeats(df, id_col, text_col, window, **options)
+    kept: Column = _kept_text(window)(text_col, starts, runs)
     return rows.withColumn(text_col, kept).select(*df.columns)
