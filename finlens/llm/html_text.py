@@ -17,7 +17,8 @@ the whole body.  Dropped: navigation, page headers and footers (a header's
 headings inside an article stay), asides, forms, scripts, styles, hidden
 parts, and elements whose class, id or role names a menu, sidebar, notice,
 advert, share bar, related links or reader comments, unless they hold the
-article.  Article, main, what holds them, and headings are never template.
+article.  Article, main, what holds them, headings, and an article's running text
+(paragraphs, list items) are never template, however many pages share them.
 
 Text: character references are decoded, white space inside a block becomes
 one space, blocks are joined in page order by an empty line.
@@ -61,6 +62,8 @@ _BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody "
     "tfoot thead tr ul caption".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# inside an article only these can be template; its running text never is
+_CONTAINERS = frozenset("center details div dl fieldset figure ol section table ul".split())
 # an opening tag ends the nearest open one of these, if no barrier lies between
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -206,7 +209,8 @@ class Page:
             article[i] = article[up] or tag == "article" and holds[i]
             scope[i] = article[i] or scope[up] or tag == "main" and holds[i]
             ruled = self.dropped[i] and (not only_tags or tag in _DROP)
-            gone[i] = gone[up] or not free and (ruled or not heading[i] and self.key[i] in template)
+            fixed = heading[i] or scope[i] and tag not in _CONTAINERS
+            gone[i] = gone[up] or not free and (ruled or not fixed and self.key[i] in template)
             header[i] = not free and (header[up] or self.header[i])
             silent[i] = gone[i] or header[i] and not (heading[i] and scope[i])
         return silent, article, scope, holds

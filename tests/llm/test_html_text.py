@@ -56,7 +56,14 @@ def test_repeated_pages_keep_their_article(spark):
     df = spark.createDataFrame([(1, "http://a.com/", page)] * 30, PAGES)
     templates = H.site_templates(df.selectExpr("'a.com' host", "html")).collect()
     assert len(templates) == 1 and len(templates[0]["keys"]) == 3  # heading, paragraph and chrome
-    assert {r.text for r in H.main_text(df, min_pages=100).collect()} == {"Same\n\nArticle text"}
+    assert {r.text for r in H.main_text(df).collect()} == {"Same\n\nArticle text"}
+
+
+def test_repeated_boxes_inside_articles_go(spark):
+    page = "<article><h1>Page {0}</h1><p>Shared line</p><p>own {0}</p><div><p>Read our guide</p></div></article>"
+    df = spark.createDataFrame([(i, "http://a.com/", page.format(i)) for i in range(30)], PAGES)
+    got = by_id(H.main_text(df), "page_id")
+    assert got[7].text == "Page 7\n\nShared line\n\nown 7"
 
 
 def test_empty_table(spark):
