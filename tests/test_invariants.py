@@ -78,3 +78,48 @@ def test_facet_filters_and_type_lock_reach_the_scan(spark, small_dir):
     assert "ReadSchema: struct<project_id:string,status:string>" in plan
     locked = R.lock_finance_type(p, "fdi").select("committed_usd")
     assert "PartitionFilters: [" in _plan(locked) and "finance_type" in _plan(locked).split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_dashboard_filter_with_options_reaches_the_scan(spark, small_dir):
+    """C4 given the option lists: plain predicates, pushed and pruning."""
+    from finlens.operators import facets as FC
+
+    p = projects(spark, small_dir)
+    options = FC.option_lists(p, ["finance_type", "status", "year"])
+    assert options["finance_type"] == ["DF", "FDI"]
+    selection = {"finance_type": ["fdi"], "status": ["Completion", "Delayed"], "year": [1996, 1997]}
+    plan = _plan(FC.apply_facets(p, selection, options).select("project_id"))
+    pushed = plan.split("PushedFilters: [")[1].split("]\n")[0]
+    assert "In(status, [Completion,Delayed])" in pushed and "In(year, [1996,1997])" in pushed
+    assert "finance_type" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "Subquery" not in plan
+    same = FC.apply_facets(p, selection)
+    assert FC.apply_facets(p, selection, options).count() == same.count() > 0
+    every = {"status": options["status"]}
+    assert FC.apply_facets(p, every, options).count() == p.count() == FC.apply_facets(p, every).count()
+
+
+def test_default_year_bounds_need_no_scan(spark, small_dir):
+    from finlens.operators import browser as B
+
+    plan = _plan(B.browser_filter(projects(spark, small_dir)).select("project_id"))
+    assert "IsNotNull(year)" in plan and "Not(EqualTo(year,0))" in plan and "Subquery" not in plan
+    assert plan.count("FileScan") == 1
+
+
+def test_keep_first_drops_losers_before_the_shuffle(spark):
+    """A key holding most rows sends one row per task."""
+    from finlens.operators.enrich import keep_first
+
+    hot = spark.range(0, 5000, 1, 4).select(
+        F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("k"), F.col("id").alias("ord"), F.lit("x").alias("v"))
+    first = keep_first(hot, ["k"], ["ord"])
+    plan = _plan(first)
+    assert "WindowGroupLimit" in plan and "Partial" in plan and "SortAggregate" not in plan
+    rows = {r["k"]: r["ord"] for r in first.collect()}
+    assert rows[-1] == 1 and len(rows) == 501
+
+
+def test_one_scan_of_facts_for_bucketed_shares(spark, small_dir):
+    p = projects(spark, small_dir)
+    assert _plan(R.sector_share_with_other(M.sector_concentration(p))).count("FileScan") <= 2
