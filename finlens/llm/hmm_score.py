@@ -45,7 +45,8 @@ SEGMENT, LONG = 128, 4096
 SMOOTH = 0.1  # of the base model and of words inside a class
 PULL = 1.0  # tokens' worth of the states' shares in what a symbol says of its state
 BLOCK = 1 << 13
-_CHUNK_TOKENS = 1 << 18
+_CHUNK_TOKENS = 1 << 16
+_SCORE_ROWS = 4000
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -112,22 +113,17 @@ class Vocabulary:
         return out.astype(np.int32), ~known
 
 
-def _hash_words(words: list[bytes]) -> tuple[np.ndarray, Words]:
-    w = Words(pa.array([x.decode("utf-8") for x in words], pa.large_string()))
-    return w.hashes(), w
-
-
 def vocabulary(counts: DataFrame, size: int, tail: int) -> tuple[Vocabulary, np.ndarray]:
     """The vocabulary and the smoothed mass of each tail class.
 
     Bounded: at most ``size`` rows and one row per class reach the driver.
     """
-    top = counts.where("word is not null").orderBy(F.desc("c"), "word").limit(size).collect()
+    top = counts.where("word is not null").orderBy(F.desc("c"), "word").limit(size).toArrow()
     totals = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"),
                         F.sum(F.when(F.col("word").isNull(), F.col("c"))).alias("ends")).first()
-    h, w = _hash_words([bytes(r["word"]) for r in top])
+    h = Words(top.column("word").cast(pa.string())).hashes()
     order = np.argsort(h)
-    vocab = Vocabulary(h[order], order.astype(np.int64), np.array([r["c"] for r in top], np.int64),
+    vocab = Vocabulary(h[order], order.astype(np.int64), top.column("c").to_numpy().astype(np.int64),
                        totals["ends"] or 0, totals["n"] or 0, totals["v"] if totals["ends"] else 0, tail)
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +295,7 @@ def baum_welch_pass(codes: DataFrame, model: Model) -> tuple[np.ndarray, np.ndar
     parts = codes.select("symbols").mapInArrow(expect, "b int, x binary")
     summed = parts.repartition(partitions(spark), "b").mapInArrow(add_up, "b int, x binary")
     emit, small = np.zeros((n_symbols, s)), np.zeros(1 + s + s * s)
-    for r in summed.toLocalIterator():
+    for r in summed.collect():  # at most one row per block
         x = np.frombuffer(r["x"], np.float64)
         if r["b"] < 0:
             small = x
@@ -375,9 +371,9 @@ def _partial_scores(vocab, model, mass: np.ndarray):
         known = np.concatenate([v.counts > 0, np.zeros(v.tail, bool), [v.ends > 0]])
         inside = np.zeros(len(c))
         inside[k:k + v.tail] = -np.log10(mass)
-        for batch in batches:
+        for batch in (b.slice(i, _SCORE_ROWS) for b in batches for i in range(0, b.num_rows, _SCORE_ROWS)):
             symbols, off = _lists(batch.column("symbols"))
-            like = log10_forward(symbols, off, m) if len(off) > 1 else np.empty(0)
+            like = log10_forward(symbols, off, m)
             at = off[:-1]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("id"), batch.column("held_out"), pa.array(np.diff(off)),

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 _P = U64(0x9E3779B97F4A7C15)
 _Q = U64(0xC2B2AE3D27D4EB4F)
