@@ -208,7 +208,8 @@ def _search(part):
             yield pa.array([[dict(zip(("item_id", "first_word", "n_words", "similarity"), h, strict=True)) for h in row]
                             for row in out], pa.list_(_HIT))
 
-    return F.arrow_udf(search, _HITS_DDL)
+    # else the planner may run the search once more to drop rows without hits
+    return F.arrow_udf(search, _HITS_DDL).asNondeterministic()
 
 
 def contamination(benchmark: DataFrame, text: Column, item_col: str = "item_id", item_text_col: str = "text",
