@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from finlens.llm.store import pick, save
+from finlens.llm.store import partitions, pick, save
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 512
@@ -124,6 +124,8 @@ def draw_slots(sources: DataFrame, n_slots: int, seed: int, cap: int) -> DataFra
     counts = running_start(counts, "n", F.floor(F.col("shard") / 4096), ["shard"], "first")
     about = sources.select(F.col("source").alias("_s"), "n_blocks")
     counts = counts.join(about, counts["source"].eqNullSafe(about["_s"])).drop("_s")
+    # few rows that become many: not left to one task
+    counts = counts.repartition(partitions(spark), "shard")
     k = counts.select("shard", "source", "n_blocks", F.explode(F.sequence(
         F.col("first"), F.col("first") + F.col("n") - 1)).alias("k")).where(F.col("k") < F.col("n_blocks") * cap)
     epoch = F.floor(F.col("k") / F.col("n_blocks"))
