@@ -193,7 +193,7 @@ def build_sketch(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, cell_b
         _partition_sketch(window, gram, cell_bits, block_bits), "row int, block int, once binary, more binary")
     merged = parts.repartition(partitions(rows.sparkSession), "row", "block").mapInArrow(
         _merge_blocks(block_bits), "row int, block int, repeated binary")
-    blocks = {(r["row"], r["block"]): bytes(r["repeated"]) for r in merged.toLocalIterator()}
+    blocks = {(r["row"], r["block"]): bytes(r["repeated"]) for r in merged.collect()}  # bounded by the cells
     return Sketch(blocks, cell_bits, block_bits)
 
 
