@@ -1,14 +1,15 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 1. Every document's words are counted; a source's documents follow each other
-   in a fixed pseudorandom order as one stream of words, cut into blocks of a
-   fixed length (of the source: ``block_words`` at most, shorter where a
-   corpus or a source is small, so that each has enough blocks to draw from).
+   in a fixed pseudorandom order as one stream of words, cut into blocks of
+   ``block_words`` words, whatever the size of corpus and source (a source's
+   last block holds what is left).
 2. Targets: the sources' weights share all words; a target stops at ``cap``
    times its source's size and the excess is shared again by weight.
-3. Each output shard draws its source counts from a multinomial: every slot
-   draws a source by inverse distribution, and the counts are grouped.  The
-   draws are hashes of (seed, shard, slot), so reruns agree.
+3. The slots of all shards are the places of a pseudorandom permutation of
+   the targets' slots, read by inverse distribution: each shard's source counts
+   are a multinomial draw given the totals, which are the targets to a slot.
+   The draws are keyed by the seed, so reruns agree.
 4. A source's slots are numbered over all shards.  Slot ``k`` maps to epoch
    ``k div blocks`` and to the block a pseudorandom permutation of the
    source's indexes (swap-or-not, keyed by source and epoch) gives to ``k mod
@@ -39,10 +40,8 @@ from pyspark.sql.window import Window
 from finlens.llm.store import partitions, pick, save
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK_WORDS = 512
-MIN_BLOCKS = 1 << 20
-MIN_SOURCE_BLOCKS = 1024
-SHARD_SLOTS = 1024
+BLOCK_WORDS = 32
+SHARD_SLOTS = 32
 CELLS = 4096
 ROUNDS = 12
 CHUNK_ROWS = 20_000
@@ -109,15 +108,14 @@ def permuted(k: Column, n: Column, *key: Column, rounds: int = ROUNDS) -> Column
 def draw_slots(sources: DataFrame, n_slots: int, seed: int, cap: int) -> DataFrame:
     """(shard, source, block): the output's slots, drawn shard by shard."""
     spark = sources.sparkSession
-    blocks_wanted = F.col("target") / F.col("block_words")
-    share = blocks_wanted / F.sum(blocks_wanted).over(Window.partitionBy())
+    share = F.col("n_slots") / F.sum("n_slots").over(Window.partitionBy())
     named = Window.orderBy("place")
     odds = sources.withColumn("lo", F.coalesce(F.sum(share).over(named.rowsBetween(*_BEFORE)), F.lit(0.0)))
     odds = odds.withColumn("hi", F.coalesce(F.lead("lo").over(named), F.lit(1.0)))
     odds = odds.where("hi > lo").withColumn(
         "cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
     slot = spark.range(n_slots).select(F.floor(F.col("id") / SHARD_SLOTS).alias("shard"), "id")
-    u = F.xxhash64(F.lit(seed), "shard", "id").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    u = (permuted(F.col("id"), F.lit(n_slots).cast("bigint"), F.lit(seed), F.lit("slots")) + 0.5) / F.lit(float(n_slots))
     slot = slot.withColumn("u", u).withColumn("cell", F.floor(F.col("u") * CELLS))
     drawn = slot.join(odds.select("cell", "lo", "hi", "source"), "cell").where("u >= lo and u < hi")
     counts = drawn.groupBy("shard", "source").agg(F.count(F.lit(1)).alias("n"))
@@ -142,13 +140,14 @@ def plan_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     size = F.coalesce(F.regexp_count("t", F.lit(WORD)), F.lit(0)).cast("bigint")
     sized = save(rows.select("id", F.col("source").cast("string").alias("source"), size.alias("size")), "mix-sizes")
     totals = sized.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
-    length = max(1, min(block_words, totals["words"] // MIN_BLOCKS))
-    own = F.greatest(F.lit(1), F.least(F.lit(length), F.floor(F.col("source_size") / MIN_SOURCE_BLOCKS))).cast("bigint")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
-    sources = sources.withColumn("block_words", own).withColumn(
+    sources = sources.withColumn("block_words", F.lit(block_words).cast("bigint")).withColumn(
         "n_blocks", F.ceil(F.col("source_size") / F.col("block_words")).cast("bigint"))
+    # a slot of the source holds source_size / n_blocks words in the mean
+    sources = sources.withColumn("n_slots", F.when(
+        F.col("source_size") > 0, F.col("target") * F.col("n_blocks") / F.col("source_size")).otherwise(0.0))
     sources = save(sources, "mix-sources")
-    wanted = sources.agg(F.sum(F.col("target") / F.col("block_words"))).first()[0]
+    wanted = sources.agg(F.sum("n_slots")).first()[0]
     slots = draw_slots(sources, int(-(-(wanted or 0) // 1)), seed, cap)
     chunks = max(1, totals["rows"] // CHUNK_ROWS)
     placed = running_start(sized, "size", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(chunks)), ["id", "size"], "start")

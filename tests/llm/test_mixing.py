@@ -74,6 +74,21 @@ def test_mix_meets_targets_and_limits(spark):
     assert again == {i: r.taken for i, r in got.items()}
 
 
+@pytest.mark.parametrize("times", [1, 40])
+def test_blocks_have_one_length_at_every_size(spark, times):
+    """Every piece is a whole block but a source's last; each source is within
+    two blocks of its target."""
+    sizes = {"big": 3000 * times + 5, "mid": 500 * times, "small": 70, "tiny": 3}
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in sizes.values()]
+    mix = M.plan_mix(documents(spark, texts, source=list(sizes)))
+    for r in M.mixed(mix).collect():
+        left = sizes[r.source] - r.from_word
+        assert (r.from_word, r.n_words) == (M.BLOCK_WORDS * r.block, min(M.BLOCK_WORDS, left))
+    want = fill(sizes)
+    for r in M.taken(mix).collect():
+        assert abs(r.taken - want[r.source]) <= 2 * M.BLOCK_WORDS
+
+
 def test_shards_vary_as_draws_do(spark):
     _, _, df = sample(spark)
     mix = M.plan_mix(df)
