@@ -2,15 +2,17 @@
 
 1. Every page is parsed to its elements; each element outside the parts that
    the rules below drop gets a hash of its subtree (tag, text, children).
-2. Spark counts, per host, the pages that hold each hash; a subtree on many
-   pages of its host (``MIN_PAGES`` at least, and ``MIN_SHARE`` of the host's
-   pages) is template.  Counts are partially aggregated, so a hot host costs
-   no more per task than any other.  As a template hash is on at least
-   ``MIN_SHARE`` of the pages, a host has at most ``1 / MIN_SHARE`` times the
-   subtrees of an average page as templates: its list is bounded.
-3. Each page is parsed once more with its host's list (joined by host; Spark
-   broadcasts it only if it is small), template subtrees and boilerplate are
-   deleted, and the text of the article is read off.
+2. Spark counts, per host, the pages that hold each hash.  A subtree is
+   template on ``MANY_PAGES`` pages of its host, however large the host, if
+   they are ``MANY_SHARE`` of them (a guard against short texts that recur by
+   chance on very large hosts), or on ``MIN_PAGES`` that are ``MIN_SHARE`` of a
+   small host.  Counts are partially aggregated, so a hot host costs no more
+   per task than any other.
+3. The (host, hash) rows of templates are joined to the pages' own hashes, so
+   a page gets the templates it holds, never a list of its host.  Each page is
+   parsed once more with these; template subtrees and boilerplate are deleted,
+   and the text of the article is read off.  Pages meet their hashes by a
+   digest of host and source, so copies share one row.
 
 The article is the content of ``article`` elements, else of ``main``, else of
 the whole body.  Dropped: navigation, page headers and footers (a header's
@@ -44,6 +46,7 @@ from finlens.llm.store import pick, save
 from finlens.llm.url_filter import host_and_path
 
 MIN_PAGES, MIN_SHARE = 8, 0.5
+MANY_PAGES, MANY_SHARE = 32, 0.01
 
 # comments, declarations, tags; a tag whose quotes do not pair ends at the next >
 _TOKEN = re.compile(
@@ -271,43 +274,59 @@ def _judged(tag: str, attributes: str) -> tuple[bool, bool]:
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, keys = [], []
-        for host, html in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
-            found = Page(html.as_py() or "").subtrees()
-            hosts += [host] * len(found)
-            keys += found
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64())], names=["host", "key"])
-
-
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, keys): hashes of the template subtrees of each host that has
-    any, of ``pages`` (host, html)."""
-    seen = pages.mapInArrow(_subtrees, "host string, key bigint").groupBy("host", "key").agg(
-        F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
-    return seen.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(
+        keys = [list(Page(html.as_py() or "").subtrees()) for html in batch.column("html")]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("page"), batch.column("host"), pa.array(keys, pa.list_(pa.int64()))], names=["page", "host", "keys"])
+
+
+def page_subtrees(pages: DataFrame) -> DataFrame:
+    """(page, host, keys): the subtree hashes of each row of ``pages`` (page,
+    host, html)."""
+    return pages.select("page", "host", "html").mapInArrow(_subtrees, "page binary, host string, keys array<bigint>")
+
+
+def template_keys(subtrees: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+                  many_pages: int = MANY_PAGES, many_share: float = MANY_SHARE) -> DataFrame:
+    """(host, key): the template subtrees, of ``subtrees`` (host, keys)."""
+    n, pages, least = F.col("n"), F.col("pages"), min(min_pages, many_pages)
+    seen = subtrees.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(
+        F.count(F.lit(1)).alias("n")).where(n >= least)
+    sizes = subtrees.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(pages >= least)
+    few = (n >= min_pages) & (n >= min_share * pages)
+    many = (n >= many_pages) & (n >= many_share * pages)
+    return seen.join(sizes, "host").where(few | many).select("host", "key")
+
+
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+                   many_pages: int = MANY_PAGES, many_share: float = MANY_SHARE) -> DataFrame:
+    """(host, keys): the template subtrees of ``pages`` (host, html) as lists,
+    to look at; ``main_text`` needs no list of a host."""
+    found = page_subtrees(pages.withColumn("page", F.lit(None).cast("binary")))
+    return template_keys(found, min_pages, min_share, many_pages, many_share).groupBy("host").agg(
         F.collect_list("key").alias("keys"))
 
 
 def _extract(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for html, keys in batches:
-        out, known = [], {}
+        out = []
         for source, found in zip(html, keys, strict=True):
-            ids = tuple(found.as_py() or ())
-            if ids not in known:
-                known[ids] = frozenset(k.to_bytes(8, "big", signed=True) for k in ids)
-            out.append(Page(source.as_py() or "").text(known[ids]))
+            template = frozenset(k.to_bytes(8, "big", signed=True) for k in found.as_py() or ())
+            out.append(Page(source.as_py() or "").text(template))
         yield pa.array(out, pa.string())
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-              min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+              min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+              many_pages: int = MANY_PAGES, many_share: float = MANY_SHARE) -> DataFrame:
     """One row per page: id, url, text, n_chars."""
     pages = pick(df, id=id_col, _u=url_col, html=html_col)
     pages = pages.withColumn("host", host_and_path(F.col("_u"))[0]).withColumn("host", F.coalesce("host", F.lit("")))
-    templates = save(site_templates(pages.select("host", "html"), min_pages, min_share), "site-templates")
-    templates = templates.withColumnsRenamed({"host": "_host"})
-    rows = pages.join(templates, pages["host"] == templates["_host"], "left")
+    pages = pages.withColumn("page", F.unhex(F.md5(F.concat_ws("\n", F.length("host"), "host", "html").cast("binary"))))
+    subtrees = save(page_subtrees(pages), "page-subtrees")
+    templates = save(template_keys(subtrees, min_pages, min_share, many_pages, many_share), "site-templates")
+    own = subtrees.select("page", "host", F.explode("keys").alias("key")).join(templates, ["host", "key"])
+    own = own.groupBy("page").agg(F.collect_set("key").alias("keys"))
+    rows = pages.join(own.withColumnsRenamed({"page": "_page"}), F.col("page") == F.col("_page"), "left")
     text = F.arrow_udf(_extract, "string")("html", "keys")
     return rows.select(F.col("id").alias(id_col), F.col("_u").alias(url_col), text.alias("text")).withColumn(
         "n_chars", F.length("text").cast("bigint"))

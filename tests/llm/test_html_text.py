@@ -66,5 +66,18 @@ def test_repeated_boxes_inside_articles_go(spark):
     assert got[7].text == "Page 7\n\nShared line\n\nown 7"
 
 
+def test_templates_of_a_part_of_a_host_go(spark):
+    """A box on all pages of a small part of a mixed host (one language) is
+    template there; a box on few pages is not, nor a chance repeat under the
+    small share."""
+    rows = [(i, f"http://a.com/{i}", f"<div><p>text {i}</p></div>" + ("<div><p>Lisez notre guide</p></div>" if i < 40 else "")
+             + ("<div><p>on few pages</p></div>" if i % 40 == 1 else "")) for i in range(320)]
+    df = spark.createDataFrame(rows, PAGES)
+    got = by_id(H.main_text(df), "page_id")
+    assert got[7].text == "text 7" and got[1].text == "text 1\n\non few pages" and got[300].text == "text 300"
+    got = by_id(H.main_text(df, many_share=0.2), "page_id")
+    assert got[7].text == "text 7\n\nLisez notre guide"
+
+
 def test_empty_table(spark):
     assert H.main_text(spark.createDataFrame([], PAGES)).collect() == []
