@@ -8,7 +8,9 @@ every text (a shorter text is one window) are compared on 5-word shingles:
    shingle occurs in any item (a bitmap, then a sorted search) rule out all
    other windows without loss.
 2. Fingerprints.  The remaining windows get a 64-bit SimHash of their
-   shingles, weighted by how often each occurs in the window.
+   shingles, each numbered by its occurrence in the window: the sets of
+   (shingle, number) have the weighted Jaccard similarity of the shingles, and
+   a repeated one moves no bit more than others do.
 3. Multi-index.  Fingerprints are cut into ``RADIUS + 1`` blocks.  Two
    fingerprints within ``RADIUS`` bits agree in at least one block, so looking
    up every block among the items of that length finds all of them; the exact
@@ -55,6 +57,20 @@ def simhash(grams: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.packbits(total > 0, axis=1).view(U64).ravel()
 
 
+def numbered(grams: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """``grams`` with the later occurrences of a gram in its segment told
+    apart: hashes of (gram, number), the gram itself for the first."""
+    segment = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    order = np.lexsort((grams, segment))
+    g, s = grams[order], segment[order]
+    again = np.append(False, (g[1:] == g[:-1]) & (s[1:] == s[:-1]))[:len(g)]
+    at = np.arange(len(g))
+    number = at - np.maximum.accumulate(np.where(again, 0, at))
+    out = grams.copy()
+    out[order[again]] = mix(g[again] ^ mix(number[again].astype(U64), 78), 79)
+    return out
+
+
 def _blocks(prints: np.ndarray, radius: int) -> list[np.ndarray]:
     """Values of the ``radius + 1`` blocks the 64 bits are cut into."""
     edges = np.linspace(0, 64, radius + 2).astype(int)
@@ -99,7 +115,7 @@ class Items:
     def _length(self, words: int, size: int, who: np.ndarray) -> _Length:
         sets = [self.grams[i] for i in who]
         off = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-        prints = simhash(np.concatenate(sets), off)
+        prints = simhash(numbered(np.concatenate(sets), off), off)
         blocks = []
         for values in _blocks(prints, self.radius):
             order = np.argsort(values, kind="stable")
@@ -172,7 +188,7 @@ class Items:
             return
         off = np.concatenate([[0], np.cumsum(size)])
         inside = np.arange(off[-1]) - np.repeat(off[:-1] - begin, size)
-        window, place_ = self._near(simhash(grams[inside], off), length)
+        window, place_ = self._near(simhash(numbered(grams[inside], off), off), length)
         for x, i in zip(window.tolist(), length.index[place_].tolist(), strict=True):
             mine, theirs = grams[begin[x]:begin[x] + size[x]], self.grams[i]
             score = weighted_jaccard(mine, theirs)

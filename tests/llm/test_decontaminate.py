@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from finlens.llm import decontaminate as D
@@ -89,6 +90,22 @@ def test_simhash_weighs_by_count():
     assert np.bitwise_count(prints[0] ^ prints[1]) == 0 < np.bitwise_count(prints[2] ^ prints[1])
 
 
+def test_runs_of_repeated_words_are_found():
+    """Similarity 0.8, where the item's own part is one shingle five times."""
+    heads = [" ".join(f"a{i}x{k}" for k in range(40)) for i in range(200)]
+    items = D.Items([(i, t + " z" * 9) for i, t in enumerate(heads)])
+    texts = [t + " z" * 4 + "".join(f" b{i}x{k}" for k in range(5)) for i, t in enumerate(heads)]
+    got = items.hits(pa.array(texts))
+    assert {i: [(h[0], round(h[3], 9)) for h in x] for i, x in got.items()} == {i: [(i, 0.8)] for i in range(200)}
+
+
+def test_numbered_grams():
+    g = np.array([7, 7, 5, 7, 5, 7], np.uint64)
+    a = D.numbered(g, np.array([0, 4, 6]))
+    assert list(a[[0, 2, 4, 5]]) == [7, 5, 5, 7] and len(set(a[:4].tolist())) == 4
+    assert len(D.numbered(g[:0], np.array([0]))) == 0
+
+
 def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g")], ITEMS)
     none = spark.createDataFrame([], ITEMS)
