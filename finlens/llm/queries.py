@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finlens.llm import decontaminate, hmm_score, html_text, language_id, mixing, near_dedup, quality_ledger, substring_dedup, token_counts, url_filter
+from finlens.llm import decontaminate, hmm_score, html_text, language_id, mixing, near_dedup, periodic_runs, quality_ledger, substring_dedup, token_counts, url_filter
 from finlens.llm.store import crc_bucket
 from finlens.sources.tables import read_table
 
@@ -226,3 +226,32 @@ def op4_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.main_text(read_table(spark, sf_dir, "pages"))
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """doc_id and text; one row in ten has its words from number ``a`` on
+    repeat with period ``p``: with h the crc32 of the decimal id (null id: 0)
+    and g = floor(h / 10), a = g % n and p = 1 + floor((n - a) / (3 + g % 8))."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    rows = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.expr("cast(if(n > 0, h div 10 % n, 0) as int)"))
+    rows = rows.withColumn("p", F.expr("cast(1 + (n - a) div (3 + h div 10 % 8) as int)"))
+    text = F.expr("array_join(transform(sequence(0, n - 1), i -> w[if(i < a, i, a + (i - a) % p)]), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, one text in ten made periodic."""
+    found = periodic_runs.periodic_runs(looped(read_table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    found = found.withColumns({"lines": lines, "best": best})
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join("lines", "\n"), F.when(F.size("lines") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
