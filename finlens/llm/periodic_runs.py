@@ -47,6 +47,7 @@ from finlens.llm.store import pick
 from finlens.llm.textops import Words, slices
 
 MIN_EXPONENT, MIN_LENGTH = 4, 6
+SLICE_BYTES = 1 << 18
 _RUN = pa.struct([pa.field("start", pa.int64()), pa.field("length", pa.int64()), pa.field("period", pa.int64())])
 RESULT = "struct<n_words:bigint,runs:array<struct<start:bigint,length:bigint,period:bigint>>,collapsed:string>"
 
@@ -187,13 +188,12 @@ def runs_column(text: str | Column, min_exponent: int = MIN_EXPONENT, min_length
 
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in batches:
-            parts = []
-            for piece in slices(pa.record_batch([col], ["t"]), "t"):
+            for piece in slices(pa.record_batch([col], ["t"]), "t", SLICE_BYTES):
                 w = Words(piece.column(0))
                 number = w.strings().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
                 start, length, period = find_runs(number, w.doc_off, min_exponent, min_length)
                 in_text = np.searchsorted(w.doc_off, start, "right") - 1
-                parts.append(pa.StructArray.from_arrays([
+                yield pa.StructArray.from_arrays([
                     pa.array(w.counts),
                     pa.ListArray.from_arrays(
                         pa.array(np.searchsorted(start, w.doc_off).astype(np.int32)),
@@ -201,8 +201,7 @@ def runs_column(text: str | Column, min_exponent: int = MIN_EXPONENT, min_length
                             [pa.array(start - w.doc_off[in_text]), pa.array(length), pa.array(period)],
                             fields=list(_RUN))),
                     collapsed(w, start, length, period),
-                ], fields=fields))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(fields))
+                ], fields=fields)
 
     return F.arrow_udf(find, RESULT)(text)
 
