@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finlens.llm import decontaminate, hmm_score, html_text, language_id, mixing, near_dedup, periodic_runs, quality_ledger, substring_dedup, token_counts, url_filter
-from finlens.llm.store import crc_bucket
+from finlens.llm import decontaminate, hmm_score, html_text, language_id, mixing, near_dedup, periodic_runs, prefix_trie, quality_ledger, substring_dedup, token_counts, url_filter
+from finlens.llm.store import crc_bucket, save
 from finlens.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -255,3 +255,63 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
         F.sha2(F.concat(F.array_join("lines", "\n"), F.when(F.size("lines") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+
+
+TRIE_SQL = """
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, length(coalesce(text, '')) AS size,
+         md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, list(digest ORDER BY turn NULLS FIRST, digest) AS ds, list(size ORDER BY turn NULLS FIRST, digest) AS ss,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+           string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) % 6 AS h
+  FROM t GROUP BY conv_id),
+r AS (
+  SELECT c.conv_id, list_concat(coalesce(b.ds[1:c.h], []), c.ds[c.h + 1:]) AS ds,
+         list_concat(coalesce(b.ss[1:c.h], []), c.ss[c.h + 1:]) AS ss
+  FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 100),
+p AS (
+  SELECT conv_id, d, array_to_string(ds[1:d], '') AS k, CASE WHEN d > 0 THEN ss[d] ELSE 0 END AS size, d = len(ds) AS ends
+  FROM (SELECT *, unnest(range(0, len(ds) + 1)) AS d FROM r)),
+n AS (
+  SELECT k, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ends
+  FROM p GROUP BY k),
+kids AS (
+  SELECT left(k, 32 * (depth - 1)) AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+m AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids ON kids.k = n.k),
+s AS (
+  SELECT left(k, 32 * j) AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+         sum((n_convs - 1) * size) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS j FROM m) GROUP BY 1)
+SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(m.n_convs AS BIGINT) AS n_convs,
+       CAST(m.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s ON s.k = m.k LEFT JOIN n u ON m.depth > 0 AND u.k = left(m.k, 32 * (m.depth - 1))
+"""
+
+
+def rebuilt(seqs: DataFrame) -> DataFrame:
+    """Conversation c starts with the first h turns of conversation c - c % 100
+    (none if absent) and goes on with its own after its first h; h is the
+    crc32 of the decimal id modulo 6."""
+    base = seqs.where("conv_id % 100 = 0").select(
+        F.col("conv_id").alias("base"), F.expr("substring(seq, 1, 80)").alias("base_seq"),
+        F.slice("sizes", 1, 5).alias("base_sizes"))
+    rows = seqs.withColumns({"base": F.expr("conv_id - conv_id % 100"), "h": crc_bucket(F.col("conv_id"), 6)})
+    rows = rows.join(base, "base", "left")
+    return rows.select(
+        "conv_id",
+        F.expr("concat(coalesce(substring(base_seq, 1, 16 * h), x''), substring(seq, 16 * h + 1))").alias("seq"),
+        F.expr("concat(coalesce(slice(base_sizes, 1, h), cast(array() as array<int>)), slice(sizes, h + 1, size(sizes)))"
+               ).alias("sizes"))
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, rebuilt to share first turns."""
+    own = save(prefix_trie.sequences(read_table(spark, sf_dir, "conversations")), "conversations")
+    return prefix_trie.prefix_trie(rebuilt(own))
