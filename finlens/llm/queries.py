@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finlens.llm import decontaminate, hmm_score, html_text, language_id, mixing, near_dedup, periodic_runs, prefix_trie, quality_ledger, substring_dedup, token_counts, url_filter
+from finlens.llm import decontaminate, hmm_score, html_text, language_id, mixing, near_dedup, periodic_runs, pii, prefix_trie, quality_ledger, substring_dedup, token_counts, url_filter
 from finlens.llm.store import crc_bucket, save
 from finlens.sources.tables import read_table
 
@@ -315,3 +315,66 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix trie of all conversations, rebuilt to share first turns."""
     own = save(prefix_trie.sequences(read_table(spark, sf_dir, "conversations")), "conversations")
     return prefix_trie.prefix_trie(rebuilt(own))
+
+
+def _private_sql() -> str:
+    """The spans of every kind as lists of one row, and their digests."""
+    base = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+            "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = (f"length({digits}) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length({digits}) + 1), lambda j: "
+            f"CASE WHEN j % 2 = 1 THEN CAST({digits}[-j] AS INT) WHEN CAST({digits}[-j] AS INT) > 4 "
+            f"THEN 2 * CAST({digits}[-j] AS INT) - 9 ELSE 2 * CAST({digits}[-j] AS INT) END)) % 10 = 0")
+    turned = "replace(m, ' ', '')[5:] || replace(m, ' ', '')[1:4]"
+    mod97 = (f"list_reduce(list_prepend(0, list_transform(string_split({turned}, ''), lambda c: CASE WHEN ascii(c) > 57 "
+             "THEN ascii(c) - 55 ELSE ascii(c) - 48 END)), lambda a, x: CASE WHEN x > 9 THEN (a * 100 + x) % 97 "
+             "ELSE (a * 10 + x) % 97 END) = 1")
+    valid = {"ip": "list_bool_and(list_transform(string_split(m, '.'), lambda x: length(ltrim(x, '0')) <= 3 "
+                   "AND CAST('0' || right(ltrim(x, '0'), 3) AS INT) <= 255))",
+             "card": luhn, "phone": f"length({digits}) BETWEEN 9 AND 15", "iban": mod97,
+             "ssn": "NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$')"}
+    found, spans = [], []
+    for k, kind in enumerate(pii.KINDS):
+        pattern = base.get(kind.name, kind.pattern.replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b"))
+        found.append(f"regexp_extract_all(t, '{pattern}') AS hits{k}, string_split_regex(t, '{pattern}') AS gaps{k}")
+        near, against = pii.context_pattern(kind.near), pii.context_pattern(kind.against)
+        around = f"translate(right(gaps{k}[i], {pii.BEFORE}) || ' ' || left(gaps{k}[i + 1], {pii.AFTER}), {_AZ})"
+        score = (f"greatest(0, least(100, {kind.score} + CASE WHEN regexp_matches({around}, '{near}') THEN {pii.BOOST} ELSE 0 END "
+                 f"- CASE WHEN regexp_matches({around}, '{against}') THEN {pii.BOOST} ELSE 0 END))")
+        start = (f"coalesce(list_sum(list_transform(gaps{k}[1:i], lambda g: length(g))), 0) "
+                 f"+ coalesce(list_sum(list_transform(hits{k}[1:i - 1], lambda g: length(g))), 0)")
+        ok = f"list_transform([hits{k}[i]], lambda m: {valid.get(kind.name, 'true')})[1]"
+        keep = "s.ok" if kind.base else f"s.ok AND s.score >= {pii.THRESHOLD}"
+        spans.append(
+            f"list_filter(list_transform(range(1, len(hits{k}) + 1), lambda i: {{'start': CAST({start} AS BIGINT), 'number': {k}, "
+            f"'kind': '{kind.name}', 'size': length(hits{k}[i]), 'score': {score}, 'base': {str(kind.base).lower()}, 'ok': {ok}}}), "
+            f"lambda s: {keep})")
+    joined = "list_transform({0}, lambda s: s.kind || ':' || s.start || ':' || (s.start + s.size)).array_to_string(',')"
+    counts = ", ".join(f"CAST(len(list_filter(b, lambda s: s.kind = '{k}')) AS BIGINT) AS n_{k}" for k in base)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+h AS (SELECT doc_id, {', '.join(found)} FROM d),
+s AS (SELECT doc_id, list_sort(flatten([{', '.join(spans)}])) AS p FROM h),
+b AS (SELECT doc_id, p, list_filter(p, lambda s: s.base) AS b FROM s)
+SELECT doc_id, {counts}, sha256(coalesce({joined.format('b')}, '')) AS base_sha256, coalesce({joined.format('p')}, '') AS spans,
+       CAST(coalesce(list_max(list_transform(p, lambda s: s.score)), 0) AS INT) AS top_score
+FROM b
+"""
+
+
+@query("op13_pii", _private_sql())
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find_spans(read_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    found = found.select("doc_id", "spans", base.alias("b"))
+
+    def joined(c):
+        return F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("b", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(joined("b"), 256).alias("base_sha256"), joined("spans").alias("spans"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0)).alias("top_score"))
