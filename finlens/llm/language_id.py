@@ -24,16 +24,17 @@ named are left out by ``identify`` and untouched by the pipeline's use.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from finlens.llm.store import pick
+from finlens.llm.textops import release_memory, slices
 
 UNKNOWN = "und"
 SAMPLE_TEXTS = 400
@@ -45,12 +46,13 @@ LEVEL, MIN_MATCH = 5, 3
 # to a stored block, so one dictionary match shows in the size of a short text
 TAIL = bytes(64)
 MIN_MARGIN = 0.002
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def normalise(text: str | None) -> str:
     """Lower-cased letters with single spaces between runs of them."""
-    return _NOT_LETTERS.sub(" ", text).strip().lower() if text else ""
+    return _NOT_LETTERS.sub(" ", text).strip().lower() if text and _LETTER.search(text) else ""
 
 
 def learn(df: DataFrame, text_col: str = "text", label_col: str = "lang") -> dict[str, bytes]:
@@ -108,10 +110,12 @@ def predict(content: dict[str, bytes], text: Column) -> Column:
     def classify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Classifier(content)
         for col in batches:
-            found = [model(t.as_py()) for t in col]
-            yield pa.StructArray.from_arrays(
-                [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                fields=list(kind))
+            for piece in slices(pa.record_batch([col], ["t"]), "t"):
+                found = [model(t.as_py()) for t in piece.column(0)]
+                yield pa.StructArray.from_arrays(
+                    [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+                    fields=list(kind))
+        release_memory()
 
     return F.arrow_udf(classify, "struct<lang_pred:string,score:double>")(text)
 

@@ -47,8 +47,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from finlens.llm.components import components
-from finlens.llm.store import partitions, pick, save, spare_name
-from finlens.llm.textops import U64, Words, mix, ngram_hashes, slices
+from finlens.llm.store import TEXT_ROWS, partitions, pick, save, spare_name
+from finlens.llm.textops import U64, Words, mix, ngram_hashes, release_memory, slices
 
 BANDS, BAND_SIZE, AGREE = 15, 3, 3
 SIMILARITY = (4, 5)
@@ -107,18 +107,17 @@ def signatures(df: DataFrame, n: int, bands: int = BANDS, size: int = BAND_SIZE)
 
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in batches:
-            parts = []
             for piece in slices(pa.record_batch([col], ["t"]), "t"):
                 grams, off = shingle_sets(piece.column(0), n)
                 keys = band_hashes(grams, off, bands, size)
                 ends = pa.array(np.arange(len(off), dtype=np.int32) * bands)
-                parts.append(pa.StructArray.from_arrays([
+                yield pa.StructArray.from_arrays([
                     pa.array(np.diff(off)),
                     pa.array([_node(grams[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary()),
                     pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(keys[:, :bands]).ravel())),
                     pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(keys[:, bands:]).ravel())),
-                ], fields=fields))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(fields))
+                ], fields=fields)
+        release_memory()
 
     signed = F.arrow_udf(sign, "struct<n:bigint,node:binary,u:array<int>,v:array<int>>")
     return df.select("id", F.xxhash64("t").alias("th"), signed("t").alias("s")).select("id", "th", "s.*")
@@ -129,14 +128,13 @@ def _set_column(n: int):
 
     def build(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in batches:
-            parts = []
             for piece in slices(pa.record_batch([col], ["t"]), "t"):
                 grams, off = shingle_sets(piece.column(0), n)
-                parts.append(pa.StructArray.from_arrays([
+                yield pa.StructArray.from_arrays([
                     pa.array([_node(grams[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(grams.view(np.int64))),
-                ], fields=fields))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(fields))
+                ], fields=fields)
+        release_memory()
 
     return F.arrow_udf(build, "struct<node:binary,s:array<bigint>>")
 
@@ -218,15 +216,20 @@ def grouped(docs: DataFrame, n: int, similarity: tuple[int, int] = SIMILARITY, b
             size: int = BAND_SIZE, agree: int = AGREE) -> DataFrame:
     """Per row (id, t) of ``docs``: id, th, n, node, and the component's
     smallest node (label) and smallest id; empty sets have null label."""
-    signed = save(signatures(docs, n, bands, size), "signatures")
+    signed = save(signatures(docs, n, bands, size), "signatures", TEXT_ROWS)
     reps = save(signed.where("n > 0").groupBy("node").agg(
-        F.min("id").alias("id"), F.first("u").alias("u"), F.first("v").alias("v")), "nodes")
+        F.min("id").alias("id"), F.min(F.struct("id", "th")).alias("row"), F.first("u").alias("u"),
+        F.first("v").alias("v")), "nodes")
     star = save(star_pairs(reps, agree), "stars")
     wanted = star.select(F.col("hub").alias("node")).unionByName(star.select("node")).distinct()
-    wanted = reps.join(wanted, "node", "left_semi").select(F.col("id").alias("wid"), F.col("node").alias("wnode"))
-    texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["wid"]))
+    # one row of each node, by id and text hash: many rows may share an id (or
+    # have none), few also the text
+    wanted = reps.join(wanted, "node", "left_semi").select("row.*", "node")
+    wanted = wanted.select(F.col("id").alias("wid"), F.col("th").alias("wth"), F.col("node").alias("wnode"))
+    keyed = docs.select("id", F.xxhash64("t").alias("th"), "t")
+    texts = keyed.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")))
     sets = texts.select("wnode", _set_column(n)("t").alias("s")).where("wnode = s.node")
-    sets = save(sets.select("s.*").dropDuplicates(["node"]), "sets")
+    sets = save(sets.select("s.*").dropDuplicates(["node"]), "sets", TEXT_ROWS)
 
     best = star.groupBy("node").agg(F.max_by("hub", F.struct("agree", "hub")).alias("hub"))
     links = save(verified(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets, similarity), "links")

@@ -8,6 +8,8 @@ and iterative jobs keep flat plans.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +17,28 @@ from pyspark.sql import functions as F
 from finlens.session import ensure_checkpoint_dir
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+#: rows of texts that reach a Python worker at a time
+TEXT_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what is executed inside."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
+def save(df: DataFrame, name: str, rows_per_batch: int = 10_000) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with batches_of(spark, rows_per_batch):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

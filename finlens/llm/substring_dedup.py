@@ -40,11 +40,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from finlens.llm.store import partitions, pick, spare_name
-from finlens.llm.textops import U64, Words, mix, ngram_hashes, slices
+from finlens.llm.textops import U64, Words, mix, ngram_hashes, release_memory, slices
 
 WINDOW, GRAM = 20, 8
 CELL_BITS, BLOCK_BITS, DEPTH = 27, 16, 2
-CHUNK_WINDOWS = 1_000_000
+CHUNK_WINDOWS = 250_000
 
 
 def _sliding(a: np.ndarray, n: int, op) -> np.ndarray:
@@ -128,6 +128,8 @@ def _partition_sketch(window: int, gram: int, cell_bits: int, block_bits: int):
                     found, size = [], 0
         if size:
             yield from flush()
+        found.clear()
+        release_memory()
 
     return run
 
@@ -179,6 +181,7 @@ class Sketch:
             self._bits = [np.zeros(max(1, (1 << self.cell_bits) >> 3), np.uint8) for _ in range(DEPTH)]
             for (row, block), raw in self.blocks.items():
                 self._bits[row][block * size:(block + 1) * size] = np.frombuffer(raw, np.uint8)
+            self.blocks = {}  # a worker's copy needs the bits only
         keep = np.ones(len(anchor), bool)
         for row in range(DEPTH):
             at = np.flatnonzero(keep)
@@ -262,6 +265,8 @@ def _occurrences(sketch, window: int, gram: int, chunk: int):
                     held, size = [], 0
         if size:
             yield from flush()
+        held.clear()
+        release_memory()
 
     return run
 
@@ -342,7 +347,8 @@ def _kept_text(window: int):
                 out.append(value)
             yield pa.array(out, pa.string())
 
-    return F.arrow_udf(keep, "string")
+    # evaluated once, whatever is filtered or derived from the text later on
+    return F.arrow_udf(keep, "string").asNondeterministic()
 
 
 def _with_repeats(df: DataFrame, id_col: str, text_col: str, window: int, **options) -> tuple[DataFrame, str, str]:

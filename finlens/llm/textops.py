@@ -12,13 +12,14 @@ single text).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 U64 = np.uint64
 _P = U64(0x9E3779B97F4A7C15)
 _Q = U64(0xC2B2AE3D27D4EB4F)
@@ -28,6 +29,15 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers wait for their
+    next task with all the memory they ever used."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """Avalanche of 64-bit values (splitmix finaliser)."""
     with np.errstate(over="ignore"):

@@ -149,3 +149,13 @@ def test_empty_tables(spark):
     empty = documents(spark, [])
     assert N.near_duplicates(empty).collect() == [] and N.one_per_group(empty).collect() == []
     assert S.dedup_digest(empty).collect() == [] and S.dedup_text(empty).collect() == []
+
+
+def test_thousands_of_null_ids(spark):
+    """Rows without an id, of many texts, meet by their text only."""
+    texts = [" ".join(f"n{k % 400}x{i}" for i in range(12)) for k in range(4000)]
+    near = [" ".join([f"n{k}x{i}" for i in range(12)] + ["end"]) for k in range(400)]
+    rows = [(None, t, "en", "s", 1) for t in texts + near] + [(7, near[0], "en", "s", 1)]
+    got = N.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == 4401 and {r.component_id for r in got} == {None, 7}
+    assert sum(r.component_id == 7 for r in got) == 10 + 1 + 1

@@ -79,3 +79,13 @@ def test_full_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(T, "CACHE_PIECES", 5)
     counter = T.Counter(table)
     assert [n for t in texts for n in counter.count([t])] == whole
+
+
+def test_texts_without_a_letter_are_undetermined(spark):
+    """Letters are Unicode category L: fractions, number signs, marks and
+    underscores alone are none."""
+    content = {"en": b"the house and the tree " * 40, "de": b"das haus und der baum " * 40}
+    texts = ["½ ²", "Ⅷ", "_1_", "́́", "①②", "١٢٣", "ª", "日", "der _½_ baum"]
+    got = by_id(G.identify(documents(spark, texts), content))
+    assert [(got[i].lang_pred, got[i].score) for i in range(6)] == [("und", 0.0)] * 6
+    assert all(got[i].lang_pred in content for i in (6, 7)) and got[8].lang_pred == "de"
