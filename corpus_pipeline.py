@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finlens.llm import decontaminate, language_id, mixing, near_dedup, substring_dedup
-from finlens.llm.store import crc_bucket, save, spare_name
+from finlens.llm.store import TEXT_ROWS, crc_bucket, save, spare_name
 from finlens.sources.tables import read_table
 
 WORD = r"[^\x20\x09-\x0D]"
@@ -68,5 +68,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole ``documents`` table."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = save(stage(spark, docs, sf_dir), f"pipeline-{name}", TEXT_ROWS)
     return STAGES[-1][1](spark, docs, sf_dir)
