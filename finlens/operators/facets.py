@@ -107,10 +107,16 @@ def _flag_aggs(projects: DataFrame, selections: dict[str, list]) -> list[Column]
     return aggs
 
 
+MAX_OPTIONS = 100_000
+
+
 def option_lists(projects: DataFrame, facets: list[str]) -> dict[str, list[str]]:
     """The option lists of some facets, as a dashboard holds them (one job
-    over distinct values)."""
-    rows = facet_values(projects).where(F.col("facet").isin(facets)).collect()
+    over distinct values).  Lists of more than ``MAX_OPTIONS`` values in all
+    are no dashboard's: an error, not a cut list."""
+    rows = facet_values(projects).where(F.col("facet").isin(facets)).limit(MAX_OPTIONS + 1).collect()
+    if len(rows) > MAX_OPTIONS:
+        raise ValueError(f"more than {MAX_OPTIONS} facet options; filter without option lists instead")
     return {f: [r["value"] for r in rows if r["facet"] == f] for f in facets}
 
 
@@ -187,18 +193,21 @@ def facet_values(projects: DataFrame) -> DataFrame:
     return distinct.select("facet", F.row_number().over(w).cast("int").alias("position"), "value")
 
 
-def facet_narrowing(projects: DataFrame, selections: dict[str, list]) -> DataFrame:
+def facet_narrowing(projects: DataFrame, selections: dict[str, list], rows_col: str | None = None) -> DataFrame:
     """For each selected facet: is it narrowing (selection non-empty,
     options non-empty, selection != options), how many rows its predicate
     alone keeps, and how many rows the whole dashboard filter keeps — in a
-    single aggregate pass."""
+    single aggregate pass.  ``rows_col`` says how many projects a row stands
+    for (cells of the facet cube)."""
+    weight = F.col(rows_col) if rows_col else F.lit(1)
     per_facet = []
     aggs = _flag_aggs(projects, selections)
     for facet in FACETS:
         sel = _selection(facet, selections.get(facet) or [])
         if not sel or facet not in projects.columns:
             continue
-        aggs.append(F.count_if(F.coalesce(_row_value(facet).isin(sel), F.lit(False))).alias(f"_hit_{facet}"))
+        hit = F.when(F.coalesce(_row_value(facet).isin(sel), F.lit(False)), weight).otherwise(0)
+        aggs.append(F.coalesce(F.sum(hit), F.lit(0)).alias(f"_hit_{facet}"))
         per_facet.append((facet, sel))
     if not per_facet:
         return projects.sparkSession.createDataFrame(
@@ -206,7 +215,7 @@ def facet_narrowing(projects: DataFrame, selections: dict[str, list]) -> DataFra
                 "rows_after_filter bigint"
         )
     row = projects.agg(*aggs).withColumn(
-        "rows_after_filter", apply_facets(projects, selections).agg(F.count(F.lit(1))).scalar())
+        "rows_after_filter", apply_facets(projects, selections).agg(F.coalesce(F.sum(weight), F.lit(0))).scalar())
     stacked = F.explode(
         F.array(
             *[

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from finlens.operators import cube as C
 from finlens.operators import facets as FC
 from finlens.operators import reports as R
 from finlens.plans.metric_queries import RISK_W_SQL, RISK_X_SQL
 from finlens.plans.registry import register
-from finlens.sources.fixtures import projects, with_projects
+from finlens.sources.fixtures import materialize, memo_plan, projects, with_projects
 
 # A dashboard selection: every finance type (so the facet is skipped and
 # null types survive), two statuses, a year window.  The strict variant
@@ -26,6 +27,15 @@ NARROWING_SELECTION = {
                "Stalled", "Suspended"],
 }
 
+
+
+def facet_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facet cube of ``projects``, written once per session as a
+    deployment keeps it."""
+    return memo_plan(spark, ("cube", sf_dir), lambda: materialize(
+        spark, C.build_cells(projects(spark, sf_dir)), "facet-cube", "year"))
+
+
 KPI_SELECT = f"""
 SELECT count(*) AS projects,
        count(*) FILTER (WHERE upper(finance_type) = 'DF') AS df_projects,
@@ -43,9 +53,19 @@ WITH f AS (SELECT * FROM projects
 """ + KPI_SELECT + " FROM f"))
 def facet_filtered_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Portfolio KPIs after the dashboard facet filter (all finance types
-    selected, so that facet is skipped)."""
-    p = projects(spark, sf_dir)
-    return R.portfolio_kpis(FC.apply_facets(p, DASHBOARD_SELECTION, FC.option_lists(p, list(DASHBOARD_SELECTION))))
+    selected, so that facet is skipped), from the facet cube."""
+    cells = facet_cube(spark, sf_dir)
+    options = FC.option_lists(cells, list(DASHBOARD_SELECTION))
+    return C.cell_kpis(FC.apply_facets(cells, DASHBOARD_SELECTION, options))
+
+
+@register("facet_cube", ["E21", "C3", "C4"], with_projects(f"""
+SELECT year, finance_type, sector, province, status, {KPI_SELECT.strip().removeprefix('SELECT')}
+FROM projects GROUP BY ALL"""))
+def facet_cube_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KPIs of every facet combination, from cells built anew."""
+    cells = C.build_cells(projects(spark, sf_dir))
+    return C.each_cell_kpis(cells)
 
 
 @register("facet_filtered_kpis_strict", ["C3", "E21"], with_projects("""
@@ -103,5 +123,6 @@ UNION ALL SELECT 'sector', 'Sector', 'AUTOMOBILE, BUILDING, FURNITURE, HOUSEHOLD
 UNION ALL SELECT 'province', 'Province', 'NATION_1, NATION_2', pr_opts > 0 AND NOT pr_all, pr_hit, rows_after_filter FROM a, k
 UNION ALL SELECT 'status', 'Status', 'Cancelled, Completion, Delayed, Implementation, Pipeline: Commitment, Pipeline: Pledge, Stalled, Suspended', st_opts > 0 AND NOT st_all, st_hit, rows_after_filter FROM a, k"""))
 def facet_narrowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which facets of a selection narrow the result, with per-facet hits."""
-    return FC.facet_narrowing(projects(spark, sf_dir), NARROWING_SELECTION)
+    """Which facets of a selection narrow the result, with per-facet hits, from
+    the facet cube."""
+    return FC.facet_narrowing(facet_cube(spark, sf_dir), NARROWING_SELECTION, "projects")
