@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from finlens.operators import boxes as X
 from finlens.operators import browser as B
 from finlens.operators import geo as G
 from finlens.plans.browser_queries import BROWSER_BASE
 from finlens.plans.registry import register
 from finlens.sources.dimensions import dimension, dimension_sql
 from finlens.sources.fixtures import projects, with_projects
+from finlens.sources.tables import read_table
 
 CENTROID_SQL = """
 SELECT lower(trim(province)) AS province_key, round(avg(latitude), 6) AS lat, round(avg(longitude), 6) AS lon,
@@ -136,6 +138,32 @@ def region_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.box_regions(G.assign_zones(deals, keep=("committed_usd",)))
 
 
+# a derived box table: one box per customer, of many sizes, overlapping
+BOXES_SQL = """SELECT c_custkey AS priority, 'R' || CAST(c_custkey % 97 AS STRING) AS region,
+       CASE WHEN c_custkey % 11 > 0 THEN (c_custkey * 37 % 1900 - 1100 - (1 + c_custkey % 17) * 5) / CAST(100 AS DOUBLE) END AS lat_low,
+       (c_custkey * 37 % 1900 - 1100 + (1 + c_custkey % 17) * 5) / CAST(100 AS DOUBLE) AS lat_high,
+       (c_custkey * 91 % 4600 + 9500 - (1 + c_custkey % 13) * 7) / CAST(100 AS DOUBLE) AS lon_low,
+       CASE WHEN c_custkey % 19 > 0 THEN (c_custkey * 91 % 4600 + 9500 + (1 + c_custkey % 13) * 7) / CAST(100 AS DOUBLE) END AS lon_high
+FROM {customer}"""
+
+
+@register("region_box_table", ["D8", "E42"], with_projects(f"""
+WITH boxes AS ({BOXES_SQL.format(customer='customer')}),
+places AS (SELECT latitude, coalesce(longitude, 0) AS longitude, count(*) AS deals, sum(coalesce(committed_usd, 0.0)) AS value
+           FROM projects WHERE latitude BETWEEN -90 AND 90 GROUP BY 1, 2),
+hit AS (SELECT p.latitude, p.longitude, min_by(b.region, b.priority) AS region
+        FROM places p JOIN boxes b ON (b.lat_low IS NULL OR p.latitude > b.lat_low) AND p.latitude < b.lat_high
+             AND p.longitude >= b.lon_low AND (b.lon_high IS NULL OR p.longitude < b.lon_high)
+        GROUP BY 1, 2)
+SELECT coalesce(h.region, 'Other') AS region, CAST(sum(p.deals) AS BIGINT) AS deals, sum(p.value) AS committed_usd
+FROM places p LEFT JOIN hit h ON h.latitude = p.latitude AND h.longitude = p.longitude GROUP BY 1"""))
+def region_box_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deals and value per region of a table of overlapping boxes, the box of
+    the smallest priority deciding."""
+    boxes = spark.sql(BOXES_SQL, customer=read_table(spark, sf_dir, "customer", ["c_custkey"]))
+    return X.region_totals(projects(spark, sf_dir), boxes)
+
+
 @register("report_top_provinces", ["G10", "A11"], with_projects(f"""
 WITH {_dims_cte('province_report')},
 v AS (SELECT 'value' AS ranking, province_name, project_value_b AS score,
