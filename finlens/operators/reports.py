@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from finlens.functions.text import blank_to_null, unknown_if_blank
 from finlens.operators import metrics as M
-from finlens.operators.ranking import exact_median
+from finlens.operators.selection import exact_quantile
 
 RATIO_DIGITS = M.RATIO_DIGITS
 OTHER_SECTORS = "Other sectors"
@@ -241,8 +241,8 @@ def investment_kpis(projects: DataFrame) -> DataFrame:
     """Rows, committed total, exact median deal, year range, and the
     largest clean sector with its share of the committed total.
 
-    The median of a continuous measure uses the skew-safe exact median
-    (range partitioning + rank offsets), never a single-task value buffer.
+    The median of a continuous measure is selected exactly behind a quantile
+    sketch, without a sort and without a single-task value buffer.
     """
     a = analysis_frame(projects)
     totals = a.agg(
@@ -251,7 +251,7 @@ def investment_kpis(projects: DataFrame) -> DataFrame:
         F.min("year").alias("min_year"),
         F.max("year").alias("max_year"),
     )
-    median = exact_median(a.select("committed_usd"), "committed_usd", [], "m").select("m").scalar()
+    median = exact_quantile(a, "committed_usd", 0.5, "m").scalar()
     top = sectors_by_committed(projects, 1).select(F.struct("sector_clean", "committed_usd")).scalar()
     return (
         totals.withColumn("median_committed_usd", median)
