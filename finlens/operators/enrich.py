@@ -5,8 +5,8 @@ Keep-first is ``row_number() = 1``: the planner's group limit sorts each
 task's rows once and drops all but the first of every key before the shuffle,
 so a key holding a third of all rows sends one row per task.
 
-Enrichment joins salt null keys: a null never matches, and left in place
-all null keys would hash to one task.
+Enrichment joins find heavy keys with a frequent-items sketch and join those
+by broadcast, the rest by shuffle; null keys, which never match, are salted.
 """
 
 from __future__ import annotations
@@ -35,25 +35,47 @@ def union_sources(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+# keys a sketch follows, and the most that are joined by broadcast
+TRACKED_KEYS, HEAVY_KEYS = 8192, 256
+
+
+def heavy_keys(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """(key) of the keys that hold more than one ``parts``-th of the rows that
+    have one, by a mergeable frequent-items sketch: at most ``HEAVY_KEYS``
+    rows, whatever the input."""
+    counted = df.where(F.col(key).isNotNull()).agg(
+        F.expr(f"approx_top_k(`{key}`, {HEAVY_KEYS}, {TRACKED_KEYS})").alias("top"), F.count(F.lit(1)).alias("n"))
+    items = counted.select("n", F.inline("top"))
+    return items.where(F.col("count") * parts > F.col("n")).select(F.col("item").alias(key))
+
+
 def _fill(left: DataFrame, right: DataFrame, on: str, fields: list[str], flag: str) -> DataFrame:
     """Left join on ``on`` and fill each null field from the right side;
     ``flag`` marks rows where at least one field was filled.
 
-    Rows whose key is null can never match; their join key is replaced by a
-    per-row salt (and the match is additionally guarded by ``key IS NOT
-    NULL``) so they spread over all shuffle partitions instead of hashing
-    to one.
+    Heavy keys and their right rows are a broadcast of at most ``HEAVY_KEYS``
+    rows.  Rows of a heavy key then need the shuffle no more, and rows whose
+    key is null can never match: both get a per-row salt as join key, so that
+    they spread over all shuffle partitions instead of hashing to one.
     """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     r = right.select(F.col(on).alias("_rk"), *[F.col(f).alias(f"_e_{f}") for f in fields])
+    heavy = heavy_keys(left, on, parts).select(F.col(on).alias("_hk"))
+    few = r.join(F.broadcast(heavy), F.col("_rk") == F.col("_hk"), "left_semi")
+    few = heavy.join(F.broadcast(few), F.col("_rk") == F.col("_hk"), "left").select(
+        "_hk", *[F.col(f"_e_{f}").alias(f"_h_{f}") for f in fields])
+    marked = left.join(F.broadcast(few), left[on] == few["_hk"], "left")
     salt = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in left.columns]).cast("string"))
-    keyed = left.withColumn("_jk", F.coalesce(F.col(on), salt))
-    joined = keyed.join(r, (keyed["_jk"] == r["_rk"]) & keyed[on].isNotNull(), "left")
+    alone = F.col("_hk").isNotNull() | F.col(on).isNull()
+    joined = marked.withColumn("_jk", F.when(alone, salt).otherwise(F.col(on)))
+    joined = joined.drop("_hk").join(r, F.col("_jk") == F.col("_rk"), "left")
     filled_any: Column = F.lit(False)
     cols = []
     for c in left.columns:
         if c in fields:
-            cols.append(F.coalesce(F.col(c), F.col(f"_e_{c}")).alias(c))
-            filled_any = filled_any | (F.col(c).isNull() & F.col(f"_e_{c}").isNotNull())
+            found = F.coalesce(F.col(f"_h_{c}"), F.col(f"_e_{c}"))
+            cols.append(F.coalesce(F.col(c), found).alias(c))
+            filled_any = filled_any | (F.col(c).isNull() & found.isNotNull())
         elif c == flag:
             continue
         else:

@@ -1,15 +1,17 @@
 """Batch conform run: sources -> canonical table + quality and lineage.
 
-Everything stays lazy: the result object holds DataFrames; nothing is
-collected.  Plan: each present source is scanned, country-filtered and
-conformed in one narrow stage; the primaries are unioned; enrichment is two
-left joins (null keys split off); the single required shuffle on the full
-data is the keep-first dedup on (project_id, finance_type).  What the load
-audit and the warnings need of a source comes from one pass over it.
+Every raw row is read once.  The first stage holds all rows that are not
+blank: the canonical columns of those of the country, and per row the fault
+bits; the second holds the primaries after both enrichment joins.  Audits and
+warnings are bit and count aggregates over the two, the table is the
+keep-first dedup of the second.  With a ``store`` (the run from files, the
+audits) both stages are written once and read from there; without one the run
+is a lazy plan, which suits a caller who wants a single output.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,13 +23,13 @@ from finlens.operators import quality as Q
 from finlens.operators.conform import (
     SourceSpec,
     clean_column_names,
-    conform_source,
+    conform_rows,
     country_columns,
     mapping_rows,
-    source_profile,
+    source_profiles,
 )
 from finlens.operators.enrich import enrich, finalize_and_dedup, union_sources
-from finlens.schema import CANONICAL_FIELDS, DEFAULT_COUNTRY, DEFAULT_COUNTRY_ISO, DEFAULT_RISK_WEIGHTS
+from finlens.schema import CANONICAL_FIELDS, CANONICAL_SCHEMA, DEFAULT_COUNTRY, DEFAULT_COUNTRY_ISO, DEFAULT_RISK_WEIGHTS
 from finlens.sources.registry import ALL_SOURCES
 
 LOAD_SCHEMA = (
@@ -38,6 +40,9 @@ LOAD_SCHEMA = (
 AUDIT_SCHEMA = "source_name string, source_column string, canonical_column string, transform string"
 
 
+Store = Callable[[DataFrame, str], DataFrame]
+
+
 @dataclass
 class EtlResult:
     conformed: DataFrame           # union of conformed primary sources (+ lineage)
@@ -49,114 +54,128 @@ class EtlResult:
     mapping_audit: DataFrame
 
 
-def _empty_conformed(spark: SparkSession) -> DataFrame:
-    from finlens.schema import CANONICAL_SCHEMA
-
+def _empty_stage(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], CANONICAL_SCHEMA).select(
         *CANONICAL_FIELDS,
         F.lit(None).cast("string").alias("source_name"),
         F.lit(None).cast("int").alias("source_rank"),
         F.lit(None).cast("bigint").alias("row_ord"),
+        F.lit(False).alias("in_country"),
+        F.lit(0).alias("faults"),
     )
 
 
 def run_etl(
     spark: SparkSession,
-    raw: dict[str, DataFrame | None],
+    raw: dict[str, DataFrame | list[DataFrame] | None],
     specs: list[SourceSpec] | None = None,
     country: str = DEFAULT_COUNTRY,
     iso: str = DEFAULT_COUNTRY_ISO,
     parser: str = "dataframe",
+    store: Store | None = None,
 ) -> EtlResult:
-    """``raw`` maps a registered source name to its raw DataFrame (None or
-    absent = file missing).  Several enrichment sources fill in the order of
-    their rank; a name no spec knows gives a warning."""
+    """``raw`` maps a registered source name to its raw DataFrame, or to one
+    per file layout, each conformed by its own columns (None, absent or no
+    layout = file missing).  Several enrichment sources fill in the order of
+    their rank; a name no spec knows gives a warning.  ``store`` writes a
+    stage under a name and returns a scan of it."""
     specs = specs or ALL_SOURCES
+    store = store or (lambda df, _: df)
     static: list[tuple[str, str, str]] = []
     missing: list[tuple] = []
-    if not any(df is not None for df in raw.values()):
+    frames = {name: df if isinstance(df, list) else [df] for name, df in raw.items() if df is not None and df != []}
+    if not frames:
         static.append(("raw", "no_raw_files", Q.WARNING_MESSAGES["no_raw_files"]))
     for name in sorted(set(raw) - {s.name for s in specs}):
         static.append((name, "unregistered_source", Q.WARNING_MESSAGES["unregistered_source"]))
 
-    primaries: list[DataFrame] = []
-    enrichments: list[DataFrame] = []
-    profiles: list[DataFrame] = []
+    rows: list[DataFrame] = []
+    present: list[SourceSpec] = []
     audit_rows: list[tuple] = []
     for spec in specs:
-        df = raw.get(spec.name)
-        if df is None:
+        if spec.name not in frames:
             if spec.role == "primary":
                 static.append((spec.name, "missing_primary_source", Q.WARNING_MESSAGES["missing_primary_source"]))
                 missing.append((spec.name, "primary", "missing", 0, 0, 0, 0, None, None,
                                 "required_primary_source_missing"))
             continue
-        profiles.append(source_profile(df, spec, country, iso))
+        present.append(spec)
+        rows += [conform_rows(df, spec, country, iso) for df in frames[spec.name]]
         if spec.role == "excluded":
             continue
-        if not country_columns([c for c in clean_column_names(df).columns if c != "row_ord"]):
+        headers = [c for df in frames[spec.name] for c in clean_column_names(df).columns if c != "row_ord"]
+        if not country_columns(headers):
             static.append((spec.name, "missing_country_filter_columns",
                            Q.WARNING_MESSAGES["missing_country_filter_columns"]))
         audit_rows += [(spec.name, *r) for r in mapping_rows(spec)]
-        (primaries if spec.role == "primary" else enrichments).append(conform_source(df, spec, country, iso))
 
-    conformed = union_sources(primaries) if primaries else _empty_conformed(spark)
-    enrichment = union_sources(enrichments) if enrichments else None
+    stage = store(union_sources(rows) if rows else _empty_stage(spark), "conformed")
+
+    def of(role: str) -> DataFrame:
+        names = [s.name for s in present if s.role == role]
+        mine = F.col("source_name").isin(names) if names else F.lit(False)
+        return stage.where(mine & F.col("in_country")).drop("in_country", "faults")
+
+    conformed = of("primary")
+    enrichment = of("enrichment") if any(s.role == "enrichment" for s in present) else None
     if enrichment is not None:
-        enriched = enrich(conformed, enrichment)
+        enriched = store(enrich(conformed, enrichment), "enriched")
     else:
         enriched = conformed.withColumn("enriched", F.lit(False))
     final = finalize_and_dedup(enriched).select(*CANONICAL_FIELDS)
-    per_source = conformed if enrichment is None else conformed.unionByName(enrichment)
-    profile = union_sources(profiles) if profiles else None
+    profile = store(source_profiles(stage, present), "profiles")
+    whole = store(_whole_profile(enriched), "profile")
 
     return EtlResult(
         conformed, enrichment, enriched, final,
-        _warnings(spark, static, per_source, enriched, final, profile),
-        _loads(spark, missing, profile, enriched, parser),
-        _mapping_audit(spark, audit_rows, per_source),
+        _warnings(spark, static, profile, whole, enriched),
+        _loads(spark, missing, profile, whole, parser),
+        _mapping_audit(spark, audit_rows, profile),
     )
 
 
-def _warnings(spark: SparkSession, static: list[tuple], per_source: DataFrame, enriched: DataFrame, final: DataFrame,
-              profile: DataFrame | None) -> DataFrame:
+def _whole_profile(enriched: DataFrame) -> DataFrame:
+    """One row: rows the enrichment touched, rows without a finance type."""
+    return enriched.agg(F.count_if("enriched").alias("touched"),
+                        F.count_if(F.col("finance_type").isNull()).alias("no_finance_type"))
+
+
+def _warnings(spark: SparkSession, static: list[tuple], profile: DataFrame, whole: DataFrame, enriched: DataFrame
+              ) -> DataFrame:
     """Every rule that fires, one row per (source, rule)."""
     out = spark.createDataFrame(static, Q.WARNING_SCHEMA)
-    no_type = F.col("finance_type").isNull()
-    whole = enriched.withColumn("_scope", F.lit("canonical_dataset"))
-    out = out.unionByName(Q.count_rule_warnings(per_source, "source_name", "invalid_finance_type", no_type))
-    for rule in ("invalid_finance_type", "missing_finance_type"):
-        out = out.unionByName(Q.count_rule_warnings(whole, "_scope", rule, no_type))
-    if profile is not None:
-        # fractional years, unparsed dates, coordinates out of range: one row per count above 0
-        counts = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(c).alias("n"))
-                           for rule, c in Q.PROFILE_RULES.items()])
-        out = out.unionByName(profile.select("source_name", F.inline(counts)).where("n > 0").select(
-            "source_name", F.col("rule").alias("warning_type"), Q.counted_message("rule", "n")))
-    # Distinct conformed rows that share a generated id
-    generated = enriched.where(F.col("project_id").startswith(ID_PREFIX)).groupBy("project_id", "finance_type").agg(
-        (F.count(F.lit(1)) - 1).alias("again"))
-    out = out.unionByName(generated.agg(F.coalesce(F.sum("again"), F.lit(0)).alias("n")).where("n > 0").select(
-        F.lit("canonical_dataset").alias("source_name"), F.lit("generated_id_collision").alias("warning_type"),
-        Q.counted_message("warning_type", "n")))
-    # Statuses the risk index gives no weight
+    canonical = F.lit("canonical_dataset")
+
+    def plain(rows: DataFrame, source, rules: dict[str, str]) -> DataFrame:
+        fired = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(c).alias("n")) for rule, c in rules.items()])
+        return rows.select(source.alias("source_name"), F.inline(fired)).where("n > 0")
+
+    types = plain(profile.where("role <> 'excluded'"), F.col("source_name"), {"invalid_finance_type": "no_finance_type"})
+    types = types.unionByName(plain(whole, canonical, {r: "no_finance_type" for r in ("invalid_finance_type", "missing_finance_type")}))
+    out = out.unionByName(types.select("source_name", F.col("rule").alias("warning_type"), Q.message("rule")))
+    # fractional years, unparsed dates, coordinates out of range
+    counts = plain(profile, F.col("source_name"), Q.PROFILE_RULES)
+    # Rows that share a generated id; T13: statuses the risk index gives no
+    # weight.  Per key one row: its repeats, and what its first row says
     status = F.lower(F.trim("status"))
-    unweighted = final.where(status.isNotNull() & ~status.isin(list(DEFAULT_RISK_WEIGHTS))).agg(F.count(F.lit(1)).alias("n"))
-    return out.unionByName(unweighted.where("n > 0").select(
-        F.lit("canonical_dataset").alias("source_name"), F.lit("status_without_risk_weight").alias("warning_type"),
-        Q.counted_message("warning_type", "n")))
-
-
-def _loads(spark: SparkSession, missing: list[tuple], profile: DataFrame | None, enriched: DataFrame,
-           parser: str) -> DataFrame:
-    """E29 + E27: one row per source, from the one-pass source profiles."""
+    unweighted = status.isNotNull() & ~status.isin(list(DEFAULT_RISK_WEIGHTS))
+    keys = enriched.where("finance_type IS NOT NULL OR project_id LIKE 'gen\\_%'").groupBy("project_id", "finance_type").agg(
+        (F.count(F.lit(1)) - 1).alias("again"),
+        F.min(F.struct("source_rank", "row_ord", unweighted.alias("unweighted")))["unweighted"].alias("unweighted"))
+    totals = keys.agg(
+        F.coalesce(F.sum(F.when(F.col("project_id").startswith(ID_PREFIX), F.col("again"))), F.lit(0)).alias("again"),
+        F.count_if(F.col("unweighted") & F.col("finance_type").isNotNull()).alias("unweighted"))
+    counts = counts.unionByName(plain(totals, canonical, {
+        "generated_id_collision": "again", "status_without_risk_weight": "unweighted"}))
+    return out.unionByName(counts.select("source_name", F.col("rule").alias("warning_type"), Q.counted_message("rule", "n")))
+
+
+def _loads(spark: SparkSession, missing: list[tuple], profile: DataFrame, whole: DataFrame, parser: str) -> DataFrame:
+    """E29 + E27: one row per source, from its profile."""
     absent = spark.createDataFrame(missing, LOAD_SCHEMA)
-    if profile is None:
-        return absent
-    touched = enriched.agg(F.count_if(F.col("enriched"))).scalar()
     role = F.col("role")
     loaded = F.when(role == "primary", F.col("rows_loaded")).otherwise(F.lit(0))
-    rows = profile.withColumn("_touched", touched).select(
+    rows = profile.withColumn("_touched", whole.select("touched").scalar()).select(
         "source_name",
         "role",
         F.lit(parser).alias("parser_used"),
@@ -175,12 +194,13 @@ def _loads(spark: SparkSession, missing: list[tuple], profile: DataFrame | None,
     return rows.unionByName(absent)
 
 
-def _mapping_audit(spark: SparkSession, audit_rows: list[tuple], per_source: DataFrame) -> DataFrame:
+def _mapping_audit(spark: SparkSession, audit_rows: list[tuple], profile: DataFrame) -> DataFrame:
     """Null rate of each mapped canonical column per source."""
     audit = spark.createDataFrame(audit_rows, AUDIT_SCHEMA)
-    rates = Q.missing_pct(per_source, CANONICAL_FIELDS, by="source_name").withColumnRenamed(
-        "column_name", "canonical_column")
-    return audit.join(rates, ["source_name", "canonical_column"], "left").select(
+    filled = F.create_map(*[x for c in CANONICAL_FIELDS for x in (F.lit(c), F.col(f"n_{c}"))])
+    rows = audit.join(profile.select("source_name", "rows_loaded", filled.alias("filled")), "source_name", "left")
+    rows = rows.withColumn("_missing", F.col("rows_loaded") - F.col("filled")[F.col("canonical_column")])
+    return rows.select(
         "source_name", "source_column", "canonical_column", "transform",
-        F.coalesce(F.col("missing_pct"), F.lit(100.0)).alias("null_rate_pct"),
+        F.coalesce(exact_pct("_missing", "rows_loaded", 2), F.lit(100.0)).alias("null_rate_pct"),
     )

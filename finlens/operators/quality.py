@@ -112,18 +112,12 @@ PROFILE_RULES = {
 }
 
 
-def counted_message(rule: str, n: str) -> Column:
-    """'<n> <message>' of the rule named in column ``rule``."""
+def message(rule: str) -> Column:
+    """The message of the rule named in column ``rule``."""
     text = F.create_map(*[F.lit(x) for kv in WARNING_MESSAGES.items() for x in kv])
-    return F.concat_ws(" ", F.col(n).cast("string"), text[F.col(rule)]).alias("message")
+    return text[F.col(rule)].alias("message")
 
 
-def count_rule_warnings(frame: DataFrame, by: str, rule: str, bad: Column) -> DataFrame:
-    """E50 for a count-based rule: one warning row per group with any
-    violation (a single aggregate, filtered to groups with count > 0)."""
-    return (
-        frame.groupBy(F.col(by).alias("source_name"))
-        .agg(F.count_if(bad).alias("_n"))
-        .where(F.col("_n") > 0)
-        .select("source_name", F.lit(rule).alias("warning_type"), F.lit(WARNING_MESSAGES[rule]).alias("message"))
-    )
+def counted_message(rule: str, n: str) -> Column:
+    """'<n> <message>'."""
+    return F.concat_ws(" ", F.col(n).cast("string"), message(rule)).alias("message")

@@ -22,7 +22,7 @@ from finlens.operators.etl import EtlResult, run_etl
 from finlens.plans.registry import register
 from finlens.schema import CANONICAL_FIELDS
 from finlens.session import ensure_checkpoint_dir
-from finlens.sources.fixtures import projects, with_projects
+from finlens.sources.fixtures import materialize, projects, with_projects
 from finlens.sources.files import run_from_folder
 from finlens.sources.raw_fixtures import raw_source, raw_source_sql
 from finlens.sources.registry import ALL_SOURCES, COUNTRY_SOURCE, DF_SOURCE, FIXTURE_OF
@@ -36,19 +36,25 @@ def _raw_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def etl(spark: SparkSession, sf_dir: str) -> EtlResult:
-    """The (lazy) conform run over the raw stand-ins; the plan is built once
-    per session and directory.  Callers must return a *new* Dataset over it
-    (``fresh``): re-executing the same Dataset object would let Spark skip
-    shuffle stages it already ran, and every query run must do its work."""
+    """The conform run over the raw stand-ins: the conformed rows are written
+    anew, what follows is a plan, for a caller who wants one output."""
+    return run_etl(spark, _raw_all(spark, sf_dir),
+                   store=lambda df, name: materialize(spark, df, "run") if name == "conformed" else df)
+
+
+def stored_run(spark: SparkSession, sf_dir: str) -> EtlResult:
+    """The conform run with its stages written once per session and directory,
+    as a deployment keeps them; audits and warnings read the stages."""
     key = (id(spark), spark, sf_dir)
     if key not in _RUNS:
-        _RUNS[key] = run_etl(spark, _raw_all(spark, sf_dir))
+        _RUNS[key] = run_etl(spark, _raw_all(spark, sf_dir), store=lambda df, name: materialize(spark, df, f"run-{name}"))
     return _RUNS[key]
 
 
 def fresh(df: DataFrame) -> DataFrame:
     """A new Dataset over the same logical plan (new physical plan, new
-    shuffles)."""
+    shuffles): re-executing one Dataset object would let Spark skip shuffle
+    stages it already ran, and every query call must do its work."""
     return df.select("*")
 
 
@@ -60,13 +66,20 @@ def _num(x: str, mult: float = 1.0) -> str:
     return v if mult == 1.0 else f"({v}) * {mult!r}"
 
 
-def _date(x: str) -> str:
+def _calendar(x: str) -> str:
     t = f"nullif(trim({x}), '')"
     return (
         f"coalesce(CAST(try_strptime({t}, '%Y-%m-%d') AS DATE), CAST(try_strptime({t}, '%Y-%m-%d %H:%M:%S') AS DATE), "
         f"CAST(try_strptime({t}, '%Y-%m-%dT%H:%M:%S') AS DATE), CAST(try_strptime({t}, '%Y/%m/%d') AS DATE), "
         f"CAST(try_strptime({t}, '%m/%d/%Y') AS DATE), CAST(try_strptime({t}, '%m/%d/%Y %I:%M:%S %p') AS DATE), "
-        f"CASE WHEN regexp_matches({t}, '^[0-9]{{4}}$') THEN make_date(CAST({t} AS INTEGER), 1, 1) END, "
+        f"CASE WHEN regexp_matches({t}, '^[0-9]{{4}}$') THEN make_date(CAST({t} AS INTEGER), 1, 1) END)"
+    )
+
+
+def _date(x: str) -> str:
+    t = f"nullif(trim({x}), '')"
+    return (
+        f"coalesce({_calendar(x)}, "
         f"CASE WHEN regexp_matches({t}, '^[+-]?(\\d+\\.?\\d*|\\.\\d+)$') AND TRY_CAST({t} AS DOUBLE) BETWEEN -693593 AND 2958465 "
         f"THEN DATE '1899-12-30' + CAST(floor(TRY_CAST({t} AS DOUBLE)) AS INTEGER) END)"
     )
@@ -198,31 +211,48 @@ def conform_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def enriched_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All primary sources unioned, then gaps filled from the enrichment
     source by id, then by name|year."""
-    r = etl(spark, sf_dir)
-    return r.enriched.select(*CANONICAL_FIELDS, "source_name", "row_ord", "enriched")
+    return etl(spark, sf_dir).enriched.select(*CANONICAL_FIELDS, "source_name", "row_ord", "enriched")
 
 
 @register("deduped_projects", ["H1", "H2", "W1", "C11"], _wrap(ENRICH_SQL, "SELECT * FROM final"))
 def deduped_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The final canonical table: enriched, validated, keep-first deduped."""
-    return fresh(etl(spark, sf_dir).projects)
+    return etl(spark, sf_dir).projects
 
 
 @register("enrichment_touched", ["E51"], _wrap(ENRICH_SQL, """
 SELECT count(*) FILTER (WHERE enriched) AS rows_touched, count(*) AS rows_total FROM p2"""))
 def enrichment_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows the enrichment filled at least one field of (counted once)."""
-    r = etl(spark, sf_dir)
-    return r.enriched.agg(F.count_if(F.col("enriched")).alias("rows_touched"), F.count(F.lit(1)).alias("rows_total"))
+    return etl(spark, sf_dir).enriched.agg(F.count_if(F.col("enriched")).alias("rows_touched"), F.count(F.lit(1)).alias("rows_total"))
 
 
 ROWS_PER_FILE = 4000
 
 
+def write_lines(lines: DataFrame, titles: DataFrame, path: str) -> None:
+    """CSV files of lines (part, at, value), one folder per part, each under
+    the title of its part (part, value), in order of ``at``."""
+    first = titles.select("part", F.lit(-(1 << 62)).alias("at"), "value")
+    rows = lines.select("part", "at", "value").unionByName(first).repartition("part").sortWithinPartitions("part", "at")
+    # the lines are CSV already: written as they are, under a .csv name
+    rows.select("part", "value").write.partitionBy("part").options(
+        sep="\u0001", quote="\u0002", escapeQuotes="false", ignoreLeadingWhiteSpace="false",
+        ignoreTrailingWhiteSpace="false").csv(path)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/finlens-{name}-{uuid.uuid4().hex}"
+
+
+def title(header: list[str]) -> str:
+    return ",".join('"' + h + '"' if h else "" for h in header)
+
+
 def _raw_folder(spark: SparkSession, sf_dir: str) -> str:
     """The raw stand-ins as a folder of CSV files, several per source with
     shared keys, in the order of their rows; written whole."""
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/finlens-raw-{uuid.uuid4().hex}"
+    base = scratch_folder(spark, "raw")
     for spec in ALL_SOURCES:
         rows = raw_source(spark, sf_dir, FIXTURE_OF[spec.name])
         header = [h for h in rows.columns if h != "row_ord"]
@@ -230,16 +260,11 @@ def _raw_folder(spark: SparkSession, sf_dir: str) -> str:
         if "row_ord" not in cells.columns:
             cells = cells.withColumn("row_ord", F.lit(0).cast("bigint"))
         names = [c for c in cells.columns if c != "row_ord"]
-        line = cells.select(
+        lines = cells.select(
             F.lpad(F.floor(F.greatest("row_ord", F.lit(0)) / ROWS_PER_FILE).cast("string"), 9, "0").alias("part"),
             F.col("row_ord").cast("bigint").alias("at"), F.to_csv(F.struct(*names)).alias("value"))
-        title = ",".join('"' + h + '"' if h else "" for h in header)
-        titles = line.select("part").distinct().select("part", F.lit(-(1 << 62)).alias("at"), F.lit(title).alias("value"))
-        lines = line.unionByName(titles).repartition("part").sortWithinPartitions("part", "at")
-        # the lines are CSV already: written as they are, under a .csv name
-        lines.select("part", "value").write.partitionBy("part").options(
-            sep="\u0001", quote="\u0002", escapeQuotes="false", ignoreLeadingWhiteSpace="false",
-            ignoreTrailingWhiteSpace="false").csv(f"{base}/raw/{spec.name}")
+        titles = lines.select("part").distinct().withColumn("value", F.lit(title(header)))
+        write_lines(lines, titles, f"{base}/raw/{spec.name}")
     return base
 
 
@@ -257,7 +282,7 @@ def _pct(num: str, den: str) -> str:
 
 
 # expected warnings and audit labels are written out by hand
-WARNINGS_SQL = _wrap(ENRICH_SQL, f"""
+WARNINGS_BODY = f"""
 SELECT 'development_finance' AS source_name, 'fractional_year' AS warning_type,
        CAST(count(*) AS VARCHAR) || ' years with a fraction were blanked.' AS message
 FROM raw_df WHERE ({_country_hit('c2', False)} OR {_country_hit('c3', True)}) AND ({_num('c15')}) <> floor({_num('c15')})
@@ -279,14 +304,14 @@ HAVING sum(n - 1) > 0
 UNION ALL
 SELECT 'canonical_dataset', 'status_without_risk_weight',
        CAST(count(*) AS VARCHAR) || ' rows have a status without a risk weight; they count as no risk.'
-FROM final WHERE lower(trim(status)) NOT IN ('cancelled', 'stalled', 'delayed') HAVING count(*) > 0""")
+FROM final WHERE lower(trim(status)) NOT IN ('cancelled', 'stalled', 'delayed') HAVING count(*) > 0"""
 
 
-@register("quality_warnings", ["E50", "C11", "C2"], WARNINGS_SQL)
+@register("quality_warnings", ["E50", "C11", "C2"], _wrap(ENRICH_SQL, WARNINGS_BODY))
 def quality_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Warning rows of the run: fractional years, unparsed dates, coordinates
     out of range, colliding generated ids, statuses without a weight."""
-    return fresh(etl(spark, sf_dir).warnings)
+    return fresh(stored_run(spark, sf_dir).warnings)
 
 
 # the country source read with a finance-type column of its own
@@ -364,7 +389,7 @@ FROM counts c LEFT JOIN stats s ON s.source_name = c.source_name CROSS JOIN touc
 def load_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source: rows in, loaded, excluded, used for enrichment, and
     province / coordinate missingness."""
-    return fresh(etl(spark, sf_dir).loads)
+    return fresh(stored_run(spark, sf_dir).loads)
 
 
 # --- fixed values: expected mapping audit (source, source column, canonical column, transform)
@@ -451,7 +476,7 @@ FROM declared d LEFT JOIN rates r ON r.source_name = d.source_name AND r.canonic
 def mapping_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source mapping: source column, canonical column, transform and
     the canonical column's null rate."""
-    return fresh(etl(spark, sf_dir).mapping_audit)
+    return fresh(stored_run(spark, sf_dir).mapping_audit)
 
 
 def _missingness_sql() -> str:
@@ -467,21 +492,20 @@ FROM allsrc GROUP BY source_name""")
 @register("source_missingness", ["E27"], _missingness_sql())
 def source_missingness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Province and coordinate missingness per conformed source."""
-    r = etl(spark, sf_dir)
+    r = stored_run(spark, sf_dir)
     return Q.source_missingness(r.conformed.unionByName(r.enrichment))
 
 
-def _missing_pct_sql() -> str:
-    parts = " UNION ALL ".join(
+def missing_parts() -> str:
+    return " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, CASE WHEN count(*) > 0 THEN ((count(*) - count({c})) * 20000 + count(*)) "
         f"// (2 * count(*)) / 100.0 ELSE 100.0 END AS missing_pct FROM final" for c in CANONICAL_FIELDS)
-    return _wrap(ENRICH_SQL, parts)
 
 
-@register("missing_pct", ["E26"], _missing_pct_sql())
+@register("missing_pct", ["E26"], _wrap(ENRICH_SQL, missing_parts()))
 def missing_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percent missing per canonical column of the final table."""
-    return Q.missing_pct(etl(spark, sf_dir).projects)
+    return Q.missing_pct(stored_run(spark, sf_dir).projects)
 
 
 COVERAGE_SQL = "\nUNION ALL ".join(

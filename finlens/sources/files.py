@@ -18,6 +18,7 @@ from finlens.operators import quality as Q
 from finlens.operators.conform import SourceSpec, coerce_schema
 from finlens.operators.etl import EtlResult, run_etl
 from finlens.schema import CANONICAL_FIELDS, CANONICAL_SCHEMA
+from finlens.sources.layouts import layouts, read_layout, union_by_name
 from finlens.sources.registry import ALL_SOURCES
 
 RAW_EXTENSIONS = "*.{csv,xlsx,xls}"
@@ -39,36 +40,22 @@ def _listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     )
 
 
-def _csv(spark: SparkSession, multi_line: bool):
-    return (
-        spark.read.option("inferSchema", "false")
-        .option("multiLine", str(multi_line).lower())
-        .option("mode", "PERMISSIVE")
-        .option("recursiveFileLookup", "true")
-    )
+def read_csv_layouts(spark: SparkSession, path: str, multi_line: bool = False) -> list[DataFrame]:
+    """A2: raw CSV (a file, a folder of files, or a glob of either), one
+    DataFrame per header that occurs: all-text columns, header row 0, no type
+    inference, ``row_ord`` as the place in the files.  Large files are split,
+    unless cells may hold line breaks (``multi_line``)."""
+    return [read_layout(spark, layout, multi_line) for layout in layouts(spark, path, multi_line)]
 
 
 def read_csv_source(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """A2: a raw CSV (a file, a folder of files, or a glob of either) as
-    all-text columns, header row 0, no type inference.
-
-    The header is taken from the first file as it stands (blanks and repeats
-    included; conform cleans it); all files of a source share it.  Large
-    files are split, unless cells may hold line breaks (``multi_line``).
-
-    Adds ``row_ord``, a (file, block, position) struct that orders rows as
-    the files do: by path, then by where the split starts, then by the row's
-    place in its split (a split is read by one task, in order).
-    """
-    first = _listing(spark, path).agg(F.min("path")).first()[0]
-    header = list(_csv(spark, multi_line).csv(first).first())
-    rows = _csv(spark, multi_line).option("header", "true").csv(path)
-    place = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("position"),
-    )
-    return rows.select("*", place.alias("row_ord")).toDF(*["" if h is None else h for h in header], "row_ord")
+    """A2 + B1: the files of a source as one DataFrame, every file under its
+    own header, columns united by name.  With one header for all files the
+    names are as they stand (conform cleans them)."""
+    frames = read_csv_layouts(spark, path, multi_line)
+    if not frames:
+        return spark.createDataFrame([], "row_ord struct<file:string,block:bigint,position:bigint>")
+    return frames[0] if len(frames) == 1 else union_by_name(frames)
 
 
 def read_projects_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -196,8 +183,9 @@ def run_from_folder(spark: SparkSession, raw_dir: str, out_dir: str, routes: dic
     and the lineage (``source_loads``, ``mapping_audit``).
 
     ``routes`` maps a source to a glob of files or folders in ``raw_dir``; a
-    source that matches none counts as missing.  Only file counts reach the
-    driver; the outputs are written from one lazy run.
+    source that matches none counts as missing.  Only headers and file counts
+    reach the driver.  The raw files are read once: both stages of the run are
+    written under ``out_dir/stages``, and all outputs come from there.
     """
     routes = routes or ROUTES
     specs = specs or ALL_SOURCES
@@ -211,8 +199,13 @@ def run_from_folder(spark: SparkSession, raw_dir: str, out_dir: str, routes: dic
     wanted = [s for s in specs if s.name in routes]
     found = files.agg(F.count(F.lit(1)).alias("_files"),
                       *[F.count_if(fits(routes[s.name])).alias(s.name) for s in wanted]).first()
-    raw = {s.name: read_csv_source(spark, f"{base}/{routes[s.name]}", multi_line) for s in wanted if found[s.name]}
-    result = run_etl(spark, raw, specs, parser="csv")
+    raw = {s.name: read_csv_layouts(spark, f"{base}/{routes[s.name]}", multi_line) for s in wanted if found[s.name]}
+
+    def store(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{out}/stages/{name}")
+        return spark.read.schema(df.schema).parquet(f"{out}/stages/{name}")
+
+    result = run_etl(spark, raw, specs, parser="csv", store=store)
     write_projects(result.projects, f"{out}/projects")
     projects = read_projects_parquet(spark, f"{out}/projects")
     result.loads.write.mode("overwrite").parquet(f"{out}/source_loads")

@@ -3,16 +3,15 @@ as they land and appended to the canonical Parquet table.
 
 The reference runs its conform as a batch command; this is the same conform
 plan driven by a file stream, for sources that keep receiving exports.
-Each micro-batch runs the batch operators (``conform_source`` then
-keep-first); keep-first across batches is an anti join against the keys of
-the batch already in the table, so the stream itself keeps no unbounded state and a
-restarted query resumes from its checkpoint (the checkpoint location must be
-on shared storage).
+Each micro-batch runs the batch operators (``conform_source`` then keep-first)
+and is written to a batch table: keys of earlier batches are looked up in the
+buckets the batch touches, so the stream itself keeps no unbounded state, and
+a restarted query resumes from its checkpoint and may deliver a batch again
+(the checkpoint location must be on shared storage).
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from finlens.operators.conform import SourceSpec, conform_source
 from finlens.operators.enrich import keep_first
 from finlens.schema import CANONICAL_FIELDS, CANONICAL_SCHEMA
+from finlens.sources.batch_table import read_batches, write_batch
 
 
 def raw_text_schema(header: list[str]) -> T.StructType:
@@ -28,33 +28,24 @@ def raw_text_schema(header: list[str]) -> T.StructType:
     return T.StructType([T.StructField(h, T.StringType(), True) for h in header])
 
 
-def _existing_keys(spark: SparkSession, table_path: str) -> DataFrame:
-    try:
-        return spark.read.schema(CANONICAL_SCHEMA).parquet(table_path).select("project_id", "finance_type")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        # no table yet
-        return spark.createDataFrame([], "project_id string, finance_type string")
+KEYS = ["project_id", "finance_type"]
 
 
 def append_batch(batch: DataFrame, batch_id: int, spec: SourceSpec, table_path: str) -> None:
     """foreachBatch body: conform, keep-first within the batch (file order),
-    drop keys already loaded, append.  Re-running a batch after a failure
-    re-derives the same rows and the anti join skips what was committed."""
-    spark = batch.sparkSession
+    and add the keys that no earlier batch has.  A batch delivered again, or
+    half written before, ends as if written once."""
     # a micro-batch is a static DataFrame: each file is read by one task in
     # order, so the per-task increasing id follows the file
     ordered = batch.withColumn("row_ord", F.monotonically_increasing_id())
-    conformed = conform_source(ordered, spec)
-    keys = ["project_id", "finance_type"]
-    first = keep_first(conformed, keys, ["source_rank", "row_ord"])
-    # only the table keys that occur in this batch matter: a semi join against
-    # the batch's (micro-batch bounded) key set, then an anti join against
-    # that small result — the table's whole key set is never shuffled
-    seen = _existing_keys(spark, table_path).join(first.select(*keys).distinct(), keys, "left_semi")
-    fresh = first.join(seen, keys, "left_anti")
-    fresh.select(*CANONICAL_FIELDS).write.mode("append").partitionBy("finance_type").parquet(table_path)
+    conformed = conform_source(ordered, spec).where(F.col("finance_type").isNotNull())
+    first = keep_first(conformed, KEYS, ["source_rank", "row_ord"])
+    write_batch(first.select(*CANONICAL_FIELDS), batch_id, table_path, KEYS)
+
+
+def read_incremental(spark: SparkSession, table_path: str) -> DataFrame:
+    """The table as the committed batches leave it."""
+    return read_batches(spark, table_path, CANONICAL_SCHEMA).select(*CANONICAL_FIELDS)
 
 
 def start_incremental_conform(
