@@ -1,9 +1,9 @@
 """Keep-first dedup and gap filling from an enrichment source (D2, D3, W1,
 H1, H2, E51).
 
-Keep-first is ``row_number() = 1``: the planner's group limit sorts each
-task's rows once and drops all but the first of every key before the shuffle,
-so a key holding a third of all rows sends one row per task.
+Keep-first is an arg-min aggregate: each task keeps the first row of every
+key before the shuffle, so a key holding a third of all rows sends one row per
+task.
 
 Enrichment joins find heavy keys with a frequent-items sketch and join those
 by broadcast, the rest by shuffle; null keys, which never match, are salted.
@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from finlens.functions.text import name_key
 from finlens.schema import ENRICH_FILL_FIELDS
@@ -21,9 +20,20 @@ from finlens.schema import ENRICH_FILL_FIELDS
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per ``keys`` value: the first by ``order`` (unique within a
-    key).  Null key values form one group, as in a file-order dedup."""
-    first = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    key).  Null key values form one group, as in a file-order dedup.
+
+    An arg-min aggregate: every task reduces its rows to the first of each
+    key, one shuffle of those, no sort of rows in the plan.  The empty list
+    has an object buffer, which makes the planner take the object hash
+    aggregate (a sort aggregate otherwise); a task with very many keys goes
+    on with sorted runs on its own.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    first = F.min_by(F.struct(*rest), F.struct(*order))
+    kept = df.groupBy(*keys).agg(first.alias("_first"), F.collect_list(F.lit(None).cast("int")).alias("_none"))
+    return kept.where(F.size("_none") == 0).select(*[F.col(c) if c in keys else F.col(f"_first.{c}") for c in df.columns])
 
 
 def union_sources(frames: list[DataFrame]) -> DataFrame:
@@ -49,18 +59,18 @@ def heavy_keys(df: DataFrame, key: str, parts: int) -> DataFrame:
     return items.where(F.col("count") * parts > F.col("n")).select(F.col("item").alias(key))
 
 
-def _fill(left: DataFrame, right: DataFrame, on: str, fields: list[str], flag: str) -> DataFrame:
+def _fill(left: DataFrame, right: DataFrame, on: str, fields: list[str], flag: str, heavy: DataFrame) -> DataFrame:
     """Left join on ``on`` and fill each null field from the right side;
-    ``flag`` marks rows where at least one field was filled.
+    ``flag`` marks rows where at least one field was filled; ``heavy`` holds
+    the ``heavy_keys`` of the left side.
 
     Heavy keys and their right rows are a broadcast of at most ``HEAVY_KEYS``
     rows.  Rows of a heavy key then need the shuffle no more, and rows whose
     key is null can never match: both get a per-row salt as join key, so that
     they spread over all shuffle partitions instead of hashing to one.
     """
-    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     r = right.select(F.col(on).alias("_rk"), *[F.col(f).alias(f"_e_{f}") for f in fields])
-    heavy = heavy_keys(left, on, parts).select(F.col(on).alias("_hk"))
+    heavy = heavy.select(F.col(on).alias("_hk"))
     few = r.join(F.broadcast(heavy), F.col("_rk") == F.col("_hk"), "left_semi")
     few = heavy.join(F.broadcast(few), F.col("_rk") == F.col("_hk"), "left").select(
         "_hk", *[F.col(f"_e_{f}").alias(f"_h_{f}") for f in fields])
@@ -97,12 +107,17 @@ def enrich(primary: DataFrame, enrichment: DataFrame, fields: list[str] | None =
     ord_cols = ["source_rank", "row_ord"]
     e = enrichment.select("project_id", "project_name", *fill, *ord_cols)
     by_id = keep_first(e.where(F.col("project_id").isNotNull()), ["project_id"], ord_cols)
-    step1 = _fill(primary.withColumn("_key1", F.col("project_id")), by_id.withColumnRenamed("project_id", "_key1"),
-                  "_key1", fill, "enriched").drop("_key1")
     key = F.concat(name_key(F.col("project_name")), F.lit("|"), F.col("year").cast("string"))
+    # which keys are heavy only steers the joins: both sketches read the rows as
+    # they come, though pass 1 may still fill a year
+    parts = int(primary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy1 = heavy_keys(primary.select(F.col("project_id").alias("_key1")), "_key1", parts)
+    heavy2 = heavy_keys(primary.select(key.alias("_key2")), "_key2", parts)
+    step1 = _fill(primary.withColumn("_key1", F.col("project_id")), by_id.withColumnRenamed("project_id", "_key1"),
+                  "_key1", fill, "enriched", heavy1).drop("_key1")
     by_key = keep_first(e.withColumn("_key2", key).where(F.col("_key2").isNotNull()).drop("project_id", "project_name"),
                         ["_key2"], ord_cols)
-    step2 = _fill(step1.withColumn("_key2", key), by_key, "_key2", fill, "enriched").drop("_key2")
+    step2 = _fill(step1.withColumn("_key2", key), by_key, "_key2", fill, "enriched", heavy2).drop("_key2")
     return step2
 
 

@@ -24,6 +24,7 @@ from finlens.operators.conform import (
     SourceSpec,
     clean_column_names,
     conform_rows,
+    conform_source,
     country_columns,
     mapping_rows,
     source_profiles,
@@ -49,9 +50,9 @@ class EtlResult:
     enrichment: DataFrame | None   # conformed enrichment rows
     enriched: DataFrame            # primaries after gap filling (+ 'enriched')
     projects: DataFrame            # final canonical table
-    warnings: DataFrame
-    loads: DataFrame
-    mapping_audit: DataFrame
+    warnings: DataFrame | None = None
+    loads: DataFrame | None = None
+    mapping_audit: DataFrame | None = None
 
 
 def _empty_stage(spark: SparkSession) -> DataFrame:
@@ -73,12 +74,15 @@ def run_etl(
     iso: str = DEFAULT_COUNTRY_ISO,
     parser: str = "dataframe",
     store: Store | None = None,
+    audits: bool = True,
 ) -> EtlResult:
     """``raw`` maps a registered source name to its raw DataFrame, or to one
     per file layout, each conformed by its own columns (None, absent or no
     layout = file missing).  Several enrichment sources fill in the order of
     their rank; a name no spec knows gives a warning.  ``store`` writes a
-    stage under a name and returns a scan of it."""
+    stage under a name and returns a scan of it.  Without ``audits`` the first
+    stage holds the rows of the country only, without fault bits, and there
+    are no warnings, loads and mapping audit."""
     specs = specs or ALL_SOURCES
     store = store or (lambda df, _: df)
     static: list[tuple[str, str, str]] = []
@@ -100,7 +104,11 @@ def run_etl(
                                 "required_primary_source_missing"))
             continue
         present.append(spec)
-        rows += [conform_rows(df, spec, country, iso) for df in frames[spec.name]]
+        if audits:
+            rows += [conform_rows(df, spec, country, iso) for df in frames[spec.name]]
+        elif spec.role != "excluded":
+            rows += [conform_source(df, spec, country, iso).withColumns({"in_country": F.lit(True), "faults": F.lit(0)})
+                     for df in frames[spec.name]]
         if spec.role == "excluded":
             continue
         headers = [c for df in frames[spec.name] for c in clean_column_names(df).columns if c != "row_ord"]
@@ -123,6 +131,8 @@ def run_etl(
     else:
         enriched = conformed.withColumn("enriched", F.lit(False))
     final = finalize_and_dedup(enriched).select(*CANONICAL_FIELDS)
+    if not audits:
+        return EtlResult(conformed, enrichment, enriched, final)
     profile = store(source_profiles(stage, present), "profiles")
     whole = store(_whole_profile(enriched), "profile")
 
