@@ -1,7 +1,11 @@
 """Main text of web pages: site template removal plus element rules.
 
-1. Every page is parsed to its elements; each element outside the parts that
-   the rules below drop gets a hash of its subtree (tag, text, children).
+1. Every page is parsed to its elements; each element with content gets a hash
+   of its subtree (tag, text, children).  Parts that differ in their words
+   only, as menus do from page to page, get a second one of their shape (tags,
+   class and id names, equal neighbours once, no text): elements outside the
+   article that have a name, are a landmark (navigation, footer, ...), or hold
+   at least ``MENU_LINKS`` links and no text beside them.
 2. Spark counts, per host, the pages that hold each hash.  A subtree is
    template on ``MANY_PAGES`` pages of its host, however large the host, if
    they are ``MANY_SHARE`` of them (a guard against short texts that recur by
@@ -10,8 +14,8 @@
    per task than any other.
 3. The (host, hash) rows of templates are joined to the pages' own hashes, so
    a page gets the templates it holds, never a list of its host.  Each page is
-   parsed once more with these; template subtrees and boilerplate are deleted,
-   and the text of the article is read off.  Pages meet their hashes by a
+   parsed once more with these; template subtrees are deleted, then what the
+   rules below still find, and the text of the article is read off.  Pages meet their hashes by a
    digest of host and source, so copies share one row.
 
 The article is the content of ``article`` elements, else of ``main``, else of
@@ -47,6 +51,7 @@ from finlens.llm.url_filter import host_and_path
 
 MIN_PAGES, MIN_SHARE = 8, 0.5
 MANY_PAGES, MANY_SHARE = 32, 0.01
+MENU_LINKS = 3
 
 # comments, declarations, tags; a tag whose quotes do not pair ends at the next >
 _TOKEN = re.compile(
@@ -65,6 +70,8 @@ _BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody "
     "tfoot thead tr ul caption".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_LANDMARKS = frozenset("nav header footer aside form menu".split())
+_NO_TEXT = frozenset("head script style noscript template title meta".split())
 # inside an article only these can be template; its running text never is
 _CONTAINERS = frozenset("center details div dl fieldset figure ol section table ul".split())
 # an opening tag ends the nearest open one of these, if no barrier lies between
@@ -96,8 +103,11 @@ class Page:
     def __init__(self, source: str):
         self.parent, self.tag, self.dropped, self.header = [-1], [""], [False], [False]
         self.key: list[bytes] = [b""]
+        self.shape: list[bytes] = [b""]
         self.items: list[tuple[int, str] | None] = []
         self._parts: list[list[bytes]] = [[]]
+        # names of the element, shapes of its children, links in it, text beside them
+        self._name, self._shapes, self._links, self._loose = [""], [[]], [0], [False]
         self._stack = [0]
         self._parse(source)
 
@@ -108,13 +118,23 @@ class Page:
         words = " ".join(text.split())
         if words:
             self._parts[at].append(words.encode("utf-8", "surrogatepass"))
+            self._loose[at] = True
 
     def _close(self) -> None:
         at = self._stack.pop()
         body = b"\x00".join([self.tag[at].encode("utf-8", "surrogatepass"), *self._parts[at]])
         self.key[at] = blake2b(body, digest_size=8).digest()
         if self._parts[at]:
-            self._parts[self.parent[at]].append(self.key[at])
+            up = self.parent[at]
+            self._parts[up].append(self.key[at])
+            if self.tag[at] == "a":
+                self._links[at], self._loose[at] = 1, False
+            self._links[up] += self._links[at]
+            self._loose[up] = self._loose[up] or self._loose[at]
+            name = f"shape {self.tag[at]} {self._name[at]}".encode("utf-8", "surrogatepass")
+            self.shape[at] = blake2b(b"\x00".join([name, *self._shapes[at]]), digest_size=8).digest()
+            if self._shapes[up][-1:] != [self.shape[at]]:
+                self._shapes[up].append(self.shape[at])
         if self.tag[at] in _BLOCK:
             self.items.append(None)
 
@@ -145,7 +165,12 @@ class Page:
         self.dropped.append(dropped)
         self.header.append(header)
         self.key.append(b"")
+        self.shape.append(b"")
         self._parts.append([])
+        self._name.append(_names(attributes) if attributes.strip(" /") else "")
+        self._shapes.append([])
+        self._links.append(0)
+        self._loose.append(False)
         self._stack.append(len(self.tag) - 1)
 
     def _parse(self, source: str) -> None:
@@ -199,30 +224,56 @@ class Page:
                 break
         return holds
 
+    def _has_shape(self, i: int, has_article: bool) -> bool:
+        """Whether an element outside the article counts by its shape too."""
+        named = self._name[i] or self.tag[i] in _LANDMARKS
+        return bool(has_article and named or self._links[i] >= MENU_LINKS and not self._loose[i])
+
     def _judge(self, template: frozenset[bytes], only_tags: bool = False):
         """Per element: silent (deleted, or in a header outside the article's
-        headings), inside an article, inside article or main."""
+        headings), inside an article, inside article or main, holding one, and
+        what deletes it itself (2 template, 1 rule, 0 nothing)."""
         holds, n = self._holders(), len(self.tag)
         silent, gone, heading, header = ([False] * n for _ in range(4))
-        article, scope = [False] * n, [False] * n
+        article, scope, route = [False] * n, [False] * n, [0] * n
+        has_article = any(holds)
         for i in range(1, n):
             up, tag = self.parent[i], self.tag[i]
             free = holds[i] or tag in ("html", "body")
             heading[i] = heading[up] or tag in _HEADINGS
             article[i] = article[up] or tag == "article" and holds[i]
             scope[i] = article[i] or scope[up] or tag == "main" and holds[i]
-            ruled = self.dropped[i] and (not only_tags or tag in _DROP)
-            fixed = heading[i] or scope[i] and tag not in _CONTAINERS
-            gone[i] = gone[up] or not free and (ruled or not fixed and self.key[i] in template)
+            if not free and not gone[up]:
+                ruled = self.dropped[i] and (not only_tags or tag in _DROP)
+                fixed = heading[i] or scope[i] and tag not in _CONTAINERS
+                if self._parts[i] and template and (
+                        not fixed and self.key[i] in template
+                        or not heading[i] and not scope[i] and self.shape[i] in template and self._has_shape(i, has_article)):
+                    route[i] = 2
+                elif ruled:
+                    route[i] = 1
+            gone[i] = gone[up] or route[i] > 0
             header[i] = not free and (header[up] or self.header[i])
             silent[i] = gone[i] or header[i] and not (heading[i] and scope[i])
-        return silent, article, scope, holds
+        return silent, article, scope, holds, route
 
     def subtrees(self) -> set[int]:
-        """Hashes of the elements with content that no rule deletes."""
-        silent, _, _, holds = self._judge(frozenset())
-        return {int.from_bytes(self.key[i], "big", signed=True) for i in range(1, len(self.tag))
-                if self._parts[i] and not silent[i] and not holds[i] and self.tag[i] not in ("html", "body")}
+        """Hashes of the elements with content, of text and of shape."""
+        _, _, scope, holds, _ = self._judge(frozenset())
+        has_article, found = any(holds), set()
+        for i in range(1, len(self.tag)):
+            if self._parts[i] and not holds[i] and self.tag[i] not in ("html", "body") and self.tag[i] not in _NO_TEXT:
+                found.add(int.from_bytes(self.key[i], "big", signed=True))
+                if not scope[i] and self._has_shape(i, has_article):
+                    found.add(int.from_bytes(self.shape[i], "big", signed=True))
+        return found
+
+    def removals(self, template: frozenset[bytes] = frozenset()) -> tuple[int, int]:
+        """Elements with content that templates delete, and that only a rule
+        deletes."""
+        route = self._judge(template)[4]
+        kept = [r for r, parts, tag in zip(route, self._parts, self.tag, strict=True) if parts and tag not in _NO_TEXT]
+        return kept.count(2), kept.count(1)
 
     def _read(self, silent: list[bool], scope: list[bool] | None) -> str:
         blocks, open_ = [], []
@@ -239,7 +290,7 @@ class Page:
     def text(self, template: frozenset[bytes] = frozenset()) -> str:
         """The article's text; a page whose every part is ruled out by class
         names falls back to the element rules alone."""
-        silent, article, scope, _ = self._judge(template)
+        silent, article, scope, _, _ = self._judge(template)
         for part in (article, scope, None):
             if part is None or any(part):
                 found = self._read(silent, part)
@@ -248,6 +299,12 @@ class Page:
         return self._read(self._judge(template, only_tags=True)[0], None)
 
 
+def _names(attributes: str) -> str:
+    """Class and id names of an element, numbers blanked."""
+    values = [m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id")]
+    return " ".join(re.sub(r"\d+", "0", v) for v in values).strip()
+
+
 def _judged(tag: str, attributes: str) -> tuple[bool, bool]:
     """(dropped by the rules, is a header) of an element."""
     if tag in _DROP:
