@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from finlens.llm.store import partitions, pick, save
+from finlens.llm.store import partitions, pick, save, spare_name
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 32
@@ -105,6 +105,20 @@ def permuted(k: Column, n: Column, *key: Column, rounds: int = ROUNDS) -> Column
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), k, swap)
 
 
+def with_permuted(df: DataFrame, out: str, k: Column, n: Column, *key: Column, rounds: int = ROUNDS) -> DataFrame:
+    """``df`` with ``out`` = ``permuted(k, n, *key)``.  Each round is a
+    projection of its own, compiled with the stage, where the one expression
+    of ``permuted`` is interpreted row by row."""
+    size, partner = spare_name(df, "_n"), spare_name(df, "_partner")
+    df = df.withColumns({size: F.greatest(n, F.lit(1)), out: k})  # an empty range has no row to place
+    x, n = F.col(out), F.col(size)
+    for r in range(1, rounds + 1):
+        df = df.withColumn(partner, F.pmod(F.pmod(F.xxhash64(F.lit(r), *key), n) - x, n))
+        swaps = F.xxhash64(F.lit(r), *key, F.greatest(x, F.col(partner)), F.lit(1)).bitwiseAND(F.lit(1)) == 1
+        df = df.withColumn(out, F.when(swaps, F.col(partner)).otherwise(x))
+    return df.drop(size, partner)
+
+
 def draw_slots(sources: DataFrame, n_slots: int, seed: int, cap: int) -> DataFrame:
     """(shard, source, block): the output's slots, drawn shard by shard."""
     spark = sources.sparkSession
@@ -115,10 +129,14 @@ def draw_slots(sources: DataFrame, n_slots: int, seed: int, cap: int) -> DataFra
     odds = odds.where("hi > lo").withColumn(
         "cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
     slot = spark.range(n_slots).select(F.floor(F.col("id") / SHARD_SLOTS).alias("shard"), "id")
-    u = (permuted(F.col("id"), F.lit(n_slots).cast("bigint"), F.lit(seed), F.lit("slots")) + 0.5) / F.lit(float(n_slots))
+    slot = with_permuted(slot, "place", F.col("id"), F.lit(n_slots).cast("bigint"), F.lit(seed), F.lit("slots"))
+    # written, as a condition of the join below would be pushed through all rounds
+    slot = save(slot, "slots")
+    u = (F.col("place") + 0.5) / F.lit(float(n_slots))
     slot = slot.withColumn("u", u).withColumn("cell", F.floor(F.col("u") * CELLS))
     drawn = slot.join(odds.select("cell", "lo", "hi", "source"), "cell").where("u >= lo and u < hi")
-    counts = drawn.groupBy("shard", "source").agg(F.count(F.lit(1)).alias("n"))
+    # written once: the running sums below read the counts twice
+    counts = save(drawn.groupBy("shard", "source").agg(F.count(F.lit(1)).alias("n")), "slot-counts")
     counts = running_start(counts, "n", F.floor(F.col("shard") / 4096), ["shard"], "first")
     about = sources.select(F.col("source").alias("_s"), "n_blocks")
     counts = counts.join(about, counts["source"].eqNullSafe(about["_s"])).drop("_s")
@@ -128,8 +146,9 @@ def draw_slots(sources: DataFrame, n_slots: int, seed: int, cap: int) -> DataFra
         F.col("first"), F.col("first") + F.col("n") - 1)).alias("k")).where(F.col("k") < F.col("n_blocks") * cap)
     epoch = F.floor(F.col("k") / F.col("n_blocks"))
     name = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
-    return k.select("shard", "source", permuted(
-        F.pmod(F.col("k"), F.col("n_blocks")), F.col("n_blocks"), F.lit(seed), name, epoch).alias("block"))
+    k = k.withColumns({"name": name, "epoch": epoch})
+    k = with_permuted(k, "block", F.pmod(F.col("k"), F.col("n_blocks")), F.col("n_blocks"), F.lit(seed), F.col("name"), F.col("epoch"))
+    return save(k.select("shard", "source", "block"), "slot-blocks")
 
 
 def plan_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",

@@ -119,3 +119,60 @@ def test_no_python_in_the_plan(spark, small_dir):
 
     plan = QUERIES["op9_source_mix"](spark, small_dir)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
+
+
+def test_stepwise_permutation_equals_the_expression(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(1000).select(F.col("id"), F.lit(7).alias("_n"), F.lit("x").alias("_partner"))
+    n = F.lit(1000).cast("bigint")
+    both = M.with_permuted(df.withColumn("want", M.permuted(F.col("id"), n, F.lit(20), F.lit("slots"))), "got", F.col("id"), n,
+                           F.lit(20), F.lit("slots"))
+    rows = both.collect()
+    assert both.columns == ["id", "_n", "_partner", "want", "got"]
+    assert all(r.want == r.got for r in rows) and sorted(r.got for r in rows) == list(range(1000))
+
+
+def test_the_mix_itself_holds_what_is_taken(spark, small_dir):
+    """The output's pieces over the whole table: each slot is one block, the
+    words of a document's pieces are those it reports as taken, and no piece
+    leaves its document."""
+    mix = M.plan_mix(spark.read.parquet(f"{small_dir}/documents.parquet"))
+    taken = {r.id: r for r in M.taken(mix).collect()}
+    pieces = M.mixed(mix).collect()
+    got = Counter()
+    for p in pieces:
+        assert 0 <= p.from_word and p.n_words > 0 and p.from_word + p.n_words <= taken[p.id].size
+        got[p.id] += p.n_words
+    assert {i: r.taken for i, r in taken.items() if r.taken} == dict(got)
+    slots = Counter((p.shard, p.source, p.block) for p in pieces)
+    assert len(slots) > 100 and max(Counter(p.shard for p in pieces).values()) >= M.SHARD_SLOTS
+
+
+def test_the_draw_recomputed(spark):
+    """Counts per shard and the blocks of every slot, recomputed from the
+    permutations alone."""
+    texts = [" ".join(f"w{i}" for i in range(40 + 7 * k)) for k in range(60)]
+    docs = documents(spark, texts, source=[f"s{k % 5}" if k % 7 else None for k in range(60)])
+    mix = M.plan_mix(docs)
+    sources = sorted(mix.sources.collect(), key=lambda s: s.place)
+    n = -int(-sum(s.n_slots for s in sources) // 1)
+    place = {r.id: r.p for r in spark.range(n).select("id", M.permuted(
+        F.col("id"), F.lit(n).cast("bigint"), F.lit(20), F.lit("slots")).alias("p")).collect()}
+    edges, total = [], sum(s.n_slots for s in sources)
+    for s in sources:
+        edges.append((edges[-1][1] if edges else 0.0, (edges[-1][1] if edges else 0.0) + s.n_slots / total, s))
+    drawn = Counter()
+    for i in range(n):
+        u = (place[i] + 0.5) / n
+        owner = [s for lo, hi, s in edges if lo <= u < hi] or [edges[-1][2]]
+        drawn[i // M.SHARD_SLOTS, owner[0].source] += 1
+    got = mix.slots.collect()
+    assert Counter((r.shard, r.source) for r in got) == drawn
+    for s in sources:
+        mine = [r for r in got if r.source == s.source]
+        blocks = Counter(r.block for r in mine)
+        full, rest = divmod(len(mine), s.n_blocks)
+        # whole epochs take every block once more, the last one some of them
+        assert set(blocks) <= set(range(s.n_blocks)) and sum(blocks.values()) == len(mine)
+        assert set(blocks.values()) <= {full, full + 1} and sum(v == full + 1 for v in blocks.values()) in (rest, s.n_blocks)
