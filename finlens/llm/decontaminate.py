@@ -18,9 +18,10 @@ every text (a shorter text is one window) are compared on 5-word shingles:
 4. Verification.  Weighted Jaccard similarity of the full shingle counts,
    sum of minima over sum of maxima, must reach the threshold.
 
-The benchmark is cut into parts of at most ``ITEMS_PER_PASS`` items by id
-order; every part is broadcast on its own (bounded) and adds its hits to the
-same row, so any number of items works.  Texts are never shuffled.
+The benchmark is cut into parts of at most ``ITEMS_PER_PASS`` items and
+``BYTES_PER_PASS`` bytes by id order.  The driver fetches one part at a time,
+and its broadcast is released when the results of that part are written, so
+any number of items works in bounded memory.  Texts are never shuffled.
 
 Defined results: null or empty texts hit nothing; null, empty or wordless
 items are passed over; an empty benchmark hits nothing; items shorter than a
@@ -32,19 +33,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finlens.llm.store import pick
-from finlens.llm.textops import U64, Words, mix, ngram_hashes, slices
+from finlens.llm.store import TEXT_ROWS, pick, save, spare_name
+from finlens.llm.textops import U64, Words, mix, ngram_hashes, release_memory, slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 20
-ITEMS_PER_PASS = 20_000
+ITEMS_PER_PASS, BYTES_PER_PASS = 20_000, 8 << 20
 _FILTER_BITS = 24
 _EPS = 1e-9
 
@@ -217,40 +219,65 @@ def _search(part):
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         items = part.value
         for col in batches:
-            out: list[list[tuple]] = []
             for piece in slices(pa.record_batch([col], ["t"]), "t"):
                 found = items.hits(piece.column(0))
-                out += [found.get(i, []) for i in range(piece.num_rows)]
-            yield pa.array([[dict(zip(("item_id", "first_word", "n_words", "similarity"), h, strict=True)) for h in row]
-                            for row in out], pa.list_(_HIT))
+                yield pa.array([[dict(zip(("item_id", "first_word", "n_words", "similarity"), h, strict=True))
+                                 for h in found.get(i, [])] for i in range(piece.num_rows)], pa.list_(_HIT))
+        release_memory()
 
     # else the planner may run the search once more to drop rows without hits
     return F.arrow_udf(search, _HITS_DDL).asNondeterministic()
 
 
-def contamination(benchmark: DataFrame, text: Column, item_col: str = "item_id", item_text_col: str = "text",
-                  similarity: float = SIMILARITY, radius: int = RADIUS, shingle: int = SHINGLE,
-                  items_per_pass: int = ITEMS_PER_PASS) -> Column:
-    """Array of hits (item_id, first_word, n_words, similarity) of a text."""
-    sc = benchmark.sparkSession.sparkContext
+def bounded_parts(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text",
+                  items_per_pass: int = ITEMS_PER_PASS, bytes_per_pass: int = BYTES_PER_PASS) -> Iterator[list[tuple]]:
+    """The benchmark's (item, text) rows in id order, in parts of at most
+    ``items_per_pass`` items and ``bytes_per_pass`` text bytes (one item at
+    least).  The driver holds one part at a time."""
     items = pick(benchmark, item=item_col, t=item_text_col).where("t is not null").orderBy("item", "t")
-    found, rows = F.array().cast(_HITS_DDL), []
-
-    def add(found: Column, rows: list[tuple]) -> Column:
-        part = sc.broadcast(Items(rows, similarity, radius, shingle))
-        return F.concat(found, _search(part)(text))
-
+    rows: list[tuple] = []
+    size = 0
     for r in items.toLocalIterator():
+        own = len(r["t"].encode("utf-8", "surrogatepass"))
+        if rows and (len(rows) == items_per_pass or size + own > bytes_per_pass):
+            yield rows
+            rows, size = [], 0
         rows.append((r["item"], r["t"]))
-        if len(rows) == items_per_pass:
-            found, rows = add(found, rows), []
-    return add(found, rows) if rows else found
+        size += own
+    if rows:
+        yield rows
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                       **options) -> DataFrame:
+                       similarity: float = SIMILARITY, radius: int = RADIUS, shingle: int = SHINGLE, **bounds) -> DataFrame:
     """One row per text and item found in it: id, item_id, first_word,
-    n_words, similarity."""
-    rows = pick(docs, _id=id_col, _t=text_col)
-    hits = contamination(benchmark, F.col("_t"), **options)
-    return rows.select(F.col("_id").alias(id_col), hits.alias("_h")).select(id_col, F.inline("_h"))
+    n_words, similarity.  A benchmark of one part is a plan; of several, the
+    hits of each part are written before the next part is fetched."""
+    rows, found, part = pick(docs, _id=id_col, _t=text_col), [], None
+    sc = docs.sparkSession.sparkContext
+
+    def pairs(hits: Column) -> DataFrame:
+        return rows.select(F.col("_id").alias(id_col), hits.alias("_h")).select(id_col, F.inline("_h"))
+
+    for items in bounded_parts(benchmark, **bounds):
+        if part is not None:
+            found.append(save(pairs(_search(part)(F.col("_t"))), "benchmark-hits", TEXT_ROWS))
+            part.unpersist()
+        part = sc.broadcast(Items(items, similarity, radius, shingle))
+    found.append(pairs(_search(part)(F.col("_t")) if part is not None else F.array().cast(_HITS_DDL)))
+    return reduce(DataFrame.unionByName, found)
+
+
+def without_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", similarity: float = SIMILARITY,
+                 radius: int = RADIUS, shingle: int = SHINGLE, **bounds) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item; what each part of
+    a large benchmark leaves is written before the next."""
+    name, left = spare_name(docs, "_hits"), docs
+    sc, part = docs.sparkSession.sparkContext, None
+    for rows in bounded_parts(benchmark, **bounds):
+        if part is not None:
+            left = save(left, "not-in-benchmark", TEXT_ROWS)
+            part.unpersist()
+        part = sc.broadcast(Items(rows, similarity, radius, shingle))
+        left = left.withColumn(name, _search(part)(F.col(text_col))).where(F.size(name) == 0).select(*docs.columns)
+    return left

@@ -9,7 +9,7 @@ import pytest
 
 from finlens.llm import decontaminate as D
 from finlens.llm.textops import mix
-from tests.llm.helpers import EDGE_TEXTS, documents, lower, with_clashes, words
+from tests.llm.helpers import DOCS, EDGE_TEXTS, documents, lower, with_clashes, words
 
 ITEMS = "item_id bigint, text string"
 
@@ -112,3 +112,24 @@ def test_empty_tables(spark):
     assert D.contaminated_pairs(documents(spark, []), bench).collect() == []
     assert D.contaminated_pairs(documents(spark, ["a b c d e f g"]), none).collect() == []
     assert D.contaminated_pairs(documents(spark, ["x a b c d e f g y"] * 2), bench).count() == 2
+
+
+def test_parts_are_bounded_by_items_and_bytes(spark):
+    items = [(i, "w " * (1 + 400 * (i == 3))) for i in range(10)] + [(None, "no id"), (11, None)]
+    bench = spark.createDataFrame(items, ITEMS)
+    assert [len(p) for p in D.bounded_parts(bench, items_per_pass=4)] == [4, 4, 3]
+    parts = list(D.bounded_parts(bench, bytes_per_pass=100))
+    assert sum(map(len, parts)) == 11 and [len(p) for p in parts if any(r[0] == 3 for r in p)] == [1]
+    assert list(D.bounded_parts(bench.where("false"))) == []
+
+
+@pytest.mark.parametrize("per_pass", [20_000, 7])
+def test_clean_documents_stay(spark, per_pass):
+    texts, items = planted(6)
+    leaks = {d for d, _ in brute(texts, items)}
+    docs = with_clashes(documents(spark, texts))
+    left = D.without_hits(docs, spark.createDataFrame(list(enumerate(items)), ITEMS), items_per_pass=per_pass)
+    assert left.columns == docs.columns and leaks
+    assert sorted(r.doc_id for r in left.collect()) == [i for i in range(len(texts)) if i not in leaks]
+    rows = spark.createDataFrame([(None, items[0], "en", "s", 1), (None, "clean words only here", "en", "s", 1)], DOCS)
+    assert [r.text for r in D.without_hits(rows, spark.createDataFrame([(0, items[0])], ITEMS)).collect()] == ["clean words only here"]
