@@ -40,10 +40,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    hits = spare_name(docs, "_hits")
-    items = read_table(spark, sf_dir, "benchmark")
-    rows = docs.withColumn(hits, decontaminate.contamination(items, F.col("text")))
-    return rows.where(F.size(hits) == 0).select(*docs.columns)
+    return decontaminate.without_hits(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
