@@ -11,8 +11,7 @@ rows, then the smaller label.  Scores under ``min_margin`` are ``rejected``.
 
 The whole text is encoded, never a prefix; chunks keep a long text from
 becoming its own dictionary.  Prediction is one Arrow pass without a shuffle.
-Learning scans once for (label, hash) pairs, which the ranking thins before
-its shuffle, and once for the chosen texts, joined on a broadcast of at most
+Learning scans once for (label, hash) pairs, which two rankings thin, and once for the chosen texts, joined on a broadcast of at most
 ``labels * SAMPLE_TEXTS`` hashes.  Copies count once, so a hot group of copies
 takes one place in the sample.
 
@@ -38,6 +37,7 @@ from finlens.llm.textops import release_memory, slices
 
 UNKNOWN = "und"
 SAMPLE_TEXTS = 400
+RANK_PARTS = 64
 SAMPLE_CHARS = 2000
 DICT_BYTES = 96 << 10
 CHUNK_BYTES = 4096
@@ -63,10 +63,13 @@ def learn(df: DataFrame, text_col: str = "text", label_col: str = "lang") -> dic
     """
     rows = pick(df, t=text_col, label=label_col).where("t is not null and label is not null")
     rows = rows.withColumn("h", F.xxhash64("t"))
-    top = Window.partitionBy("label").orderBy("h")
-    keys = (rows.select("label", "h").distinct()
-            .withColumn("place", F.row_number().over(top))
-            .where(F.col("place") <= SAMPLE_TEXTS).drop("place"))
+    keys = rows.select("label", "h").distinct().withColumn("part", F.pmod("h", F.lit(RANK_PARTS)))
+    # ranked in parts of a label first: the second ranking reads at most
+    # RANK_PARTS * SAMPLE_TEXTS hashes of a label, however many rows it has
+    for by in (["label", "part"], ["label"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("h"))
+        keys = keys.withColumn("place", place).where(F.col("place") <= SAMPLE_TEXTS).drop("place")
+    keys = keys.drop("part")
     chosen = (rows.join(F.broadcast(keys), ["label", "h"])
               .groupBy("label", "h").agg(F.min(F.substring("t", 1, 4 * SAMPLE_CHARS)).alias("t")))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -12,8 +12,10 @@ minhashes each.  At similarity 0.8 a pair shares a table with probability
 Tables.  Rows travel once per first-collection hash; those alone in their
 bucket leave, the rest are combined with the second collection after the
 shuffle.  A bucket yields no pairs within the group, only (hub, member), the
-hub being its most crowded node; a pair agreeing in fewer than ``AGREE`` of
-the band hashes is no candidate (at 0.8, probability 1e-6).
+hub being its most crowded node; a (hub, member) pair agreeing in fewer than
+``AGREE`` of the band hashes is no candidate (at 0.8, probability 1e-6).  Two
+similar members of one table whose hub one of them so leaves need another of
+the tables they share.
 
 Verification, on full 64-bit shingle sets:
 1. every node against the hub it agrees with most; components of these links;
@@ -51,6 +53,7 @@ from finlens.llm.store import TEXT_ROWS, partitions, pick, save, spare_name
 from finlens.llm.textops import U64, Words, mix, ngram_hashes, release_memory, slices
 
 BANDS, BAND_SIZE, AGREE = 15, 3, 3
+HOT_BUCKET = 4096
 SIMILARITY = (4, 5)
 
 
@@ -139,19 +142,31 @@ def _set_column(n: int):
     return F.arrow_udf(build, "struct<node:binary,s:array<bigint>>")
 
 
-def star_pairs(reps: DataFrame, agree: int) -> DataFrame:
-    """(hub, node, agree): members of a table bucket against its hub."""
-    bucket = Window.partitionBy("i", "u")
-    crowded = save(
-        reps.select("node", "v", F.posexplode("u").alias("i", "u"))
-        .withColumn("c", F.count(F.lit(1)).over(bucket)).where("c > 1"), "buckets")
-    crowd = crowded.groupBy("node").agg((-F.sum("c")).alias("crowd"))
+def star_pairs(reps: DataFrame, agree: int, hot: int = HOT_BUCKET) -> DataFrame:
+    """(hub, node, agree): members of a table bucket against its hub.
+
+    Bucket sizes and, for buckets of more than ``hot`` nodes, the hubs of
+    their tables come from aggregates that combine before the shuffle, and are
+    joined back; smaller buckets find their hubs inside one task each.
+    """
+    rows = reps.select("node", "v", F.posexplode("u").alias("i", "u"))
+    sizes = save(rows.groupBy("i", "u").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "bucket-sizes")
+    crowded = save(rows.join(sizes, ["i", "u"]), "buckets")
+    crowd = save(crowded.groupBy("node").agg((-F.sum("c")).alias("crowd")), "crowds")
+    placed = crowded.join(crowd, "node")
     table = Window.partitionBy("i", "u", "j", "w")
-    members = (
-        crowded.join(crowd, "node").repartition(partitions(reps.sparkSession), "i", "u")
-        .select("i", "u", "node", "crowd", F.posexplode("v").alias("j", "w"))
-        .withColumn("hub", F.min(F.struct("crowd", "node")).over(table)["node"])
-        .where(F.col("hub") != F.col("node")).select("hub", "node").distinct())
+
+    def by_table(df: DataFrame) -> DataFrame:
+        return df.select("i", "u", "node", "crowd", F.posexplode("v").alias("j", "w"))
+
+    few = by_table(placed.where(F.col("c") <= hot).repartition(partitions(reps.sparkSession), "i", "u")).withColumn(
+        "hub", F.min(F.struct("crowd", "node")).over(table)["node"])
+    many = by_table(placed.where(F.col("c") > hot))
+    hubs = save(many.groupBy("i", "u", "j", "w").agg(
+        F.min(F.struct("crowd", "node")).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1").select(
+        "i", "u", "j", "w", F.col("h.node").alias("hub")), "hubs")
+    many = many.join(hubs, ["i", "u", "j", "w"])
+    members = few.select("hub", "node").unionByName(many.select("hub", "node")).where("hub <> node").distinct()
     mine = reps.select("node", F.col("u").alias("u1"), F.col("v").alias("v1"))
     hubs = reps.select(F.col("node").alias("hub"), F.col("u").alias("u2"), F.col("v").alias("v2"))
     same = F.size(F.array_intersect("u1", "u2")) + F.size(F.array_intersect("v1", "v2"))
@@ -186,7 +201,8 @@ def _family_links(star: DataFrame, labels: DataFrame, sets: DataFrame, similarit
     hubs = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_lab"))
     family = star.join(own, "node", "left").join(hubs, "hub", "left").select(
         "hub", "node", F.coalesce("lab", "node").alias("lab"), F.coalesce("hub_lab", "hub").alias("hub_lab"))
-    open_ = family.where("lab != hub_lab").select("hub").distinct()
+    # written: a join with a plain table can be split at a hub with very many members
+    open_ = save(family.where("lab != hub_lab").select("hub").distinct(), "open-hubs")
     family = family.join(open_, "hub").withColumnsRenamed({"hub": "a", "node": "b"})
     delta = _with_sets(family, sets).select(
         F.col("a").alias("hub"), F.col("b").alias("node"), "lab", "hub_lab",
@@ -196,7 +212,8 @@ def _family_links(star: DataFrame, labels: DataFrame, sets: DataFrame, similarit
         "linked", F.col("nd") <= _slack(F.col("n_hub") + F.col("n"), similarity))
     delta = save(delta.withColumn("outside", ~F.col("linked") & (F.col("lab") != F.col("hub_lab"))), "deltas")
     to_hub = delta.where("linked and lab != hub_lab").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    rest = delta.join(delta.where("outside").select("hub").distinct(), "hub").select(
+    owing = save(delta.where("outside").select("hub").distinct(), "owing-hubs")
+    rest = delta.join(owing, "hub").select(
         "hub", "node", "n", "nd", "outside", F.when(F.col("linked"), F.col("hub_lab")).otherwise(F.col("lab")).alias("lab"),
         F.explode("d").alias("e"))
     often = rest.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
@@ -213,14 +230,14 @@ def _family_links(star: DataFrame, labels: DataFrame, sets: DataFrame, similarit
 
 
 def grouped(docs: DataFrame, n: int, similarity: tuple[int, int] = SIMILARITY, bands: int = BANDS,
-            size: int = BAND_SIZE, agree: int = AGREE) -> DataFrame:
+            size: int = BAND_SIZE, agree: int = AGREE, hot: int = HOT_BUCKET) -> DataFrame:
     """Per row (id, t) of ``docs``: id, th, n, node, and the component's
     smallest node (label) and smallest id; empty sets have null label."""
     signed = save(signatures(docs, n, bands, size), "signatures", TEXT_ROWS)
     reps = save(signed.where("n > 0").groupBy("node").agg(
         F.min("id").alias("id"), F.min(F.struct("id", "th")).alias("row"), F.first("u").alias("u"),
         F.first("v").alias("v")), "nodes")
-    star = save(star_pairs(reps, agree), "stars")
+    star = save(star_pairs(reps, agree, hot), "stars")
     wanted = star.select(F.col("hub").alias("node")).unionByName(star.select("node")).distinct()
     # one row of each node, by id and text hash: many rows may share an id (or
     # have none), few also the text

@@ -7,7 +7,10 @@ block the URL.  A host/path rule that fits takes precedence over the
 vocabulary; of several, the longest wins.
 
 Hosts, paths and rules are JVM expressions; only the term counts run in
-Python (Arrow batches).  There is no shuffle: every row is judged alone.
+Python (Arrow batches).  There is no shuffle: every row is judged alone.  The
+terms may come from a table of up to ``MAX_TERMS`` rows (``vocabulary``); the
+automaton is built once and broadcast.  ``STRICT_TERMS`` and ``SOFT_TERMS``
+are a small example vocabulary.
 
 Defined results: a null URL, or one without ``://``, has empty host and path,
 no rule, and (as nothing is counted in a null URL) the verdict ``allow`` when
@@ -33,6 +36,7 @@ SOFT_TERMS = (
     "loans", "lottery", "pharma", "pills", "poker", "slots", "spam", "track", "tracker", "win",
 )
 SOFT_LIMIT = 2
+MAX_TERMS = 1_000_000
 
 
 def ascii_lower(c: Column) -> Column:
@@ -59,22 +63,33 @@ def rule_column(rules: Sequence[tuple[str, str, str]], host: Column, path: Colum
     return name, verdict
 
 
-def _term_counter(strict: Sequence[str], soft: Sequence[str]):
-    terms = [(t, True) for t in strict] + [(t, False) for t in soft]
+def vocabulary(terms: DataFrame, term_col: str = "term", strict_col: str = "strict") -> tuple[list[str], list[str]]:
+    """(strict, soft) terms of a table, lower-cased (A-Z), each once; a term
+    listed as both is strict, null and empty terms are passed over.  More than
+    ``MAX_TERMS`` distinct terms are an error."""
+    rows = terms.select(ascii_lower(F.col(term_col)).alias("term"), F.coalesce(F.col(strict_col), F.lit(False)).alias("strict"))
+    rows = rows.where("term <> ''").groupBy("term").agg(F.max("strict").alias("strict")).limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} terms")
+    return tuple(sorted(r["term"] for r in rows if r["strict"] == kind) for kind in (True, False))
 
-    def build():
-        machine = ahocorasick.Automaton()
-        for i, (term, _) in enumerate(terms):
+
+def _term_counter(sc, strict: Sequence[str], soft: Sequence[str]):
+    terms = [*strict, *soft]
+    machine = ahocorasick.Automaton()
+    for i, term in enumerate(terms):
+        if term not in machine:  # of equal terms the first, so strict before soft
             machine.add_word(term, (i, len(term)))
+    if terms:
         machine.make_automaton()
-        return machine
+    shared = sc.broadcast(machine if terms else None)
 
     n_strict = len(strict)
     result = pa.struct([("n_strict", pa.int32()), ("n_soft", pa.int32())])
 
     @F.arrow_udf("struct<n_strict:int,n_soft:int>")
     def count_terms(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        machine = build() if terms else None
+        machine = shared.value
         for urls in batches:
             hard, mild = [], []
             for url in urls.to_pylist():
@@ -109,7 +124,7 @@ def judge_urls(
     (distinct terms found).  Other input columns are left out."""
     rows = pick(df, **{id_col: id_col, "_u": url_col})
     host, path = host_and_path(F.col("_u"))
-    counts = _term_counter(list(strict), list(soft))
+    counts = _term_counter(df.sparkSession.sparkContext, list(strict), list(soft))
     rows = rows.select(id_col, host.alias("host"), path.alias("path"),
                        counts(ascii_lower(F.col("_u"))).alias("_n"))
     rule, ruled = rule_column(rules, F.col("host"), F.col("path"))

@@ -63,6 +63,14 @@ def test_components_equal_brute_force(spark, n, groups, most):
     assert all(got[i].kept == (want[i] == i) for i in range(len(texts)))
 
 
+def test_hot_buckets_by_aggregates(spark):
+    """Buckets of more than three nodes settle their hubs by joins."""
+    texts = families(11, 8, 40)
+    want, _ = brute_components(texts, 2)
+    got = by_id(N.near_duplicates(documents(spark, texts), n=2, hot=3))
+    assert [got[i].component_id for i in range(len(texts))] == want
+
+
 def test_tables_agree_with_their_probability():
     """Band hashes of a pair agree about as often as similarity to the power
     of the band size, in both collections."""

@@ -80,3 +80,44 @@ def test_policies_and_ablations(spark):
 @pytest.mark.parametrize("make", [L.evaluate])
 def test_empty_table(spark, make):
     assert make(documents(spark, [])).collect() == []
+
+
+def test_vocabulary_of_thousands_of_terms(spark):
+    """Terms from a table: overlapping ones, each with its own boundaries,
+    non-ASCII ones, one listed as both kinds."""
+    rows = [(f"t{i}x", i % 5 == 0) for i in range(4000)]
+    rows += [("he", False), ("she", False), ("hers", False), ("süß-wört", True), ("Both", True), ("both", False), (None, True), ("", True)]
+    strict, soft = U.vocabulary(spark.createDataFrame(rows, "term string, strict boolean"))
+    assert len(strict) + len(soft) == 4005 and "both" in strict and "both" not in soft
+    urls = ["http://a/she", "http://a/she-he", "http://a/hers.he.she", "http://a/SÜSS", "http://a/süß-wört/", "http://a/xsüß-wört",
+            "http://a/both", "http://a/t10x", "http://a/t11x?t12x", "http://a/t11x?t11x", "http://a/éhe~he"]
+    got = judge(spark, urls, strict=strict, soft=soft)
+    assert [(got[i].n_strict, got[i].n_soft) for i in range(len(urls))] == [
+        (0, 1), (0, 2), (0, 3), (0, 0), (1, 0), (0, 0), (1, 0), (1, 0), (0, 2), (0, 1), (0, 1)]
+    assert [got[i].verdict for i in (0, 1, 4)] == ["allow", "block", "block"]
+    assert judge(spark, ["http://casino.org"], strict=(), soft=())[0].verdict == "allow"
+
+
+def test_too_many_terms_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(U, "MAX_TERMS", 3)
+    with pytest.raises(ValueError):
+        U.vocabulary(spark.createDataFrame([(f"t{i}", True) for i in range(5)], "term string, strict boolean"))
+
+
+def test_ablations_of_the_table(spark, small_dir):
+    """Every policy and rule over all documents against plain counting."""
+    ledger = L.evaluate(spark.read.parquet(f"{small_dir}/documents.parquet"))
+    masks = [r.fail_mask for r in ledger.collect()]
+    rows = L.ablations(ledger).collect()
+    assert len(rows) == sum(len(p.rules) for p in L.POLICIES) and len(masks) == 200
+    bit = {r.name: 1 << r.bit for r in L.RULES}
+    rules = {p.version: p.mask(L.RULES) for p in L.POLICIES}
+    for r in rows:
+        hits = [m & rules[r.policy] for m in masks]
+        failed = [h for h in hits if h & bit[r.rule]]
+        others = 0
+        for h in failed:
+            others |= h & ~bit[r.rule]
+        assert (r.n_kept, r.n_failed, r.n_only, r.other_mask) == (
+            hits.count(0), len(failed), sum(h == bit[r.rule] for h in failed), others)
+    assert any(r.n_only for r in rows)
