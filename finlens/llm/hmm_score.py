@@ -1,24 +1,27 @@
 """Hidden Markov language model: training by Baum-Welch, exact forward scores.
 
 Tokens are lower-cased (A-Z) words and one end per text.  Counts of all
-training words come from one aggregation; the ``VOCABULARY`` most frequent
-words are symbols of the model, every other word belongs to one of ``TAIL``
-classes by its spelling, and inside a class a word has its smoothed share of
-the class's training tokens, whatever the state.  So the emission tables have
-a fixed size, while rare words, however many, keep their own counts: their
-share is a sum per text, found by joining (text, rare word) rows to the
-counts, and the recursion runs on class symbols.
+training words come from one aggregation.  The ``VOCABULARY`` most frequent
+words are the head: their emissions are broadcast, a table of fixed size.  All
+other training words, however many, have emissions of their own as well, in a
+distributed table (word, count, share of each state); they reach the texts by
+a join.
 
 Training: each pass over all training texts runs the scaled forward-backward
-recursions on segments of ``SEGMENT`` tokens, side by side in numpy; expected
-counts of transitions and emissions are summed across partitions block by
-block, and only the summed model (``STATES`` x symbols, fixed) reaches the
-driver, which smooths it towards the corpus counts.
+recursions over whole texts, many side by side in numpy, the longest together.
+In all passes but the last, words outside the head share the emissions of one
+of ``TAIL`` spelling classes, so a pass needs no join; expected counts of
+transitions, head and classes are summed block by block, in levels of at most
+``FAN`` parts, and only the summed model (fixed size) reaches the driver.  The
+last pass sums the expected counts of every word in Spark: each word then has
+the state shares of its own counts.  Words never seen in training keep their
+class.
 
 Scoring: the scaled forward recursion over each whole text gives the exact log
-probability of its tokens.  Long texts are cut at ``LONG`` tokens; later
-pieces propagate all states at once, and the pieces' transfer matrices are
-then multiplied in order, so no step depends on the longest text alone.
+probability of its tokens, every word with its own emissions.  Long texts are
+cut at ``LONG`` tokens; later pieces propagate all states at once, and the
+pieces' transfer matrices are then multiplied in order, so no step depends on
+the longest text alone.
 
 Defined results: null and empty texts are one end token.  Repeated rows are
 scored each, and counted each in training.  With no training rows all counts
@@ -33,20 +36,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finlens.llm.store import partitions, pick, save
-from finlens.llm.textops import U64, Words, mix, slices
+from finlens.llm.textops import U64, Words, mix, release_memory, slices
 
 VOCABULARY, TAIL = 1 << 17, 256
 STATES, PASSES = 8, 5
-SEGMENT, LONG = 128, 4096
+LONG = 4096
 SMOOTH = 0.1  # of the base model and of words inside a class
 PULL = 1.0  # tokens' worth of the states' shares in what a symbol says of its state
 BLOCK = 1 << 13
-_CHUNK_TOKENS = 1 << 16
-_SCORE_ROWS = 4000
+FAN = 64
+_CHUNK_TOKENS = 1 << 19
+_SCORE_ROWS = 2000
+# words have negative keys; sums that belong to none: symbols from 0, then moves and starts
+_WORD, _MOVES = U64(1 << 63), 1 << 30
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -142,12 +149,12 @@ def vocabulary(counts: DataFrame, size: int, tail: int) -> tuple[Vocabulary, np.
     return vocab, mass
 
 
-_CODES = "key bigint, id bigint, held_out boolean, symbols array<int>, words array<binary>, times array<int>"
+_CODES = "key bigint, id bigint, held_out boolean, symbols array<int>, tail array<bigint>"
 
 
 def encoded(docs: DataFrame, vocab) -> DataFrame:
-    """Texts (key, id, held_out, t) as symbols with the end, and their words
-    outside the vocabulary with how often each occurs."""
+    """Texts (key, id, held_out, t) as symbols with the end; ``tail`` holds the
+    hashes of the words outside the head, in the order of the text."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
@@ -156,23 +163,16 @@ def encoded(docs: DataFrame, vocab) -> DataFrame:
                 w = Words(piece.column("t"), lower=True)
                 symbols, outside = v.encode(w)
                 n = piece.num_rows
-                ends = w.doc_off[1:]
-                flat = np.insert(symbols, ends, v.end_symbol)
+                flat = np.insert(symbols, w.doc_off[1:], v.end_symbol)
                 off = w.doc_off + np.arange(n + 1)
                 at = np.flatnonzero(outside)
-                doc = w.doc_of()[at]
-                h = w.hashes()[at]
-                order = np.lexsort((h, doc))
-                at, doc, h = at[order], doc[order], h[order]
-                new = np.flatnonzero(np.append(len(h) > 0, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))[:len(h)]
-                times = np.diff(np.append(new, len(h))).astype(np.int32)
-                words = w.strings().take(pa.array(at[new])).cast(pa.binary())
-                cut = pa.array(np.searchsorted(doc[new], np.arange(n + 1)).astype(np.int32))
+                cut = np.searchsorted(w.doc_of()[at], np.arange(n + 1))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("key"), piece.column("id"), piece.column("held_out"),
                      pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat.astype(np.int32))),
-                     pa.ListArray.from_arrays(cut, words), pa.ListArray.from_arrays(cut, pa.array(times))],
-                    names=["key", "id", "held_out", "symbols", "words", "times"])
+                     pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array((w.hashes()[at] | _WORD).view(np.int64)))],
+                    names=["key", "id", "held_out", "symbols", "tail"])
+        release_memory()
 
     return docs.mapInArrow(encode, _CODES)
 
@@ -207,40 +207,75 @@ def _packed(off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, reach
 
 
-def expected_counts(symbols: np.ndarray, off: np.ndarray, first: np.ndarray, m: Model):
-    """Baum-Welch counts of sequences ``symbols[off[i]:off[i+1]]``: starts
-    (of those flagged ``first``), moves, emissions, log10 likelihood."""
+def _forward_backward(symbols: np.ndarray, off: np.ndarray, m: Model):
+    """Posterior of the states at each token (rows in the order of ``place``),
+    place of each token, expected moves, log10 likelihood.
+
+    Rows are kept step by step (all first tokens, all second ones, ...), so a
+    step works on consecutive rows of every array."""
     order, reach = _packed(off)
-    begin, s = off[:-1][order], len(m.start)
-    steps = len(reach)
-    alphas, scales, emits, ids = [], [], [], []
+    s, steps = len(m.start), len(reach)
+    at = np.append(0, np.cumsum(reach))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    size = np.diff(off)
+    step = np.arange(int(off[-1] - off[0])) - np.repeat(off[:-1] - off[0], size)
+    place = at[step] + np.repeat(rank, size)
+    by_step = np.empty(len(place), np.int64)
+    by_step[place] = symbols[off[0]:off[-1]]
+    emit = m.emit[by_step]
+    state, scale = np.empty((len(place), s), np.float32), np.empty((len(place), 1))
     alpha = np.tile(m.start, (len(order), 1))
     for t in range(steps):
-        n = reach[t]
-        sym = symbols[begin[:n] + t]
-        e = m.emit[sym]
-        a = (alpha[:n] if t == 0 else alpha[:n] @ m.move) * e
+        n, rows = reach[t], slice(at[t], at[t + 1])
+        a = alpha if t == 0 else alpha[:n] @ m.move
+        a = a * emit[rows]
         c = a.sum(1, keepdims=True)
         alpha = a / c
-        alphas.append(alpha)
-        scales.append(c)
-        emits.append(e)
-        ids.append(sym)
-    moves, like = np.zeros((s, s)), sum(float(np.log10(c).sum()) for c in scales)
-    gammas: list[np.ndarray] = [None] * steps  # type: ignore[list-item]
+        state[rows], scale[rows] = alpha, c
+    moves, like = np.zeros((s, s)), float(np.log10(scale).sum())
     beta = np.ones((0, s))
+    back_move = np.ascontiguousarray(m.move.T)
     for t in range(steps - 1, -1, -1):
-        n = reach[t]
+        n, rows = reach[t], slice(at[t], at[t + 1])
         if len(beta) < n:
             beta = np.concatenate([beta, np.ones((n - len(beta), s))])
-        gammas[t] = alphas[t] * beta
         if t:
-            back = emits[t] * beta / scales[t]
-            moves += alphas[t - 1][:n].T @ back
-            beta = back @ m.move.T
-    moves *= m.move
-    starts = gammas[0][first[order]].sum(0) if steps else np.zeros(s)
-    return starts, moves, np.concatenate(ids), np.concatenate(gammas), like
+            back = emit[rows] * beta / scale[rows]
+            moves += state[at[t - 1]:at[t - 1] + n].T @ back
+        state[rows] *= beta
+        if t:
+            beta = back @ back_move
+    return state, by_step, place, moves * m.move, like
+
+
+def expected_counts(symbols: np.ndarray, off: np.ndarray, first: np.ndarray, m: Model):
+    """Baum-Welch counts of sequences ``symbols[off[i]:off[i+1]]``: starts
+    (of those flagged ``first``), moves, emissions, log10 likelihood."""
+    state, ids, place, moves, like = _forward_backward(symbols, off, m)
+    begin = place[off[:-1] - off[0]] if len(place) else np.empty(0, np.int64)
+    return state[begin[first]].sum(0, dtype=np.float64), moves, ids, state, like
+
+
+def _chunks(off: np.ndarray) -> Iterator[np.ndarray]:
+    """Texts by falling length, in groups of about ``_CHUNK_TOKENS`` tokens:
+    long texts keep each other company."""
+    size = np.diff(off)
+    order = np.argsort(-size, kind="stable")
+    end = np.cumsum(size[order])
+    a = 0
+    while a < len(order):
+        base = end[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(end, base + _CHUNK_TOKENS, "right")))
+        yield order[a:b]
+        a = b
+
+
+def _taken(values: np.ndarray, off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists ``values[off[r]:off[r+1]]`` of some rows, and their offsets."""
+    size = np.diff(off)[rows]
+    cut = np.append(0, np.cumsum(size))
+    return values[np.arange(cut[-1]) + np.repeat(off[rows] - cut[:-1], size)], cut
 
 
 def _segments(off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -252,74 +287,191 @@ def _segments(off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.append(np.repeat(off[:-1], pieces) + k * size, off[-1]), k == 0
 
 
-def baum_welch_pass(codes: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of all training texts under ``model``."""
+class _Sums:
+    """A task's expected counts of symbols, moves and starts."""
+
+    def __init__(self, m: Model):
+        self.m, (self.n, self.s) = m, m.emit.shape
+        self.emit = np.zeros((self.n, self.s))
+        self.starts, self.moves, self.like = np.zeros(self.s), np.zeros((self.s, self.s)), 0.0
+
+    def add(self, symbols: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count some texts; the state posteriors and each token's row in them."""
+        state, ids, place, moves, like = _forward_backward(symbols, off, self.m)
+        for k in range(self.s):
+            self.emit[:, k] += np.bincount(ids, weights=state[:, k], minlength=self.n)
+        self.starts += state[place[off[:-1] - off[0]]].sum(0, dtype=np.float64)
+        self.moves += moves
+        self.like += like
+        return state, place
+
+
+def _summed_blocks(parts: DataFrame, levels: int) -> DataFrame:
+    """Rows (b, part, x) added up by block, in levels of at most ``FAN`` parts
+    of a block, so no task reads more than that many parts of one."""
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            keys = zip(batch.column("b").to_pylist(), batch.column("part").to_pylist(), strict=True)
+            for key, x in zip(keys, batch.column("x"), strict=True):
+                part = np.frombuffer(x.as_buffer(), np.float64 if key[0] < 0 else np.float32).astype(np.float64)
+                if key in total:
+                    total[key] += part
+                else:
+                    total[key] = part
+        rows = [(b, p, (v if b < 0 else v.astype(np.float32)).tobytes()) for (b, p), v in total.items()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
+             pa.array([r[2] for r in rows], pa.binary())], names=["b", "part", "x"])
+
+    while levels > 1:
+        levels = -(-levels // FAN)
+        parts = parts.withColumn("part", (F.col("part") % levels).cast("int"))
+        parts = parts.repartition(partitions(parts.sparkSession) * levels, "b", "part").mapInArrow(add_up, "b int, part int, x binary")
+    return parts
+
+
+def baum_welch_pass(codes: DataFrame, model: Model, tasks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of all training texts under ``model``; ``codes`` has
+    ``tasks`` partitions."""
     spark = codes.sparkSession
     shared = spark.sparkContext.broadcast(model)
     n_symbols, s = model.emit.shape
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        emit = np.zeros((n_symbols, s), np.float64)
-        small = np.zeros(1 + s + s * s)
-        used = False
+        sums, used = _Sums(shared.value), False
         for batch in batches:
             symbols, off = _lists(batch.column("symbols"))
-            cut, first = _segments(off, SEGMENT)
-            at = 0
-            while at < len(first):
-                stop = max(at + 1, int(np.searchsorted(cut, cut[at] + _CHUNK_TOKENS, "right")) - 1)
-                starts, moves, ids, gamma, like = expected_counts(symbols, cut[at:stop + 1], first[at:stop], m)
-                for k in range(s):
-                    emit[:, k] += np.bincount(ids, weights=gamma[:, k], minlength=n_symbols)
-                small += np.concatenate([[like], starts, moves.ravel()])
-                used, at = True, stop
+            for rows in _chunks(off):
+                sums.add(*_taken(symbols, off, rows))
+                used = True
         if used:
-            blocks = [(-1, small.tobytes())]
+            blocks = [(-1, np.concatenate([[sums.like], sums.starts, sums.moves.ravel()]).tobytes())]
             for b in range(0, n_symbols, BLOCK):
-                part = emit[b:b + BLOCK]
+                part = sums.emit[b:b + BLOCK]
                 if part.any():
                     blocks.append((b, part.astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()),
                                               pa.array([x for _, x in blocks], pa.binary())], names=["b", "x"])
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for b, x in zip(batch.column("b").to_pylist(), batch.column("x").to_pylist(), strict=True):
-                part = np.frombuffer(x, np.float64 if b < 0 else np.float32).astype(np.float64)
-                total[b] = total[b] + part if b in total else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()),
-                                          pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["b", "x"])
+        release_memory()
 
     parts = codes.select("symbols").mapInArrow(expect, "b int, x binary")
-    summed = parts.repartition(partitions(spark), "b").mapInArrow(add_up, "b int, x binary")
+    summed = _summed_blocks(parts.withColumn("part", F.spark_partition_id()), max(2, tasks))
     emit, small = np.zeros((n_symbols, s)), np.zeros(1 + s + s * s)
-    for r in summed.collect():  # at most one row per block
-        x = np.frombuffer(r["x"], np.float64)
+    for r in summed.collect():  # one row per block
         if r["b"] < 0:
-            small = x
+            small = np.frombuffer(r["x"], np.float64)
         else:
-            emit[r["b"]:r["b"] + BLOCK] = x.reshape(-1, s)
+            emit[r["b"]:r["b"] + BLOCK] = np.frombuffer(r["x"], np.float32).reshape(-1, s)
     shared.unpersist()
     return small[1:1 + s], small[1 + s:].reshape(s, s), emit, float(small[0])
 
 
-def train(codes: DataFrame, p: np.ndarray, states: int, passes: int) -> Model:
+def word_expectations(codes: DataFrame, model: Model, vocab: Vocabulary) -> DataFrame:
+    """(h, n, g0, g1, ...): occurrences and expected counts by state of every
+    training word outside the head (h its hash), of the symbols (h from 0),
+    of the moves from each state and of the starts (h from ``_MOVES``).  A batch
+    sends every distinct word once."""
+    shared = codes.sparkSession.sparkContext.broadcast(model)
+    n_symbols, s = model.emit.shape
+    low, high = len(vocab.counts), len(vocab.counts) + vocab.tail
+    names = ["h", "n", *[f"g{k}" for k in range(s)]]
+
+    def rows(h, n, g) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64)), *[pa.array(g[:, k].astype(np.float32)) for k in range(s)]],
+            names=names)
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, used = _Sums(shared.value), False
+        for batch in batches:
+            symbols, off = _lists(batch.column("symbols"))
+            tail, cut = _lists(batch.column("tail"))
+            words, number = np.unique(tail, return_inverse=True)
+            total = np.zeros((len(words), s))
+            for text in _chunks(off):
+                flat, ends = _taken(symbols, off, text)
+                state, place = sums.add(flat, ends)
+                own = state[place[(flat >= low) & (flat < high)]]
+                who, _ = _taken(number, cut, text)
+                for k in range(s):
+                    total[:, k] += np.bincount(who, weights=own[:, k], minlength=len(words))
+                used = True
+            if len(words):
+                yield rows(words, np.bincount(number, minlength=len(words)), total)
+        if used:
+            seen = np.flatnonzero(sums.emit.any(axis=1))
+            yield rows(seen, np.zeros(len(seen)), sums.emit[seen])
+            yield rows(_MOVES + np.arange(s + 1), np.zeros(s + 1), np.concatenate([sums.moves, sums.starts[None]]))
+        release_memory()
+
+    found = codes.select("symbols", "tail").mapInArrow(
+        expect, "h bigint, n bigint, " + ", ".join(f"g{k} float" for k in range(s)))
+    return found.groupBy("h").agg(F.sum("n").alias("n"), *[F.sum(f"g{k}").cast("float").alias(f"g{k}") for k in range(s)])
+
+
+def _shares(emit: np.ndarray) -> np.ndarray:
+    """The states' shares of all tokens."""
+    return (emit.sum(0) + 1) / (emit.sum() + emit.shape[1])
+
+
+def _stepped(starts: np.ndarray, moves: np.ndarray, emit: np.ndarray) -> Model:
+    return Model((starts + 1) / (starts + 1).sum(), (moves + 1) / (moves + 1).sum(1, keepdims=True),
+                 (emit / emit.sum(0)).astype(np.float32))
+
+
+def train(codes: DataFrame, p: np.ndarray, states: int, passes: int, tasks: int) -> Model:
     """Baum-Welch passes from the corpus distribution ``p`` of the symbols."""
     model = first_model(p, states)
     for _ in range(passes):
-        starts, moves, emit, _ = baum_welch_pass(codes, model)
-        share = (emit.sum(0) + 1) / (emit.sum() + states)
+        starts, moves, emit, _ = baum_welch_pass(codes, model, tasks)
+        share = _shares(emit)
         # P(state | symbol), drawn to the states' shares; by Bayes an unseen
         # symbol keeps its corpus probability in every state
         of = (emit + PULL * share) / (emit.sum(1, keepdims=True) + PULL)
-        emit = p[:, None] * of / share
-        model = Model((starts + 1) / (starts + 1).sum(), (moves + 1) / (moves + 1).sum(1, keepdims=True),
-                      (emit / emit.sum(0)).astype(np.float32))
+        model = _stepped(starts, moves, p[:, None] * of / share)
     return model
 
 
+@dataclass
+class Final:
+    """The last model: head, classes (of words never seen) and end as symbols;
+    a word outside the head with count n and lifts r (P(state | word) over the
+    states' shares) has the emissions ``(n + SMOOTH) * r * per_word``."""
+
+    model: Model
+    per_word: np.ndarray
+
+
+def finish(sums: DataFrame, vocab: Vocabulary, states: int) -> tuple[Final, DataFrame]:
+    """The final model from ``word_expectations``, and the table (h, n, r) of
+    the words outside the head."""
+    inner = F.col("h") >= 0
+    n_symbols = vocab.end_symbol + 1
+    emit, moves = np.zeros((n_symbols, states)), np.zeros((states + 1, states))
+    for batch in sums.where(inner).drop("n").toArrow().to_batches():  # a row per symbol and state
+        h = batch.column("h").to_numpy()
+        g = np.stack([batch.column(f"g{k}").to_numpy(zero_copy_only=False) for k in range(states)], 1).astype(np.float64)
+        emit[h[h < n_symbols]] = g[h < n_symbols]
+        moves[h[h >= _MOVES] - _MOVES] = g[h >= _MOVES]
+    share = _shares(emit)
+    k = len(vocab.counts)
+    # a class stands for its one unseen word
+    own = np.concatenate([vocab.counts + SMOOTH, np.full(vocab.tail, SMOOTH), [vocab.ends + SMOOTH]])
+    lift = (emit + PULL * share) / (emit.sum(1, keepdims=True) + PULL) / share
+    part = own[:, None] * lift
+    lifts = [((F.col(f"g{i}") + F.lit(float(PULL * share[i]))) / (F.col("n") + F.lit(PULL)) / F.lit(float(share[i]))).cast("float")
+             for i in range(states)]
+    words = sums.where(~inner).select("h", "n", F.array(*lifts).alias("r"))
+    total = words.agg(*[F.coalesce(F.sum((F.col("n") + SMOOTH) * F.col("r")[i]), F.lit(0.0)).alias(f"t{i}")
+                        for i in range(states)]).first()
+    norm = part.sum(0) + np.array([total[f"t{i}"] for i in range(states)])
+    model = Model((moves[states] + 1) / (moves[states] + 1).sum(), (moves[:states] + 1) / (moves[:states] + 1).sum(1, keepdims=True),
+                  (part / norm).astype(np.float32))
+    return Final(model, 1 / norm), words
+
+
 def log10_forward(symbols: np.ndarray, off: np.ndarray, m: Model, long: int = LONG) -> np.ndarray:
     """Exact log10 probability of each sequence."""
     s = len(m.start)
@@ -358,29 +510,39 @@ def log10_forward(symbols: np.ndarray, off: np.ndarray, m: Model, long: int = LO
     return out
 
 
-def _partial_scores(vocab, model, mass: np.ndarray):
-    """Per text: tokens, vocabulary part of the base score, forward score with
-    the class masses of its rare words taken off."""
+def _score(vocab, final):
+    """Per text: tokens, known tokens, sum of log10 (count + SMOOTH), forward
+    score.  ``found`` holds, for the places of ``tail`` whose word is known,
+    place and count in one number, and the word's lifts."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, m = vocab.value, model.value
-        k = len(v.counts)
+        v, f = vocab.value, final.value
+        k, states = len(v.counts), len(f.per_word)
         c = np.concatenate([v.counts, np.zeros(v.tail), [v.ends]])
-        base = np.log10(c + SMOOTH)
-        base[k:k + v.tail] = 0
-        known = np.concatenate([v.counts > 0, np.zeros(v.tail, bool), [v.ends > 0]])
-        inside = np.zeros(len(c))
-        inside[k:k + v.tail] = -np.log10(mass)
+        head_base, head_known = np.log10(c + SMOOTH), (c > 0).astype(np.int64)
         for batch in (b.slice(i, _SCORE_ROWS) for b in batches for i in range(0, b.num_rows, _SCORE_ROWS)):
             symbols, off = _lists(batch.column("symbols"))
+            symbols = symbols.astype(np.int64)
+            outside = np.flatnonzero((symbols >= k) & (symbols < k + v.tail))
+            cut = np.append(0, np.cumsum(batch.column("n_tail").to_numpy()))
+            col = batch.column("found")
+            rows = np.repeat(np.arange(batch.num_rows), pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_numpy())
+            flat = pa.compute.list_flatten(col)
+            place_n = flat.field("pn").to_numpy(zero_copy_only=False)
+            n = (place_n & 0xFFFFFFFF).astype(np.float64)
+            lift = flat.field("r").flatten().to_numpy(zero_copy_only=False).reshape(-1, states)
+            at = outside[cut[rows] + (place_n >> 32)]
+            base, known = head_base[symbols], head_known[symbols]
+            base[at], known[at] = np.log10(n + SMOOTH), 1
+            symbols[at] = len(c) + np.arange(len(at))
+            own = ((n + SMOOTH)[:, None] * lift * f.per_word).astype(np.float32)
+            m = Model(f.model.start, f.model.move, np.concatenate([f.model.emit, own]))
             like = log10_forward(symbols, off, m)
-            at = off[:-1]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("id"), batch.column("held_out"), pa.array(np.diff(off)),
-                 pa.array(np.add.reduceat(known[symbols].astype(np.int64), at)),
-                 pa.array(np.add.reduceat(base[symbols], at)),
-                 pa.array(like + np.add.reduceat(inside[symbols], at))],
-                names=["key", "id", "held_out", "n_tokens", "n_top", "base_top", "score_top"])
+                [batch.column("id"), batch.column("held_out"), pa.array(np.diff(off)), pa.array(np.add.reduceat(known, off[:-1])),
+                 pa.array(np.add.reduceat(base, off[:-1])), pa.array(like)],
+                names=["id", "held_out", "n_tokens", "n_known", "base", "score"])
+        release_memory()
 
     return score
 
@@ -389,7 +551,8 @@ def scores(df: DataFrame, training, id_col: str = "doc_id", text_col: str = "tex
            tail: int = TAIL, states: int = STATES, passes: int = PASSES) -> DataFrame:
     """id, held_out (not ``training``), n_tokens, n_known, train_tokens,
     base_score, score for every row; ``training`` is a condition on ``id``."""
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     docs = pick(df, id=id_col, t=text_col).select(F.col("id").cast("bigint").alias("id"), "t")
     docs = docs.withColumn("held_out", ~F.coalesce(training, F.lit(False)))
     counts = save(word_counts(docs.where(~F.col("held_out"))), "word-counts")
@@ -397,22 +560,21 @@ def scores(df: DataFrame, training, id_col: str = "doc_id", text_col: str = "tex
     p = np.concatenate([vocab.counts + SMOOTH, mass, [vocab.ends + SMOOTH]])
     shared = sc.broadcast(vocab)
     codes = save(encoded(docs.select(F.monotonically_increasing_id().alias("key"), "id", "held_out", "t"), shared), "codes")
-    model = train(codes.where(~F.col("held_out")), p / p.sum(), states, passes)
-    part = codes.select("key", "id", "held_out", "symbols").mapInArrow(
-        _partial_scores(shared, sc.broadcast(model), mass),
-        "key bigint, id bigint, held_out boolean, n_tokens bigint, n_top bigint, base_top double, score_top double")
-
-    rare = codes.select("key", F.explode(F.arrays_zip("words", "times")).alias("w")).select("key", "w.words", "w.times")
-    c = F.coalesce("c", F.lit(0))
-    rare = rare.join(counts.where("word is not null"), F.col("words") == F.col("word"), "left").groupBy("key").agg(
-        F.sum(F.col("times") * F.log10(c + SMOOTH)).alias("rare"),
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_rare"))
-    rows = part.join(rare, "key", "left")
-    rare_sum = F.coalesce("rare", F.lit(0.0))
+    # a task sends its sums once, whatever it reads: two tasks a core, not one per file
+    learn = codes.where(~F.col("held_out")).coalesce(2 * sc.defaultParallelism)
+    tasks = 2 * sc.defaultParallelism
+    model = train(learn, p / p.sum(), states, passes - 1, tasks)
+    final, words = finish(save(word_expectations(learn, model, vocab), "word-expectations"), vocab, states)
+
+    placed = codes.select("key", F.posexplode("tail").alias("place", "h")).join(words, "h")
+    pn = F.shiftleft(F.col("place").cast("bigint"), 32).bitwiseOR(F.col("n"))
+    found = placed.groupBy("key").agg(F.collect_list(F.struct(pn.alias("pn"), "r")).alias("found"))
+    rows = codes.select("key", "id", "held_out", "symbols", F.size("tail").alias("n_tail")).join(found, "key", "left")
+    rows = rows.select("id", "held_out", "symbols", "n_tail", "found").mapInArrow(
+        _score(shared, sc.broadcast(final)),
+        "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
     floor = float(np.log10(vocab.total + SMOOTH * (vocab.distinct + 1)))
     return rows.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens",
-        (F.col("n_top") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known",
         F.lit(vocab.total).cast("bigint").alias("train_tokens"),
-        (F.col("base_top") + rare_sum - F.lit(floor) * F.col("n_tokens")).alias("base_score"),
-        (F.col("score_top") + rare_sum).alias("score"))
+        (F.col("base") - F.lit(floor) * F.col("n_tokens")).alias("base_score"), "score")
