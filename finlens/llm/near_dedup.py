@@ -53,7 +53,7 @@ from finlens.llm.store import TEXT_ROWS, partitions, pick, save, spare_name
 from finlens.llm.textops import U64, Words, mix, ngram_hashes, release_memory, slices
 
 BANDS, BAND_SIZE, AGREE = 15, 3, 3
-HOT_BUCKET = 4096
+HOT_BUCKET = 512
 SIMILARITY = (4, 5)
 
 

@@ -12,8 +12,10 @@ removed, with all the words it covers; windows are judged on the input.
    estimate therefore never falls short, while only about one position in
    seven is counted.  As only "once" or "more often" matters, cells saturate
    at two, and the merged sketch is a bitmap of at most
-   ``2 * CELLS / 8`` bytes (32 MB): a fixed bound, whatever the input.  With
-   more anchors than cells it lets more windows through, and loses none.
+   ``2 * CELLS / 8`` bytes (32 MB), which is broadcast.  When more than
+   ``MAX_LOAD`` of it counts as repeated, it would let most windows through;
+   then the anchors are counted in 2**``WIDE_BITS`` cells as a table instead,
+   and the texts get the repeated cells of their own anchors by a join.
 2. Exact pass.  Windows estimated repeated get a 128-bit hash.  Each chunk of
    a task keeps the earliest occurrence of a window; later ones in the chunk
    are known repeats and leave as runs of starts.  The earliest ones are
@@ -35,16 +37,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from finlens.llm.store import partitions, pick, spare_name
+from finlens.llm.store import partitions, pick, save, spare_name
 from finlens.llm.textops import U64, Words, mix, ngram_hashes, release_memory, slices
 
 WINDOW, GRAM = 20, 8
 CELL_BITS, BLOCK_BITS, DEPTH = 27, 16, 2
 CHUNK_WINDOWS = 250_000
+MAX_LOAD, WIDE_BITS = 0.2, 44
 
 
 def _sliding(a: np.ndarray, n: int, op) -> np.ndarray:
@@ -174,6 +178,13 @@ class Sketch:
     def __setstate__(self, state):
         self.__init__(*state)
 
+    def load(self) -> float:
+        """Share of the cells that count as repeated, in the fuller row."""
+        bits = [0] * DEPTH
+        for (row, _), raw in self.blocks.items():
+            bits[row] += int(np.bitwise_count(np.frombuffer(raw, np.uint8)).sum())
+        return max(bits) / (1 << self.cell_bits)
+
     def repeated(self, anchor: np.ndarray) -> np.ndarray:
         """Whether the estimate of each anchor is two or more."""
         if self._bits is None:
@@ -200,6 +211,69 @@ def build_sketch(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, cell_b
     return Sketch(blocks, cell_bits, block_bits)
 
 
+def _wide_cells(anchor: np.ndarray) -> np.ndarray:
+    return _cells(anchor, DEPTH, WIDE_BITS)
+
+
+def _text_cells(window: int, gram: int):
+    """Per text: the cells of its anchors, each once, and how many anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                w = Words(part.column("t"))
+                h = w.hashes()
+                best, first = anchors(w, h, window, gram)
+                doc = np.searchsorted(w.doc_off, first, "right") - 1
+                # neighbouring windows share the place of their anchor: count places
+                _, place = _anchor_at(w, h, best, first, window, gram)
+                spot = np.unique(np.stack([doc, _wide_cells(best), place]), axis=1)
+                new = np.append(spot.shape[1] > 0, (spot[:2, 1:] != spot[:2, :-1]).any(axis=0))[:spot.shape[1]]
+                at = np.flatnonzero(new)
+                n = np.diff(np.append(at, spot.shape[1]))
+                who = pa.array(spot[0, at])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id").take(who), part.column("th").take(who), pa.array(spot[1, at]), pa.array(n)],
+                    names=["id", "th", "cell", "n"])
+        release_memory()
+
+    return run
+
+
+def _anchor_at(w: Words, h: np.ndarray, best: np.ndarray, first: np.ndarray, window: int, gram: int
+               ) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors of windows and the word each starts at: the first gram of
+    the window with the smallest hash."""
+    place = np.full(len(best), -1, np.int64)
+    if len(best):
+        grams, _ = ngram_hashes(h, np.array([0, len(h)]), gram)
+        for k in range(window - gram, -1, -1):
+            place = np.where(grams[first + k] == best, first + k, place)
+    return best, place
+
+
+def _with_cells(rows: DataFrame, window: int, gram: int) -> DataFrame:
+    """``rows`` (id, th, t) plus ``cells``: the repeated cells of each text."""
+    own = save(rows.mapInArrow(_text_cells(window, gram), "id bigint, th bigint, cell bigint, n bigint"), "anchors")
+    own = own.distinct()  # repeated rows are one text
+    often = save(own.groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").select("cell"), "repeated-anchors")
+    cells = own.join(often, "cell").groupBy("id", "th").agg(F.collect_list("cell").alias("cells"))
+    return rows.join(cells, ["id", "th"], "left").select("id", "th", "t", "cells")
+
+
+def _cells_repeated(part: pa.RecordBatch, doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Whether each anchor's cell is among the repeated ones of its text."""
+    col = part.column("cells")
+    size = pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_numpy()
+    known = pa.compute.list_flatten(col).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(part.num_rows), size)
+    if not len(known):
+        return np.zeros(len(anchor), bool)
+    values, number = np.unique(np.concatenate([known, _wide_cells(anchor)]), return_inverse=True)
+    pair = np.concatenate([owner, doc]) * len(values) + number
+    return np.isin(pair[len(known):], pair[:len(known)])
+
+
 def _runs(starts: np.ndarray) -> list[int]:
     """Sorted starts as first, length, first, length, ..."""
     cut = np.flatnonzero(np.append(True, starts[1:] != starts[:-1] + 1))
@@ -216,7 +290,7 @@ def _occurrences(sketch, window: int, gram: int, chunk: int):
     names = ["id", "th", "h1", "h2", "start", "runs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = sketch.value
+        filter_ = sketch.value if sketch is not None else None
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
@@ -249,13 +323,13 @@ def _occurrences(sketch, window: int, gram: int, chunk: int):
                 w = Words(part.column("t"))
                 h = w.hashes()
                 anchor, first = anchors(w, h, window, gram)
-                keep = filter_.repeated(anchor)
+                doc = np.searchsorted(w.doc_off, first, "right") - 1
+                keep = filter_.repeated(anchor) if filter_ is not None else _cells_repeated(part, doc, anchor)
                 if not keep.any():
                     continue
                 h1, _ = ngram_hashes(h, w.doc_off, window)
                 h2, _ = ngram_hashes(w.hashes(1), w.doc_off, window, 1)
-                first = first[keep]
-                doc = np.searchsorted(w.doc_off, first, "right") - 1
+                first, doc = first[keep], doc[keep]
                 ids = part.column("id").to_numpy(zero_copy_only=False)[doc]
                 th = part.column("th").to_numpy(zero_copy_only=False)[doc]
                 held.append((ids, th, h1[keep], h2[keep], first - w.doc_off[doc]))
@@ -282,8 +356,12 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per text that has any: id, th (hash of the text), ``starts`` and
     ``runs`` (first, length, ...) of its windows that also start earlier."""
     rows = _keyed(df, id_col, text_col)
-    sketch = df.sparkSession.sparkContext.broadcast(build_sketch(rows, window, gram, cell_bits))
-    found = rows.mapInArrow(_occurrences(sketch, window, gram, chunk), _OCCURRENCE)
+    sketch = build_sketch(rows, window, gram, cell_bits)
+    if sketch.load() <= MAX_LOAD:
+        shared = df.sparkSession.sparkContext.broadcast(sketch)
+        found = rows.mapInArrow(_occurrences(shared, window, gram, chunk), _OCCURRENCE)
+    else:
+        found = _with_cells(rows, window, gram).mapInArrow(_occurrences(None, window, gram, chunk), _OCCURRENCE)
     order = Window.partitionBy("h1", "h2").orderBy("id", "th", "start")
     late = found.withColumn("place", F.dense_rank().over(order)).where(
         F.col("runs").isNotNull() | (F.col("place") > 1))

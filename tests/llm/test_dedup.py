@@ -145,6 +145,33 @@ def test_substrings_equal_brute_force(spark, window, gram, cell_bits, chunk):
         assert words(text[i].text) == kept and (gone or text[i].text == texts[i])
 
 
+@pytest.mark.parametrize(("window", "gram", "chunk"), [(20, 8, 1_000_000), (20, 8, 50), (3, 2, 7)])
+def test_anchors_as_a_table(spark, monkeypatch, window, gram, chunk):
+    """The way for a sketch that is too full: the same result, and no more
+    windows in the exact pass than share an anchor with another."""
+    monkeypatch.setattr(S, "MAX_LOAD", -1.0)
+    texts = [*EDGE_TEXTS, *repeating(window + 1)]
+    want = brute_substrings(texts, window)
+    df = with_clashes(documents(spark, texts)).repartition(5)
+    got = by_id(S.dedup_digest(df, window=window, gram=gram, chunk=chunk))
+    for i, (w, gone) in enumerate(want):
+        kept = [x for k, x in enumerate(w) if k not in gone]
+        assert (got[i].n_words, got[i].n_removed) == (len(w), len(gone)), texts[i]
+        assert got[i].kept_sha256 == hashlib.sha256(" ".join(kept).encode()).hexdigest()
+    unique = documents(spark, [" ".join(f"q{k}x{i}" for i in range(60)) for k in range(50)])
+    rows = S._with_cells(S._keyed(unique, "doc_id", "text"), window, gram)
+    assert rows.where("cells is not null").count() == 0
+    long = " ".join(f"w{i}" for i in range(30))
+    twice = spark.createDataFrame([(5, long, "en", "s", 1), (5, long, "en", "s", 1), (None, long, "en", "s", 1)], DOCS)
+    assert sorted((r.doc_id or 0, r.n_removed) for r in S.dedup_digest(twice).collect()) == [(0, 0), (5, 30), (5, 30)]
+    assert S.dedup_digest(documents(spark, [])).collect() == []
+
+
+def test_load_of_a_sketch(spark):
+    rows = S._keyed(documents(spark, repeating(4)), "doc_id", "text")
+    assert S.build_sketch(rows, cell_bits=4).load() > 0.2 > S.build_sketch(rows).load() > 0
+
+
 def test_repeated_rows_share_a_result(spark):
     long = " ".join(f"w{i}" for i in range(30))
     df = spark.createDataFrame([(5, long, "en", "s", 1), (5, long, "en", "s", 1), (None, long, "en", "s", 1),
