@@ -3,6 +3,16 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor
 kept, and its result is written as Parquet and read again before the next.
 All but the last return the columns of ``documents``.
+
+Defined results of a run: a document without text, words or a letter goes in
+the first stage.  Rows that repeat id and text, and copies under any ids,
+leave one row: the smallest id, null before all others.  Rows with one id and
+different texts are documents of their own.  A document whose every word is a
+repeat goes in the third stage.  Null ``lang``, ``source`` or ``n_chars`` play
+no part but that a null source is a source of its own in the mix.  Columns
+beyond those of ``documents``, whatever their names, are carried to the mix,
+which returns its own columns.  Empty tables give an empty result, and an
+empty benchmark drops nothing.
 """
 
 from __future__ import annotations
