@@ -167,6 +167,15 @@ def test_anchors_as_a_table(spark, monkeypatch, window, gram, chunk):
     assert S.dedup_digest(documents(spark, [])).collect() == []
 
 
+def test_a_text_of_a_million_words(spark):
+    """Its last thousand words repeat its first, and stand in another text."""
+    w = [f"w{i}" for i in range(1_000_000)]
+    texts = [" ".join([*w, *w[:1000]]), " ".join(["x", *w[500:600], "y"])]
+    got = by_id(S.dedup_digest(documents(spark, texts)))
+    assert [(got[i].n_words, got[i].n_removed) for i in (0, 1)] == [(1_001_000, 1000), (102, 100)]
+    assert got[1].kept_sha256 == hashlib.sha256(b"x y").hexdigest()
+
+
 def test_load_of_a_sketch(spark):
     rows = S._keyed(documents(spark, repeating(4)), "doc_id", "text")
     assert S.build_sketch(rows, cell_bits=4).load() > 0.2 > S.build_sketch(rows).load() > 0

@@ -74,6 +74,22 @@ def test_run_and_empty_tables(spark, small_dir, tmp_path):
     assert P.run(spark, str(tmp_path)).collect() == []
 
 
+def test_repeats_nulls_and_clashes_through_all_stages(spark, small_dir, tmp_path):
+    """Copies under several ids, repeated rows and null ids leave one row each;
+    texts without a letter go."""
+    table = spark.read.parquet(f"{small_dir}/documents.parquet").limit(40)
+    text = table.where("length(text) > 400").first().text
+    own = "the of and this is a document of its own with words that no other document here has at all to be kept"
+    rows = [(900, text), (901, text), (901, text), (None, own), (None, own), (902, None), (903, "1234 ½"), (904, "")]
+    odd = spark.createDataFrame([(i, t, None, None, None) for i, t in rows],
+                                "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = with_clashes(table.select(*odd.columns).unionByName(odd), but=("source",))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{small_dir}/benchmark.parquet").limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = [r.doc_id for r in P.run(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and not {900, 901, 902, 903, 904} & set(got) and None in got
+
+
 def test_one_query_per_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
