@@ -126,7 +126,7 @@ def signatures(df: DataFrame, n: int, bands: int = BANDS, size: int = BAND_SIZE)
     return df.select("id", F.xxhash64("t").alias("th"), signed("t").alias("s")).select("id", "th", "s.*")
 
 
-def _set_column(n: int):
+def _set_builder(n: int):
     fields = [pa.field("node", pa.binary()), pa.field("s", pa.list_(pa.int64()))]
 
     def build(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -139,7 +139,11 @@ def _set_column(n: int):
                 ], fields=fields)
         release_memory()
 
-    return F.arrow_udf(build, "struct<node:binary,s:array<bigint>>")
+    return build
+
+
+def _set_column(n: int):
+    return F.arrow_udf(_set_builder(n), "struct<node:binary,s:array<bigint>>")
 
 
 def star_pairs(reps: DataFrame, agree: int, hot: int = HOT_BUCKET) -> DataFrame:

@@ -181,8 +181,7 @@ def collapsed(w: Words, start: np.ndarray, length: np.ndarray, period: np.ndarra
     ).cast(pa.string())
 
 
-def runs_column(text: str | Column, min_exponent: int = MIN_EXPONENT, min_length: int = MIN_LENGTH) -> Column:
-    """Column of n_words, runs (by start, then period) and the collapsed text."""
+def _finder(min_exponent: int, min_length: int):
     fields = [pa.field("n_words", pa.int64()), pa.field("runs", pa.list_(_RUN)), pa.field("collapsed", pa.string())]
 
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -202,7 +201,12 @@ def runs_column(text: str | Column, min_exponent: int = MIN_EXPONENT, min_length
                     collapsed(w, start, length, period),
                 ], fields=fields)
 
-    return F.arrow_udf(find, RESULT)(text)
+    return find
+
+
+def runs_column(text: str | Column, min_exponent: int = MIN_EXPONENT, min_length: int = MIN_LENGTH) -> Column:
+    """Column of n_words, runs (by start, then period) and the collapsed text."""
+    return F.arrow_udf(_finder(min_exponent, min_length), RESULT)(text)
 
 
 def periodic_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_exponent: int = MIN_EXPONENT,
