@@ -14,7 +14,7 @@ from finlens.llm import {module} as M
 
 rnd = random.Random(1)
 texts = [" ".join("".join(rnd.choices("abcdefghij", k=6)) for _ in range(360)) for _ in range(200)]
-col = pa.array(texts * 50)
+col = pa.concat_arrays([pa.array(texts)] * 50)
 assert col.nbytes > 25_000_000
 for _ in M.{make}(iter([col])):
     pass
