@@ -51,7 +51,7 @@ PULL = 1.0  # tokens' worth of the states' shares in what a symbol says of its s
 BLOCK = 1 << 13
 FAN = 64
 _CHUNK_TOKENS = 1 << 19
-_SCORE_ROWS = 2000
+_SCORE_ROWS = 1000
 # words have negative keys; sums that belong to none: symbols from 0, then moves and starts
 _WORD, _MOVES = U64(1 << 63), 1 << 30
 
@@ -221,7 +221,7 @@ def _forward_backward(symbols: np.ndarray, off: np.ndarray, m: Model):
     size = np.diff(off)
     step = np.arange(int(off[-1] - off[0])) - np.repeat(off[:-1] - off[0], size)
     place = at[step] + np.repeat(rank, size)
-    by_step = np.empty(len(place), np.int64)
+    by_step = np.empty(len(place), np.int32)
     by_step[place] = symbols[off[0]:off[-1]]
     emit = m.emit[by_step]
     state, scale = np.empty((len(place), s), np.float32), np.empty((len(place), 1))
@@ -555,16 +555,17 @@ def scores(df: DataFrame, training, id_col: str = "doc_id", text_col: str = "tex
     sc = spark.sparkContext
     docs = pick(df, id=id_col, t=text_col).select(F.col("id").cast("bigint").alias("id"), "t")
     docs = docs.withColumn("held_out", ~F.coalesce(training, F.lit(False)))
-    counts = save(word_counts(docs.where(~F.col("held_out"))), "word-counts")
+    counts = save(word_counts(docs.where(~F.col("held_out"))), "word-counts", codec="zstd")
     vocab, mass = vocabulary(counts, vocabulary_size, tail)
     p = np.concatenate([vocab.counts + SMOOTH, mass, [vocab.ends + SMOOTH]])
     shared = sc.broadcast(vocab)
-    codes = save(encoded(docs.select(F.monotonically_increasing_id().alias("key"), "id", "held_out", "t"), shared), "codes")
+    codes = save(encoded(docs.select(F.monotonically_increasing_id().alias("key"), "id", "held_out", "t"), shared), "codes",
+                 codec="zstd")
     # a task sends its sums once, whatever it reads: two tasks a core, not one per file
     learn = codes.where(~F.col("held_out")).coalesce(2 * sc.defaultParallelism)
     tasks = 2 * sc.defaultParallelism
     model = train(learn, p / p.sum(), states, passes - 1, tasks)
-    final, words = finish(save(word_expectations(learn, model, vocab), "word-expectations"), vocab, states)
+    final, words = finish(save(word_expectations(learn, model, vocab), "word-expectations", codec="zstd"), vocab, states)
 
     placed = codes.select("key", F.posexplode("tail").alias("place", "h")).join(words, "h")
     pn = F.shiftleft(F.col("place").cast("bigint"), 32).bitwiseOR(F.col("n"))

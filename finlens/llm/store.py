@@ -33,12 +33,13 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(_BATCH, before)
 
 
-def save(df: DataFrame, name: str, rows_per_batch: int = 10_000) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a scan of it."""
+def save(df: DataFrame, name: str, rows_per_batch: int = 10_000, codec: str = "snappy") -> DataFrame:
+    """Write ``df`` once to the shared folder and return a scan of it; ``zstd``
+    for large tables that are read once or twice."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     with batches_of(spark, rows_per_batch):
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
