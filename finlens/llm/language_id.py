@@ -37,7 +37,7 @@ from finlens.llm.textops import release_memory, slices
 
 UNKNOWN = "und"
 SAMPLE_TEXTS = 400
-RANK_PARTS = 64
+RANK_GROUPS = 16
 SAMPLE_CHARS = 2000
 DICT_BYTES = 96 << 10
 CHUNK_BYTES = 4096
@@ -63,9 +63,11 @@ def learn(df: DataFrame, text_col: str = "text", label_col: str = "lang") -> dic
     """
     rows = pick(df, t=text_col, label=label_col).where("t is not null and label is not null")
     rows = rows.withColumn("h", F.xxhash64("t"))
-    keys = rows.select("label", "h").distinct().withColumn("part", F.pmod("h", F.lit(RANK_PARTS)))
-    # ranked in parts of a label first: the second ranking reads at most
-    # RANK_PARTS * SAMPLE_TEXTS hashes of a label, however many rows it has
+    keys = rows.select("label", "h").distinct()
+    # a task sends a label's SAMPLE_TEXTS smallest hashes at most; they are
+    # ranked in groups of tasks first, so the last ranking reads at most
+    # RANK_GROUPS * SAMPLE_TEXTS hashes of a label, whatever the input
+    keys = keys.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(RANK_GROUPS)))
     for by in (["label", "part"], ["label"]):
         place = F.row_number().over(Window.partitionBy(*by).orderBy("h"))
         keys = keys.withColumn("place", place).where(F.col("place") <= SAMPLE_TEXTS).drop("place")
