@@ -54,6 +54,7 @@ from finlens.llm.textops import U64, Words, mix, ngram_hashes, release_memory, s
 
 BANDS, BAND_SIZE, AGREE = 15, 3, 3
 HOT_BUCKET = 512
+SKETCH_BITS = 1 << 26
 SIMILARITY = (4, 5)
 
 
@@ -143,7 +144,28 @@ def _set_builder(n: int):
 
 
 def _set_column(n: int):
-    return F.arrow_udf(_set_builder(n), "struct<node:binary,s:array<bigint>>")
+    # not deterministic to the optimizer: a filter on its result would else be
+    # evaluated on rows that a join has not yet thinned out
+    return F.arrow_udf(_set_builder(n), "struct<node:binary,s:array<bigint>>").asNondeterministic()
+
+
+def maybe_in(rows: DataFrame, key, wanted: DataFrame, wanted_key, bits: int = SKETCH_BITS) -> DataFrame:
+    """``rows`` less most of those whose ``key`` (a hash) is no ``wanted_key``
+    of ``wanted``: all with such a key stay, of the others a share that is the
+    load of a bitmap of ``bits`` cells.  The bitmap (8 MB at most) is broadcast,
+    so rows are thinned out before they are shuffled."""
+
+    def cell(h):
+        return F.pmod(h, F.lit(bits)) + 1
+
+    at = cell(wanted_key)
+    cells = wanted.select(F.bitmap_bucket_number(at).alias("_bucket"), F.bitmap_bit_position(at).alias("_bit"))
+    bitmap = cells.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    at = cell(key)
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    here = (F.bitmap_bucket_number(at) == F.col("_bucket")) & (F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1)
+    return rows.join(F.broadcast(bitmap), here, "left_semi")
 
 
 def star_pairs(reps: DataFrame, agree: int, hot: int = HOT_BUCKET) -> DataFrame:
@@ -153,10 +175,12 @@ def star_pairs(reps: DataFrame, agree: int, hot: int = HOT_BUCKET) -> DataFrame:
     their tables come from aggregates that combine before the shuffle, and are
     joined back; smaller buckets find their hubs inside one task each.
     """
-    rows = reps.select("node", "v", F.posexplode("u").alias("i", "u"))
+    rows = reps.select("node", F.posexplode("u").alias("i", "u"))
     sizes = save(rows.groupBy("i", "u").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "bucket-sizes")
     crowded = save(rows.join(sizes, ["i", "u"]), "buckets")
-    crowd = save(crowded.groupBy("node").agg((-F.sum("c")).alias("crowd")), "crowds")
+    # second band hashes join only nodes that share a bucket, once each
+    crowd = crowded.groupBy("node").agg((-F.sum("c")).alias("crowd"))
+    crowd = save(crowd.join(reps.select("node", "v"), "node"), "crowds")
     placed = crowded.join(crowd, "node")
     table = Window.partitionBy("i", "u", "j", "w")
 
@@ -234,7 +258,7 @@ def _family_links(star: DataFrame, labels: DataFrame, sets: DataFrame, similarit
 
 
 def grouped(docs: DataFrame, n: int, similarity: tuple[int, int] = SIMILARITY, bands: int = BANDS,
-            size: int = BAND_SIZE, agree: int = AGREE, hot: int = HOT_BUCKET) -> DataFrame:
+            size: int = BAND_SIZE, agree: int = AGREE, hot: int = HOT_BUCKET, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """Per row (id, t) of ``docs``: id, th, n, node, and the component's
     smallest node (label) and smallest id; empty sets have null label."""
     signed = save(signatures(docs, n, bands, size), "signatures", TEXT_ROWS)
@@ -246,8 +270,9 @@ def grouped(docs: DataFrame, n: int, similarity: tuple[int, int] = SIMILARITY, b
     # one row of each node, by id and text hash: many rows may share an id (or
     # have none), few also the text
     wanted = reps.join(wanted, "node", "left_semi").select("row.*", "node")
-    wanted = wanted.select(F.col("id").alias("wid"), F.col("th").alias("wth"), F.col("node").alias("wnode"))
+    wanted = save(wanted.select(F.col("id").alias("wid"), F.col("th").alias("wth"), F.col("node").alias("wnode")), "wanted")
     keyed = docs.select("id", F.xxhash64("t").alias("th"), "t")
+    keyed = maybe_in(keyed, F.xxhash64("id", "th"), wanted, F.xxhash64("wid", "wth"), sketch_bits)
     texts = keyed.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")))
     sets = texts.select("wnode", _set_column(n)("t").alias("s")).where("wnode = s.node")
     sets = save(sets.select("s.*").dropDuplicates(["node"]), "sets", TEXT_ROWS)

@@ -71,6 +71,23 @@ def test_hot_buckets_by_aggregates(spark):
     assert [got[i].component_id for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 16])
+def test_texts_are_thinned_out_before_they_are_shuffled(spark, bits):
+    """No wanted row is lost, however full the bitmap; a roomy one drops most
+    others, and texts of no node under a hub reach no set builder."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(-3000, 3000).select("id", F.xxhash64("id").alias("k"))
+    wanted = rows.where("id % 50 = 0")
+    left = {r.id for r in N.maybe_in(rows, F.col("k"), wanted.select(F.col("k").alias("w")), F.col("w"), bits).collect()}
+    assert {i for i in range(-3000, 3000) if i % 50 == 0} <= left
+    assert bits == 64 or len(left) < 200
+    texts = families(13, 8, 12)
+    want, _ = brute_components(texts, 2)
+    got = by_id(N.near_duplicates(documents(spark, texts), n=2, sketch_bits=bits))
+    assert [got[i].component_id for i in range(len(texts))] == want
+
+
 def test_tables_agree_with_their_probability():
     """Band hashes of a pair agree about as often as similarity to the power
     of the band size, in both collections."""
