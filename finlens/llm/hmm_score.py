@@ -7,6 +7,9 @@ other training words, however many, have emissions of their own as well, in a
 distributed table (word, count, share of each state); they reach the texts by
 a join.
 
+Texts are kept as symbols in bytes, as few to a symbol as the model needs, and
+lifts as bytes, so that rows are copied whole between Spark and Python.
+
 Training: each pass over all training texts runs the scaled forward-backward
 recursions over whole texts, many side by side in numpy, the longest together.
 In all passes but the last, words outside the head share the emissions of one
@@ -33,6 +36,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -106,13 +110,32 @@ class Vocabulary:
     def end_symbol(self) -> int:
         return len(self.counts) + self.tail
 
+    @cached_property
+    def _begin(self) -> np.ndarray:
+        """Place of the first hash of each group of equal leading bits."""
+        bits = (2 * len(self.hashes)).bit_length()
+        return np.searchsorted(self.hashes, np.arange(1 << bits, dtype=U64) << U64(64 - bits))
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Place of the first of ``hashes`` not below each of ``h`` (the last
+        place if none): hashes are spread evenly, so few steps remain from the
+        begin of a group."""
+        last = len(self.hashes) - 1
+        at = np.minimum(self._begin[(h >> U64(65 - len(self._begin).bit_length())).astype(np.int64)], last)
+        below = np.flatnonzero(self.hashes[at] < h)
+        while len(below):
+            below = below[at[below] < last]
+            at[below] += 1
+            below = below[self.hashes[at[below]] < h[below]]
+        return at
+
     def encode(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all words, and which of them are outside."""
         h = w.hashes()
         out = np.zeros(len(h), np.int64)
         known = np.zeros(len(h), bool)
         if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            at = self.places(h)
             known = self.hashes[at] == h
             out[known] = self.symbol[at[known]]
         rest = np.flatnonzero(~known)
@@ -149,7 +172,34 @@ def vocabulary(counts: DataFrame, size: int, tail: int) -> tuple[Vocabulary, np.
     return vocab, mass
 
 
-_CODES = "key bigint, id bigint, held_out boolean, symbols array<int>, tail array<bigint>"
+_CODES = "key bigint, id bigint, held_out boolean, symbols binary, tail array<bigint>"
+
+
+def _width(n_symbols: int) -> int:
+    """Bytes that hold a symbol."""
+    return max(1, -(-(n_symbols - 1).bit_length() // 8))
+
+
+def _pack(symbols: np.ndarray, off: np.ndarray, width: int) -> pa.Array:
+    """Lists of symbols as bytes, ``width`` to a symbol."""
+    raw = np.ascontiguousarray(symbols.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :width])
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off * width).astype(np.int32)), pa.py_buffer(raw)])
+
+
+def _bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column without nulls, and their offsets."""
+    if not len(col) or col.buffers()[2] is None:
+        return np.empty(0, np.uint8), np.zeros(len(col) + 1, np.int64)
+    off = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1].astype(np.int64)
+    return np.frombuffer(col.buffers()[2], np.uint8)[off[0]:off[-1]], off - off[0]
+
+
+def _unpack(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and offsets of a column that ``_pack`` made."""
+    raw, off = _bytes(col)
+    out = np.zeros((len(raw) // width, 4), np.uint8)
+    out[:, :width] = raw.reshape(-1, width)
+    return out.view("<i4").ravel(), off // width
 
 
 def encoded(docs: DataFrame, vocab) -> DataFrame:
@@ -169,7 +219,7 @@ def encoded(docs: DataFrame, vocab) -> DataFrame:
                 cut = np.searchsorted(w.doc_of()[at], np.arange(n + 1))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("key"), piece.column("id"), piece.column("held_out"),
-                     pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat.astype(np.int32))),
+                     _pack(flat, off, _width(v.end_symbol + 1)),
                      pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array((w.hashes()[at] | _WORD).view(np.int64)))],
                     names=["key", "id", "held_out", "symbols", "tail"])
         release_memory()
@@ -224,16 +274,16 @@ def _forward_backward(symbols: np.ndarray, off: np.ndarray, m: Model):
     by_step = np.empty(len(place), np.int32)
     by_step[place] = symbols[off[0]:off[-1]]
     emit = m.emit[by_step]
-    state, scale = np.empty((len(place), s), np.float32), np.empty((len(place), 1))
-    alpha = np.tile(m.start, (len(order), 1))
+    state, inverse = np.empty((len(place), s), np.float32), np.empty((len(place), 1))
+    alpha, ones = np.tile(m.start, (len(order), 1)), np.ones((s, 1))
     for t in range(steps):
         n, rows = reach[t], slice(at[t], at[t + 1])
-        a = alpha if t == 0 else alpha[:n] @ m.move
-        a = a * emit[rows]
-        c = a.sum(1, keepdims=True)
-        alpha = a / c
-        state[rows], scale[rows] = alpha, c
-    moves, like = np.zeros((s, s)), float(np.log10(scale).sum())
+        alpha = alpha[:n] @ m.move if t else alpha
+        alpha *= emit[rows].astype(np.float64)
+        inverse[rows] = np.reciprocal(alpha @ ones)
+        alpha *= inverse[rows]
+        state[rows] = alpha
+    moves, like = np.zeros((s, s)), -float(np.log10(inverse).sum())
     beta = np.ones((0, s))
     back_move = np.ascontiguousarray(m.move.T)
     for t in range(steps - 1, -1, -1):
@@ -241,9 +291,11 @@ def _forward_backward(symbols: np.ndarray, off: np.ndarray, m: Model):
         if len(beta) < n:
             beta = np.concatenate([beta, np.ones((n - len(beta), s))])
         if t:
-            back = emit[rows] * beta / scale[rows]
-            moves += state[at[t - 1]:at[t - 1] + n].T @ back
-        state[rows] *= beta
+            back = emit[rows].astype(np.float64)
+            back *= beta
+            back *= inverse[rows]
+            moves += state[at[t - 1]:at[t - 1] + n].T.astype(np.float64) @ back
+        state[rows] *= beta.astype(np.float32)
         if t:
             beta = back @ back_move
     return state, by_step, place, moves * m.move, like
@@ -342,7 +394,7 @@ def baum_welch_pass(codes: DataFrame, model: Model, tasks: int) -> tuple[np.ndar
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, used = _Sums(shared.value), False
         for batch in batches:
-            symbols, off = _lists(batch.column("symbols"))
+            symbols, off = _unpack(batch.column("symbols"), _width(n_symbols))
             for rows in _chunks(off):
                 sums.add(*_taken(symbols, off, rows))
                 used = True
@@ -386,7 +438,7 @@ def word_expectations(codes: DataFrame, model: Model, vocab: Vocabulary) -> Data
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, used = _Sums(shared.value), False
         for batch in batches:
-            symbols, off = _lists(batch.column("symbols"))
+            symbols, off = _unpack(batch.column("symbols"), _width(n_symbols))
             tail, cut = _lists(batch.column("tail"))
             words, number = np.unique(tail, return_inverse=True)
             total = np.zeros((len(words), s))
@@ -446,7 +498,7 @@ class Final:
 
 def finish(sums: DataFrame, vocab: Vocabulary, states: int) -> tuple[Final, DataFrame]:
     """The final model from ``word_expectations``, and the table (h, n, r) of
-    the words outside the head."""
+    the words outside the head (r: the lifts' bytes)."""
     inner = F.col("h") >= 0
     n_symbols = vocab.end_symbol + 1
     emit, moves = np.zeros((n_symbols, states)), np.zeros((states + 1, states))
@@ -461,11 +513,22 @@ def finish(sums: DataFrame, vocab: Vocabulary, states: int) -> tuple[Final, Data
     own = np.concatenate([vocab.counts + SMOOTH, np.full(vocab.tail, SMOOTH), [vocab.ends + SMOOTH]])
     lift = (emit + PULL * share) / (emit.sum(1, keepdims=True) + PULL) / share
     part = own[:, None] * lift
-    lifts = [((F.col(f"g{i}") + F.lit(float(PULL * share[i]))) / (F.col("n") + F.lit(PULL)) / F.lit(float(share[i]))).cast("float")
-             for i in range(states)]
-    words = sums.where(~inner).select("h", "n", F.array(*lifts).alias("r"))
-    total = words.agg(*[F.coalesce(F.sum((F.col("n") + SMOOTH) * F.col("r")[i]), F.lit(0.0)).alias(f"t{i}")
-                        for i in range(states)]).first()
+    pull = PULL * share
+    own_words = sums.where(~inner)
+    total = own_words.agg(*[F.coalesce(F.sum((F.col("n") + SMOOTH) * (
+        (F.col(f"g{i}") + F.lit(float(pull[i]))) / (F.col("n") + F.lit(PULL)) / F.lit(float(share[i]))).cast("float")),
+        F.lit(0.0)).alias(f"t{i}") for i in range(states)]).first()
+
+    def lifts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n").to_numpy(zero_copy_only=False)[:, None]
+            g = np.stack([batch.column(f"g{i}").to_numpy(zero_copy_only=False) for i in range(states)], 1).astype(np.float64)
+            r = ((g + pull) / (n + PULL) / share).astype("<f4")
+            ends = np.arange(len(n) + 1, dtype=np.int32) * (4 * states)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), pa.Array.from_buffers(
+                pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(r)])], names=["h", "n", "r"])
+
+    words = own_words.mapInArrow(lifts, "h bigint, n bigint, r binary")
     norm = part.sum(0) + np.array([total[f"t{i}"] for i in range(states)])
     model = Model((moves[states] + 1) / (moves[states] + 1).sum(), (moves[:states] + 1) / (moves[:states] + 1).sum(1, keepdims=True),
                   (part / norm).astype(np.float32))
@@ -489,13 +552,15 @@ def log10_forward(symbols: np.ndarray, off: np.ndarray, m: Model, long: int = LO
     order = np.argsort(-size, kind="stable")
     reach = np.searchsorted(-size[order], -np.arange(size.max(initial=0)), "left")
     begin, opens = cut[:-1][piece][order], first[piece][order]
-    alpha, log = init[order], np.zeros(len(order))
+    alpha, log, ones = init[order], np.zeros(len(order)), np.ones((s, 1))
     for t, n in enumerate(reach):
-        a = alpha[:n] if t else np.where(opens[:n, None], alpha[:n], alpha[:n] @ m.move)
-        a = (a @ m.move if t else a) * m.emit[symbols[begin[:n] + t]]
-        c = a.sum(1)
-        alpha[:n] = a / c[:, None]
-        log[:n] += np.log10(c)
+        a = alpha[:n] @ m.move
+        if not t:
+            a = np.where(opens[:n, None], alpha[:n], a)
+        a *= m.emit[symbols[begin[:n] + t]].astype(np.float64)
+        c = a @ ones
+        np.divide(a, c, out=alpha[:n])
+        log[:n] += np.log10(c[:, 0])
     final, logs = np.empty_like(alpha), np.empty_like(log)
     final[order], logs[order] = alpha, log
     one = np.flatnonzero(first)
@@ -521,7 +586,7 @@ def _score(vocab, final):
         c = np.concatenate([v.counts, np.zeros(v.tail), [v.ends]])
         head_base, head_known = np.log10(c + SMOOTH), (c > 0).astype(np.int64)
         for batch in (b.slice(i, _SCORE_ROWS) for b in batches for i in range(0, b.num_rows, _SCORE_ROWS)):
-            symbols, off = _lists(batch.column("symbols"))
+            symbols, off = _unpack(batch.column("symbols"), _width(len(c)))
             symbols = symbols.astype(np.int64)
             outside = np.flatnonzero((symbols >= k) & (symbols < k + v.tail))
             cut = np.append(0, np.cumsum(batch.column("n_tail").to_numpy()))
@@ -530,7 +595,7 @@ def _score(vocab, final):
             flat = pa.compute.list_flatten(col)
             place_n = flat.field("pn").to_numpy(zero_copy_only=False)
             n = (place_n & 0xFFFFFFFF).astype(np.float64)
-            lift = flat.field("r").flatten().to_numpy(zero_copy_only=False).reshape(-1, states)
+            lift = _bytes(flat.field("r"))[0].view("<f4").reshape(-1, states)
             at = outside[cut[rows] + (place_n >> 32)]
             base, known = head_base[symbols], head_known[symbols]
             base[at], known[at] = np.log10(n + SMOOTH), 1
@@ -569,7 +634,9 @@ def scores(df: DataFrame, training, id_col: str = "doc_id", text_col: str = "tex
 
     placed = codes.select("key", F.posexplode("tail").alias("place", "h")).join(words, "h")
     pn = F.shiftleft(F.col("place").cast("bigint"), 32).bitwiseOR(F.col("n"))
-    found = placed.groupBy("key").agg(F.collect_list(F.struct(pn.alias("pn"), "r")).alias("found"))
+    # flat rows travel, lists are made where they arrive
+    placed = placed.select("key", pn.alias("pn"), "r").repartition("key")
+    found = placed.groupBy("key").agg(F.collect_list(F.struct("pn", "r")).alias("found"))
     rows = codes.select("key", "id", "held_out", "symbols", F.size("tail").alias("n_tail")).join(found, "key", "left")
     rows = rows.select("id", "held_out", "symbols", "n_tail", "found").mapInArrow(
         _score(shared, sc.broadcast(final)),

@@ -214,3 +214,24 @@ def test_null_ids(spark):
     got = H.scores(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"),
                    F.lit(True), states=2, passes=2, vocabulary_size=1, tail=2).collect()
     assert len(got) == 3 and len({r.score for r in got if r.doc_id is None}) == 1
+
+
+def test_places_equal_a_binary_search():
+    r = np.random.default_rng(5)
+    for n in (1, 2, 3, 1000):
+        hashes = np.unique(np.append(r.integers(0, 2**64, n, np.uint64), np.uint64(2**64 - 1) if n == 3 else np.uint64(7)))
+        v = H.Vocabulary(hashes, np.arange(len(hashes)), np.ones(len(hashes)), 1, 1, 1, 4)
+        h = np.concatenate([hashes, r.integers(0, 2**64, 3000, np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        assert (v.places(h) == np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)).all()
+
+
+@pytest.mark.parametrize("n_symbols", [1, 2, 256, 257, 65536, 131329, 1 << 24])
+def test_symbols_take_no_more_bytes_than_they_need(n_symbols):
+    width = H._width(n_symbols)
+    assert 256 ** (width - 1) < max(2, n_symbols) <= 256**width
+    symbols, off = np.array([0, n_symbols - 1, 0, n_symbols // 2], np.int32), np.array([0, 1, 1, 4])
+    col = H._pack(symbols, off, width)
+    assert col.nbytes <= 4 * width + 16
+    for part, want in ((col, symbols), (col.slice(1), symbols[1:]), (col.slice(3), symbols[:0])):
+        got, ends = H._unpack(part, width)
+        assert got.tolist() == want.tolist() and ends[-1] == len(want) and len(ends) == len(part) + 1
