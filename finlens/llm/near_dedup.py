@@ -18,7 +18,8 @@ similar members of one table whose hub one of them so leaves need another of
 the tables they share.
 
 Verification, on full 64-bit shingle sets:
-1. every node against the hub it agrees with most; components of these links;
+1. every node against the hub it agrees with most; these links are a forest,
+   whose trees are found by pointer jumping;
 2. families (all members met under one hub) that still hold several
    components: each member's symmetric difference to the hub gives its
    similarity to the hub.  Two members x, y are similar exactly when
@@ -48,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from finlens.llm.components import components
+from finlens.llm.components import components, roots
 from finlens.llm.store import TEXT_ROWS, partitions, pick, save, spare_name
 from finlens.llm.textops import U64, Words, mix, ngram_hashes, release_memory, slices
 
@@ -176,11 +177,11 @@ def star_pairs(reps: DataFrame, agree: int, hot: int = HOT_BUCKET) -> DataFrame:
     joined back; smaller buckets find their hubs inside one task each.
     """
     rows = reps.select("node", F.posexplode("u").alias("i", "u"))
-    sizes = save(rows.groupBy("i", "u").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "bucket-sizes")
-    crowded = save(rows.join(sizes, ["i", "u"]), "buckets")
+    sizes = save(rows.groupBy("i", "u").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "bucket-sizes", narrow=True)
+    crowded = save(rows.join(sizes, ["i", "u"]), "buckets", narrow=True)
     # second band hashes join only nodes that share a bucket, once each
     crowd = crowded.groupBy("node").agg((-F.sum("c")).alias("crowd"))
-    crowd = save(crowd.join(reps.select("node", "v"), "node"), "crowds")
+    crowd = save(crowd.join(reps.select("node", "v"), "node"), "crowds", narrow=True)
     placed = crowded.join(crowd, "node")
     table = Window.partitionBy("i", "u", "j", "w")
 
@@ -192,7 +193,7 @@ def star_pairs(reps: DataFrame, agree: int, hot: int = HOT_BUCKET) -> DataFrame:
     many = by_table(placed.where(F.col("c") > hot))
     hubs = save(many.groupBy("i", "u", "j", "w").agg(
         F.min(F.struct("crowd", "node")).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1").select(
-        "i", "u", "j", "w", F.col("h.node").alias("hub")), "hubs")
+        "i", "u", "j", "w", F.col("h.node").alias("hub")), "hubs", narrow=True)
     many = many.join(hubs, ["i", "u", "j", "w"])
     members = few.select("hub", "node").unionByName(many.select("hub", "node")).where("hub <> node").distinct()
     mine = reps.select("node", F.col("u").alias("u1"), F.col("v").alias("v1"))
@@ -230,7 +231,7 @@ def _family_links(star: DataFrame, labels: DataFrame, sets: DataFrame, similarit
     family = star.join(own, "node", "left").join(hubs, "hub", "left").select(
         "hub", "node", F.coalesce("lab", "node").alias("lab"), F.coalesce("hub_lab", "hub").alias("hub_lab"))
     # written: a join with a plain table can be split at a hub with very many members
-    open_ = save(family.where("lab != hub_lab").select("hub").distinct(), "open-hubs")
+    open_ = save(family.where("lab != hub_lab").select("hub").distinct(), "open-hubs", narrow=True)
     family = family.join(open_, "hub").withColumnsRenamed({"hub": "a", "node": "b"})
     delta = _with_sets(family, sets).select(
         F.col("a").alias("hub"), F.col("b").alias("node"), "lab", "hub_lab",
@@ -240,7 +241,7 @@ def _family_links(star: DataFrame, labels: DataFrame, sets: DataFrame, similarit
         "linked", F.col("nd") <= _slack(F.col("n_hub") + F.col("n"), similarity))
     delta = save(delta.withColumn("outside", ~F.col("linked") & (F.col("lab") != F.col("hub_lab"))), "deltas")
     to_hub = delta.where("linked and lab != hub_lab").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    owing = save(delta.where("outside").select("hub").distinct(), "owing-hubs")
+    owing = save(delta.where("outside").select("hub").distinct(), "owing-hubs", narrow=True)
     rest = delta.join(owing, "hub").select(
         "hub", "node", "n", "nd", "outside", F.when(F.col("linked"), F.col("hub_lab")).otherwise(F.col("lab")).alias("lab"),
         F.explode("d").alias("e"))
@@ -259,30 +260,41 @@ def _family_links(star: DataFrame, labels: DataFrame, sets: DataFrame, similarit
 
 def grouped(docs: DataFrame, n: int, similarity: tuple[int, int] = SIMILARITY, bands: int = BANDS,
             size: int = BAND_SIZE, agree: int = AGREE, hot: int = HOT_BUCKET, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """Per row (id, t) of ``docs``: id, th, n, node, and the component's
-    smallest node (label) and smallest id; empty sets have null label."""
+    """Per row (id, t) of ``docs``: id, th, n, node, and one node (label) and
+    the smallest id of its component; empty sets have null label."""
     signed = save(signatures(docs, n, bands, size), "signatures", TEXT_ROWS)
     reps = save(signed.where("n > 0").groupBy("node").agg(
         F.min("id").alias("id"), F.min(F.struct("id", "th")).alias("row"), F.first("u").alias("u"),
-        F.first("v").alias("v")), "nodes")
-    star = save(star_pairs(reps, agree, hot), "stars")
+        F.first("v").alias("v")), "nodes", narrow=True)
+    star = save(star_pairs(reps, agree, hot), "stars", narrow=True)
     wanted = star.select(F.col("hub").alias("node")).unionByName(star.select("node")).distinct()
     # one row of each node, by id and text hash: many rows may share an id (or
     # have none), few also the text
     wanted = reps.join(wanted, "node", "left_semi").select("row.*", "node")
-    wanted = save(wanted.select(F.col("id").alias("wid"), F.col("th").alias("wth"), F.col("node").alias("wnode")), "wanted")
+    wanted = save(wanted.select(F.col("id").alias("wid"), F.col("th").alias("wth"), F.col("node").alias("wnode")), "wanted", narrow=True)
     keyed = docs.select("id", F.xxhash64("t").alias("th"), "t")
     keyed = maybe_in(keyed, F.xxhash64("id", "th"), wanted, F.xxhash64("wid", "wth"), sketch_bits)
     texts = keyed.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")))
     sets = texts.select("wnode", _set_column(n)("t").alias("s")).where("wnode = s.node")
     sets = save(sets.select("s.*").dropDuplicates(["node"]), "sets", TEXT_ROWS)
 
+    # a hub comes before its members by (crowd, node): the links are a forest
     best = star.groupBy("node").agg(F.max_by("hub", F.struct("agree", "hub")).alias("hub"))
-    links = save(verified(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets, similarity), "links")
-    more = _family_links(star, components(links), sets, similarity)
-    labels = components(links.unionByName(more))
+    links = verified(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets, similarity)
+    trees = save(roots(links.select(F.col("b").alias("node"), F.col("a").alias("up"))), "trees", narrow=True)
+    more = _family_links(star, trees, sets, similarity)
 
-    named = reps.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
+    def tree(of: str):
+        return trees.select(F.col("node").alias(of), F.col("label").alias(f"{of}_tree"))
+
+    # what joins two trees, as links between their roots
+    more = more.join(tree("a"), "a", "left").join(tree("b"), "b", "left").select(
+        F.coalesce("a_tree", "a").alias("a"), F.coalesce("b_tree", "b").alias("b"))
+    joined = components(more.where("a != b")).select(F.col("node").alias("tree"), F.col("label").alias("joined"))
+
+    named = reps.join(trees.withColumnRenamed("label", "tree"), "node", "left").select(
+        "node", "id", F.coalesce("tree", "node").alias("tree"))
+    named = named.join(joined, "tree", "left").select("node", "id", F.coalesce("joined", "tree").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
     member = named.select("node", "label").join(least, "label")
     return signed.select("id", "th", "n", "node").join(member, "node", "left")

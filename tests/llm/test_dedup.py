@@ -7,7 +7,8 @@ import pytest
 
 from finlens.llm import near_dedup as N
 from finlens.llm import substring_dedup as S
-from finlens.llm.components import components
+from finlens.llm.components import components, roots
+from finlens.llm.store import save
 from tests.llm.helpers import EDGE_TEXTS, DOCS, by_id, documents, lower, with_clashes, words
 
 
@@ -111,6 +112,35 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
 
 
+def test_roots_of_a_forest(spark):
+    parents = [(i, i + 1) for i in range(37)] + [(i, 100) for i in range(50, 80)] + [(100, 200)]
+    got = {r.node: r.label for r in roots(spark.createDataFrame(parents, "node bigint, up bigint")).collect()}
+    assert {got[i] for i in range(38)} == {37} and {got[i] for i in [*range(50, 80), 100, 200]} == {200} and len(got) == 70
+    assert roots(spark.createDataFrame([], "node bigint, up bigint")).collect() == []
+
+
+def test_trees_of_a_family_are_joined(spark):
+    """Links found in a family join the trees of the best hubs, on many
+    partitions that nothing merges as on few; narrow tables make few files."""
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base[:k] + [f"y{k}"] + base[k + 1:]) for k in range(0, 120, 4)]
+    texts += [" ".join(base[:60] + [f"z{i}" for i in range(13 + k)] + base[73 + k:]) for k in range(4)] + ["alone here"]
+    want, _ = brute_components(texts, 2)
+    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for n, merges in ((24, "false"), (8, "true")):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merges)
+            got = N.near_duplicates(documents(spark, texts)).collect()
+            assert [r.component_id for r in sorted(got, key=lambda r: r.doc_id)] == list(want)
+            counted = spark.range(500).selectExpr("id % 97 AS k").groupBy("k").count()
+            saved = save(counted, "test", narrow=True)
+            assert saved.count() == 97 and len(saved.inputFiles()) <= 12
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_one_per_group(spark):
     text = "a b c d e f g h i j k l"
     rows = [(3, text, "en", "s", 1), (3, text, "en", "s", 1), (1, text.upper(), "en", "s", 2), (None, "p q r s t u", "en", "s", 1),
