@@ -9,7 +9,7 @@ from finlens.operators import metrics as M
 from finlens.operators import quality as Q
 from finlens.operators import reports as R
 from finlens.operators.conform import coerce_schema
-from finlens.plans.etl_queries import etl
+from finlens.plans.etl_queries import etl, source_missingness, stored_run
 from finlens.sources import files as FS
 from finlens.sources.fixtures import projects
 
@@ -125,3 +125,14 @@ def test_keep_first_drops_losers_before_the_shuffle(spark):
 def test_one_scan_of_facts_for_bucketed_shares(spark, small_dir):
     p = projects(spark, small_dir)
     assert _plan(R.sector_share_with_other(M.sector_concentration(p))).count("FileScan") <= 2
+
+
+def test_missingness_reads_raw_rows_only(spark, small_dir):
+    """One scan per conformed source, none of a stage stored by a run."""
+    df = source_missingness(spark, small_dir)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(" parquet" in line for line in plan.splitlines()) == 4
+    assert df.inputFiles() and not any("/run-" in f for f in df.inputFiles())
+    r = stored_run(spark, small_dir)
+    want = Q.source_missingness(r.conformed.unionByName(r.enrichment))
+    assert sorted(df.collect()) == sorted(want.collect())
