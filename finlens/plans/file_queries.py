@@ -17,6 +17,7 @@ from finlens.plans.etl_queries import (
     _calendar,
     _txt,
     _wrap,
+    file_number,
     fresh,
     missing_parts,
     scratch_folder,
@@ -57,12 +58,12 @@ def layout_folder(spark: SparkSession, sf_dir: str) -> str:
     base = scratch_folder(spark, "layouts")
     rows = raw_source(spark, sf_dir, FIXTURE_OF[COUNTRY_SOURCE.name])
     rows = rows.toDF(*[_AT.get(h, h) for h in COUNTRY_HEADER])
+    part = file_number(rows, ROWS_PER_FILE)
     as_is = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
     for k, layout in enumerate(FILE_LAYOUTS):
         cells = [F.expr(sql).alias(f"x{i}") for i, (_, sql) in enumerate(layout)]
-        part = F.floor(F.greatest("row_ord", F.lit(0)) / ROWS_PER_FILE).cast("string")
         lines = rows.where(f"pmod(row_ord, 4) = {k}").select(
-            F.concat(F.lit(f"{k}-"), F.lpad(part, 9, "0")).alias("part"), F.col("row_ord").alias("at"),
+            F.concat(F.lit(f"{k}-"), part).alias("part"), F.col("row_ord").alias("at"),
             F.to_csv(F.struct(*cells), as_is).alias("value"))
         titles = lines.select("part").distinct().withColumn("value", F.lit(title([h for h, _ in layout])))
         write_lines(lines, titles, f"{base}/layout {k}")
